@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate
+from . import decontaminate, ngramjoin
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,3 +30,20 @@ items AS (SELECT doc_id, count(*) n_items, string_agg(item, ',' ORDER BY item) l
 SELECT d.doc_id, len(d.w)::BIGINT n_words, coalesce(n_hit, 0)::BIGINT n_hit, coalesce(n_items, 0)::BIGINT n_items, sha256(coalesce(listed, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated
 FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
 """
+
+
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.jaccard_components(table(spark, sf_dir, "documents"), n=3, percent=90)
+
+
+QUERIES["op2_ngram_join"] = op2_ngram_join
+ORACLE_SQL["op2_ngram_join"] = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, list_aggregate(w[i:i + 2], 'string_agg', ' ') t FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - 2, 1))) i FROM w WHERE len(w) > 0)),
+n AS MATERIALIZED (SELECT doc_id, count(*) n FROM s GROUP BY 1),
+pairs AS (SELECT x.doc_id a, y.doc_id b, count(*) both_have FROM s x JOIN s y ON x.t = y.t AND x.doc_id < y.doc_id GROUP BY 1, 2),
+links AS MATERIALIZED (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * both_have >= 90 * (x.n + y.n - both_have)),
+edges AS MATERIALIZED (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (SELECT doc_id node, doc_id r FROM w UNION SELECT e.b, reach.r FROM reach JOIN edges e ON e.a = reach.node)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT n_shingles, c.c component_id FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT node, min(r) c FROM reach GROUP BY 1) c ON c.node = w.doc_id
+"""
