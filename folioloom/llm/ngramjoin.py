@@ -43,6 +43,10 @@ LEAST_DF = 8
 SPLIT_DF = 20_000
 #: Bytes of text for each hash bucket of tokens.
 BUCKET_BYTES = 16 << 20
+#: Spots, as a power of two, of the bitmap of tokens that two documents have: 16 MB.
+REPEATED_BITS = 27
+
+COUNTED = pa.schema([("bucket", pa.int64()), ("repeated", pa.binary()), ("token", pa.list_(pa.int64())), ("df", pa.list_(pa.int64()))])
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 _ORDERS = tuple(np.uint64(x) for x in (0, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB))
@@ -72,24 +76,38 @@ def shingles(hashes: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray,
     return out, at
 
 
-def _sets(part: pa.RecordBatch, n: int) -> list[np.ndarray]:
-    words = textscan.scan(part.column(part.schema.get_field_index("text")), textscan.NONSPACE)
-    grams, at = shingles(words.hashes, words.first, n)
-    return [np.unique(grams[at[k] : at[k + 1]]) for k in range(words.n_docs)]
+class Sets:
+    """The distinct n-grams of consecutive texts, sorted within each, and a name for each set."""
 
+    def __init__(self, part: pa.RecordBatch, n: int) -> None:
+        words = textscan.scan(part.column(part.schema.get_field_index("text")), textscan.NONSPACE)
+        tokens, at = shingles(words.hashes, words.first, n)
+        for k in range(words.n_docs):
+            tokens[at[k] : at[k + 1]].sort()
+        new = np.ones(len(tokens), bool)
+        new[1:] = tokens[1:] != tokens[:-1]
+        new[at[:-1][at[:-1] < len(tokens)]] = True
+        self.tokens = tokens[new]
+        self.at = np.concatenate([[0], np.cumsum(new)])[at]
+        self.sizes = np.diff(self.at)
+        # A set's name is a 64-bit hash that doesn't depend on the order of its tokens.
+        self.names = textscan.mix(self.sums(textscan.mix(self.tokens + _B)) * _A + self.sizes.astype(np.uint64)).view(np.int64)
 
-def _name(tokens: np.ndarray) -> int:
-    """A set's name: a 64-bit hash that doesn't depend on the order."""
-    with np.errstate(over="ignore"):
-        total = np.sum(textscan.mix(tokens + _B), dtype=np.uint64) * _A + np.uint64(len(tokens))
-        return int(textscan.mix(np.array([total], np.uint64)).view(np.int64)[0])
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        """The sum over each set's tokens."""
+        total = np.concatenate([np.zeros(1, values.dtype), np.cumsum(values, dtype=values.dtype)])
+        return total[self.at[1:]] - total[self.at[:-1]]
 
+    def of(self, k: int) -> np.ndarray:
+        return self.tokens[self.at[k] : self.at[k + 1]]
 
-def _distinct(part: pa.RecordBatch, n: int) -> dict[int, np.ndarray]:
-    return {_name(x): x for x in _sets(part, n) if len(x)}
+    def distinct(self) -> np.ndarray:
+        """One place of each set that isn't empty."""
+        some = np.flatnonzero(self.sizes)
+        return some[np.unique(self.names[some], return_index=True)[1]]
 
 
-def prefix_length(n: int, percent: int) -> int:
+def prefix_length(n, percent: int):
     return n - -(-n * percent // 100) + 1
 
 
@@ -97,15 +115,15 @@ def _prefix(tokens: np.ndarray, order: int, percent: int) -> np.ndarray:
     """The first tokens under order 2 or 3: by a hash that is independent of the others."""
     keys = textscan.mix(tokens ^ _ORDERS[order])
     p = prefix_length(len(tokens), percent)
-    return tokens[np.argpartition(keys, p - 1)[:p]] if p < len(tokens) else tokens
+    return np.sort(tokens[np.argpartition(keys, p - 1)[:p]]) if p < len(tokens) else tokens
 
 
 class Frequent:
-    """The most frequent tokens and their document frequencies, for order 1."""
+    """What order 1 goes by: a bitmap of the tokens that two documents have, and the table of the most frequent ones."""
 
-    def __init__(self, tokens: np.ndarray, df: np.ndarray, bits: int) -> None:
+    def __init__(self, repeated: np.ndarray, tokens: np.ndarray, df: np.ndarray, bits: int) -> None:
         order = np.argsort(tokens)
-        self.tokens, self.df, self.shift = tokens[order], df[order], np.uint64(64 - bits)
+        self.repeated, self.tokens, self.df, self.shift = repeated, tokens[order], df[order], np.uint64(64 - bits)
         hot = self.df > SPLIT_DF
         #: Token parts of very frequent tokens: part -> token.
         self.parts = {self.part(int(t), s): int(t) for t, d in zip(self.tokens[hot], self.df[hot], strict=True) for s in range(-(-int(d) // SPLIT_DF))}
@@ -115,24 +133,40 @@ class Frequent:
         return int(textscan.mix(np.array([(key * 31 + s + 1) & ((1 << 64) - 1)], np.uint64))[0] | np.uint64(1))
 
     def find(self, tokens: np.ndarray) -> np.ndarray:
-        """Document frequencies, 0 for tokens outside the table."""
-        at, found = textscan.member(self.tokens, tokens >> self.shift)
-        return np.where(found, self.df[at], 0) if len(self.df) else np.zeros(len(tokens), np.int64)
-
-    def prefix(self, tokens: np.ndarray, percent: int, entity: int) -> np.ndarray:
-        """The first tokens under order 1, those of very frequent tokens as parts."""
-        df = self.find(tokens)
-        p = prefix_length(len(tokens), percent)
-        order = np.lexsort([tokens, df])[:p] if df.any() else np.argsort(tokens)[:p]
-        out, most = tokens[order].copy(), df[order]
-        for k in np.flatnonzero(most > SPLIT_DF):
-            out[k] = self.part(int(tokens[order][k] >> self.shift), entity % -(-int(most[k]) // SPLIT_DF))
+        """0 for tokens of one document, 1 for tokens outside the table, else document frequencies."""
+        spot = tokens >> np.uint64(64 - REPEATED_BITS)
+        out = (self.repeated[spot >> np.uint64(3)] >> (spot & np.uint64(7)).astype(np.uint8) & np.uint8(1)).astype(np.int64)
+        if len(self.df):
+            some = np.flatnonzero(out)
+            at, found = textscan.member(self.tokens, tokens[some] >> self.shift)
+            out[some[found]] = self.df[at[found]]
         return out
 
-
-def _frequent(texts: DataFrame, n: int, bits: int, scratch: Scratch) -> Frequent:
-    """Counts document frequencies by buckets of the hash, as packed arrays; keeps those of the most frequent tokens."""
-    low = bits - 32
+    def prefixes(self, sets: Sets, percent: int) -> tuple[np.ndarray, np.ndarray]:
+        """(token, set) for the first tokens of each distinct set under order 1 that other documents may have.
+
+        Very frequent tokens are given as parts, by the set's name.
+        """
+        df = self.find(sets.tokens)
+        p = prefix_length(sets.sizes, percent)
+        alone = sets.sums((df == 0).astype(np.int64))
+        tokens, owners = [], []
+        for k in (k for k in sets.distinct() if alone[k] < p[k]):
+            some, most = sets.of(k), df[sets.at[k] : sets.at[k + 1]]
+            keys = np.minimum(most, 0xFFFFFF).astype(np.uint64) << np.uint64(40) | some >> np.uint64(24)
+            first = np.argpartition(keys, p[k] - 1)[: p[k]] if p[k] < len(some) else np.arange(len(some))
+            first = first[most[first] > 0]
+            out = some[first]
+            for i in np.flatnonzero(most[first] > SPLIT_DF):
+                out[i] = self.part(int(out[i] >> self.shift), int(sets.names[k]) % -(-int(most[first[i]]) // SPLIT_DF))
+            tokens.append(out)
+            owners.append(np.full(len(out), k))
+        return (np.concatenate(tokens), np.concatenate(owners)) if tokens else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+
+def _frequent(texts: DataFrame, n: int, low: int, scratch: Scratch) -> Frequent:
+    """Counts document frequencies by 2**low buckets of the hash, as packed arrays of ``low + 32`` bits a token."""
+    bits = low + 32
 
     def count(batches):
         held: list[np.ndarray] = []
@@ -156,9 +190,11 @@ def _frequent(texts: DataFrame, n: int, bits: int, scratch: Scratch) -> Frequent
         size = 0
         for batch in batches:
             for part in textscan.slices(batch, "text"):
-                found = list(_distinct(part, n).values())
-                held += found
-                size += sum(map(len, found))
+                sets = Sets(part, n)
+                keep = np.zeros(len(sets.sizes), bool)
+                keep[sets.distinct()] = True
+                held.append(sets.tokens[np.repeat(keep, sets.sizes)])
+                size += len(held[-1])
                 if size > 4_000_000:
                     yield flush()
                     size = 0
@@ -169,26 +205,33 @@ def _frequent(texts: DataFrame, n: int, bits: int, scratch: Scratch) -> Frequent
         bucket = t.column("bucket")[0].as_py()
         tokens = np.concatenate([np.frombuffer(x, np.uint32) for x in t.column("tokens").to_pylist()])
         counts = np.concatenate([np.frombuffer(x, np.uint16) for x in t.column("counts").to_pylist()])
-        order = np.argsort(tokens, kind="stable")
+        order = np.argsort(tokens)
         tokens, counts = tokens[order], counts[order].astype(np.int64)
         first = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
         df = np.add.reduceat(counts, first)
+        tokens = tokens[first]
+        spots = np.zeros(1 << (REPEATED_BITS - low), np.uint8)
+        spots[tokens[df > 1] >> np.uint32(32 - (REPEATED_BITS - low))] = 1
         keep = df >= LEAST_DF
-        keys = tokens[first][keep].astype(np.int64) | np.int64(bucket << 32)
-        return pa.table({"token": keys, "df": df[keep]})
+        keys = tokens[keep].astype(np.int64) | np.int64(bucket << 32)
+        return pa.table({"bucket": [bucket], "repeated": [np.packbits(spots, bitorder="little").tobytes()], "token": [keys.tolist()], "df": [df[keep].tolist()]}, schema=COUNTED)
 
     packed = texts.mapInArrow(count, "bucket long, tokens binary, counts binary")
-    counted = scratch.keep(packed.groupBy("bucket").applyInArrow(add, "token long, df long"))
+    counted = scratch.keep(packed.groupBy("bucket").applyInArrow(add, "bucket long, repeated binary, token array<long>, df array<long>"))
+    rows = counted.select(F.explode(F.arrays_zip("token", "df")).alias("x")).select("x.token", "x.df")
     # The least df at which the table stays within its bound; the histogram has at most sqrt(2 * tokens) rows.
-    steps, total, least = counted.groupBy("df").count().orderBy(F.desc("df")).toLocalIterator(), 0, 1 << 62
-    for row in steps:
+    total, least = 0, 1 << 62
+    for row in rows.groupBy("df").count().orderBy(F.desc("df")).toLocalIterator():
         total += row["count"]
         if total > FREQUENT:
             break
         least = row.df
-    rows = counted.where(F.col("df") >= least).toArrow()
+    rows = rows.where(F.col("df") >= least).toArrow()
+    bitmap, step = np.zeros(1 << (REPEATED_BITS - 3), np.uint8), 1 << (REPEATED_BITS - low - 3)
+    for row in counted.select("bucket", "repeated").toLocalIterator():  # 16 MB in all
+        bitmap[row.bucket * step : (row.bucket + 1) * step] = np.frombuffer(row.repeated, np.uint8)
     scratch.drop(counted)
-    return Frequent(rows.column("token").to_numpy().astype(np.uint64), rows.column("df").to_numpy(), bits)
+    return Frequent(bitmap, rows.column("token").to_numpy().astype(np.uint64), rows.column("df").to_numpy(), bits)
 
 
 def _bloom(names: DataFrame, bits: int = 1 << 26) -> np.ndarray:
@@ -200,10 +243,10 @@ def _bloom(names: DataFrame, bits: int = 1 << 26) -> np.ndarray:
     return out
 
 
-def _in_bloom(bloom: np.ndarray, name: int) -> bool:
+def _in_bloom(bloom: np.ndarray, names: np.ndarray) -> np.ndarray:
     bits = len(bloom) << 3
-    a, b = name % bits, (name >> 32) % bits
-    return bool(bloom[a >> 3] >> (a & 7) & 1 and bloom[b >> 3] >> (b & 7) & 1)
+    a, b = names % bits, (names >> 32) % bits
+    return ((bloom[a >> 3] >> (a & 7).astype(np.uint8)) & (bloom[b >> 3] >> (b & 7).astype(np.uint8)) & 1).astype(bool)
 
 
 def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, scratch: Scratch | None = None) -> DataFrame:
@@ -212,46 +255,34 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, scratch:
     scratch = scratch or Scratch(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
-    def name_rows(batches):
-        for batch in batches:
-            for part in textscan.slices(batch, "text"):
-                found = _sets(part, n)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([len(x) for x in found], pa.int64()), pa.array([_name(x) if len(x) else None for x in found], pa.int64()), pa.array(np.diff(textscan.string_buffer(part.column(1))[1]), pa.int64())],
-                    names=["doc_id", "n", "s", "bytes"],
-                )
-
-    named = scratch.keep(texts.mapInArrow(name_rows, "doc_id long, n long, s long, bytes long"))
-    size = named.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("b")).first().b
-    low = max(4, int(np.ceil(np.log2(size / BUCKET_BYTES + 1))))
-    frequent = spark.sparkContext.broadcast(_frequent(texts.select("text"), n, min(64, low + 32), scratch))
+    size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first().b
+    low = min(24, max(4, int(np.ceil(np.log2(size / BUCKET_BYTES + 1)))))
+    frequent = spark.sparkContext.broadcast(_frequent(texts.select("text"), n, low, scratch))
+    kinds = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("s", pa.int64()), ("bucket", pa.int64()), ("t", pa.binary()), ("ss", pa.binary()), ("ns", pa.binary())])
 
     def postings(batches):
+        """A row for each text, and packed rows (token, set, its size) for each bucket."""
         for batch in batches:
             for part in textscan.slices(batch, "text"):
-                names, prefixes, sizes = [], [], []
-                for s, tokens in _distinct(part, n).items():
-                    names.append(s)
-                    prefixes.append(frequent.value.prefix(tokens, percent, s))
-                    sizes.append(len(tokens))
-                if not names:
-                    continue
-                lengths = [len(x) for x in prefixes]
-                tokens = np.concatenate(prefixes)
-                owner, owned = np.repeat(np.array(names, np.int64), lengths), np.repeat(np.array(sizes, np.uint32), lengths)
+                sets = Sets(part, n)
+                none = [pa.nulls(part.num_rows, kinds.field(k).type) for k in range(3, 7)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets.sizes, pa.int64()), pa.array(sets.names, mask=sets.sizes == 0), *none], schema=kinds)
+                tokens, owner = frequent.value.prefixes(sets, percent)
                 bucket = (textscan.mix(tokens) >> np.uint64(64 - low)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
-                tokens, owner, owned, bucket = tokens[order], owner[order], owned[order], bucket[order]
+                tokens, owner, bucket = tokens[order], owner[order], bucket[order]
                 ends = np.searchsorted(bucket, np.arange((1 << low) + 1))
                 some = np.flatnonzero(np.diff(ends))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(some, pa.int64())] + [pa.array([x[ends[b] : ends[b + 1]].tobytes() for b in some], pa.binary()) for x in (tokens, owner, owned)],
-                    names=["bucket", "t", "s", "n"],
-                )
+                none = [pa.nulls(len(some), pa.int64())] * 3
+                packed = [pa.array([x[ends[b] : ends[b + 1]].tobytes() for b in some], pa.binary()) for x in (tokens, sets.names[owner], sets.sizes[owner].astype(np.uint32))]
+                yield pa.RecordBatch.from_arrays([*none, pa.array(some, pa.int64()), *packed], schema=kinds)
+
+    read = scratch.keep(texts.mapInArrow(postings, "doc_id long, n long, s long, bucket long, t binary, ss binary, ns binary"))
+    named = read.where("bucket is null").select("doc_id", "n", "s")
 
     def groups(t: pa.Table) -> pa.Table:
         """Of each token that several entities have: rows (token, entity, its size, the pivot)."""
-        tokens, names, sizes = (np.concatenate([np.frombuffer(x, kind) for x in t.column(c).to_pylist()]) for c, kind in (("t", np.uint64), ("s", np.int64), ("n", np.uint32)))
+        tokens, names, sizes = (np.concatenate([np.frombuffer(x, kind) for x in t.column(c).to_pylist()]) for c, kind in (("t", np.uint64), ("ss", np.int64), ("ns", np.uint32)))
         order = np.argsort(tokens)
         tokens = tokens[order]
         same = tokens[1:] == tokens[:-1]
@@ -277,7 +308,7 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, scratch:
             whole = np.array([parts.get(int(x), int(x)) for x in tokens], np.uint64).view(np.int64)
         return pa.table({"g": whole, "s": names, "n": sizes, "p": pivot})
 
-    dealt = texts.select("text").mapInArrow(postings, "bucket long, t binary, s binary, n binary")
+    dealt = read.where("bucket is not null").select("bucket", "t", "ss", "ns")
     grouped = scratch.keep(dealt.groupBy("bucket").applyInArrow(groups, "g long, s long, n long, p long"))
     candidates = grouped.select("s").distinct()
     bloom = spark.sparkContext.broadcast(_bloom(candidates))
@@ -286,11 +317,12 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, scratch:
         for batch in batches:
             for part in textscan.slices(batch, "text"):
                 rows: dict[int, list] = {}
-                for doc, tokens in zip(part.column(0).to_pylist(), _sets(part, n), strict=True):
-                    if len(tokens) and _in_bloom(bloom.value, s := _name(tokens)):
-                        row = rows.setdefault(s, [doc, tokens])
-                        if row[0] is None or doc is not None and doc < row[0]:
-                            row[0] = doc
+                sets = Sets(part, n)
+                wanted = np.flatnonzero((sets.sizes > 0) & _in_bloom(bloom.value, sets.names))
+                for k, doc in zip(wanted, part.column(0).take(pa.array(wanted)).to_pylist(), strict=True):
+                    row = rows.setdefault(int(sets.names[k]), [doc, sets.of(k)])
+                    if row[0] is None or doc is not None and doc < row[0]:
+                        row[0] = doc
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(list(rows), pa.int64()),
