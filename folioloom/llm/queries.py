@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, ngramjoin
+from . import bpe, decontaminate, htmltext, ngramjoin, quality, sharding, toxicity, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,3 +48,62 @@ edges AS MATERIALIZED (SELECT a, b FROM links UNION SELECT b, a FROM links),
 reach AS (SELECT doc_id node, doc_id r FROM w UNION SELECT e.b, reach.r FROM reach JOIN edges e ON e.a = reach.node)
 SELECT w.doc_id, coalesce(n.n, 0)::BIGINT n_shingles, c.c component_id FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT node, min(r) c FROM reach GROUP BY 1) c ON c.node = w.doc_id
 """
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES["op4_quality"] = op4_quality
+
+
+def _remainder(n: int):
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % n, F.lit(-1))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), usable=_remainder(4) != 2)
+    return toxicity.scores(docs, model).select("doc_id", (_remainder(4) == 2).alias("held_out"), "score", "predicted")
+
+
+QUERIES["op10_toxicity"] = op10_toxicity
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.round_trip(table(spark, sf_dir, "pages"), least_bytes=0)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "valid")
+
+
+QUERIES["op3_warc"] = op3_warc
+ORACLE_SQL["op3_warc"] = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) n, sha1(coalesce(html, '')) h FROM pages),
+t AS (SELECT h, n, max(page_id) top FROM p GROUP BY 1, 2)
+SELECT page_id, p.n::BIGINT payload_bytes,
+  list_aggregate([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(p.h, 1 + 5 * (i // 4), 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::INT, 1) FOR i IN range(32)], 'string_agg', '') payload_digest,
+  CASE WHEN page_id < top THEN 'revisit' ELSE 'response' END record_type, CASE WHEN page_id < top THEN top END refers_to, true AS "valid"
+FROM p JOIN t USING (h, n)
+"""
+
+
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(table(spark, sf_dir, "documents"), shards=40, law="bytes")
+
+
+QUERIES["op6_sharding"] = op6_sharding
+
+
+def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.main_text(table(spark, sf_dir, "pages"))
+
+
+QUERIES["op7_html"] = op7_html
+
+
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+QUERIES["op9_bpe"] = op9_bpe
