@@ -9,7 +9,10 @@ words go through that table by position; a word outside it is encoded once for
 the task's run of texts and joins a local table, which is emptied beyond
 ``LOCAL_WORDS``.  Decoding maps ids to pieces through the vocabulary's id table.
 
-Texts are never shuffled and every word of every text is encoded.
+Splitting works on all code points of a slice of texts at once: a class for
+each character, the places where words begin, and a 64-bit hash of each word.
+Words exist as strings only when they are encoded.  Texts are never shuffled and
+every word of every text is encoded.
 
 Defined cases: null and empty texts, and texts of white space, have no ids and
 decode to the empty string; the added tokens' strings in a text become their
@@ -20,13 +23,13 @@ from __future__ import annotations
 
 import hashlib
 import json
-import re
 import sys
 import unicodedata
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,27 +38,67 @@ from . import textscan
 
 TABLE_WORDS = 1 << 17
 LOCAL_WORDS = 400_000
-#: Bytes of text for which splitting holds its words at a time.
-SPLIT_BYTES = 1 << 20
+#: A word counts towards the table where it stands this often in a run of texts.
+COUNTED = 8
+SPLIT_BYTES = 2 << 20
+#: Characters that are encoded in one call, about.
+CALL_CHARS = 20_000
 
+# The pattern that the splitting below is for.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
 
-def _ranges(letter: str) -> str:
-    """The characters whose Unicode category begins with this letter, as ranges of a regular expression's class."""
-    out, start = [], None
-    for c in range(sys.maxunicode + 2):
-        inside = c <= sys.maxunicode and unicodedata.category(chr(c))[0] == letter
-        if inside and start is None:
-            start = c
-        elif not inside and start is not None:
-            out.append(f"\\U{start:08x}-\\U{c - 1:08x}")
-            start = None
-    return "".join(out)
+_SPACE, _LETTER, _NUMBER, _OTHER = range(4)
+
+
+def _every() -> str:
+    return "".join(map(chr, (*range(0xD800), *range(0xE000, sys.maxunicode + 1))))
+
+
+@lru_cache(1)
+def _classes() -> np.ndarray:
+    """White space, letter, number or other, for each code point, as the library's patterns take it."""
+    from tokenizers import Regex, pre_tokenizers
+
+    out, every = np.full(sys.maxunicode + 1, _OTHER, np.uint8), _every()
+    for kind, pattern in ((_LETTER, r"\p{L}+"), (_NUMBER, r"\p{N}+"), (_SPACE, r"\s+")):
+        runs = pre_tokenizers.Split(Regex(pattern), "removed", invert=True).pre_tokenize_str(every)
+        out[_points("".join(x for x, _ in runs))] = kind
+    return out
 
 
 @lru_cache(1)
-def _classes() -> dict[str, str]:
-    space = "".join(f"\\u{c:04x}" for c in (*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
-    return {"\\p{L}": _ranges("L"), "\\p{N}": _ranges("N"), "\\s": space}
+def _lower() -> tuple[dict[int, str], np.ndarray]:
+    """What the library lower-cases otherwise than Python does to single characters, and a flag for each code point."""
+    from tokenizers import normalizers
+
+    every = _every()
+    theirs = normalizers.Lowercase().normalize_str("\n".join(every)).split("\n")
+    theirs[10:12] = ["\n"]  # the line feed itself, cut in two
+    odd = {ord(c): low for c, low in zip(every, theirs, strict=True) if low != c.lower()} | {ord("Σ"): "σ"}
+    flags = np.zeros(sys.maxunicode + 1, bool)
+    flags[list(odd)] = True
+    return odd, flags
+
+
+class Words:
+    """The words of consecutive texts: where they stand in ``text``, their hashes, and the place of each text's first."""
+
+    def __init__(self, text: str, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray, first: np.ndarray) -> None:
+        self.text, self.starts, self.ends, self.hashes, self.first = text, starts, ends, hashes, first
+
+    def strings(self, places: np.ndarray) -> list[str]:
+        text = self.text
+        return [text[a:b] for a, b in zip(self.starts[places].tolist(), self.ends[places].tolist(), strict=True)]
+
+
+def _prepared(text: str) -> str:
+    if not text.isascii():
+        text = unicodedata.normalize("NFC", text)
+        odd, flags = _lower()
+        if flags[_points(text)].any():
+            text = text.translate(odd)
+    return text.lower()
 
 
 class Tokenizer:
@@ -65,33 +108,61 @@ class Tokenizer:
         spec = json.loads(text)
         kinds = [x["type"] for x in spec["normalizer"]["normalizers"]]
         split = spec["pre_tokenizer"]["pretokenizers"][0]
-        if kinds != ["NFC", "Replace", "Lowercase"] or spec["normalizer"]["normalizers"][1]["pattern"] != {"Regex": "\\s+"} or (split["behavior"], split["invert"]) != ("Removed", True) or spec["decoder"] or spec["post_processor"]:
+        if kinds != ["NFC", "Replace", "Lowercase"] or spec["normalizer"]["normalizers"][1]["pattern"] != {"Regex": "\\s+"} or (split["behavior"], split["invert"], split["pattern"]["Regex"]) != ("Removed", True, PATTERN) or spec["decoder"] or spec["post_processor"]:
             raise ValueError("this tokenizer has other steps than composing, lower-casing and splitting into words")
+        if not (suffix := spec["model"]["end_of_word_suffix"]):
+            raise ValueError("this tokenizer doesn't mark the ends of words")
         self.text = text
-        self.pattern = split["pattern"]["Regex"]
         self.added = {x["content"]: x["id"] for x in spec["added_tokens"]}
-        self.pieces = {i: p for p, i in spec["model"]["vocab"].items()} | {i: p for p, i in self.added.items()}
-
-    @lru_cache(1)
-    def _split(self):
-        known, pattern = _classes(), self.pattern
-        for name, ranges in known.items():  # inside a class first, then alone
-            pattern = re.sub(rf"(\[[^\]]*){re.escape(name)}", lambda m, r=ranges: m[1] + r, pattern)
-        for name, ranges in known.items():
-            pattern = pattern.replace(name, f"[{ranges}]")
-        return re.compile(pattern).findall, re.compile("(" + "|".join(map(re.escape, self.added)) + ")") if self.added else None
-
-    def words(self, text: str) -> list[str]:
-        """The words of a text, the added tokens' strings among them."""
-        find, added = self._split()
-        if added and added.search(text):
-            out: list[str] = []
-            for k, part in enumerate(added.split(text)):
-                out += [part] if k % 2 else self.words(part)
-            return out
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        return find(text.lower())
+        pieces = {i: p for p, i in spec["model"]["vocab"].items()} | {i: p for p, i in self.added.items()}
+        self.pieces = [pieces.get(i) for i in range(max(pieces) + 1)]
+        self.last = np.array([p is not None and p.endswith(suffix) for p in self.pieces])
+        self.special = regex.compile("(" + "|".join(map(regex.escape, self.added)) + ")") if self.added else None
+
+    def split(self, texts: list[str]) -> Words:
+        """All words of the texts."""
+        marked = [k for k, t in enumerate(texts) if self.special and self.special.search(t)]
+        if not marked:
+            return self._plain(texts)
+        # Texts with added tokens are cut at them; every cut gives a text, put together again below.
+        parts, owner, special = [], [], []
+        for k, t in enumerate(texts):
+            for n, part in enumerate(self.special.split(t)):
+                parts.append("" if n % 2 else part)
+                owner.append(k)
+                special.append(part if n % 2 else "")
+        w = self._plain(parts)
+        tail = "".join(special)
+        at = np.concatenate([[0], np.cumsum([len(x) for x in special])]) + len(w.text)
+        some = np.flatnonzero([bool(x) for x in special])
+        hashes = textscan._hash(_points(tail), at[some] - len(w.text), at[some + 1] - len(w.text))
+        part_of = np.concatenate([np.repeat(np.arange(len(parts)), np.diff(w.first)), some])
+        order = np.argsort(part_of, kind="stable")
+        first = np.searchsorted(np.array(owner)[part_of[order]], np.arange(len(texts) + 1))
+        return Words(w.text + tail, np.concatenate([w.starts, at[some]])[order], np.concatenate([w.ends, at[some + 1]])[order], np.concatenate([w.hashes, hashes])[order], first)
+
+    def _plain(self, texts: list[str]) -> Words:
+        ready = [_prepared(t) for t in texts]
+        text = "\n".join(ready) + "\n"
+        points = _points(text)
+        kind = _classes()[points]
+        begins = np.empty(len(kind), bool)
+        begins[0] = True
+        np.not_equal(kind[1:], kind[:-1], out=begins[1:])
+        begins |= kind == _NUMBER
+        begins &= kind != _SPACE
+        for p in np.flatnonzero((points == 39) & begins).tolist():
+            if kind[p + 1] == _LETTER:  # an ending goes with its apostrophe, what follows begins anew
+                end = next((e for e in ENDINGS if text.startswith(e, p + 1)), None)
+                if end:
+                    begins[p + 1] = False
+                    begins[p + 1 + len(end)] = kind[p + 1 + len(end)] != _SPACE
+        starts = np.flatnonzero(begins)
+        stops = np.concatenate([starts, [len(kind)]])[1:]
+        spaces = np.append(np.flatnonzero(kind == _SPACE), len(kind))
+        ends = np.minimum(stops, spaces[np.searchsorted(spaces, starts)])
+        lengths = np.fromiter(map(len, ready), np.int64, len(ready)) + 1
+        return Words(text, starts, ends, textscan._hash(points, starts, ends), np.searchsorted(starts, np.concatenate([[0], np.cumsum(lengths)])))
 
     @lru_cache(1)
     def _model(self):
@@ -102,15 +173,31 @@ class Tokenizer:
         spec["added_tokens"] = []
         model = Library.from_str(json.dumps(spec))
         model.normalizer = normalizers.Sequence([])
-        model.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        model.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         model.no_truncation()
         model.no_padding()
         return model
 
-    def encode_words(self, words: list[str]) -> list[list[int]]:
-        """The ids of each word, taken as one word."""
-        found = self._model().encode_batch(words, add_special_tokens=False)
-        return [[self.added[w]] if w in self.added else e.ids for w, e in zip(words, found, strict=True)]
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, how many each has): words go to the library in runs, and the marked last pieces part them."""
+        ids, sizes = [np.zeros(0, np.int32)], np.zeros(len(words), np.int64)
+        plain = [k for k, w in enumerate(words) if w not in self.added]
+        per = max(1, CALL_CHARS // 8)
+        model = self._model()
+        for k in range(0, len(plain), per):
+            ids.append(np.array(model.encode(" ".join([words[i] for i in plain[k : k + per]]), add_special_tokens=False).ids, np.int32))
+        flat = np.concatenate(ids)
+        ends = np.flatnonzero(self.last[flat]) + 1
+        if len(ends) != len(plain):
+            raise ValueError("words and their ends don't match")
+        sizes[plain] = np.diff(np.concatenate([[0], ends]))
+        if len(plain) < len(words):
+            at = np.concatenate([[0], np.cumsum(sizes)])
+            for k, w in reversed(list(enumerate(words))):
+                if w in self.added:
+                    flat = np.insert(flat, at[k], self.added[w])
+                    sizes[k] = 1
+        return flat.astype(np.int32), sizes
 
     def __getstate__(self):
         return self.text
@@ -119,91 +206,75 @@ class Tokenizer:
         self.__init__(text)
 
 
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
 class WordTable:
-    """Ids of distinct words, flat, and each word's place."""
+    """Ids of distinct words, flat; words are known by their hashes."""
 
-    def __init__(self, words: list[str], ids: list[list[int]]) -> None:
-        self.place: dict[str, int] = {}
-        self.flat = np.zeros(0, np.int32)
-        self.start = np.zeros(1, np.int64)
-        self.add(words, ids)
+    def __init__(self, hashes: np.ndarray, flat: np.ndarray, sizes: np.ndarray) -> None:
+        order = np.argsort(hashes)
+        start = np.concatenate([[0], np.cumsum(sizes)])[:-1].astype(np.int64)
+        self.hashes, self.start, self.size, self.flat = hashes[order], start[order], sizes[order].astype(np.int64), flat
 
-    def add(self, words: list[str], ids: list[list[int]]) -> None:
-        n = len(self.place)
-        self.place.update(zip(words, range(n, n + len(words)), strict=True))
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(sizes)])
-        self.flat = np.concatenate([self.flat, np.fromiter((i for x in ids for i in x), np.int32, int(sizes.sum()))])
+    def add(self, hashes: np.ndarray, flat: np.ndarray, sizes: np.ndarray) -> None:
+        start = len(self.flat) + np.concatenate([[0], np.cumsum(sizes)])[:-1].astype(np.int64)
+        self.flat = np.concatenate([self.flat, flat])
+        all_ = np.concatenate([self.hashes, hashes])
+        order = np.argsort(all_, kind="stable")
+        self.hashes, self.start, self.size = all_[order], np.concatenate([self.start, start])[order], np.concatenate([self.size, sizes])[order]
 
     def gather(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of these words in order, where each word's begin)."""
-        size = self.start[places + 1] - self.start[places]
+        size = self.size[places]
         at = np.concatenate([[0], np.cumsum(size)])
         return self.flat[np.repeat(self.start[places] - at[:-1], size) + np.arange(at[-1])], at
 
 
-class _Growing(dict):
-    """Places of words; new words get the next ones."""
-
-    def __missing__(self, word: str) -> int:
-        self[word] = n = len(self)
-        return n
-
-
 class Encoder:
     """Encodes runs of texts through the shared table and a local one."""
 
-    def __init__(self, tokenizer: Tokenizer, shared: tuple[list[str], list[list[int]]]) -> None:
+    def __init__(self, tokenizer: Tokenizer, shared: tuple[np.ndarray, np.ndarray, np.ndarray]) -> None:
         self.tokenizer, self.shared = tokenizer, shared
-        self.clear()
-
-    def clear(self) -> None:
-        self.table = WordTable(*self.shared)
-        self.place = _Growing(self.table.place)
+        self.table = WordTable(*shared)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, where each text's begin)."""
-        if len(self.place) > len(self.shared[0]) + LOCAL_WORDS:
-            self.clear()
-        before, runs = len(self.place), []
-        for text in texts:
-            words = self.tokenizer.words(text)
-            runs.append(np.fromiter(map(self.place.__getitem__, words), np.int64, len(words)))
-        if len(self.place) > before:
-            new = list(self.place)[before:]
-            self.table.add(new, self.tokenizer.encode_words(new))
-        ids, at = self.table.gather(np.concatenate(runs) if runs else np.zeros(0, np.int64))
-        return ids, at[np.concatenate([[0], np.cumsum([len(r) for r in runs])]).astype(np.int64)]
-
-
-def word_table(docs: DataFrame, tokenizer: Tokenizer, words: int = TABLE_WORDS) -> tuple[list[str], list[list[int]]]:
-    """The most frequent distinct words of the documents, each encoded once in Spark."""
+        words = self.tokenizer.split(texts)
+        hashes, example, which = np.unique(words.hashes, return_index=True, return_inverse=True)
+        new = ~textscan.member(self.table.hashes, hashes)[1]
+        if len(self.table.hashes) + new.sum() > len(self.shared[0]) + LOCAL_WORDS:
+            self.table = WordTable(*self.shared)
+            new = ~textscan.member(self.table.hashes, hashes)[1]
+        if new.any():
+            self.table.add(hashes[new], *self.tokenizer.encode_words(words.strings(example[new])))
+        ids, at = self.table.gather(textscan.member(self.table.hashes, hashes)[0][which])
+        return ids, at[words.first]
+
+
+def word_table(docs: DataFrame, tokenizer: Tokenizer, words: int = TABLE_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, ids, how many each has) of the most frequent distinct words of the documents, each encoded once in Spark."""
 
     def split(batches):
-        counts: dict[str, int] = {}
         for batch in batches:
             for part in textscan.slices(batch, "text", SPLIT_BYTES):
-                for text in part.column(0).to_pylist():
-                    for w in tokenizer.words(text or ""):
-                        counts[w] = counts.get(w, 0) + 1
-                if len(counts) > LOCAL_WORDS:
-                    yield rows(counts)
-                    counts = {}
-        yield rows(counts)
-
-    def rows(counts: dict[str, int]) -> pa.RecordBatch:
-        some = [(w, n) for w, n in counts.items() if n > 1]  # the table is of frequent words
-        return pa.RecordBatch.from_arrays([pa.array([w for w, _ in some], pa.string()), pa.array([n for _, n in some], pa.int64())], names=["word", "n"])
+                w = tokenizer.split([x or "" for x in part.column(0).to_pylist()])
+                _, example, n = np.unique(w.hashes, return_index=True, return_counts=True)
+                often = n >= COUNTED
+                yield pa.RecordBatch.from_arrays([pa.array(w.strings(example[often]), pa.string()), pa.array(w.hashes[example[often]].view(np.int64)), pa.array(n[often], pa.int64())], names=["word", "h", "n"])
 
     def encode(batches):
         for batch in batches:
-            ids = tokenizer.encode_words(batch.column(0).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["word", "ids"])
+            flat, sizes = tokenizer.encode_words(batch.column(0).to_pylist())
+            at = np.concatenate([[0], np.cumsum(sizes)])
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([flat[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=["h", "ids"])
 
-    found = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(split, "word string, n long")
-    top = found.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(words).select("word")
-    t = top.mapInArrow(encode, "word string, ids array<int>").toArrow()  # of bounded size
-    return t.column(0).to_pylist(), t.column(1).to_pylist()
+    found = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(split, "word string, h long, n long")
+    top = found.groupBy("word", "h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(words).select("word", "h")
+    t = top.mapInArrow(encode, "h long, ids binary").toArrow()  # of bounded size
+    ids = t.column(1).to_pylist()
+    return t.column(0).to_numpy().view(np.uint64), np.frombuffer(b"".join(ids), np.int32), np.fromiter((len(x) // 4 for x in ids), np.int64, len(ids))
 
 
 def encode(docs: DataFrame, path: str, words: int = TABLE_WORDS) -> DataFrame:
@@ -238,8 +309,7 @@ def _encoded(docs: DataFrame, path: str, words: int, schema, out) -> DataFrame:
     def run(batches):
         tokenizer, table = shared.value
         encoder = Encoder(tokenizer, table)
-        most = max(tokenizer.pieces) + 1
-        pieces = [tokenizer.pieces.get(i) for i in range(most)]
+        pieces = tokenizer.pieces
         for batch in batches:
             for part in textscan.slices(batch, "text", SPLIT_BYTES):
                 texts = [x or "" for x in part.column(part.schema.get_field_index("text")).to_pylist()]
