@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, htmltext, ngramjoin, quality, sharding, toxicity, warc
+from . import bpe, decontaminate, embeddup, htmltext, ngramjoin, pitmanyor, quality, sharding, toxicity, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -107,3 +107,26 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op9_bpe"] = op9_bpe
+
+
+def op5_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pitmanyor.score(table(spark, sf_dir, "documents"), held_out=_remainder(5) == 1)
+    return found.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+QUERIES["op5_pitman_yor"] = op5_pitman_yor
+
+
+def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddup.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
+QUERIES["op8_embeddings"] = op8_embeddings
+ORACLE_SQL["op8_embeddings"] = """
+WITH RECURSIVE v AS MATERIALIZED (SELECT vec_id, embedding::DOUBLE[] e FROM embeddings),
+sound AS MATERIALIZED (SELECT vec_id, e, sqrt(list_inner_product(e, e)) n FROM v WHERE e IS NOT NULL AND len([x FOR x IN e IF x IS NULL OR isnan(x) OR isinf(x)]) = 0 AND len([x FOR x IN e IF x <> 0]) > 0),
+links AS MATERIALIZED (SELECT x.vec_id a, y.vec_id b FROM sound x JOIN sound y ON x.vec_id <> y.vec_id AND len(x.e) = len(y.e) WHERE list_inner_product(x.e, y.e) / (x.n * y.n) >= 0.95),
+reach AS (SELECT vec_id node, vec_id r FROM v UNION SELECT l.b, reach.r FROM reach JOIN links l ON l.a = reach.node)
+SELECT v.vec_id, coalesce(k.n, 0)::BIGINT n_links, c.c component_id, c.c = v.vec_id kept
+FROM v LEFT JOIN (SELECT a, count(*) n FROM links GROUP BY 1) k ON k.a = v.vec_id JOIN (SELECT node, min(r) c FROM reach GROUP BY 1) c ON c.node = v.vec_id
+"""
