@@ -25,6 +25,19 @@ def in_margin(box: Column, header: float = 0.15, footer: float = 0.85) -> Column
     return F.coalesce((F.size(box) == 4) & ((box[1] <= header) | (box[3] >= footer)), F.lit(False))
 
 
+def is_scanned(page_text: Column, n_images: Column, least: int = 20) -> Column:
+    """Whether a page is a scan: hardly any text, and pictures."""
+    from .text import strip
+
+    return F.coalesce((F.length(strip(F.coalesce(page_text, F.lit("")))) < least) & (n_images > 0), F.lit(False))
+
+
+def frame_rate(ratio: Column) -> Column:
+    """Frames a second of a ratio like 30000/1001, two decimals; a denominator of 0 counts as 1."""
+    parts = F.split(ratio, "/")
+    return F.when(F.size(parts) == 2, F.round(parts[0].try_cast("double") / F.greatest(parts[1].try_cast("double"), F.lit(1.0)), 2))
+
+
 def badge(location: Column) -> Column:
     """A location in a few words: lines, else page and box, else selector, else time."""
     loc = lambda k: location.getField(k)

@@ -111,3 +111,12 @@ def mask_key(c: Column) -> Column:
 def preview(c: Column, n: int = 80) -> Column:
     """The first characters, on one line."""
     return F.regexp_replace(F.substring(c, 1, n), "\n", " ")
+
+
+def settings(c: Column) -> Column:
+    """The ``KEY=VALUE`` lines of a text as a map: comments go, quotes around a value too, and the first of equal keys counts."""
+    held = F.filter(F.transform(lines(c), strip), lambda x: ~x.startswith("#") & x.contains("="))
+    pairs = F.transform(held, lambda x: F.struct(strip(F.substring_index(x, "=", 1)).alias("k"), strip(F.regexp_replace(x, "^[^=]*=", "")).alias("v")))
+    bare = F.transform(pairs, lambda p: F.struct(p["k"].alias("k"), F.regexp_replace(p["v"], "^(?s)([\"'])(.*)\\1$", "$2").alias("v")))
+    first = F.filter(bare, lambda p, i: ~F.array_contains(F.transform(F.slice(bare, 1, i), lambda q: q["k"]), p["k"]))
+    return F.map_from_entries(first)

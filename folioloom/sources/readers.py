@@ -19,7 +19,7 @@ from ..schema import ELEMENTS, LOCATION_FIELDS, element_id, location
 from . import media, office, parse, routing
 
 # Folders that are never read, and the endings of archives.
-EXCLUDED = (".git", "__pycache__", ".venv", "venv", "node_modules", ".idea", ".vscode", "dist", "build")
+EXCLUDED = (".git", "__pycache__", ".venv", ".uv-cache", ".idea", ".vscode", ".ds_store")
 ARCHIVES = (".zip", ".tar", ".tar.gz", ".tgz", ".gz")
 
 _TEXT: dict[str, Callable[[str], Iterator[dict]]] = {"txt": parse.parse_text, "csv": parse.parse_csv, "json": parse.parse_json, "html": parse.parse_html, "markdown": parse.parse_markdown}
@@ -120,9 +120,9 @@ def excluded(path: Column, names: tuple[str, ...] = EXCLUDED) -> Column:
     return F.arrays_overlap(F.split(F.lower(path), r"[/\\]"), F.array(*map(F.lit, names)))
 
 
-def files(spark: SparkSession, path: str) -> DataFrame:
+def files(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
     """(path, name, kind, content) of a file or folder: supported formats outside excluded folders."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path)
     inside = F.regexp_replace(F.col("path"), "^[a-z]+:/*", "/")
     kept = found.where(routing.file_format(F.col("path")).isNotNull() & ~excluded(F.substring(inside, F.length(F.lit(path.rstrip("/"))) + 1, 1 << 20)))
     return kept.select("path", F.regexp_extract("path", r"([^/]*)$", 1).alias("name"), routing.file_format(F.col("path")).alias("kind"), "content")

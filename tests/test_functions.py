@@ -92,3 +92,9 @@ def test_places(spark):
     corners = [[[10.0, 10.0], [120.0, 10.0], [120.0, 30.0], [10.0, -5.0]]]
     assert one(spark, corners, lambda c: places.corners_box(c, F.lit(100), F.lit(100)), "array<array<double>>") == [[0.1, 0.0, 1.0, 0.3]]
     assert one(spark, [[0.0, 0.1, 1.0, 0.2], [0.0, 0.5, 1.0, 0.6], [0.1], None], places.in_margin, "array<double>") == [True, False, False, False]
+
+
+def test_small_rules(spark):
+    assert one(spark, ["# c\n A = 'x y' \nB=1=2\n\nno\nA=later\nC=\"q\""], text.settings) == [{"A": "x y", "B": "1=2", "C": "q"}]
+    assert one(spark, ["30000/1001", "25/0", "x"], places.frame_rate) == [29.97, 25.0, None]
+    assert one(spark, [" few words ", "x" * 30, None], lambda c: places.is_scanned(c, F.lit(2))) == [True, False, True]
