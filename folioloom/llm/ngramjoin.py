@@ -195,7 +195,7 @@ def _frequent(texts: DataFrame, n: int, low: int, scratch: Scratch) -> Frequent:
                 keep[sets.distinct()] = True
                 held.append(sets.tokens[np.repeat(keep, sets.sizes)])
                 size += len(held[-1])
-                if size > 4_000_000:
+                if size > 2_000_000:
                     yield flush()
                     size = 0
         if held:
