@@ -8,7 +8,9 @@ weight wins.  Then each page's text is taken from the containers on its host's
 winning path, or from its own best one where none is on it.
 
 Menus, headers, footers, side bars, notices, adverts, forms and comments are
-left out by tag, role and the words of class and id.
+left out by tag, role and the words of class and id; headings in an article's
+own header stay.  Where that leaves a page without text, its classes and ids are
+not heeded.
 
 The winners are a row per host; up to ``HOSTS`` of them go to every task, beyond
 that they are joined to the pages by host.
@@ -67,7 +69,11 @@ _TAG = re.compile(
 )
 _ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _SPACE = re.compile(r"\s+")
-_WORD = re.compile(r"[a-z]+")
+_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+#: Beginnings and ends of longer words that mean the same.
+_LEFT_OUT_PART = re.compile(r"(?:advert|breadcrumb|comment|cookie|footer|masthead|navbar|newsletter|sidebar|sponsor)|(?:ads|banner|comments|footer|menu|navbar|navigation|sidebar)\Z")
+#: Classes that say of a page what stands beside its text.
+_LAYOUT = re.compile(r"(?:has|is|no|show|with|without)[-_]")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 
@@ -79,7 +85,7 @@ def _attributes(text: str) -> dict[str, str]:
     return out
 
 
-def _left_out(tag: str, attributes: dict[str, str], in_article: bool) -> bool:
+def _left_out(tag: str, attributes: dict[str, str], in_article: bool, by_name: bool) -> bool:
     if tag in LEFT_OUT_TAGS or tag == "header" and not in_article:
         return True
     if not attributes or tag in ("html", "body"):
@@ -88,9 +94,15 @@ def _left_out(tag: str, attributes: dict[str, str], in_article: bool) -> bool:
         return True
     if "style" in attributes and _HIDDEN.search(attributes["style"].lower()):
         return True
-    if tag in ("article", "main"):
+    if not by_name or tag in ("article", "main") or re.fullmatch("h[1-6]", tag):
         return False
-    return any(not LEFT_OUT_WORDS.isdisjoint(_WORD.findall(attributes[k].lower())) for k in ("class", "id") if k in attributes)
+    for name in " ".join(attributes[k] for k in ("class", "id") if k in attributes).split():
+        if _LAYOUT.match(name.lower()):
+            continue
+        for word in map(str.lower, _WORD.findall(name)):
+            if (word in LEFT_OUT_WORDS or _LEFT_OUT_PART.match(word) or _LEFT_OUT_PART.search(word)) and not (in_article and word == "header"):
+                return True
+    return False
 
 
 def _step(tag: str, attributes: dict[str, str]) -> str:
@@ -101,7 +113,8 @@ def _step(tag: str, attributes: dict[str, str]) -> str:
 class Page:
     """The blocks of a page, each with its container, and the containers with their paths."""
 
-    def __init__(self, html: str) -> None:
+    def __init__(self, html: str, by_name: bool = True) -> None:
+        self.html, self.by_name = html, by_name
         #: Of each container: path, container around it, tag.
         self.paths: list[str] = [""]
         self.around: list[int] = [-1]
@@ -181,7 +194,7 @@ class Page:
             if tag in RAW:
                 end = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(html, at)
                 at = end.start() if end else n
-            now_out = out or _left_out(tag, attributes, article)
+            now_out = out or _left_out(tag, attributes, article, self.by_name)
             now_path = f"{path}>{_step(tag, attributes)}" if tag in CONTAINERS else path
             now = container
             if tag in CONTAINERS and not now_out:
@@ -216,7 +229,11 @@ class Page:
         for k in range(1, len(inside)):
             inside[k] = inside[k] or inside[self.around[k]]
         found = "\n\n".join(t for t, _, c in self.blocks if inside[c])
-        return found if found or not path else self.text(None)
+        if found:
+            return found
+        if path:
+            return self.text(None)
+        return Page(self.html, False).text(None) if self.by_name else ""
 
 
 def _host():
