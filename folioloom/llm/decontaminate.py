@@ -12,7 +12,7 @@ shortest window is complete is left out of the array.  Suffixes are ordered to
 a depth of ``window`` words; what lies deeper decides nothing.
 
 The corpus is read once and never shuffled.  The benchmark is a stated query
-set: it is taken to the executors in blocks of at most ``BLOCK_MB`` of text, and
+set: it is taken to the executors in blocks of about ``BLOCK_BYTES`` of text, and
 each shard is searched for each block.
 
 Defined cases: a null or empty text has no words and is clean; an item without
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from . import textscan
 
 WINDOW = 10
-BLOCK_MB = 32
+BLOCK_BYTES = 32 << 20
 
 ANNOTATED = "doc_id {id}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 MATCHES = "doc_id {id}, item_id string, doc_word long, item_word long, n_words long"
@@ -71,12 +71,12 @@ def make_block(ids: list, texts: list[str | None], window: int = WINDOW) -> Bloc
     return Block(vocabulary, windows, owner, ["null" if x is None else str(x) for x in ids])
 
 
-def blocks(benchmark: DataFrame, window: int = WINDOW, block_mb: int = BLOCK_MB) -> list:
+def blocks(benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> list:
     """The benchmark as broadcast blocks of a checked size; the driver holds one at a time."""
     spark = benchmark.sparkSession
     items = benchmark.select(F.col("item_id").alias("i"), F.col("text").cast("string").alias("t"))
     size = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0)).alias("n")).first().n
-    n = -(-size // (block_mb << 20)) or 1
+    n = -(-size // block_bytes) or 1
     out = []
     for k in range(n):
         part = items if n == 1 else items.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k)
@@ -173,9 +173,9 @@ def _texts(part: pa.RecordBatch, column: str) -> pa.Array:
     return part.column(part.schema.get_field_index(column))
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_mb: int = BLOCK_MB) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Per document: its words, those inside an occurrence of a window, and the items whose windows occur."""
-    parts = blocks(benchmark, window, block_mb)
+    parts = blocks(benchmark, window, block_bytes)
     kind = docs.select("doc_id").schema[0].dataType.simpleString()
 
     def run(batches):
@@ -199,9 +199,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, ANNOTATED.format(id=kind))
 
 
-def longest_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_mb: int = BLOCK_MB) -> DataFrame:
+def longest_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Longest verbatim matches of at least a window: where they begin in text and item, and how many words they have."""
-    parts = blocks(benchmark, window, block_mb)
+    parts = blocks(benchmark, window, block_bytes)
     kind = docs.select("doc_id").schema[0].dataType.simpleString()
 
     def run(batches):
@@ -230,9 +230,9 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, MATCHES.format(id=kind))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_mb: int = BLOCK_MB) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents, all columns unchanged, in which no window of the benchmark occurs."""
-    parts = blocks(benchmark, window, block_mb)
+    parts = blocks(benchmark, window, block_bytes)
 
     def run(batches):
         for batch in batches:
