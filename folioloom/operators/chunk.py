@@ -136,12 +136,16 @@ def parent_child(df: DataFrame, parent: int = PARENT, child: int = CHILD, overla
     return numbered.select(*COLUMNS), parents
 
 
+def _strategy(over=None) -> Column:
+    headings, length = F.count_if(F.col("type") == "heading"), F.sum(F.length(F.coalesce("content", F.lit(""))))
+    if over is not None:
+        headings, length = headings.over(over), length.over(over)
+    return F.when(headings >= 2, "header_aware").when(length >= LONG_DOCUMENT, "parent_child").otherwise("sliding_window")
+
+
 def route(df: DataFrame) -> DataFrame:
     """(doc_id, strategy): by headings for two or more of them, else parent and child for long documents, else windows."""
-    headings = F.count_if(F.col("type") == "heading")
-    length = F.sum(F.length(F.coalesce("content", F.lit(""))))
-    strategy = F.when(headings >= 2, "header_aware").when(length >= LONG_DOCUMENT, "parent_child").otherwise("sliding_window")
-    return df.groupBy("doc_id").agg(strategy.alias("strategy"))
+    return df.groupBy("doc_id").agg(_strategy().alias("strategy"))
 
 
 def chunk(df: DataFrame, strategy: str = "auto", **options) -> tuple[DataFrame, DataFrame]:
@@ -156,8 +160,9 @@ def chunk(df: DataFrame, strategy: str = "auto", **options) -> tuple[DataFrame,
         return parent_child(df, **options)
     if strategy != "auto":
         return sliding_window(df, **options), none
-    routed = df.join(route(df), "doc_id")
-    of = lambda s: routed.where(F.col("strategy") == s).drop("strategy")
+    # As a window the strategy needs no join: all branches read one exchange by document.
+    routed = df.withColumn("_strategy", _strategy(Window.partitionBy("doc_id")))
+    of = lambda s: routed.where(F.col("_strategy") == s).drop("_strategy")
     children, parents = parent_child(of("parent_child"))
     return header_aware(of("header_aware")).unionByName(children).unionByName(sliding_window(of("sliding_window"))), parents
 

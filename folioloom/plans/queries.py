@@ -53,7 +53,8 @@ def rows_of(df: DataFrame, doc_id, idx, kind, content, level=None, loc=None, nam
 
 
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return readers.text_elements(table(spark, sf_dir, "documents"))
+    """Lines of documents.  Texts are dealt out by document once; whatever works by document then needs no exchange more."""
+    return readers.text_elements(table(spark, sf_dir, "documents").select("doc_id", "text").repartition("doc_id"))
 
 
 #: Lines of documents as the text reader gives them.
@@ -86,7 +87,8 @@ paths AS MATERIALIZED (SELECT *, CASE WHEN h1 IS NULL AND h2 IS NULL THEN NULL E
 
 @query(f"WITH {LINES} SELECT doc_id, element_idx::INT element_idx, 'paragraph' AS type, content, raw_content, (element_idx + 1)::INT start_line FROM lines")
 def text_elements(spark, sf_dir):
-    return document_lines(spark, sf_dir).select("doc_id", "element_idx", "type", "content", "raw_content", "location.start_line")
+    found = readers.text_elements(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "element_idx", "type", "content", "raw_content", "location.start_line")
 
 
 _FORMAT_SQL = " ".join(f"WHEN {', '.join(repr('.' + e) for e in es.split())} THEN '{f}'" if " " not in es else " ".join(f"WHEN '.{e}' THEN '{f}'" for e in es.split()) for f, es in routing.EXTENSIONS.items())
