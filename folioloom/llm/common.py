@@ -93,7 +93,7 @@ def _contract(batches):
             if x != y:
                 up[max(x, y)] = min(x, y)
                 up.setdefault(min(x, y), min(x, y))
-        if len(up) > 1_000_000:
+        if len(up) > 200_000:
             yield stars()
     yield stars()
 
