@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textscan
-from .common import Scratch, components
+from .common import Scratch, components, most_frequent
 
 #: Tokens in the table of frequent ones: at most 16 bytes each for every task.
 FREQUENT = 1 << 20
@@ -219,14 +219,7 @@ def _frequent(texts: DataFrame, n: int, low: int, scratch: Scratch) -> Frequent:
     packed = texts.mapInArrow(count, "bucket long, tokens binary, counts binary")
     counted = scratch.keep(packed.groupBy("bucket").applyInArrow(add, "bucket long, repeated binary, token array<long>, df array<long>"))
     rows = counted.select(F.explode(F.arrays_zip("token", "df")).alias("x")).select("x.token", "x.df")
-    # The least df at which the table stays within its bound; the histogram has at most sqrt(2 * tokens) rows.
-    total, least = 0, 1 << 62
-    for row in rows.groupBy("df").count().orderBy(F.desc("df")).toLocalIterator():
-        total += row["count"]
-        if total > FREQUENT:
-            break
-        least = row.df
-    rows = rows.where(F.col("df") >= least).toArrow()
+    rows = most_frequent(rows, FREQUENT, "df")[0].toArrow()
     bitmap, step = np.zeros(1 << (REPEATED_BITS - 3), np.uint8), 1 << (REPEATED_BITS - low - 3)
     for row in counted.select("bucket", "repeated").toLocalIterator():  # 16 MB in all
         bitmap[row.bucket * step : (row.bucket + 1) * step] = np.frombuffer(row.repeated, np.uint8)
@@ -349,8 +342,8 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, scratch:
     placed = grouped.select("g", "s", "n").join(roots.withColumnRenamed("node", "s"), "s", "left").withColumn("root", F.coalesce("root", "s"))
     open_ = placed.groupBy("g").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("c")).where("lo <> hi and c > 2").select("g")
     placed = placed.join(open_, "g", "left_semi")
-    x, y = placed.toDF("s1", "g", "n1", "r1"), placed.toDF("s2", "g", "n2", "r2")
-    cross = x.join(y, "g").where(f"s1 < s2 and r1 <> r2 and least(n1, n2) * 100 >= greatest(n1, n2) * {percent}").select(F.col("s1").alias("a"), F.col("s2").alias("b")).distinct()
+    x, y = (placed.select("g", *(F.col(c).alias(f"{c}{k}") for c in ("s", "n", "root"))) for k in (1, 2))
+    cross = x.join(y, "g").where(f"s1 < s2 and root1 <> root2 and least(n1, n2) * 100 >= greatest(n1, n2) * {percent}").select(F.col("s1").alias("a"), F.col("s2").alias("b")).distinct()
     more = _verified(cross.join(pairs, ["a", "b"], "left_anti"), sets, percent)
     links = links.union(more)
 

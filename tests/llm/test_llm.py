@@ -156,11 +156,12 @@ def near_texts():
     return out
 
 
-@pytest.mark.parametrize(("n", "percent", "frequent", "split"), [(3, 90, 1 << 20, 20000), (5, 80, 1 << 20, 20000), (2, 50, 4, 2), (3, 90, 0, 20000)])
+@pytest.mark.parametrize(("n", "percent", "frequent", "split"), [(3, 90, 1 << 20, 20000), (5, 80, 1 << 20, 20000), (2, 50, 4, 2), (2, 50, 1 << 20, 20000), (3, 90, 0, 20000)])
 def test_jaccard(spark, monkeypatch, n, percent, frequent, split):
     monkeypatch.setattr(ngramjoin, "FREQUENT", frequent)
     monkeypatch.setattr(ngramjoin, "LEAST_DF", 2)
     monkeypatch.setattr(ngramjoin, "SPLIT_DF", split)
+    rng.seed(5)  # texts in which pivots alone miss links
     texts = near_texts()
     ids = [1000 - 3 * k for k in range(len(texts))]
     ids[6] = None
