@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textscan
+from .common import Scratch, most_frequent
 
 TABLE_WORDS = 1 << 17
 LOCAL_WORDS = 400_000
@@ -271,8 +272,11 @@ def word_table(docs: DataFrame, tokenizer: Tokenizer, words: int = TABLE_WORDS)
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([flat[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=["h", "ids"])
 
     found = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(split, "word string, h long, n long")
-    top = found.groupBy("word", "h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(words).select("word", "h")
-    t = top.mapInArrow(encode, "h long, ids binary").toArrow()  # of bounded size
+    scratch = Scratch(docs.sparkSession)
+    counted = scratch.keep(found.groupBy("word", "h").agg(F.sum("n").alias("n")))
+    top, _ = most_frequent(counted, words)
+    t = top.select("word", "h").mapInArrow(encode, "h long, ids binary").toArrow()  # of bounded size
+    scratch.drop(counted)
     ids = t.column(1).to_pylist()
     return t.column(0).to_numpy().view(np.uint64), np.frombuffer(b"".join(ids), np.int32), np.fromiter((len(x) // 4 for x in ids), np.int64, len(ids))
 

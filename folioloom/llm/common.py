@@ -66,6 +66,28 @@ class Scratch:
                 _delete(self.spark, path)
 
 
+def most_frequent(counted: DataFrame, most: int, column: str = "n") -> tuple[DataFrame, int]:
+    """(rows, least): the rows of the highest counts, whole counts at a time and at most ``most`` rows; the least count among them.
+
+    The least count comes from a histogram of counts, so no task sorts or holds the rows.
+    """
+    total, least = 0, (1 << 63) - 1
+    for row in counted.groupBy(column).agg(F.count("*").alias("_rows")).orderBy(F.desc(column)).toLocalIterator():
+        total += row["_rows"]
+        if total > most:
+            break
+        least = row[column]
+    return counted.where(F.col(column) >= least), least
+
+
+def hash_sample(rows: DataFrame, most: int, column: str) -> DataFrame:
+    """All rows, or of more than ``most`` a share by a hash of the column that keeps about 95 % of ``most``."""
+    n = rows.count()
+    if n <= most:
+        return rows
+    return rows.where(F.pmod(F.xxhash64(column), F.lit(1 << 30)) < int((1 << 30) * 0.95 * most / n))
+
+
 def _contract(batches):
     """Local union-find: each batch run's edges become stars around the smallest node of each piece."""
     import numpy as np

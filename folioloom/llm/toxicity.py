@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import ngramjoin, textscan
-from .common import Scratch
+from .common import Scratch, hash_sample
 
 LABELLED_ROWS = 100_000
 PRIOR = 0.05
@@ -148,7 +148,7 @@ def _held(docs: DataFrame, labels: DataFrame, usable: Column | None, rows: int):
     known = labels.where("doc_id is not null and toxic in (0, 1)")
     known = known.where(usable) if usable is not None else known
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("long").alias("y"))
-    t = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).toArrow()
+    t = hash_sample(known, rows, "doc_id").toArrow()
     ids, y = t.column(0).to_numpy(), t.column(1).to_numpy()
     order = np.argsort(ids)
     return ids[order], y[order]
