@@ -25,6 +25,20 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+_BATCH_DEFAULT, _BATCH_BYTES = "67108864b", "4m"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Texts go to Python in batches of 4 MB, unless the session says otherwise than Spark's default of 64 MB.
+
+    A batch exists several times over, in the JVM and in its Python worker, and
+    the operators cut it into slices anyway.
+    """
+    if spark.conf.get(_BATCH, _BATCH_DEFAULT) == _BATCH_DEFAULT:
+        spark.conf.set(_BATCH, _BATCH_BYTES)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm
@@ -50,6 +64,7 @@ class Scratch:
     def __init__(self, spark: SparkSession) -> None:
         self.spark, self.at = spark, f"{shared_dir(spark)}/folioloom/{uuid.uuid4().hex}"
         self.n = 0
+        small_batches(spark)
         _made.append((spark, self.at))
 
     def keep(self, df: DataFrame) -> DataFrame:

@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textscan
+from .common import small_batches
 
 WINDOW = 10
 BLOCK_BYTES = 32 << 20
@@ -74,6 +75,7 @@ def make_block(ids: list, texts: list[str | None], window: int = WINDOW) -> Bloc
 def blocks(benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> list:
     """The benchmark as broadcast blocks of a checked size; the driver holds one at a time."""
     spark = benchmark.sparkSession
+    small_batches(spark)
     items = benchmark.select(F.col("item_id").alias("i"), F.col("text").cast("string").alias("t"))
     size = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0)).alias("n")).first().n
     n = -(-size // block_bytes) or 1
