@@ -628,7 +628,7 @@ def jobs_violations(spark, sf_dir):
 
 @query(r"""
 SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'L' || o_orderkey || CASE WHEN o_orderkey % 8 = 0 THEN '-L' || (o_orderkey + 2) ELSE '' END WHEN 1 THEN '第 ' || (o_orderkey % 9) || ' 页 · bbox[0.1, 0.25, 0.5, 1]' WHEN 2 THEN 'body > p[' || o_orderkey || ']' ELSE (o_orderkey % 50) || '.5s ~ ' || (o_orderkey % 50 + 1) || '.0s' END AS badge,
- round(0.1234, 4) AS x0, o_orderkey % 2 = 0 AS in_margin FROM orders
+ 0.1234::DOUBLE AS x0, o_orderkey % 2 = 0 AS in_margin FROM orders
 """)
 def location_badges(spark, sf_dir):
     t, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
