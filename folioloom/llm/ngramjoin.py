@@ -15,6 +15,8 @@ tokens share one.  So:
    independent of order 1; only then are the whole sets compared.
 5. Entities of one token that are still in different components are compared
    with each other; those already connected need no comparison for the result.
+   A pair is made only if its sketches allow it: bits that differ between the
+   parities of two sets' tokens are no more than the tokens in which they differ.
 
 Any consistent order is exact, so the bounded table of frequent tokens affects
 cost alone.  Texts are read in each of four narrow passes and never shuffled.
@@ -46,6 +48,9 @@ BUCKET_BYTES = 16 << 20
 #: Spots, as a power of two, of the bitmap of tokens that two documents have: 16 MB.
 REPEATED_BITS = 27
 
+#: Bits of a set's sketch, in longs of 64.
+SKETCH_LONGS = 8
+
 COUNTED = pa.schema([("bucket", pa.int64()), ("repeated", pa.binary()), ("token", pa.list_(pa.int64())), ("df", pa.list_(pa.int64()))])
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -227,6 +232,18 @@ def _frequent(texts: DataFrame, n: int, low: int, scratch: Scratch) -> Frequent:
     return Frequent(bitmap, rows.column("token").to_numpy().astype(np.uint64), rows.column("df").to_numpy(), bits)
 
 
+def _sketch(tokens: np.ndarray) -> bytes:
+    """Parities of the numbers of tokens by the hash's first bits."""
+    odd = np.bincount((tokens >> np.uint64(55)).astype(np.int64), minlength=64 * SKETCH_LONGS) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def _may_link(percent: int):
+    """Whether the sketches of two entities allow a link: tokens on one side only are at most (1 - t) / (1 + t) of both sides' sum."""
+    differ = sum((F.bit_count(F.col(f"q{k}1").bitwiseXOR(F.col(f"q{k}2"))) for k in range(SKETCH_LONGS)), F.lit(0))
+    return differ * (100 + percent) <= (F.col("n1") + F.col("n2")) * (100 - percent)
+
+
 def _bloom(names: DataFrame, bits: int = 1 << 26) -> np.ndarray:
     """A bitmap of at most 8 MB in which the names' bits are set."""
     spots = names.select(F.explode(F.array(F.pmod("s", F.lit(bits)), F.pmod(F.shiftright("s", 32), F.lit(bits)))).alias("b"))
@@ -305,6 +322,7 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, scratch:
     grouped = scratch.keep(dealt.groupBy("bucket").applyInArrow(groups, "g long, s long, n long, p long"))
     candidates = grouped.select("s").distinct()
     bloom = spark.sparkContext.broadcast(_bloom(candidates))
+    sketch = [f"q{k}" for k in range(SKETCH_LONGS)]
 
     def whole_sets(batches):
         for batch in batches:
@@ -323,13 +341,14 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, scratch:
                         pa.array([x.tobytes() for _, x in rows.values()], pa.binary()),
                         pa.array([_prefix(x, 1, percent).tobytes() for _, x in rows.values()], pa.binary()),
                         pa.array([_prefix(x, 2, percent).tobytes() for _, x in rows.values()], pa.binary()),
+                        *(pa.array(q) for q in np.array([np.frombuffer(_sketch(x), np.int64) for _, x in rows.values()], np.int64).reshape(-1, SKETCH_LONGS).T),
                     ],
-                    names=["s", "doc", "tokens", "p2", "p3"],
+                    names=["s", "doc", "tokens", "p2", "p3", *sketch],
                 )
 
-    passed = texts.mapInArrow(whole_sets, "s long, doc long, tokens binary, p2 binary, p3 binary")
+    passed = texts.mapInArrow(whole_sets, "s long, doc long, tokens binary, p2 binary, p3 binary, " + ", ".join(f"{q} long" for q in sketch))
     passed = passed.join(candidates, "s", "left_semi")
-    sets = scratch.keep(passed.groupBy("s").agg(F.min("doc").alias("doc"), F.any_value("tokens").alias("tokens"), F.any_value("p2").alias("p2"), F.any_value("p3").alias("p3")))
+    sets = scratch.keep(passed.groupBy("s").agg(F.min("doc").alias("doc"), *(F.any_value(c).alias(c) for c in ("tokens", "p2", "p3", *sketch))))
 
     pairs = grouped.where("s <> p").select(F.least("s", "p").alias("a"), F.greatest("s", "p").alias("b"))
     if frequent.value.parts:  # the parts' pivots of one token are tied by a pivot of their own
@@ -341,9 +360,10 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, scratch:
     roots = components(links.select("a", "b"), scratch)
     placed = grouped.select("g", "s", "n").join(roots.withColumnRenamed("node", "s"), "s", "left").withColumn("root", F.coalesce("root", "s"))
     open_ = placed.groupBy("g").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("c")).where("lo <> hi and c > 2").select("g")
-    placed = placed.join(open_, "g", "left_semi")
-    x, y = (placed.select("g", *(F.col(c).alias(f"{c}{k}") for c in ("s", "n", "root"))) for k in (1, 2))
-    cross = x.join(y, "g").where(f"s1 < s2 and root1 <> root2 and least(n1, n2) * 100 >= greatest(n1, n2) * {percent}").select(F.col("s1").alias("a"), F.col("s2").alias("b")).distinct()
+    placed = placed.join(open_, "g", "left_semi").join(sets.select("s", *sketch), "s")
+    x, y = (placed.select(F.col("g").alias(f"g{k}"), *(F.col(c).alias(f"{c}{k}") for c in ("s", "n", "root", *sketch))) for k in (1, 2))
+    met = F.expr(f"g1 = g2 and s1 < s2 and root1 <> root2 and least(n1, n2) * 100 >= greatest(n1, n2) * {percent}") & _may_link(percent)
+    cross = x.join(y, met).select(F.col("s1").alias("a"), F.col("s2").alias("b")).distinct()
     more = _verified(cross.join(pairs, ["a", "b"], "left_anti"), sets, percent)
     links = links.union(more)
 
