@@ -296,7 +296,10 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, scratch:
         order = np.argsort(tokens)
         tokens = tokens[order]
         same = tokens[1:] == tokens[:-1]
-        several = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+        parts = frequent.value.parts
+        hot = np.array(list(parts), np.uint64)
+        # An entity that is alone in its part may link with those of the token's other parts.
+        several = np.concatenate([[False], same]) | np.concatenate([same, [False]]) | np.isin(tokens, hot)
         order, tokens = order[several], tokens[several]
         names, sizes = names[order], sizes[order]
         order = np.lexsort([names, sizes, tokens])
@@ -307,10 +310,9 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, scratch:
         count = np.diff(np.append(first, len(tokens)))
         # The pivot is of middle size, so that most others can link with it.
         pivot = np.repeat(names[first + count // 2], count) if len(first) else names
-        parts = frequent.value.parts
         keep = np.repeat(count, count) > 1
         if parts:
-            split = np.isin(tokens, np.array(list(parts), np.uint64))
+            split = np.isin(tokens, hot)
             keep |= split
         tokens, names, sizes, pivot = tokens[keep], names[keep], sizes[keep], pivot[keep]
         whole = tokens.view(np.int64)

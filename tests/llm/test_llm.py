@@ -169,6 +169,17 @@ def test_jaccard(spark, monkeypatch, n, percent, frequent, split):
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == plain_components(texts, ids, n, percent)
 
 
+def test_jaccard_of_hot_tokens_only(spark):
+    # Workers import the module anew, so SPLIT_DF stays as it is: six passages of 20,100 documents stand alone too, in two variants.
+    passages = [" ".join(f"p{k}w{j}" for j in range(12)) for k in range(6)]
+    alone = spark.createDataFrame([(2 * k + e, p + " more" * e) for k, p in enumerate(passages) for e in range(2)], "doc_id long, text string")
+    own = [F.concat(F.lit(f"d{j}_"), "id") for j in range(12)]
+    others = spark.range(100, ngramjoin.SPLIT_DF + 200, 1, 4).select(F.col("id").alias("doc_id"), F.concat_ws(" ", *own, F.lit(" ".join(passages))).alias("text"))
+    got = ngramjoin.jaccard_components(alone.union(others), 3, 90)
+    assert {r.doc_id: r.component_id for r in got.where("doc_id < 100").collect()} == {k: k - k % 2 for k in range(12)}
+    assert got.where("doc_id >= 100 and component_id <> doc_id").count() == 0
+
+
 def test_jaccard_chains_and_keeps(spark):
     words = [f"w{k}" for k in range(200)]
     texts = [" ".join(words[:k] + [f"v{j}" for j in range(k, 200)]) for k in range(200, 150, -2)]  # neighbours link, ends don't
