@@ -268,6 +268,25 @@ def test_quality_rejects_junk_and_keeps_clean(spark):
     assert {r.doc_id for r in quality.accept(other, labels).collect()} == ids
 
 
+def test_quality_limits_with_copies_and_much_junk(spark):
+    made = random.Random(3)
+    clean = lambda n=40: " ".join(made.choice(WORDS) for _ in range(n))
+    junk = lambda: "".join(made.choice("#@*&^%$") for _ in range(200))
+    near = clean(200).split()
+    rows = [("exact", clean(), True) for _ in range(60)] + [("exact", "the of " * 20, True)] * 140
+    rows += [("near", clean(), True) for _ in range(60)]
+    for _ in range(140):
+        near[made.randrange(200)] = made.choice(WORDS)
+        rows.append(("near", " ".join(near), True))
+    rows += [("junk", clean(), True) for _ in range(120)] + [("junk", junk(), False) for _ in range(80)]
+    rows += [(f"single{k}", clean(), True) for k in range(20)]
+    docs = spark.createDataFrame([(k, t, lang) for k, (lang, t, _) in enumerate(rows)], "doc_id long, text string, lang string").repartition(3)
+    labels = spark.createDataFrame([(k, 1, 0) for k, r in enumerate(rows) if r[2] and k % 2 == 0], "doc_id long, quality int, toxic int")
+    wrong = [(rows[r.doc_id][0], r.doc_id) for r in quality.judge(docs, labels).collect() if r.accepted != rows[r.doc_id][2]]
+    assert wrong == []
+    assert {r.doc_id for r in quality.accept(docs, labels).collect()} == {k for k, r in enumerate(rows) if r[2]}
+
+
 # ---- 5 --------------------------------------------------------------------------------------------------------------
 
 
