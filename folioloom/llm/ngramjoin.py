@@ -369,9 +369,14 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, scratch:
     more = _verified(cross.join(pairs, ["a", "b"], "left_anti"), sets, percent)
     links = links.union(more)
 
-    roots = components(links.select("da", "db"), scratch)
     least = named.where("s is not null").groupBy("s").agg(F.min("doc_id").alias("rep"))
-    least = least.join(roots, F.col("rep") == F.col("node"), "left").select("s", F.coalesce("root", "rep").alias("least"))
+    if sets.where("doc is null").isEmpty():
+        roots = components(links.select("da", "db"), scratch)
+        least = least.join(roots, F.col("rep") == F.col("node"), "left").select("s", F.coalesce("root", "rep").alias("least"))
+    else:  # links run through entities without an id: components of names, and the least id of each
+        roots = components(links.select("a", "b"), scratch)
+        least = least.join(roots, F.col("s") == F.col("node"), "left").select("s", "rep", F.coalesce("root", "s").alias("root"))
+        least = least.join(least.groupBy("root").agg(F.min("rep").alias("least")), "root").select("s", "least")
     return named.join(least, "s", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
 
 

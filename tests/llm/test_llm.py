@@ -180,6 +180,15 @@ def test_jaccard_of_hot_tokens_only(spark):
     assert got.where("doc_id >= 100 and component_id <> doc_id").count() == 0
 
 
+def test_jaccard_links_through_rows_without_id(spark):
+    words = [f"w{k}" for k in range(100)]
+    texts = [" ".join(words[:k] + [f"v{j}" for j in range(k, 100)]) for k in (100, 97, 94, 91)] + ["some other text", "yet another one"]
+    ids = [5, None, 3, None, None, 8]  # neighbours link, others don't
+    got = ngramjoin.jaccard_components(frame(spark, texts, ids), 3, 90).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == plain_components(texts, ids, 3, 90)
+    assert sorted(str(r.component_id) for r in got) == ["3", "3", "3", "3", "8", "None"]
+
+
 def test_jaccard_chains_and_keeps(spark):
     words = [f"w{k}" for k in range(200)]
     texts = [" ".join(words[:k] + [f"v{j}" for j in range(k, 200)]) for k in range(200, 150, -2)]  # neighbours link, ends don't
