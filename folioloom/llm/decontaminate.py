@@ -1,90 +1,97 @@
 """Benchmark decontamination by suffix arrays.
 
 Each shard of the corpus, a slice of a few MB of whole texts, gets a suffix
-array over its words.  Every suffix of every benchmark item is binary-searched
-in it, one word of depth at a time; an interval that survives ``window`` words
-holds the places where that passage of the item stands verbatim.  Neighbouring
-windows on one diagonal join up to the longest matches.
+array over its words, sorted to full depth by prefix doubling.  Every suffix of
+every benchmark item is binary-searched in it, one word of depth at a time, until
+nothing is left of its interval; the depth at which a place leaves the interval
+is the length of the longest verbatim match there.  Matches of at least
+``window`` words count.
 
 Only words of the benchmark can match, so words are replaced by ids of the
-benchmark's vocabulary, others by 0, and a suffix that meets a 0 before the
-shortest window is complete is left out of the array.  Suffixes are ordered to
-a depth of ``window`` words; what lies deeper decides nothing.
+benchmark's vocabulary, others by 0, and runs of known words that are shorter
+than the shortest window are left out.  Words are looked up by a 64-bit hash,
+and the letters of those in a match are compared.
 
-The corpus is read once and never shuffled.  The benchmark is a stated query
-set: it is taken to the executors in blocks of about ``BLOCK_BYTES`` of text, and
-each shard is searched for each block.
+The corpus is never shuffled.  The benchmark is a stated query set: it goes to
+the executors in blocks of at most about ``BLOCK_BYTES`` of text, a block at a
+time; with several blocks each is a pass over the texts that keeps matches
+alone, and these are put together by document.
 
 Defined cases: a null or empty text has no words and is clean; an item without
-words has no windows; an item of fewer words than ``window`` is one window; a
-null item_id is listed as ``null``; repeated rows each give a row.
+words has no suffixes; an item of fewer words than ``window`` matches as a whole;
+a null item_id is listed as ``null``; repeated rows each give a row.
 """
 
 from __future__ import annotations
 
 import hashlib
-from dataclasses import dataclass
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textscan
-from .common import small_batches
+from .common import Scratch, small_batches
 
 WINDOW = 10
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 8 << 20
 
 ANNOTATED = "doc_id {id}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 MATCHES = "doc_id {id}, item_id string, doc_word long, item_word long, n_words long"
 
 
-@dataclass
 class Block:
-    """A block of benchmark items, ready to be searched for."""
-
-    vocabulary: np.ndarray  # sorted word hashes; a word's id is its place here + 1
-    windows: dict[int, np.ndarray]  # by length: distinct windows as rows of word ids
-    owner: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]  # by length: (first, item, place in item), by window
-    names: list[str]
-
-
-def make_block(ids: list, texts: list[str | None], window: int = WINDOW) -> Block:
-    words = textscan.scan(pa.array(texts, pa.string()), textscan.ALNUM)
-    vocabulary = np.unique(words.hashes)
-    numbers = np.searchsorted(vocabulary, words.hashes).astype(np.int64) + 1
-    found: dict[int, list] = {}
-    for k in range(words.n_docs):
-        item = numbers[words.first[k] : words.first[k + 1]]
-        if len(item) == 0:
-            continue
-        n = min(window, len(item))
-        rows = np.lib.stride_tricks.sliding_window_view(item, n)
-        found.setdefault(n, []).append((rows, np.full(len(rows), k), np.arange(len(rows))))
-    windows, owner = {}, {}
-    for n, parts in found.items():
-        rows, item, place = (np.concatenate(x) for x in zip(*parts, strict=True))
-        windows[n], group = np.unique(rows, axis=0, return_inverse=True)
-        order = np.argsort(group.ravel(), kind="stable")
-        first = np.searchsorted(group.ravel()[order], np.arange(len(windows[n]) + 1))
-        owner[n] = first, item[order], place[order]
-    return Block(vocabulary, windows, owner, ["null" if x is None else str(x) for x in ids])
-
-
-def blocks(benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> list:
-    """The benchmark as broadcast blocks of a checked size; the driver holds one at a time."""
+    """A block of benchmark items: their words as ids of a vocabulary, and the suffixes that are searched for."""
+
+    def __init__(self, ids: list, texts: list[str | None], window: int = WINDOW) -> None:
+        words = textscan.scan(pa.array(texts, pa.string()), textscan.ALNUM)
+        self.names = ["null" if x is None else str(x) for x in ids]
+        self.hashes, example, which = np.unique(words.hashes, return_index=True, return_inverse=True)
+        #: The vocabulary's letters; a word's id is its place among the hashes + 1.
+        sizes = words.ends[example] - words.starts[example]
+        self.ends = np.cumsum(sizes)
+        self.starts = self.ends - sizes
+        at = np.repeat(words.starts[example] - self.starts, sizes) + np.arange(int(sizes.sum()))
+        self.letters = words.data[at]
+        if not textscan.same_text(words.data, words.starts, words.ends, self.letters, self.starts[which], self.ends[which]).all():
+            raise ValueError("two words of the benchmark have one hash")
+        counts = np.diff(words.first)
+        least = np.minimum(counts, window)
+        #: All items' words, one 0 after each item.
+        self.words = np.zeros(len(which) + words.n_docs, np.int32)
+        self.words[np.arange(len(which)) + words.docs] = which + 1
+        begin = words.first[:-1] + np.arange(words.n_docs)
+        many = np.where(counts > 0, counts - least + 1, 0)
+        #: Of each suffix: its item, its first word's place in the item and in ``words``, and how many words must match.
+        self.item = np.repeat(np.arange(words.n_docs, dtype=np.int32), many)
+        self.place = (np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)).astype(np.int32)
+        self.suffixes = (begin[self.item] + self.place).astype(np.int32)
+        self.least = least[self.item].astype(np.int32)
+        self.shortest = int(self.least.min(initial=window))
+
+
+def blocks(benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> Iterator[Broadcast]:
+    """The benchmark in blocks of a checked size, each sent to the executors; the driver makes one at a time.
+
+    A block ends before the item that would make it too large; one item of more
+    than ``block_bytes`` is a block of its own.
+    """
     spark = benchmark.sparkSession
     small_batches(spark)
-    items = benchmark.select(F.col("item_id").alias("i"), F.col("text").cast("string").alias("t"))
-    size = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0)).alias("n")).first().n
-    n = -(-size // block_bytes) or 1
-    out = []
-    for k in range(n):
-        part = items if n == 1 else items.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k)
-        rows = part.collect()
-        out.append(spark.sparkContext.broadcast(make_block([r.i for r in rows], [r.t for r in rows], window)))
-    return out
+    items = benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").cast("string").alias("t"))
+    ids, texts, size = [], [], 0
+    for row in items.toLocalIterator():
+        n = len(row.t.encode()) if row.t else 0
+        if texts and size + n > block_bytes:
+            yield spark.sparkContext.broadcast(Block(ids, texts, window))
+            ids, texts, size = [], [], 0
+        ids.append(row.i)
+        texts.append(row.t)
+        size += n
+    yield spark.sparkContext.broadcast(Block(ids, texts, window))
 
 
 def _bisect(column: np.ndarray, low: np.ndarray, high: np.ndarray, wanted: np.ndarray, right: bool) -> np.ndarray:
@@ -99,148 +106,259 @@ def _bisect(column: np.ndarray, low: np.ndarray, high: np.ndarray, wanted: np.nd
     return low
 
 
+def suffix_array(ids: np.ndarray, members: np.ndarray, longest: int) -> np.ndarray:
+    """The members, places in ``ids``, by the ids from there up to the next 0; no run is longer than ``longest``."""
+    rank = ids.astype(np.int64)
+    order, depth = members[np.argsort(rank[members], kind="stable")], 1
+    while depth < longest:
+        # Ranks by the first ``depth`` ids give those by twice as many.
+        first = rank[members]
+        second = np.where(members + depth < len(rank), rank[np.minimum(members + depth, len(rank) - 1)], 0)
+        by = np.lexsort([second, first])
+        order, first, second = members[by], first[by], second[by]
+        new = np.concatenate([[1], (first[1:] != first[:-1]) | (second[1:] != second[:-1])])
+        ranks = np.cumsum(new)
+        rank = np.zeros(len(rank), np.int64)
+        rank[order] = ranks
+        if ranks[-1] == len(members):
+            break
+        depth *= 2
+    return order
+
+
 class Shard:
     """The words of some texts as ids of a block's vocabulary, and their suffix array."""
 
     def __init__(self, words: textscan.Words, block: Block) -> None:
-        at, known = textscan.member(block.vocabulary, words.hashes)
-        # One 0 after each text, and enough of them at the end, stop every match.
-        self.shift = words.docs
-        deepest = max(block.windows, default=1)
-        self.ids = np.zeros(len(at) + words.n_docs + deepest, np.int64)
-        self.ids[np.arange(len(at)) + self.shift] = np.where(known, at + 1, 0)
-        shortest = min(block.windows, default=1)
-        runs = np.cumsum(np.concatenate([[0], self.ids > 0]))
-        n = len(self.ids) - deepest
-        starts = np.flatnonzero(runs[shortest : n + shortest] - runs[:n] == shortest)
-        columns = [self.ids[starts + d] for d in range(deepest)]
-        self.suffixes = starts[np.lexsort(columns[::-1])] if len(starts) else starts
+        self.block = block
+        at, known = textscan.member(block.hashes, words.hashes)
+        # One 0 after each text ends every match.
+        shift = words.docs
+        self.ids = np.zeros(len(at) + words.n_docs + 1, np.int64)
+        self.ids[np.arange(len(at)) + shift] = np.where(known, at + 1, 0)
+        edges = np.diff(np.concatenate([[0], self.ids > 0, [0]]).astype(np.int8))
+        start, stop = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+        long_ = stop - start >= block.shortest
+        start, stop = start[long_], stop[long_]
+        self._known_only(words, start, stop)
+        size = stop - start
+        members = np.repeat(start - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+        members = members[self.ids[members] > 0]
+        self.suffixes = suffix_array(self.ids, members, int(size.max(initial=1))) if len(members) else members
         self.doc_of = np.repeat(np.arange(words.n_docs), np.diff(words.first) + 1)
         self.begin = words.first[:-1] + np.arange(words.n_docs)
 
-    def search(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """[low, high) in the suffix array of the suffixes that begin with each window."""
-        low = np.zeros(len(windows), np.int64)
-        high = np.full(len(windows), len(self.suffixes), np.int64)
-        live = np.arange(len(windows)) if len(self.suffixes) else np.zeros(0, np.int64)
-        for d in range(windows.shape[1]):
-            column = self.ids[self.suffixes + d]
-            wanted = windows[live, d]
+    def _known_only(self, words: textscan.Words, start: np.ndarray, stop: np.ndarray) -> None:
+        """Words in long runs that have another word's hash become unknown: their letters decide."""
+        size = stop - start
+        at = np.repeat(start - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+        if len(at):
+            doc = np.searchsorted(words.first + np.arange(len(words.first)), at, side="right") - 1
+            w, v = at - doc, self.ids[at] - 1
+            same = textscan.same_text(words.data, words.starts[w], words.ends[w], self.block.letters, self.block.starts[v], self.block.ends[v])
+            self.ids[at[~same]] = 0
+
+    def search(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(suffix of the block, place in the shard, words that match) for every match that is long enough."""
+        b, none = self.block, np.zeros(0, np.int64)
+        if not len(self.suffixes) or not len(b.suffixes):
+            return none, none, none
+        live = np.arange(len(b.suffixes))
+        low, high = np.zeros(len(live), np.int64), np.full(len(live), len(self.suffixes), np.int64)
+        at, found, depth, firsts, counts = np.zeros(len(live), np.int64), 0, 0, [], []
+        marks: list[tuple[np.ndarray, np.ndarray]] = []
+        while len(live):
+            wanted = b.words[b.suffixes[live] + depth]
+            live, wanted = live[wanted > 0], wanted[wanted > 0]
+            column = self.ids[np.minimum(self.suffixes + depth, len(self.ids) - 1)]
             lo = _bisect(column, low[live], high[live], wanted, right=False)
             hi = _bisect(column, lo, high[live], wanted, right=True)
+            live, lo, hi, depth = live[lo < hi], lo[lo < hi], hi[lo < hi], depth + 1
             low[live], high[live] = lo, hi
-            live = live[lo < hi]
-        found = np.zeros(len(windows), bool)
-        found[live] = True
-        return np.where(found, low, 0), np.where(found, high, 0)
-
-
-def search(words: textscan.Words, block: Block) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each window length: (length, text, word in text, item, word in item) of every occurrence of a window."""
-    shard, out = Shard(words, block), []
-    for n, windows in block.windows.items():
-        low, high = shard.search(windows)
-        hit = np.flatnonzero(high > low)
-        if len(hit) == 0:
-            continue
-        count = high[hit] - low[hit]
-        window = np.repeat(hit, count)
-        place = shard.suffixes[np.repeat(low[hit] - np.cumsum(count) + count, count) + np.arange(count.sum())]
-        first, item, inside = block.owner[n]
-        each = first[window + 1] - first[window]
-        which = np.repeat(first[window] - np.cumsum(each) + each, each) + np.arange(each.sum())
-        place = np.repeat(place, each)
-        doc = shard.doc_of[place]
-        out.append((n, doc, place - shard.begin[doc], item[which], inside[which]))
-    return out
+            enough = b.least[live] == depth  # from here on, each depth adds a word to the matches in the interval
+            firsts.append((live[enough], lo[enough]))
+            counts.append(hi[enough] - lo[enough])
+            at[live[enough]] = found + np.cumsum(counts[-1]) - counts[-1] - lo[enough]
+            found += int(counts[-1].sum())
+            deep = b.least[live] <= depth
+            marks.append((at[live[deep]] + lo[deep], at[live[deep]] + hi[deep]))
+        change = np.zeros(found + 1, np.int64)
+        for start, stop in marks:
+            np.add.at(change, start, 1)
+            np.add.at(change, stop, -1)
+        suffix, begin, count = np.concatenate([x for x, _ in firsts]), np.concatenate([x for _, x in firsts]), np.concatenate(counts)
+        place = self.suffixes[np.repeat(begin - np.cumsum(count) + count, count) + np.arange(found)]
+        suffix = np.repeat(suffix, count)
+        return suffix, place, b.least[suffix] + np.cumsum(change)[:found] - 1
+
+
+def matches(words: textscan.Words, block: Block) -> tuple[np.ndarray, ...]:
+    """(text, first word in it, item, first word in it, words) of every verbatim match that can't be made longer."""
+    shard = Shard(words, block)
+    suffix, place, length = shard.search()
+    item, inside = block.item[suffix].astype(np.int64), block.place[suffix].astype(np.int64)
+    before = shard.ids[np.maximum(place, 1) - 1] * (place > 0)
+    head = (inside == 0) | (before == 0) | (before != block.words[np.maximum(block.suffixes[suffix], 1) - 1])
+    item, inside, place, length = item[head], inside[head], place[head], length[head]
+    doc = shard.doc_of[place]
+    return doc, place - shard.begin[doc], item, inside, length
+
+
+def _texts(part: pa.RecordBatch) -> pa.Array:
+    return part.column(part.schema.get_field_index("text"))
+
+
+def _annotated(words: textscan.Words, spans: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Words of each text that lie in any of the spans (text, first word, words)."""
+    change = np.zeros(len(words.hashes) + 1, np.int64)
+    for doc, place, length in spans:
+        np.add.at(change, words.first[doc] + place, 1)
+        np.add.at(change, words.first[doc] + place + length, -1)
+    sums = np.concatenate([[0], np.cumsum(np.cumsum(change[:-1]) > 0)])
+    return sums[words.first[1:]] - sums[words.first[:-1]]
 
 
-def _annotate(words: textscan.Words, found_blocks: list[Block]) -> tuple[np.ndarray, list[set]]:
-    """Hit words per text, and the item ids found in each."""
-    n = len(words.hashes)
-    change = np.zeros(n + 1, np.int64)
-    items: dict[int, set] = {}
-    for block in found_blocks:
-        for length, doc, place, item, _ in search(words, block):
-            at = words.first[doc] + place
-            np.add.at(change, at, 1)
-            np.add.at(change, at + length, -1)
-            for d, i in np.unique(np.stack([doc, item]), axis=1).T.tolist():
-                items.setdefault(d, set()).add(block.names[i])
-    sums = np.concatenate([[0], np.cumsum(np.cumsum(change[:-1]) > 0)])
-    return sums[words.first[1:]] - sums[words.first[:-1]], [items.get(d, set()) for d in range(words.n_docs)]
+def _batch(ids: pa.Array, n_words: np.ndarray, hit: np.ndarray, items: list[set]) -> pa.RecordBatch:
+    listed = [",".join(sorted(x)) for x in items]
+    return pa.RecordBatch.from_arrays(
+        [
+            ids,
+            pa.array(n_words, pa.int64()),
+            pa.array(hit, pa.int64()),
+            pa.array([len(x) for x in items], pa.int64()),
+            pa.array([hashlib.sha256(x.encode()).hexdigest() for x in listed], pa.string()),
+            pa.array(hit > 0, pa.bool_()),
+        ],
+        names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
+    )
+
+
+def _thin(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", F.col("text").cast("string").alias("text"))
 
 
-def _texts(part: pa.RecordBatch, column: str) -> pa.Array:
-    return part.column(part.schema.get_field_index(column))
+def _key() -> list:
+    """Two independent 64-bit hashes of id and text: rows alike in both have equal matches."""
+    id_, text = F.col("doc_id").cast("string"), F.col("text").cast("string")
+    return [F.xxhash64(id_, text, F.lit(1)).alias("_k1"), F.xxhash64(F.lit(2), text, id_).alias("_k2")]
+
+
+def _hits(docs: DataFrame, part: Broadcast) -> DataFrame:
+    """(_k1, _k2, spans, items) of the documents in which a block's matches stand."""
+
+    def run(batches):
+        block = part.value
+        for batch in batches:
+            for some in textscan.slices(batch, "text"):
+                doc, place, item, _, length = matches(textscan.scan(_texts(some), textscan.ALNUM), block)
+                order = np.argsort(doc, kind="stable")
+                which, first = np.unique(doc[order], return_index=True)
+                cut = [order[a:b] for a, b in zip(first, [*first, len(order)][1:], strict=True)]
+                rows = some.take(pa.array(which))
+                spans = pa.array([np.stack([place[c], length[c]], axis=1).astype(np.int64).tobytes() for c in cut], pa.binary())
+                items = pa.array([sorted({block.names[i] for i in item[c].tolist()}) for c in cut], pa.list_(pa.string()))
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), spans, items], names=["_k1", "_k2", "spans", "items"])
+
+    return docs.select(*_key(), F.col("text").cast("string").alias("text")).mapInArrow(run, "_k1 long, _k2 long, spans binary, items array<string>")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Per document: its words, those inside an occurrence of a window, and the items whose windows occur."""
-    parts = blocks(benchmark, window, block_bytes)
+    """Per document: its words, those inside a match, and the items that match."""
     kind = docs.select("doc_id").schema[0].dataType.simpleString()
+    parts = blocks(benchmark, window, block_bytes)
+    one, more = next(parts), next(parts, None)
 
     def run(batches):
+        block = one.value
+        for batch in batches:
+            for part in textscan.slices(batch, "text"):
+                words = textscan.scan(_texts(part), textscan.ALNUM)
+                doc, place, item, _, length = matches(words, block)
+                items: list[set] = [set() for _ in range(words.n_docs)]
+                for d, i in zip(doc.tolist(), item.tolist(), strict=True):
+                    items[d].add(block.names[i])
+                yield _batch(part.column(0), np.diff(words.first), _annotated(words, [(doc, place, length)]), items)
+
+    if more is None:
+        return _thin(docs).mapInArrow(run, ANNOTATED.format(id=kind))
+
+    scratch, found = Scratch(docs.sparkSession), None
+    for part in (one, more, *parts):
+        hits = scratch.keep(_hits(docs, part))
+        part.destroy()
+        found = hits if found is None else found.union(hits)
+    found = found.groupBy("_k1", "_k2").agg(F.collect_list("spans").alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+
+    def counted(batches):
         for batch in batches:
             for part in textscan.slices(batch, "text"):
-                words = textscan.scan(_texts(part, "text"), textscan.ALNUM)
-                hit, items = _annotate(words, [b.value for b in parts])
-                listed = [",".join(sorted(x)) for x in items]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column(0),
-                        pa.array(np.diff(words.first), pa.int64()),
-                        pa.array(hit, pa.int64()),
-                        pa.array([len(x) for x in items], pa.int64()),
-                        pa.array([hashlib.sha256(x.encode()).hexdigest() for x in listed], pa.string()),
-                        pa.array(hit > 0, pa.bool_()),
-                    ],
-                    names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
-                )
-
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, ANNOTATED.format(id=kind))
+                words = textscan.scan(_texts(part), textscan.ALNUM)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(np.diff(words.first), pa.int64())], names=["_k1", "_k2", "doc_id", "n_words"])
+
+    def merged(batches):
+        for batch in batches:
+            hit, items = [], [set(x or ()) for x in batch.column(3).to_pylist()]
+            for cells in batch.column(2).to_pylist():
+                inside: set[int] = set()
+                for cell in cells or ():
+                    for a, n in np.frombuffer(cell, np.int64).reshape(-1, 2).tolist():
+                        inside.update(range(a, a + n))
+                hit.append(len(inside))
+            yield _batch(batch.column(0), np.asarray(batch.column(1)), np.array(hit, np.int64), items)
+
+    rows = docs.select(*_key(), "doc_id", F.col("text").cast("string").alias("text")).mapInArrow(counted, f"_k1 long, _k2 long, doc_id {kind}, n_words long")
+    joined = rows.join(found, ["_k1", "_k2"], "left").select("doc_id", "n_words", "spans", "items")
+    return joined.mapInArrow(merged, ANNOTATED.format(id=kind))
 
 
 def longest_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Longest verbatim matches of at least a window: where they begin in text and item, and how many words they have."""
-    parts = blocks(benchmark, window, block_bytes)
+    """Longest verbatim matches: where they begin in text and item, and how many words they have; a row for each."""
     kind = docs.select("doc_id").schema[0].dataType.simpleString()
 
-    def run(batches):
-        for batch in batches:
-            for part in textscan.slices(batch, "text"):
-                words = textscan.scan(_texts(part, "text"), textscan.ALNUM)
-                for block in (b.value for b in parts):
-                    for n, doc, place, item, inside in search(words, block):
-                        order = np.lexsort([place, place - inside, item, doc])
-                        doc, place, item, inside = doc[order], place[order], item[order], inside[order]
-                        new = np.ones(len(doc), bool)
-                        new[1:] = (np.diff(doc) != 0) | (np.diff(item) != 0) | (np.diff(place - inside) != 0) | (np.diff(place) != 1)
-                        first = np.flatnonzero(new)
-                        length = np.diff(np.append(first, len(doc))) + n - 1
-                        yield pa.RecordBatch.from_arrays(
-                            [
-                                part.column(0).take(pa.array(doc[first])),
-                                pa.array([block.names[i] for i in item[first]], pa.string()),
-                                pa.array(place[first], pa.int64()),
-                                pa.array(inside[first], pa.int64()),
-                                pa.array(length, pa.int64()),
-                            ],
-                            names=["doc_id", "item_id", "doc_word", "item_word", "n_words"],
-                        )
-
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, MATCHES.format(id=kind))
+    def found(part: Broadcast) -> DataFrame:
+        def run(batches):
+            block = part.value
+            for batch in batches:
+                for some in textscan.slices(batch, "text"):
+                    doc, place, item, inside, length = matches(textscan.scan(_texts(some), textscan.ALNUM), block)
+                    names = pa.array([block.names[i] for i in item.tolist()], pa.string())
+                    yield pa.RecordBatch.from_arrays([some.column(0).take(pa.array(doc)), names, pa.array(place), pa.array(inside), pa.array(length)], names=["doc_id", "item_id", "doc_word", "item_word", "n_words"])
+
+        return _thin(docs).mapInArrow(run, MATCHES.format(id=kind))
+
+    parts = blocks(benchmark, window, block_bytes)
+    one, more = next(parts), next(parts, None)
+    if more is None:
+        return found(one)
+    scratch, out = Scratch(docs.sparkSession), None
+    for part in (one, more, *parts):
+        rows = scratch.keep(found(part))
+        part.destroy()
+        out = rows if out is None else out.union(rows)
+    return out
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The documents, all columns unchanged, in which no window of the benchmark occurs."""
+    """The documents, all columns unchanged, in which nothing of the benchmark matches."""
     parts = blocks(benchmark, window, block_bytes)
+    one, more = next(parts), next(parts, None)
 
     def run(batches):
+        block = one.value
         for batch in batches:
             for part in textscan.slices(batch, "text"):
-                words = textscan.scan(_texts(part, "text"), textscan.ALNUM)
-                hit, _ = _annotate(words, [b.value for b in parts])
-                yield part.filter(pa.array(hit == 0))
-
-    return docs.mapInArrow(run, docs.schema)
+                words = textscan.scan(_texts(part), textscan.ALNUM)
+                clean = np.ones(words.n_docs, bool)
+                clean[matches(words, block)[0]] = False
+                yield part.filter(pa.array(clean))
+
+    if more is None:
+        return docs.mapInArrow(run, docs.schema)
+    scratch, gone = Scratch(docs.sparkSession), None
+    for part in (one, more, *parts):
+        hits = scratch.keep(_hits(docs, part).select("_k1", "_k2"))
+        part.destroy()
+        gone = hits if gone is None else gone.union(hits)
+    gone = gone.distinct()
+    k1, k2 = _key()
+    return docs.join(gone, (k1 == gone["_k1"]) & (k2 == gone["_k2"]), "left_anti")

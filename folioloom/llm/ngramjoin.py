@@ -5,7 +5,8 @@ link when ``100 * |A and B| >= percent * |A or B|``.  If they do, then under any
 global order of the tokens their prefixes of ``n - ceil(n * percent / 100) + 1``
 tokens share one.  So:
 
-1. Documents with equal sets become one entity, named by a hash of the set.
+1. Documents with equal sets become one entity, named by a 64-bit hash of the
+   set; a second, independent one proves that no two sets share a name.
 2. Document frequencies of all tokens are counted in hash buckets, and the most
    frequent ones form a table of bounded size that is sent to every task.
 3. Order 1 puts tokens outside that table first, by hash, then those inside by
@@ -18,6 +19,10 @@ tokens share one.  So:
    A pair is made only if its sketches allow it: bits that differ between the
    parities of two sets' tokens are no more than the tokens in which they differ.
 
+Sets hold 64-bit hashes of shingles whose word hashes are no polynomials; two
+given shingles are alike with a chance of 2**-64, so one in a pair of sets of a
+million shingles each with 2**-24, and it changes their overlap by one.
+
 Any consistent order is exact, so the bounded table of frequent tokens affects
 cost alone.  Texts are read in each of four narrow passes and never shuffled.
 
@@ -43,6 +48,8 @@ FREQUENT = 1 << 20
 LEAST_DF = 8
 #: A token of more documents than this is dealt out to several tasks.
 SPLIT_DF = 20_000
+#: Entities of one token that are compared with each other, or with as many others, in one group.
+GROUP = 512
 #: Bytes of text for each hash bucket of tokens.
 BUCKET_BYTES = 16 << 20
 #: Spots, as a power of two, of the bitmap of tokens that two documents have: 16 MB.
@@ -95,7 +102,8 @@ class Sets:
         self.tokens = tokens[new]
         self.at = np.concatenate([[0], np.cumsum(new)])[at]
         self.sizes = np.diff(self.at)
-        # A set's name is a 64-bit hash that doesn't depend on the order of its tokens.
+        # A set's name is a 64-bit hash that doesn't depend on the order of its tokens; a second one proves it.
+        self.proofs = textscan.mix(self.sums(textscan.mix(self.tokens ^ _C))).view(np.int64)
         self.names = textscan.mix(self.sums(textscan.mix(self.tokens + _B)) * _A + self.sizes.astype(np.uint64)).view(np.int64)
 
     def sums(self, values: np.ndarray) -> np.ndarray:
@@ -263,32 +271,33 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, scratch:
     """(doc_id, n_shingles, component_id) of every row: component_id is the smallest doc_id reachable by links."""
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    kind = texts.schema[0].dataType.simpleString()
 
     size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first().b
     low = min(24, max(4, int(np.ceil(np.log2(size / BUCKET_BYTES + 1)))))
     frequent = spark.sparkContext.broadcast(_frequent(texts.select("text"), n, low, scratch))
-    kinds = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("s", pa.int64()), ("bucket", pa.int64()), ("t", pa.binary()), ("ss", pa.binary()), ("ns", pa.binary())])
+    names = ["doc_id", "n", "s", "proof", "bucket", "t", "ss", "ns"]
 
     def postings(batches):
         """A row for each text, and packed rows (token, set, its size) for each bucket."""
         for batch in batches:
             for part in textscan.slices(batch, "text"):
                 sets = Sets(part, n)
-                none = [pa.nulls(part.num_rows, kinds.field(k).type) for k in range(3, 7)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets.sizes, pa.int64()), pa.array(sets.names, mask=sets.sizes == 0), *none], schema=kinds)
+                none = [pa.nulls(part.num_rows, x) for x in (pa.int64(), pa.binary(), pa.binary(), pa.binary())]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets.sizes, pa.int64()), pa.array(sets.names, mask=sets.sizes == 0), pa.array(sets.proofs), *none], names=names)
                 tokens, owner = frequent.value.prefixes(sets, percent)
                 bucket = (textscan.mix(tokens) >> np.uint64(64 - low)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
                 tokens, owner, bucket = tokens[order], owner[order], bucket[order]
                 ends = np.searchsorted(bucket, np.arange((1 << low) + 1))
                 some = np.flatnonzero(np.diff(ends))
-                none = [pa.nulls(len(some), pa.int64())] * 3
+                none = [pa.nulls(len(some), x) for x in (part.column(0).type, pa.int64(), pa.int64(), pa.int64())]
                 packed = [pa.array([x[ends[b] : ends[b + 1]].tobytes() for b in some], pa.binary()) for x in (tokens, sets.names[owner], sets.sizes[owner].astype(np.uint32))]
-                yield pa.RecordBatch.from_arrays([*none, pa.array(some, pa.int64()), *packed], schema=kinds)
+                yield pa.RecordBatch.from_arrays([*none, pa.array(some, pa.int64()), *packed], names=names)
 
-    read = scratch.keep(texts.mapInArrow(postings, "doc_id long, n long, s long, bucket long, t binary, ss binary, ns binary"))
-    named = read.where("bucket is null").select("doc_id", "n", "s")
+    read = scratch.keep(texts.mapInArrow(postings, f"doc_id {kind}, n long, s long, proof long, bucket long, t binary, ss binary, ns binary"))
+    named = read.where("bucket is null").select("doc_id", "n", "s", "proof")
 
     def groups(t: pa.Table) -> pa.Table:
         """Of each token that several entities have: rows (token, entity, its size, the pivot)."""
@@ -329,28 +338,25 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, scratch:
     def whole_sets(batches):
         for batch in batches:
             for part in textscan.slices(batch, "text"):
-                rows: dict[int, list] = {}
                 sets = Sets(part, n)
                 wanted = np.flatnonzero((sets.sizes > 0) & _in_bloom(bloom.value, sets.names))
-                for k, doc in zip(wanted, part.column(0).take(pa.array(wanted)).to_pylist(), strict=True):
-                    row = rows.setdefault(int(sets.names[k]), [doc, sets.of(k)])
-                    if row[0] is None or doc is not None and doc < row[0]:
-                        row[0] = doc
+                wanted = wanted[np.unique(sets.names[wanted], return_index=True)[1]]
+                whole = [sets.of(k) for k in wanted]
+                sketches = np.array([np.frombuffer(_sketch(x), np.int64) for x in whole], np.int64).reshape(-1, SKETCH_LONGS)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(list(rows), pa.int64()),
-                        pa.array([d for d, _ in rows.values()], pa.int64()),
-                        pa.array([x.tobytes() for _, x in rows.values()], pa.binary()),
-                        pa.array([_prefix(x, 1, percent).tobytes() for _, x in rows.values()], pa.binary()),
-                        pa.array([_prefix(x, 2, percent).tobytes() for _, x in rows.values()], pa.binary()),
-                        *(pa.array(q) for q in np.array([np.frombuffer(_sketch(x), np.int64) for _, x in rows.values()], np.int64).reshape(-1, SKETCH_LONGS).T),
+                        pa.array(sets.names[wanted]),
+                        pa.array([x.tobytes() for x in whole], pa.binary()),
+                        pa.array([_prefix(x, 1, percent).tobytes() for x in whole], pa.binary()),
+                        pa.array([_prefix(x, 2, percent).tobytes() for x in whole], pa.binary()),
+                        *(pa.array(q) for q in sketches.T),
                     ],
-                    names=["s", "doc", "tokens", "p2", "p3", *sketch],
+                    names=["s", "tokens", "p2", "p3", *sketch],
                 )
 
-    passed = texts.mapInArrow(whole_sets, "s long, doc long, tokens binary, p2 binary, p3 binary, " + ", ".join(f"{q} long" for q in sketch))
+    passed = texts.select("text").mapInArrow(whole_sets, "s long, tokens binary, p2 binary, p3 binary, " + ", ".join(f"{q} long" for q in sketch))
     passed = passed.join(candidates, "s", "left_semi")
-    sets = scratch.keep(passed.groupBy("s").agg(F.min("doc").alias("doc"), *(F.any_value(c).alias(c) for c in ("tokens", "p2", "p3", *sketch))))
+    sets = scratch.keep(passed.groupBy("s").agg(*(F.any_value(c).alias(c) for c in ("tokens", "p2", "p3", *sketch))))
 
     pairs = grouped.where("s <> p").select(F.least("s", "p").alias("a"), F.greatest("s", "p").alias("b"))
     if frequent.value.parts:  # the parts' pivots of one token are tied by a pivot of their own
@@ -359,24 +365,25 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, scratch:
     links = scratch.keep(_verified(pairs.distinct(), sets, percent))
 
     # Entities of one token whose components differ so far are compared with each other.
-    roots = components(links.select("a", "b"), scratch)
+    roots = components(links, scratch)
     placed = grouped.select("g", "s", "n").join(roots.withColumnRenamed("node", "s"), "s", "left").withColumn("root", F.coalesce("root", "s"))
-    open_ = placed.groupBy("g").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("c")).where("lo <> hi and c > 2").select("g")
-    placed = placed.join(open_, "g", "left_semi").join(sets.select("s", *sketch), "s")
-    x, y = (placed.select(F.col("g").alias(f"g{k}"), *(F.col(c).alias(f"{c}{k}") for c in ("s", "n", "root", *sketch))) for k in (1, 2))
-    met = F.expr(f"g1 = g2 and s1 < s2 and root1 <> root2 and least(n1, n2) * 100 >= greatest(n1, n2) * {percent}") & _may_link(percent)
-    cross = x.join(y, met).select(F.col("s1").alias("a"), F.col("s2").alias("b")).distinct()
-    more = _verified(cross.join(pairs, ["a", "b"], "left_anti"), sets, percent)
-    links = links.union(more)
-
-    least = named.where("s is not null").groupBy("s").agg(F.min("doc_id").alias("rep"))
-    if sets.where("doc is null").isEmpty():
-        roots = components(links.select("da", "db"), scratch)
-        least = least.join(roots, F.col("rep") == F.col("node"), "left").select("s", F.coalesce("root", "rep").alias("least"))
-    else:  # links run through entities without an id: components of names, and the least id of each
-        roots = components(links.select("a", "b"), scratch)
-        least = least.join(roots, F.col("s") == F.col("node"), "left").select("s", "rep", F.coalesce("root", "s").alias("root"))
-        least = least.join(least.groupBy("root").agg(F.min("rep").alias("least")), "root").select("s", "least")
+    open_ = placed.groupBy("g").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("c")).where("lo <> hi and c > 2")
+    # A large group is cut into blocks; each pair of blocks is a key of the join, so no task has a whole group.
+    open_ = open_.select("g", F.ceil(F.col("c") / GROUP).alias("blocks"))
+    placed = placed.join(open_, "g").join(sets.select("s", *sketch), "s").withColumn("block", F.pmod(F.xxhash64("s"), F.col("blocks")))
+    x, y = (placed.select("g", "block", "blocks", *(F.col(c).alias(f"{c}{k}") for c in ("s", "n", "root", *sketch))) for k in (1, 2))
+    x = x.withColumn("other", F.explode(F.expr("sequence(block, blocks - 1)"))).drop("blocks")
+    y = y.withColumn("other", F.col("block")).withColumn("block", F.explode(F.expr("sequence(0l, block)"))).drop("blocks")
+    met = F.expr(f"(block < other or s1 < s2) and root1 <> root2 and least(n1, n2) * 100 >= greatest(n1, n2) * {percent}") & _may_link(percent)
+    cross = x.join(y, ["g", "block", "other"]).where(met).select(F.least("s1", "s2").alias("a"), F.greatest("s1", "s2").alias("b")).distinct()
+    links = links.union(_verified(cross.join(pairs, ["a", "b"], "left_anti"), sets, percent))
+
+    # Links run between names, through rows without an id too; a component's id is the least id of its names.
+    roots = components(links, scratch)
+    proved = F.when(F.min("proof") == F.max("proof"), F.lit(True)).otherwise(F.raise_error(F.lit("two different sets have one name")).cast("boolean"))
+    least = named.where("s is not null").groupBy("s").agg(F.min("doc_id").alias("rep"), proved.alias("proved")).where("proved")
+    least = least.join(roots, F.col("s") == F.col("node"), "left").select("s", "rep", F.coalesce("root", "s").alias("root"))
+    least = least.join(least.groupBy("root").agg(F.min("rep").alias("least")), "root").select("s", "least")
     return named.join(least, "s", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
 
 
@@ -396,18 +403,18 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     def compare(batches):
         for batch in batches:
             keep = []
-            for p, q in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True):
+            for p, q in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 u, v = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
                 both = int(textscan.member(u, v)[1].sum())
                 keep.append(100 * both >= percent * (len(u) + len(v) - both))
-            yield batch.select(["a", "b", "da", "db"]).filter(pa.array(keep, pa.bool_()))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     heads = sets.select("s", "p2", "p3")
     near = pairs.join(heads.toDF("a", "p2a", "p3a"), "a").join(heads.toDF("b", "p2b", "p3b"), "b")
     near = near.select("a", "b", "p2a", "p3a", "p2b", "p3b").mapInArrow(meet, "a long, b long")
-    body = sets.select("s", "doc", "tokens")
-    both = near.join(body.toDF("a", "da", "ta"), "a").join(body.toDF("b", "db", "tb"), "b")
-    return both.select("a", "b", "da", "db", "ta", "tb").mapInArrow(compare, "a long, b long, da long, db long")
+    body = sets.select("s", "tokens")
+    both = near.join(body.toDF("a", "ta"), "a").join(body.toDF("b", "tb"), "b")
+    return both.select("a", "b", "ta", "tb").mapInArrow(compare, "a long, b long")
 
 
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -416,5 +423,5 @@ def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     Of rows that repeat the smallest doc_id, and of rows without an id, all stay.
     """
     found = jaccard_components(docs, n, percent)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
+    return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")

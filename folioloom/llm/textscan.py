@@ -17,10 +17,8 @@ import numpy as np
 import pyarrow as pa
 
 SLICE_BYTES = 2 << 20
-BLOCK_BYTES = 1 << 20
-
-_P = 0x9E3779B97F4A7C15 | 1
-_MASK = (1 << 64) - 1
+#: Ranges that are hashed, and symbols that are compared, at a time, so that the arrays over them stay in a cache.
+RANGES, BLOCK_SYMBOLS = 1 << 15, 1 << 16
 
 #: A-Z to a-z, every other byte to itself.
 LOWER = np.arange(256, dtype=np.uint8)
@@ -34,19 +32,9 @@ ALNUM[48:58] = ALNUM[97:123] = ALNUM[128:] = True
 NONSPACE = np.ones(256, dtype=bool)
 NONSPACE[[9, 10, 11, 12, 13, 32]] = False
 
-_tables: dict[str, np.ndarray] = {}
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of ``_P`` and of its inverse modulo 2**64, at least ``n`` of them."""
-    if len(_tables.get("p", ())) < n:
-        inverse = pow(_P, -1, 1 << 64)
-        with np.errstate(over="ignore"):
-            for key, base in (("p", _P), ("q", inverse)):
-                step = np.full(n, base, dtype=np.uint64)
-                step[0] = 1
-                _tables[key] = np.multiply.accumulate(step)
-    return _tables["p"], _tables["q"]
+#: Places in a word whose characters' hashes are kept in a table.
+_PLACES = 64
+_tables: dict[str, list] = {}
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -135,26 +123,66 @@ def scan(texts: pa.Array, word_bytes: np.ndarray) -> Words:
     return Words(data, starts, ends, hashes, np.searchsorted(starts, offsets))
 
 
+def _of_place(place, symbols: np.ndarray) -> np.ndarray:
+    """A 64-bit number for each (place in its word, symbol); from a table for one of the first places and symbols of a byte."""
+    if np.ndim(place) == 0:
+        if "z" not in _tables:
+            _tables["z"] = [_numbers(np.uint64(k), np.arange(256, dtype=np.uint64)) for k in range(_PLACES)]
+        if symbols.dtype == np.uint8 or not len(symbols) or symbols.max() < 256:
+            return _tables["z"][place][symbols]
+        place = np.uint64(place)
+    return _numbers(place, symbols.astype(np.uint64))
+
+
+def _numbers(place, symbols: np.ndarray) -> np.ndarray:
+    return mix(mix((place << np.uint64(32) | symbols) + np.uint64(0x9E3779B97F4A7C15)))
+
+
 def _hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A polynomial hash of each byte range, finished by ``mix``; in blocks of whole words."""
+    """A 64-bit hash of each range: the sum of a random number for each symbol and its place, finished by ``mix``.
+
+    Unlike a polynomial of the symbols it has no family of words that it takes
+    for equal; two given words are alike with a chance of 2**-64.  Ranges are
+    taken longest first, so that those with a symbol at some place are in front.
+    """
     out = np.empty(len(starts), np.uint64)
-    k = 0
-    while k < len(starts):
-        base = int(starts[k])
-        stop = int(np.searchsorted(ends, base + BLOCK_BYTES, side="right"))
-        stop = max(stop, k + 1)
-        top = int(ends[stop - 1])
-        p, q = _powers(max(top - base + 1, BLOCK_BYTES + 1))
-        sums = np.zeros(top - base + 1, np.uint64)
-        with np.errstate(over="ignore"):
-            np.cumsum((data[base:top].astype(np.uint64) + np.uint64(1)) * p[: top - base], out=sums[1:])
-            s = starts[k:stop] - base
-            e = ends[k:stop] - base
-            out[k:stop] = (sums[e] - sums[s]) * q[s] + (e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-        k = stop
+    with np.errstate(over="ignore"):
+        for k in range(0, len(starts), RANGES):
+            begin, size = starts[k : k + RANGES], ends[k : k + RANGES] - starts[k : k + RANGES]
+            short = np.minimum(size, _PLACES).astype(np.int16)
+            order = np.argsort(-short, kind="stable")
+            begin, size, short = begin[order], size[order], short[order]
+            sums = size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+            many = np.cumsum(np.bincount(short, minlength=_PLACES + 1)[::-1])[::-1]
+            for place in range(int(short[0])):
+                n = many[place + 1]
+                sums[:n] += _of_place(place, data[begin[:n] + place])
+            for j in range(many[_PLACES]):  # what lies beyond the table's places
+                rest = data[begin[j] + _PLACES : begin[j] + size[j]]
+                for at in range(0, len(rest), BLOCK_SYMBOLS):
+                    piece = rest[at : at + BLOCK_SYMBOLS]
+                    sums[j] += _of_place(np.arange(at, at + len(piece), dtype=np.uint64) + np.uint64(_PLACES), piece).sum()
+            out[k + order] = sums
     return mix(out)
 
 
+def same_text(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray, other_starts: np.ndarray, other_ends: np.ndarray) -> np.ndarray:
+    """Whether the k-th range of ``data`` holds what the k-th range of ``other`` holds."""
+    sizes = (ends - starts).astype(np.int64)
+    same = sizes == other_ends - other_starts
+    k, n = 0, len(sizes)
+    total = np.concatenate([[0], np.cumsum(np.where(same, sizes, 0))])
+    while k < n:
+        stop = max(int(np.searchsorted(total, total[k] + BLOCK_SYMBOLS, side="right")) - 1, k + 1)
+        size = np.where(same[k:stop], sizes[k:stop], 0)
+        at = np.concatenate([[0], np.cumsum(size)])
+        every, here, there = np.arange(at[-1]), starts[k:stop] - at[:-1], other_starts[k:stop] - at[:-1]
+        wrong = np.concatenate([[0], np.cumsum(data[np.repeat(here, size) + every] != other[np.repeat(there, size) + every])])
+        same[k:stop] &= wrong[at[1:]] == wrong[at[:-1]]
+        k = stop
+    return same
+
+
 def hash_words(words: list[str]) -> np.ndarray:
     """The hashes ``scan`` gives to these words."""
     data = [w.encode() for w in words]

@@ -33,7 +33,7 @@ def frame(spark, texts, ids=None, lang="en"):
 
 def odd_texts():
     base = sentence(60)
-    return [None, "", "   ", "one", "one two", base, base, base.upper(), base + " tail", " ".join(base.split()[:-1]), sentence(3), sentence(12), sentence(5000), "\x00� ", "!!! ... ???", base.replace(" ", "\n\t")]
+    return [None, "", "   ", "one", "one two", base, base, base.upper(), base + " tail", " ".join(base.split()[:-1]), sentence(3), sentence(12), sentence(1500), "\x00� ", "!!! ... ???", base.replace(" ", "\n\t")]
 
 
 def lowered(text):
@@ -102,14 +102,63 @@ def test_contamination_in_blocks_and_empty(spark, odd):
     items = [(k, sentence(20)) for k in range(40)] + [(50, texts[5])]
     bench = spark.createDataFrame(items, "item_id long, text string")
     one = sorted(map(str, decontaminate.contamination(docs, bench).collect()))
-    assert len(decontaminate.blocks(bench, 10, 500)) > 3 and docs.count() == len(one)
+    assert len(list(decontaminate.blocks(bench, 10, 500))) > 3 and docs.count() == len(one)
     assert sorted(map(str, decontaminate.contamination(docs, bench, block_bytes=500).collect())) == one
+    want = sorted(map(str, decontaminate.longest_matches(docs, bench).collect()))
+    assert want and sorted(map(str, decontaminate.longest_matches(docs, bench, block_bytes=500).collect())) == want
+    assert sorted(map(str, decontaminate.decontaminate(docs, bench, block_bytes=500).collect())) == sorted(map(str, decontaminate.decontaminate(docs, bench).collect()))
     empty = bench.where("false")
     assert all(not r.contaminated and r.n_items == 0 for r in decontaminate.contamination(docs, empty).collect())
     assert decontaminate.contamination(docs.where("false"), bench).count() == 0
     assert decontaminate.decontaminate(docs, empty).count() == docs.count()
 
 
+def plain_matches(texts, items, window):
+    out = []
+    for d, t in enumerate(texts):
+        words = word_list(t)
+        for item_id, item in items:
+            w = word_list(item)
+            for i in range(len(words)):
+                for j in range(len(w)):
+                    n = 0
+                    while i + n < len(words) and j + n < len(w) and words[i + n] == w[j + n]:
+                        n += 1
+                    if n >= min(window, len(w)) and not (i and j and words[i - 1] == w[j - 1]):
+                        out.append((d, str(item_id), i, j, n))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("window", [2, 4, 10])
+def test_longest_matches_like_plain(spark, window):
+    made = random.Random(7)
+    text = lambda n: " ".join(made.choice("abc") for _ in range(n))
+    texts = [text(made.randrange(60)) for _ in range(12)] + [text(30) + " q " + text(20), None, ""]
+    items = [(k, text(made.randrange(25))) for k in range(5)] + [(9, texts[3]), (9, "a"), (10, None)]
+    got = decontaminate.longest_matches(frame(spark, texts), spark.createDataFrame(items, "item_id long, text string"), window).collect()
+    assert sorted(tuple(r) for r in got) == plain_matches(texts, items, window)
+
+
+def twins(n):
+    """Two different words of 2**n letters that polynomial hashes modulo 2**64 take for equal."""
+    out, other = "a", "b"
+    for _ in range(n):
+        out, other = out + other, other + out
+    return out, other
+
+
+@pytest.mark.parametrize("n", [10, 13])
+def test_words_that_polynomials_confuse(spark, n):
+    a, b = twins(n)
+    assert len(set(textscan.hash_words([a, b, a + b, b + a]))) == 4
+    docs = frame(spark, [f"one {a} two", f"one {b} two", f"one {a} two", f"{a} {b} three"])
+    bench = spark.createDataFrame([(1, f"one {a} two")], "item_id long, text string")
+    assert {r.doc_id for r in decontaminate.contamination(docs, bench).where("contaminated").collect()} == {0, 2}
+    assert {r.doc_id: r.component_id for r in ngramjoin.jaccard_components(docs, 3, 90).collect()} == {0: 0, 1: 1, 2: 0, 3: 3}
+    known = {r.doc_id: r.n_known for r in pitmanyor.score(docs, F.col("doc_id") != 0).collect()}
+    assert known == {0: 4, 1: 3, 2: 4, 3: 2}
+
+
 def test_longest_matches(spark):
     item = " ".join(f"w{k}" for k in range(30))
     text = "a b " + " ".join(f"w{k}" for k in range(5, 25)) + " c " + " ".join(f"w{k}" for k in range(12)) + " w12x"
@@ -189,6 +238,21 @@ def test_jaccard_links_through_rows_without_id(spark):
     assert sorted(str(r.component_id) for r in got) == ["3", "3", "3", "3", "8", "None"]
 
 
+def test_jaccard_of_textual_ids_and_clashing_columns(spark):
+    docs = frame(spark, ["a b c d e f", "A b c d e f", "other words in here", None]).withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))
+    assert {r.doc_id: r.component_id for r in ngramjoin.jaccard_components(docs, 3, 90).collect()} == {"d0": "d0", "d1": "d0", "d2": "d2", "d3": "d3"}
+    docs = docs.withColumns({c: F.lit(1) for c in ("gone", "_gone", "component_id", "n_shingles", "_k1", "s")})
+    assert sorted(r.doc_id for r in ngramjoin.keep_one(docs).collect()) == ["d0", "d2", "d3"]
+
+
+def test_jaccard_in_blocks_of_a_group(spark, monkeypatch):
+    monkeypatch.setattr(ngramjoin, "GROUP", 3)
+    rng.seed(5)
+    texts = near_texts()
+    got = ngramjoin.jaccard_components(frame(spark, texts), 2, 50).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == plain_components(texts, range(len(texts)), 2, 50)
+
+
 def test_jaccard_chains_and_keeps(spark):
     words = [f"w{k}" for k in range(200)]
     texts = [" ".join(words[:k] + [f"v{j}" for j in range(k, 200)]) for k in range(200, 150, -2)]  # neighbours link, ends don't
