@@ -451,7 +451,17 @@ def test_sharding(spark, law):
 def test_sharding_edges(spark):
     assert sharding.assign(frame(spark, []), 4).count() == 0
     rows = sharding.assign(frame(spark, ["a"] * 5, [1] * 5), 4).collect()
-    assert len({r.shard for r in rows}) == 1 and sorted(r.slot for r in rows) == list(range(5))
+    assert sorted((r.shard, r.slot) for r in rows) == [(k, s) for k, n in enumerate(collections.Counter(r.shard for r in rows)[j] for j in range(4)) for s in range(n)]
+    repeated = sharding.assign(frame(spark, ["a"] * 103, [1] * 103).repartition(3), 4, "rows").collect()
+    counts = collections.Counter(r.shard for r in repeated)
+    assert len(counts) == 4 and max(counts.values()) - min(counts.values()) == 1
+    many = spark.range(0, 60_001, 1, 4).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "same").otherwise(F.concat(F.lit("t"), "id")).alias("text"))
+    counts = {r.shard: r for r in sharding.assign(many, 8, "rows").groupBy("shard").agg(F.count("*").alias("n"), F.max("slot").alias("top"), F.countDistinct("slot").alias("d")).collect()}
+    assert len(counts) == 8 and {r.n for r in counts.values()} <= {7500, 7501} and all(r.n == r.top + 1 == r.d for r in counts.values())
+    placed = many.select(F.col("doc_id").alias("_d"), F.col("doc_id").alias("_r"), F.shiftrightunsigned(F.xxhash64("text"), 1).alias("_u"), F.lit(0).alias("shard"))
+    numbered = sharding._numbered(placed, 60_001, 500)
+    cells = [r["count"] for r in numbered.groupBy("cell", "cut").count().collect()]
+    assert numbered.select("slot").distinct().count() == 60_001 and len(cells) < 3 * 120 and max(cells) <= 1000
     with pytest.raises(ValueError):
         sharding.assign(frame(spark, ["a"]), 4, "no such law")
 
