@@ -5,22 +5,24 @@ by a hash of the id) and one of each group that shares its smallest shingle,
 give counts of words and of word beginnings by label.  A feature's weight is the
 log-odds of its occurrences between the labels under a Dirichlet prior that
 spreads ``PRIOR`` of the sample's size over the features by their overall rates.
-It counts only if the like log-odds of documents are ``Z`` standard errors from
-zero and it is ``LEAST`` or more.  A word is weighed by its most specific
+It is decided if the like log-odds of documents are ``Z`` standard errors from
+zero; decided weights below zero count as they are, those above from ``LEAST``
+on.  A word is weighed by its most specific
 feature that is common and decided either way: the word, else its first 6, 5 or
 4 characters.
 
-Passages: a word scores its weight, divided by k at its k-th occurrence in a
-text, or ``-DRIFT`` without one.  One linear scan finds every maximal scoring
+Passages: a word of a positive weight scores that, divided by k at its k-th
+occurrence in a text, one of a negative weight that, and any other ``-DRIFT``.  One linear scan finds every maximal scoring
 segment.  Segment scores become E-values by the extreme-value law of local
 scores, ``E = K n exp(-lambda S)``, where lambda solves the balance equation of
-clean text.  A document's evidence is the sum over its segments of ``-ln P``,
+clean labelled text and K is the least that bounds its segments of every score.  A document's evidence is the sum over its segments of ``-ln P``,
 where ``P = 1 - exp(-E)`` is the chance of such a segment in clean text; a
 logistic curve, fitted on the same labelled rows, turns that into a probability.
 Segments with P of at most ``P_MOST`` are reported as passages.
 
 The weight table is bounded by the bound of the sample and goes to every task;
-texts are read where they lie and never shuffled.
+texts are read where they lie and never shuffled.  Features are known by 64-bit
+hashes that are no polynomials: two given ones are alike with a chance of 2**-64.
 
 Defined cases: null and empty texts have no evidence and get the score of a text
 without segments; labels other than 0 and 1, and null ids, are not learned from;
@@ -45,11 +47,14 @@ PRIOR = 0.05
 Z = 4.0
 LEAST = 1.5
 DRIFT = 0.03
-K = 0.1
 P_MOST = 0.1
 THRESHOLD = 0.3
 #: Word beginnings, in characters, that are features besides the whole word.
 BEGINNINGS = (6, 5, 4)
+#: Clean segments that tell a rate.
+ENOUGH = 5
+#: Steps of scores in the background's histogram, and its ends.
+STEP, LOW, HIGH = 1 / 64, -16.0, 16.0
 #: A feature that this many labelled documents have is common enough to decide.
 COMMON = 8
 
@@ -74,6 +79,7 @@ class Weights:
         self.keys, self.weights = keys[order], weights[order]
 
     def of(self, words: textscan.Words) -> np.ndarray:
+        """The score of each word."""
         out = np.zeros(len(words.hashes))
         open_ = np.ones(len(words.hashes), bool)
         for h in features(words):
@@ -88,49 +94,40 @@ class Weights:
             new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])])
             first = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
             out[hits[key]] /= np.arange(len(key)) - first + 1
-        return out
-
-
-def segments(places: np.ndarray, scores: np.ndarray, drift: float = DRIFT) -> list[tuple[int, int, float]]:
-    """All maximal scoring segments (first, last, score), in linear time.
-
-    ``places`` and ``scores`` hold the positive words; every other word scores ``-drift``.
-    """
-    found: list[list] = []  # first, last, sum before, sum through
-    total, last = 0.0, -1
-    for place, score in zip(places.tolist(), scores.tolist(), strict=True):
-        total -= drift * (place - last - 1)
-        last = place
-        now = [place, place, total, total + score]
-        total += score
-        while found:
-            k = len(found) - 1
-            while k >= 0 and found[k][2] >= now[2]:
-                k -= 1
-            if k < 0 or found[k][3] >= now[3]:
+        return np.where(out > 0, out, np.minimum(out, -DRIFT))
+
+
+def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
+    """All maximal scoring segments (first, last, score) of words with these scores, in linear time."""
+    sums = np.cumsum(scores)
+    places = np.flatnonzero(scores > 0)
+    #: Of each segment so far: first, last, sum before it, sum through it, and the last one before it whose sum before is less.
+    found: list[tuple[int, int, float, float, int]] = []
+    for place, through, score in zip(places.tolist(), sums[places].tolist(), scores[places].tolist(), strict=True):
+        first, before, back = place, through - score, len(found) - 1
+        while True:
+            while back >= 0 and found[back][2] >= before:
+                back = found[back][4]
+            if back < 0 or found[back][3] >= through:
                 break
-            now = [found[k][0], place, found[k][2], now[3]]
-            del found[k:]
-        found.append(now)
-    return [(a, b, r - l) for a, b, l, r in found]
+            first, _, before, _, earlier = found[back]
+            del found[back:]
+            back = earlier
+        found.append((first, place, before, through, back))
+    return [(a, b, r - l) for a, b, l, r, _ in found]
 
 
 class Model:
-    def __init__(self, weights: Weights, lam: float, curve: tuple[float, float]) -> None:
-        self.weights, self.lam, self.curve = weights, lam, curve
+    def __init__(self, weights: Weights, lam: float, k: float, curve: tuple[float, float]) -> None:
+        self.weights, self.lam, self.k, self.curve = weights, lam, k, curve
 
     def segments(self, words: textscan.Words):
         """(text, first word, last word, score, chance in clean text) of each segment."""
         w = self.weights.of(words)
-        hits = np.flatnonzero(w > 0)
-        doc = np.searchsorted(words.first, hits, side="right") - 1
-        cut = np.flatnonzero(np.diff(doc)) + 1
-        for some, of in zip(np.split(hits, cut), np.split(doc, cut), strict=True):
-            if len(some):
-                d = int(of[0])
-                n = int(words.first[d + 1] - words.first[d])
-                for a, b, s in segments(some - words.first[d], w[some]):
-                    yield d, a, b, s, -math.expm1(-K * n * math.exp(-self.lam * s))
+        for d in np.unique(np.searchsorted(words.first, np.flatnonzero(w > 0), side="right") - 1).tolist():
+            first, last = int(words.first[d]), int(words.first[d + 1])
+            for a, b, s in segments(w[first:last]):
+                yield d, a, b, s, -math.expm1(-self.k * (last - first) * math.exp(-self.lam * s))
 
     def evidence(self, words: textscan.Words) -> np.ndarray:
         out = np.zeros(words.n_docs)
@@ -188,7 +185,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None, rows
     ids, y = ids[order], y[order]
     n = np.bincount(y, minlength=2)
     if n.min() == 0:
-        return Model(Weights(np.zeros(0, np.uint64), np.zeros(0)), 1.0, (40.0 if n[1] else -40.0, 0.0))
+        return Model(Weights(np.zeros(0, np.uint64), np.zeros(0)), 1.0, 1.0, (40.0 if n[1] else -40.0, 0.0))
     shared = spark.sparkContext.broadcast((ids, y))
 
     def counted(which: int, only=None):
@@ -228,21 +225,27 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None, rows
         return out[1:], (out / np.sqrt(1 / (toxic + prior) + 1 / (clean + prior)))[1:]
 
     z, weight = odds(d1, d0)[1], odds(c1, c0)[0]
-    keep = ((d1 + d0)[1:] >= COMMON) & (np.abs(z) >= Z)
-    weights = Weights(keys[1:][keep], np.where((z >= Z) & (weight >= LEAST), weight, 0.0)[keep])
-    model = Model(weights, 1.0, (0.0, 1.0))
+    keep = ((d1 + d0)[1:] >= COMMON) & ((z >= Z) | (weight < 0))
+    weights = Weights(keys[1:][keep], np.where((weight >= LEAST) | (weight < 0), weight, 0.0)[keep])
+    model = Model(weights, 1.0, 1.0, (0.0, 1.0))
     shared_weights = spark.sparkContext.broadcast(weights)
+    steps = int((HIGH - LOW) / STEP) + 1
 
     def background(batches):
-        """Of clean labelled texts: words by weight in quarters."""
-        total = np.zeros(81, np.int64)
+        """Of clean labelled texts: words by score, and segments by score."""
+        total = np.zeros((2, steps), np.int64)
+        at = lambda x: np.rint((np.clip(x, LOW, HIGH) - LOW) / STEP).astype(np.int64)
         for label, part in learned(batches):
-            w = shared_weights.value.of(textscan.scan(part.column(1).filter(pa.array(label == 0)), textscan.ALNUM))
-            total += np.bincount(np.minimum((w * 4).astype(np.int64), 80), minlength=81)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(81)), pa.array(total)], names=["q", "n"])
-
-    rows = texts.mapInArrow(background, "q long, n long").groupBy("q").agg(F.sum("n").alias("n")).where("n > 0").collect()
-    model.lam = _lambda({r.q / 4: r.n for r in rows})
+            words = textscan.scan(part.column(1).filter(pa.array(label == 0)), textscan.ALNUM)
+            model = Model(shared_weights.value, 1.0, 1.0, (0.0, 1.0))
+            total[0] += np.bincount(at(shared_weights.value.of(words)), minlength=steps)
+            total[1] += np.bincount(at(np.array([s for _, _, _, s, _ in model.segments(words)], float)), minlength=steps)
+        kind, q = np.nonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(q), pa.array(total[kind, q])], names=["kind", "q", "n"])
+
+    rows = texts.mapInArrow(background, "kind long, q long, n long").groupBy("kind", "q").agg(F.sum("n").alias("n")).collect()  # at most two histograms
+    model.lam = _lambda({LOW + r.q * STEP: r.n for r in rows if r.kind == 0})
+    model.k = _k({LOW + r.q * STEP: r.n for r in rows if r.kind == 1}, sum(r.n for r in rows if r.kind == 0), model.lam)
     shared_model = spark.sparkContext.broadcast(model)
 
     def evidence(batches):
@@ -273,12 +276,22 @@ def _per_text(words: textscan.Words, only: np.ndarray | None) -> tuple[np.ndarra
     return h[group].view(np.int64), np.diff(np.append(group, len(h))), np.add.reduceat(times, group) if len(group) else group
 
 
+def _k(segments: dict[float, int], words: int, lam: float) -> float:
+    """The least K for which ``K words exp(-lambda s)`` is nowhere below the number of segments of s or more, where that is ENOUGH."""
+    best, above = 0.5 / (words + 1), 0
+    for s in sorted(segments, reverse=True):
+        above += segments[s]
+        if above >= ENOUGH:
+            best = max(best, above / words * math.exp(lam * s))
+    return best
+
+
 def _lambda(counts: dict[float, int]) -> float:
     """Solves sum p(s) exp(lambda s) = 1 for clean text, with one more word of each score seen."""
-    s = np.array([w if w > 0 else -DRIFT for w in counts], float)
-    p = np.array([c + 1 for w, c in counts.items()], float)
+    s = np.array(list(counts), float)
+    p = np.array(list(counts.values()), float) + 1
     p /= p.sum()
-    if s.max() <= 0 or (p * s).sum() >= 0:
+    if s.max(initial=0) <= 0 or (p * s).sum() >= 0:
         return 1.0
     low, high = 1e-9, 1.0
     while (p * np.exp(np.minimum(high * s, 700))).sum() < 1:

@@ -592,12 +592,20 @@ def plain_segments(scores):
 
 def test_segments():
     for _ in range(300):
-        scores = [rng.choice([-0.5, -0.5, -0.5, 0.7, 1.3, 2.1]) for _ in range(rng.randrange(14))]
-        places = np.array([k for k, s in enumerate(scores) if s > 0], np.int64)
-        got = toxicity.segments(places, np.array([scores[k] for k in places]), 0.5)
+        scores = [rng.choice([-0.5, -0.5, -0.51, -1.7, 0.7, 1.3, 2.1]) for _ in range(rng.randrange(14))]
+        got = toxicity.segments(np.array(scores, float))
         assert [(a, b) for a, b, _ in got] == plain_segments(scores) and all(abs(s - sum(scores[a : b + 1])) < 1e-9 for a, b, s in got)
 
 
+@pytest.mark.parametrize("scores", [[1.0, -1.5] * 100_000, [1.0, -0.5] * 100_000, [3.0, *[-0.01, 0.005] * 100_000], np.sin(np.arange(200_000.0)).tolist(), [1.0] * 200_000])
+def test_segments_take_linear_time(scores):
+    import time
+
+    start = time.process_time()
+    assert toxicity.segments(np.array(scores))
+    assert time.process_time() - start < 3
+
+
 def test_toxicity(spark):
     texts, labels = [], []
     for k in range(400):
