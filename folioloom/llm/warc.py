@@ -1,19 +1,25 @@
-"""WARC archives: a writer, and a sequential reader that trusts nothing.
+"""WARC archives: a writer, and a sequential reader of these and of others' archives.
 
 An archive is a sequence of gzip members, one record each, and is kept as one
 binary row of a table in the shared folder, so it is written and read by any
 executor through Spark alone; archives close at about ``ARCHIVE_BYTES``.  The
 reader feeds an archive to zlib in small pieces, takes each member's header,
-then exactly Content-Length bytes, checks block and payload digests and that
-member and record end together, and goes on with the bytes that zlib left over.
+then exactly Content-Length bytes, checks the block and payload digests that the
+record states and that member and record end together, and goes on with the bytes
+that zlib left over.  Records of all types are read: of those that hold an HTTP
+message the payload is its body, of others the whole block; ids of any form are
+``record_id``, and those that this writer gives are page ids too.
 
 Of records with equal payloads the one with the largest page_id is the response
 and the others revisit it.  That is settled on (id, digest, size) alone.
 
 Defined cases: a null html is an empty payload; a null page_id never wins over
 an id, and stays null; rows that repeat a page's id and payload are all
-responses or all revisits; a damaged record is returned with ``valid`` false and
-ends its archive.
+responses or all revisits.  A record with a wrong digest or without a type or id
+is returned with ``valid`` false and reading goes on; one whose framing is broken,
+or whose header has more than ``HEADER_BYTES``, ends its archive with a row that
+is not valid; of one of more than ``RECORD_BYTES`` everything but the payload is
+returned, not valid.
 """
 
 from __future__ import annotations
@@ -33,9 +39,26 @@ from .common import Scratch
 
 ARCHIVE_BYTES = 8 << 20
 READ_BYTES = 64 << 10
+HEADER_BYTES = 1 << 20
+RECORD_BYTES = 1 << 30
 LEVEL = 6
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-RECORDS = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary, valid boolean"
+RECORDS = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary, valid boolean, record_id string, refers_to_record string"
+_SCHEMA = pa.schema(
+    [
+        ("page_id", pa.int64()),
+        ("url", pa.string()),
+        ("record_type", pa.string()),
+        ("refers_to", pa.int64()),
+        ("payload_bytes", pa.int64()),
+        ("payload_digest", pa.string()),
+        ("payload", pa.binary()),
+        ("valid", pa.bool_()),
+        ("record_id", pa.string()),
+        ("refers_to_record", pa.string()),
+    ]
+)
+_BROKEN = (None,) * 7 + (False, None, None)
 
 
 def digest(data: bytes) -> str:
@@ -47,8 +70,17 @@ def _name(page_id: int | None) -> str:
 
 
 def _page(name: str | None) -> int | None:
+    """The page id in a record id of this writer's form."""
     inner = (name or "").removeprefix("<urn:page:").removesuffix(">")
-    return int(inner) if inner else None
+    return int(inner) if inner.removeprefix("-").isdecimal() and len(inner) < 20 else None
+
+
+def _agrees(said: str | None, data: bytes) -> bool:
+    """Whether a stated SHA-1, in base32 or hexadecimal, is that of the data; other digests are not checked."""
+    kind, _, value = (said or "").partition(":")
+    if kind.lower() != "sha1":
+        return True
+    return value.upper() == digest(data) if len(value) == 32 else value.lower() == hashlib.sha1(data).hexdigest()
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool) -> bytes:
@@ -91,7 +123,7 @@ class _Member:
         seen = 0
         while (k := self.held.find(mark, max(0, seen - len(mark)))) < 0:
             seen = len(self.held)
-            if not self.more():
+            if seen > HEADER_BYTES or not self.more():
                 raise ValueError("a record's header has no end")
         out = bytes(self.held[:k])
         del self.held[: k + len(mark)]
@@ -105,6 +137,14 @@ class _Member:
         del self.held[:n]
         return out
 
+    def skip(self, n: int) -> None:
+        while n > 0:
+            if not self.held and not self.more():
+                raise ValueError("a record is shorter than it says")
+            some = min(n, len(self.held))
+            del self.held[:some]
+            n -= some
+
     def end(self) -> int:
         while self.more():
             pass
@@ -114,7 +154,7 @@ class _Member:
 
 
 def _fields(head: bytes) -> dict[str, str]:
-    lines = head.decode("utf-8").split("\r\n")
+    lines = head.decode("utf-8", "replace").split("\r\n")
     return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
 
 
@@ -125,22 +165,44 @@ def read(data: bytes) -> Iterator[tuple]:
         try:
             member = _Member(view, at)
             head = member.until(b"\r\n\r\n")
-            if not head.startswith(b"WARC/1."):
+            if not head.startswith(b"WARC/"):
                 raise ValueError("no WARC record")
             f = _fields(head)
-            block = member.take(int(f["content-length"]))
+            size = int(f["content-length"])
+            if size < 0:
+                raise ValueError("a record of less than no bytes")
+            block = None
+            if size <= RECORD_BYTES:
+                block = member.take(size)
+            else:
+                member.skip(size)
             if member.take(4) != b"\r\n\r\n":
                 raise ValueError("a record runs on")
             at = member.end()
-            http, _, payload = block.partition(b"\r\n\r\n")
-            revisit = f["warc-type"] == "revisit"
-            said = f["warc-payload-digest"].removeprefix("sha1:")
-            valid = f["warc-block-digest"] == "sha1:" + digest(block) and (revisit or digest(payload) == said)
-            size = int(_fields(http)["content-length"]) if revisit else len(payload)
-            yield _page(f["warc-record-id"]), f.get("warc-target-uri"), f["warc-type"], _page(f.get("warc-refers-to")), size, said, None if revisit else payload, valid
         except (ValueError, KeyError, zlib.error):
-            yield None, None, None, None, None, None, None, False
+            yield _BROKEN
             return
+        yield _row(f, size, block)
+
+
+def _row(f: dict[str, str], size: int, block: bytes | None) -> tuple:
+    kind, name, refers = f.get("warc-type"), f.get("warc-record-id"), f.get("warc-refers-to")
+    said = f.get("warc-payload-digest")
+    valid = block is not None and kind is not None and name is not None and _agrees(f.get("warc-block-digest"), block)
+    payload, http = block, {}
+    if block is not None and f.get("content-type", "").lower().startswith("application/http"):
+        message, _, payload = block.partition(b"\r\n\r\n")
+        http = _fields(message)
+    if kind == "revisit":  # the payload stands in another record; the HTTP header may tell its size
+        stated = http.get("content-length", "")
+        size, payload = int(stated) if stated.isdecimal() and len(stated) < 19 else None, None
+    elif payload is not None:
+        size, valid = len(payload), valid and _agrees(said, payload)
+    if said is not None:
+        bare = said.partition(":")[2] or said
+    else:
+        bare = None if payload is None else digest(payload)
+    return _page(name), f.get("warc-target-uri"), kind, _page(refers), size, bare, payload, valid, name, refers
 
 
 def archives(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
@@ -179,7 +241,8 @@ def archives(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
 
 def records(stored: DataFrame, column: str = "data") -> DataFrame:
     """The records of archives that a binary column holds."""
-    schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary()), ("valid", pa.bool_())])
+    def rows(held: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), _SCHEMA, strict=True)], schema=_SCHEMA)
 
     def run(batches):
         for batch in batches:
@@ -189,10 +252,10 @@ def records(stored: DataFrame, column: str = "data") -> DataFrame:
                     held.append(row)
                     size += len(row[6] or b"")
                     if size > textscan.SLICE_BYTES or len(held) >= 5000:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+                        yield rows(held)
                         held, size = [], 0
                 if held:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+                    yield rows(held)
 
     return stored.select(column).mapInArrow(run, RECORDS)
 

@@ -274,7 +274,7 @@ def test_components(spark):
 
 
 def test_warc(spark):
-    pages = [(1, "http://a/", "<p>é</p>"), (5, None, "<p>é</p>"), (3, "u\r\nX: y", "<p>é</p>"), (2, "b", ""), (9, "b", None), (None, "c", "<p>é</p>"), (4, "d", "x" * 300_000), (6, "e", "only"), (5, None, "<p>é</p>")]
+    pages = [(1, "http://a/", "<p>é</p>"), (5, None, "<p>é</p>"), (3, "u\r\nX: y", "<p>é</p>"), (2, "b", ""), (9, "b", None), (None, "c", "<p>é</p>"), (None, "c", "<p>é</p>"), (None, "c", None), (4, "d", "x" * 300_000), (6, "e", "only"), (5, None, "<p>é</p>")]
     df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("payload", F.lit(1))
     got = warc.round_trip(df).collect()
     top = {}
@@ -295,17 +295,50 @@ def test_warc_damage(tmp_path, spark):
     good = warc.record(1, "http://a/", b"abc", None, False)
     assert [r[0] for r in warc.read(good + warc.record(2, None, b"", 1, True))] == [1, 2]
     for bad in (good[:-5], b"junk", good[:20] + b"\xff" + good[21:]):
-        assert [r[-1] for r in warc.read(good + bad)] == [True, False]
+        assert [r[7] for r in warc.read(good + bad)] == [True, False]
     import zlib as z
 
     text = z.decompressobj(31).decompress(good)
     forged = z.compressobj(6, z.DEFLATED, 31)
     (row,) = warc.read(forged.compress(text.replace(b"abc", b"abd")) + forged.flush())
-    assert row[-1] is False
+    assert row[7] is False
     (tmp_path / "x.warc.gz").write_bytes(good)
     assert warc.read_files(spark, str(tmp_path)).first().page_id == 1
 
 
+def foreign(kind, block, *fields, length=None):
+    pack = zlib.compressobj(6, zlib.DEFLATED, 31)
+    head = ["WARC/1.0", f"WARC-Type: {kind}", *fields, f"Content-Length: {len(block) if length is None else length}"]
+    return pack.compress("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + pack.flush()
+
+
+def test_warc_of_others(spark, tmp_path, monkeypatch):
+    uuid = "WARC-Record-ID: <urn:uuid:0f-%d>"
+    http = "Content-Type: application/http;msgtype=response"
+    body = b"<p>hello</p>"
+    reply = b"HTTP/1.1 200 OK\r\nContent-Length: 12\r\n\r\n" + body
+    hex_, b32 = hashlib.sha1(body).hexdigest(), base64.b32encode(hashlib.sha1(body).digest()).decode()
+    data = foreign("warcinfo", b"software: other\r\n", uuid % 1, "Content-Type: application/warc-fields")
+    data += foreign("request", b"GET / HTTP/1.1\r\nHost: a\r\n\r\n", uuid % 2, "Content-Type: application/http;msgtype=request", "WARC-Target-URI: http://a/")
+    data += foreign("response", reply, uuid % 3, http, "WARC-Target-URI: http://a/", f"WARC-Payload-Digest: sha1:{b32}")
+    data += foreign("response", reply, uuid % 4, http, f"WARC-Payload-Digest: sha1:{hex_}", "WARC-Block-Digest: md5:00")
+    data += foreign("response", reply, uuid % 5, http, f"WARC-Payload-Digest: sha1:{'A' * 32}")
+    data += foreign("revisit", b"", uuid % 6, http, "WARC-Refers-To: <urn:uuid:0f-3>")
+    data += foreign("metadata", b"via: x", uuid % 7) + foreign("response", b"", http)
+    (tmp_path / "x.warc.gz").write_bytes(data)
+    got = warc.read_files(spark, str(tmp_path)).collect()
+    assert [r.record_type for r in got] == ["warcinfo", "request", "response", "response", "response", "revisit", "metadata", "response"]
+    assert [r.valid for r in got] == [True, True, True, True, False, True, True, False]
+    assert [r.record_id for r in got] == [f"<urn:uuid:0f-{k}>" for k in range(1, 8)] + [None] and {r.page_id for r in got} == {None}
+    assert got[2].payload == body and got[2].payload_digest == b32 and got[2].url == "http://a/" and got[3].payload_digest == hex_
+    assert got[5].refers_to_record == "<urn:uuid:0f-3>" and got[5].payload is None and got[6].payload == b"via: x"
+    for length in (-1, 10**12, "x"):
+        assert [r[7] for r in warc.read(foreign("response", reply, uuid % 1, length=length) + data)] == [False]
+    monkeypatch.setattr(warc, "RECORD_BYTES", 10)
+    assert [(r[2], r[7]) for r in warc.read(foreign("response", reply, uuid % 1) + foreign("metadata", b"x", uuid % 2))] == [("response", False), ("metadata", True)]
+    assert [r[7] for r in warc.read(foreign("metadata", b"x", "X: " + "y" * 3_000_000))] == [False]
+
+
 # ---- 4 --------------------------------------------------------------------------------------------------------------
 
 
