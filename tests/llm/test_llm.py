@@ -518,6 +518,69 @@ def test_page_text():
     assert htmltext.Page("<div class='sidebar-layout'><p>all there is</p></div>").text(None) == "all there is"
 
 
+def test_page_keeps_article_classes():
+    html = "<article><div class='hidden-gems'><p>one</p></div><p class='share-price'>two</p><div class='search-history'>three</div><p>four</p><div class='ad-slot'>no</div><div id='reader-comments'>no</div></article>"
+    assert htmltext.Page(html).text(None) == "one\n\ntwo\n\nthree\n\nfour"
+
+
+def test_pages_as_made():
+    """Pages whose text is known as they are made: blocks of an article, with other parts strewn in."""
+    made = random.Random(4)
+    word = lambda: "".join(made.choice("abcdeé&") for _ in range(made.randrange(1, 8)))
+    words = lambda: " ".join(word() for _ in range(made.randrange(3, 30)))
+    escape = lambda t: t.replace("&", made.choice(["&amp;", "&#38;", "&#x26;"])).replace(" ", made.choice([" ", "\n ", "  \t"]))
+    noise = ["<nav><a href=x>%s</a></nav>", "<div class='ad'>%s</div>", "<aside><p>%s</p></aside>", "<form><p>%s</p></form>", "<script>if (a</b) '<p>%s</p>'</script>", "<div role=search>%s</div>", "<!-- <p>%s</p> -->", "<div class='cookie-notice'><b>%s</b></div>", "<style>%s</style>", "<ul class='share-buttons'><li>%s</ul>"]
+    for _ in range(150):
+        body, want = [], []
+
+        def block(depth):
+            kind = made.randrange(8 if depth < 4 else 5)
+            if kind > 5:
+                body.append(made.choice(["<div>", "<section class='hidden-gems'>", "<blockquote class=x1>"]))
+                tag = body[-1][1:].split()[0].rstrip(">")
+                for _ in range(made.randrange(1, 4)):
+                    block(depth + 1)
+                body.append(f"</{tag}>")
+            elif kind == 5:
+                body.append(made.choice(noise) % escape(words()).replace("<", ""))
+            else:
+                text = words()
+                want.append(text)
+                first, _, rest = escape(text).partition(" ")
+                body.append(made.choice(["<p>%s</p>", "<p class='share-price'>%s</p>", "<h2>%s</h2>", "<p>%s", "<ul><li>%s</ul>"]) % (f"<i>{first}</i> {rest}" if rest else first))
+
+        for _ in range(made.randrange(3, 9)):
+            block(0)
+        html = "<html><body>" + noise[0] % "menu" + "<article>" + "".join(body) + "</article><footer>foot</footer></body></html>"
+        assert htmltext.Page(html).text(None) == "\n\n".join(want)
+
+
+@pytest.mark.parametrize("html", ["<div>" * 50_000 + "deep", "<div class='a b'>" * 50_000 + "deep" + "</div>" * 50_000, "<div>" * 50_000 + "</p>" * 50_000 + "deep", "<b>" * 50_000 + "</i>" * 50_000 + "deep", "<b>" * 50_000 + "<p>deep</b>" * 50_000, "<ul><li>" * 25_000 + "deep", "<table><tr><td>" * 20_000 + "deep", "<p class='share-price'>deep" * 50_000])
+def test_page_takes_linear_time(html):
+    import time
+    import tracemalloc
+
+    start = time.process_time()
+    page = htmltext.Page(html)
+    assert "deep" in page.text(None) and time.process_time() - start < 10
+    page.best(), page.doubtful()
+    tracemalloc.start()
+    htmltext.Page(html[:200_000])
+    assert tracemalloc.get_traced_memory()[1] < 60e6
+    tracemalloc.stop()
+
+
+def test_doubtful_names_are_voted_on(spark):
+    page = "<article><p>Story {k} tells of many things.</p><div class='share-price'>{a}</div><div class='related-gems'>{b}</div></article>"
+    rows = [(k, "http://h/", page.format(k=k, a=f"price {k}", b="<a href=x>see also %d</a>" % k)) for k in range(4)]
+    rows += [(k, "http://g/", page.format(k=k, a="always the same", b=f"gem {k}")) for k in range(10, 14)]
+    for hosts in (100, 0):
+        got = {r.page_id: r.text for r in htmltext.main_text(spark.createDataFrame(rows, "page_id long, url string, html string"), hosts).collect()}
+        for k in range(4):
+            assert got[k] == f"Story {k} tells of many things.\n\nprice {k}"
+            assert got[k + 10] == f"Story {k + 10} tells of many things.\n\ngem {k + 10}"
+
+
 def test_main_text(spark):
     short = "<html><body class='x'><div class='page page-7'><article><p>brief</p></article></div><div class='long'><p>" + "noise " * 200 + "</p></div></body></html>"
     pages = [(k, "http://Host.example/a", PAGE.replace("One", f"One{k}")) for k in range(5)] + [(9, "http://host.example:80/b", short), (10, None, None), (11, "no url", ""), (12, "http://other.example/", short), (None, "x", "<p>t</p>")]
