@@ -13,8 +13,7 @@ from pyspark.sql import types as T
 CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]"
 PHONE = r"(?U)(?<!\d)(1[3-9]\d)\d{4}(\d{4})(?!\d)"
 NATIONAL_ID = r"(?U)(?<!\d)([1-9]\d{5})\d{8}(\d{3}[\dXx])(?!\d)"
-EMAIL_NAME = r"a-zA-Z0-9_.+-"
-EMAIL_DOMAIN = r"[a-zA-Z0-9-]+\.[a-zA-Z0-9-.]+"
+EMAIL = r"([a-zA-Z0-9_.+-]+)@([a-zA-Z0-9-]+\.[a-zA-Z0-9-.]+)"
 #: What ends a line, besides the line feed, where text is cut into lines by Unicode rules.
 LINE_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
@@ -41,9 +40,9 @@ def nfkc(texts: pd.Series) -> pd.Series:
 
 
 def tidy_space(c: Column, compose: bool = True) -> Column:
-    """Composes, strips each line, runs of blanks to one, of three or more line feeds to two, strips the whole."""
+    """Composes, strips each line (any Unicode line end ends one), runs of blanks to one, of three or more line feeds to two, strips the whole."""
     c = nfkc(c) if compose else c
-    each = F.transform(F.split(c, "\n"), lambda x: F.regexp_replace(strip(x), r"[ \t]+", " "))
+    each = F.transform(lines(c), lambda x: F.regexp_replace(strip(x), r"[ \t]+", " "))
     return strip(F.regexp_replace(F.array_join(each, "\n"), r"\n{3,}", "\n\n"))
 
 
@@ -58,28 +57,17 @@ def mask_national_id(c: Column) -> Column:
 def mask_email(c: Column) -> Column:
     """Keeps the first and last character of a name of three or more, else the first and one star; the domain stays.
 
-    Two passes of look-around: short names, then every inner character of longer
-    ones.  Exact where no address follows another on one ``@`` chain; use
-    ``mask_email_exact`` where such chains matter.
+    Addresses are taken one by one from the left: what stands between them is
+    cut out by the same pattern, and the two are put together again.
     """
-    n = EMAIL_NAME
-    short = F.regexp_replace(c, rf"(?<![{n}])([{n}])[{n}]?(?=@{EMAIL_DOMAIN})", "$1*")
-    return F.regexp_replace(short, rf"(?<=[{n}])[{n}](?=[{n}]+@{EMAIL_DOMAIN})", "*")
+    between, found = F.split(c, EMAIL, -1), F.regexp_extract_all(c, F.lit(EMAIL), F.lit(0))
 
+    def mask(e: Column) -> Column:
+        n = F.instr(e, "@") - 1
+        name = F.when(n <= 2, F.concat(F.substring(e, 1, 1), F.lit("*"))).otherwise(F.concat(F.substring(e, 1, 1), F.repeat(F.lit("*"), n - 2), F.substring(e, n, F.lit(1))))
+        return F.concat(name, F.substring(e, n + 1, F.length(e)))
 
-@F.pandas_udf(T.StringType())
-def mask_email_exact(texts: pd.Series) -> pd.Series:
-    """The same rule, address by address from the left."""
-    import re
-
-    found = re.compile(rf"([{EMAIL_NAME}]+)@({EMAIL_DOMAIN})")
-
-    def mask(m: re.Match) -> str:
-        name = m[1]
-        kept = name[0] + "*" if len(name) <= 2 else name[0] + "*" * (len(name) - 2) + name[-1]
-        return f"{kept}@{m[2]}"
-
-    return texts.map(lambda t: t if t is None or "@" not in t else found.sub(mask, t))
+    return F.when(c.contains("@"), F.array_join(F.zip_with(between, F.transform(found, mask), lambda x, e: F.concat(x, F.coalesce(e, F.lit("")))), "")).otherwise(c)
 
 
 def mask_personal(c: Column) -> Column:

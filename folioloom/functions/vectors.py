@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Fixed values of the text-hash embedding.
 DIMENSION = 1536
@@ -40,8 +43,18 @@ def seed(text: Column) -> Column:
     return out
 
 
+def hashed(seeds: np.ndarray, dimension: int = DIMENSION) -> np.ndarray:
+    """The text-hash vectors of these seeds, a row each."""
+    return np.round((seeds[:, None] + np.arange(dimension) * STRIDE) % MODULUS / SCALE - 1, 6)
+
+
 def text_hash_vector(text: Column, dimension: int = DIMENSION) -> Column:
     """A deterministic stand-in for an embedding; not of unit length."""
-    places = F.sequence(F.lit(0), F.lit(dimension - 1))
-    one = F.transform(F.array(seed(text)), lambda s: F.transform(places, lambda i: F.round(((s + i * STRIDE) % MODULUS) / F.lit(float(SCALE)) - 1, 6)))
-    return one[0]  # bound as an array's only item, the seed is computed once
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def vector(seeds: pd.Series) -> pd.Series:
+        found, which = np.unique(seeds.to_numpy(), return_inverse=True)
+        rows = list(hashed(found, dimension))
+        return pd.Series([rows[k] for k in which])
+
+    return F.when(text.isNotNull(), vector(F.coalesce(seed(text), F.lit(0))))

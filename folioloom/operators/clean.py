@@ -30,10 +30,9 @@ def tidy_space(df: DataFrame, compose: bool = True) -> DataFrame:
     return df.withColumn("content", F.when(keep, F.col("content")).otherwise(text.tidy_space(F.col("content"), compose)))
 
 
-def mask_personal(df: DataFrame, exact_email: bool = False) -> DataFrame:
+def mask_personal(df: DataFrame) -> DataFrame:
     """Masks phones, national ids and e-mail addresses in content, of every type; raw content stays."""
-    masked = text.mask_national_id(text.mask_phone(F.col("content")))
-    return df.withColumn("content", text.mask_email_exact(masked) if exact_email else text.mask_email(masked))
+    return df.withColumn("content", text.mask_personal(F.col("content")))
 
 
 def long_enough(least: int = 3) -> Column:

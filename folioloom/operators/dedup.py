@@ -88,15 +88,23 @@ def distance(a: Column, b: Column) -> Column:
 _PLACES = np.arange(BITS - 1, -1, -1, dtype=np.uint64)
 
 
-def _hash(norm: str, known: dict[str, np.ndarray]) -> np.uint64:
-    pairs = [norm] if len(norm) <= 3 else [norm[i : i + 2] for i in range(len(norm) - 1)]
-    votes = np.zeros(BITS, np.int64)
-    for p in pairs:
-        bits = known.get(p)
-        if bits is None:
-            bits = known[p] = (np.uint64(int(hashlib.md5(p.encode()).hexdigest()[:16], 16)) >> _PLACES & np.uint64(1)).astype(np.int64) * 2 - 1
-        votes += bits
-    return np.sum((votes > 0).astype(np.uint64) << _PLACES, dtype=np.uint64)
+class _Pairs:
+    """The bits of character pairs, as +1 and -1, a row for each pair met so far."""
+
+    def __init__(self) -> None:
+        self.place: dict[str, int] = {}
+        self.bits = np.zeros((1024, BITS), np.int32)
+
+    def fingerprint(self, norm: str) -> np.uint64:
+        pairs = [norm] if len(norm) <= 3 else [norm[i : i + 2] for i in range(len(norm) - 1)]
+        place = self.place
+        for p in set(pairs) - place.keys():
+            if len(place) == len(self.bits):
+                self.bits = np.concatenate([self.bits, np.zeros_like(self.bits)])
+            self.bits[len(place)] = (np.uint64(int(hashlib.md5(p.encode()).hexdigest()[:16], 16)) >> _PLACES & np.uint64(1)).astype(np.int32) * 2 - 1
+            place[p] = len(place)
+        votes = self.bits[[place[p] for p in pairs]].sum(axis=0)
+        return np.sum((votes > 0).astype(np.uint64) << _PLACES, dtype=np.uint64)
 
 
 def drop_near_duplicates(df: DataFrame, most: int = 10) -> DataFrame:
@@ -111,7 +119,7 @@ def drop_near_duplicates(df: DataFrame, most: int = 10) -> DataFrame:
     def first_come(table: pa.Table) -> pa.Table:
         order = np.argsort(table.column("element_idx").to_numpy(), kind="stable")
         norms = table.column("norm").to_pylist()
-        known: dict[str, np.ndarray] = {}
+        known = _Pairs()
         seen: set[str] = set()
         hashes, n, kept = np.zeros(len(norms), np.uint64), 0, []
         for i in order.tolist():
@@ -119,7 +127,7 @@ def drop_near_duplicates(df: DataFrame, most: int = 10) -> DataFrame:
             if norm in seen:
                 continue
             if len(norm) >= SHORTEST:
-                h = _hash(norm, known)
+                h = known.fingerprint(norm)
                 if n and int(np.bitwise_count(hashes[:n] ^ h).min()) <= most:
                     continue
                 hashes[n] = h

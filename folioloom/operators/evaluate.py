@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Lines of a bucket in which chunks and spans meet.
+LINES = 128
 HIT_HIGH, NOISE_HIGH, SATURATED, SKEWED = 0.6, 0.5, 0.95, 2
 
 
@@ -71,13 +73,23 @@ def agreement(scores: DataFrame, queries: DataFrame, strategies: list[str]) -> D
 
 
 def coverage(chunks: DataFrame, spans: DataFrame) -> DataFrame:
-    """Per query and strategy: how many of its spans some chunk of that strategy overlaps."""
-    strategies = chunks.select("strategy").distinct()
-    wanted = spans.crossJoin(F.broadcast(strategies))  # a handful of strategies
-    placed = chunks.select(F.col("strategy").alias("_t"), F.col("start_line").alias("_cs"), F.col("end_line").alias("_ce"))
-    met = (F.col("strategy") == F.col("_t")) & overlaps(F.col("_cs"), F.col("_ce"), F.col("start_line"), F.col("end_line"))
-    found = wanted.join(placed, met, "left")
-    return found.groupBy("qid", "strategy").agg(F.countDistinct("span_idx").alias("total"), F.countDistinct(F.when(F.col("_t").isNotNull(), F.col("span_idx"))).alias("covered"))
+    """Per query and strategy: how many of its spans some chunk of that strategy overlaps.
+
+    Chunks and spans meet by document, where both have ``doc_id``, and by buckets
+    of lines, so that no strategy's chunks gather in one task.
+    """
+    by = ["doc_id"] if "doc_id" in chunks.columns and "doc_id" in spans.columns else []
+    buckets = lambda start, end: F.explode(F.sequence(F.floor(start / LINES), F.floor(F.coalesce(end, start) / LINES)))
+    placed = chunks.where("start_line is not null and start_line <= coalesce(end_line, start_line)").select(*by, "strategy", F.col("start_line").alias("_cs"), F.col("end_line").alias("_ce")).distinct()
+    placed = placed.withColumn("_bucket", buckets(F.col("_cs"), F.col("_ce")))
+    wanted = spans.select(*by, "qid", "span_idx", "start_line", "end_line")
+    sought = wanted.where("start_line <= end_line").withColumn("_bucket", buckets(F.col("start_line"), F.col("end_line")))
+    met = sought.join(placed, [*by, "_bucket"]).where(overlaps(F.col("_cs"), F.col("_ce"), F.col("start_line"), F.col("end_line")))
+    covered = met.groupBy("qid", "strategy").agg(F.countDistinct("span_idx").alias("covered"))
+    totals = wanted.groupBy("qid").agg(F.countDistinct("span_idx").alias("total"))
+    strategies = chunks.select("strategy").distinct().agg(F.collect_set("strategy").alias("_s"))  # one row, of as many items as there are strategies
+    every = totals.crossJoin(strategies).select("qid", "total", F.explode("_s").alias("strategy"))
+    return every.join(covered, ["qid", "strategy"], "left").select("qid", "strategy", "total", F.coalesce("covered", F.lit(0)).cast("long").alias("covered"))
 
 
 def reading(hit: Column, noise: Column) -> Column:

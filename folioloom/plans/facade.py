@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import chunk as chunking
@@ -22,17 +22,17 @@ def parse_and_chunk(spark: SparkSession, path: str, strategy: str = "auto", clea
 
 
 def ingest(elements: DataFrame, store: VectorStore, collection: str, strategy: str = "auto", engine: str = "text_hash", clean: bool = True, once: bool = False) -> tuple[int, int]:
-    """Cleans, chunks, embeds and appends; (documents, chunks).  No chunks at all is an error."""
+    """Cleans, chunks, embeds and appends; (documents with chunks, chunks written), observed while writing.  No chunks at all is an error."""
     elements = cleaning.clean(elements) if clean else elements
     chunks, parents = chunking.chunk(elements, strategy)
     meta = F.to_json(F.struct("doc_id", "chunk_type", "header_path", "parent_id", "element_ids", "elements_count", "primary_element_type", "location"))
     rows = searching.embed(chunks.withColumn("metadata", meta), searching.engine(engine))
-    before = store.read(collection).count()
-    store.append(rows, collection, once)
-    written = store.read(collection).count() - before
-    if not written and not before:
+    seen, written = Observation(), Observation()
+    rows = rows.observe(seen, F.count_if(F.col("chunk_idx") == 0).alias("docs"), F.count("*").alias("n"))
+    store.append(rows, collection, once, written)
+    if not seen.get["n"] and store.read(collection).isEmpty():
         raise ValueError("the documents have no chunks")
-    return elements.select("doc_id").distinct().count(), written
+    return seen.get["docs"], written.get["n"]
 
 
 def search(store: VectorStore, collection: str, query: str, k: int = searching.K, engine: str = "text_hash") -> DataFrame:

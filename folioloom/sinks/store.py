@@ -5,7 +5,7 @@ from __future__ import annotations
 import logging
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import guards, text, vectors
@@ -37,12 +37,17 @@ class VectorStore:
     def __init__(self, spark: SparkSession, root: str, store: str = DEFAULT) -> None:
         self.spark, self.path = spark, f"{root.rstrip('/')}/{kind(store)}"
 
-    def append(self, rows: DataFrame, collection: str, once: bool = False) -> None:
-        """Appends rows (chunk_id, page_content, metadata, vector); with ``once`` those whose id is there already stay out."""
+    def append(self, rows: DataFrame, collection: str, once: bool = False, written: Observation | None = None) -> None:
+        """Appends rows (chunk_id, page_content, metadata, vector); with ``once`` those whose id is there already stay out.
+
+        ``written`` observes ``n``, the number of rows.
+        """
         rows = rows.select("chunk_id", "page_content", "metadata", F.col("vector").cast("array<double>").alias("vector"))
         rows = rows.withColumns({"norm": vectors.norm(F.col("vector")), "collection": F.lit(_checked(collection))})
         if once and (there := self._read(collection)) is not None:
             rows = rows.join(there.select("chunk_id").distinct(), "chunk_id", "left_anti")
+        if written is not None:
+            rows = rows.observe(written, F.count("*").alias("n"))
         rows.write.mode("append").partitionBy("collection").parquet(self.path)
 
     def _read(self, collection: str) -> DataFrame | None:
@@ -86,6 +91,15 @@ class ObjectStore:
         keys.select(guards.safe_key(F.col("key")).alias("key"), F.lit(None).cast("string").alias("value"), F.current_timestamp().alias("at"), F.lit(True).alias("deleted")).write.mode("append").parquet(self.path)
 
     def get(self) -> DataFrame:
-        """(key, value) of all that is there."""
-        last = self._log().groupBy("key").agg(F.max_by(F.struct("value", "deleted"), "at").alias("r"))
+        """(key, value) of all that is there; of a key that one write has several times the greatest value counts."""
+        last = self._log().groupBy("key").agg(F.max(F.struct("at", "deleted", "value")).alias("r"))
         return last.where("not r.deleted").select("key", "r.value")
+
+    def get_one(self, key: str) -> str | None:
+        """The value of one key, or null; the filter reaches the scan."""
+        row = self._log().where(F.col("key") == key).agg(F.max(F.struct("at", "deleted", "value")).alias("r")).select("r.*").first()
+        return None if row.deleted is None or row.deleted else row.value
+
+    def exists(self, key: str) -> bool:
+        row = self._log().where(F.col("key") == key).agg(F.max(F.struct("at", "deleted", "value")).alias("r")).select("r.*").first()
+        return row.deleted is False

@@ -10,7 +10,7 @@ import csv
 import io
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 
@@ -92,23 +92,35 @@ _UNREAD = frozenset("script style template".split())
 
 
 class _Node:
-    __slots__ = ("name", "attrs", "up", "kids", "start", "end")
+    __slots__ = ("name", "attrs", "up", "kids", "start", "end", "nth", "names")
 
     def __init__(self, name: str, attrs: dict, up: _Node | None, start: int) -> None:
         self.name, self.attrs, self.up, self.kids, self.start, self.end = name, attrs, up, [], start, start
+        self.names: dict[str, int] = {}  # how many kids have each name
+        self.nth = 0
+        if up is not None:
+            self.nth = up.names[name] = up.names.get(name, 0) + 1
+            up.kids.append(self)
+
+    def _below(self, skip: frozenset[str]) -> Iterator[_Node | str]:
+        """Everything below in page order, without what is in nodes of the skipped names; no recursion, however deep."""
+        open_ = [iter(self.kids)]
+        while open_:
+            for kid in open_[-1]:
+                if isinstance(kid, str):
+                    yield kid
+                elif kid.name not in skip:
+                    yield kid
+                    open_.append(iter(kid.kids))
+                    break
+            else:
+                open_.pop()
 
     def walk(self) -> Iterator[_Node]:
-        for kid in self.kids:
-            if isinstance(kid, _Node):
-                yield kid
-                yield from kid.walk()
+        return (x for x in self._below(frozenset()) if isinstance(x, _Node))
 
     def pieces(self) -> Iterator[str]:
-        for kid in self.kids:
-            if isinstance(kid, str):
-                yield kid
-            elif kid.name not in _UNREAD:
-                yield from kid.pieces()
+        return (x for x in self._below(_UNREAD) if isinstance(x, str))
 
     def text(self, separator: str) -> str:
         return separator.join(p for x in self.pieces() if (p := x.strip()))
@@ -119,8 +131,7 @@ class _Node:
             if node.attrs.get("id"):
                 parts.append(f"{node.name}#{node.attrs['id']}")
                 break
-            like = [k for k in node.up.kids if isinstance(k, _Node) and k.name == node.name]
-            parts.append(f"{node.name}:nth-of-type({like.index(node) + 1})" if len(like) > 1 else node.name)
+            parts.append(f"{node.name}:nth-of-type({node.nth})" if node.up.names[node.name] > 1 else node.name)
             node = node.up
         return " > ".join(reversed(parts))
 
@@ -131,6 +142,7 @@ class _Tree(HTMLParser):
     def __init__(self, html: str) -> None:
         super().__init__(convert_charrefs=True)
         self.html, self.root = html, _Node("", {}, None, 0)
+        self.open: dict[str, int] = {}  # how many open nodes have each name
         self.at, self.lines = self.root, [0, *(m.end() for m in re.finditer("\n", html))]
         self.feed(html)
         self.close()
@@ -143,14 +155,15 @@ class _Tree(HTMLParser):
 
     def _end(self, node: _Node, place: int) -> None:
         node.end = place
+        self.open[node.name] -= 1
         self.at = node.up
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         node = _Node(tag, {k: v or "" for k, v in reversed(attrs)}, self.at, self._place())
-        self.at.kids.append(node)
         node.end = node.start + len(self.get_starttag_text() or "")
         if tag not in _VOID:
             self.at = node
+            self.open[tag] = self.open.get(tag, 0) + 1
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -158,15 +171,11 @@ class _Tree(HTMLParser):
             self._end(self.at, self.at.end)
 
     def handle_endtag(self, tag: str) -> None:
-        node, open_ = self.at, []
-        while node is not self.root and node.name != tag:
-            open_.append(node)
-            node = node.up
-        if node is self.root:
+        if not self.open.get(tag):
             return
         start = self._place()
-        for inner in open_:
-            inner.end = start
+        while (node := self.at).name != tag:
+            self._end(node, start)
         close = self.html.find(">", start)
         self._end(node, close + 1 if close >= 0 else len(self.html))
 
@@ -188,44 +197,49 @@ def parse_html(html: str) -> Iterator[dict]:
         if src:
             yield element(node, "image", alt or src, src=src, alt=alt, **({"title": title} if title else {}))
 
-    def walk(node: _Node) -> Iterator[dict]:
-        for kid in node.kids:
-            if isinstance(kid, str) or kid.name in _SKIPPED:
-                continue
-            name = kid.name
-            if re.fullmatch("h[1-6]", name):
-                if words := kid.text(" "):
-                    yield element(kid, "heading", words, level=int(name[1]))
-            elif name == "table":
-                rows = [[c.text(" ") for c in tr.walk() if c.name in ("td", "th")] for tr in kid.walk() if tr.name == "tr"]
-                if rows := [r for r in rows if r]:
-                    yield element(kid, "table", table_markdown(rows), headers=rows[0], rows_count=len(rows))
-            elif name in ("ul", "ol"):
-                for li in kid.kids:
-                    if isinstance(li, _Node) and li.name == "li" and (words := li.text(" ")):
-                        yield element(li, "list_item", words, ordered=name == "ol")
-            elif name == "img":
-                yield from image(kid)
-            elif name == "pre":
-                code = next((n for n in kid.walk() if n.name == "code"), None)
-                names = code.attrs.get("class", "").split() if code else []
-                language = next((m[1] for c in names if (m := re.match("lang(?:uage)?-(.*)", c))), None)
-                yield element(kid, "code", "".join((code or kid).pieces()), **({"language": language} if language is not None else {}))
-            elif name == "p":
-                for n in kid.walk():
+    def table(node: _Node) -> Iterator[dict]:
+        rows = [[c.text(" ") for c in tr.walk() if c.name in ("td", "th")] for tr in node.walk() if tr.name == "tr"]
+        if rows := [r for r in rows if r]:
+            yield element(node, "table", table_markdown(rows), headers=rows[0], rows_count=len(rows))
+
+    def items(node: _Node) -> Iterator[dict]:
+        for li in node.kids:
+            if isinstance(li, _Node) and li.name == "li" and (words := li.text(" ")):
+                yield element(li, "list_item", words, ordered=node.name == "ol")
+
+    def code(node: _Node) -> Iterator[dict]:
+        inner = next((n for n in node.walk() if n.name == "code"), None)
+        names = inner.attrs.get("class", "").split() if inner else []
+        language = next((m[1] for c in names if (m := re.match("lang(?:uage)?-(.*)", c))), None)
+        yield element(node, "code", "".join((inner or node).pieces()), **({"language": language} if language is not None else {}))
+
+    def words(kind: str, separator: str = " ") -> Callable[[_Node], Iterator[dict]]:
+        def read(node: _Node) -> Iterator[dict]:
+            if kind == "paragraph":
+                for n in node.walk():
                     if n.name == "img":
                         yield from image(n)
-                if words := kid.text(" "):
-                    yield element(kid, "paragraph", words)
-            elif name == "blockquote":
-                if words := kid.text("\n"):
-                    yield element(kid, "blockquote", words)
-            elif name == "hr":
-                yield element(kid, "hr", "---")
-            else:
-                yield from walk(kid)
+            if found := node.text(separator):
+                yield element(node, kind, found, **({"level": int(node.name[1])} if kind == "heading" else {}))
+
+        return read
 
-    yield from walk(body)
+    readers = {f"h{k}": words("heading") for k in range(1, 7)}
+    readers |= {"p": words("paragraph"), "blockquote": words("blockquote", "\n"), "table": table, "ul": items, "ol": items, "img": image, "pre": code}
+    readers["hr"] = lambda node: iter([element(node, "hr", "---")])
+
+    open_ = [iter(body.kids)]
+    while open_:
+        for kid in open_[-1]:
+            if isinstance(kid, str) or kid.name in _SKIPPED:
+                continue
+            if kid.name in readers:
+                yield from readers[kid.name](kid)
+            else:
+                open_.append(iter(kid.kids))
+                break
+        else:
+            open_.pop()
 
 
 def html_title(html: str) -> str:

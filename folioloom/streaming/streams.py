@@ -34,5 +34,6 @@ def ingest(stream: DataFrame, store: VectorStore, collection: str, checkpoint: s
 
 
 def job_counts(log: DataFrame, window: str = "1 minute", late: str = "5 minutes") -> DataFrame:
-    """Jobs by status and time window of a stream (id, status, at timestamp); later records than ``late`` are dropped."""
-    return log.withWatermark("at", late).groupBy(F.window("at", window), "status").agg(F.approx_count_distinct("id").alias("n_jobs"))
+    """Jobs by status and time window of a stream (id, status, at timestamp), each job once; later records than ``late`` are dropped."""
+    once = log.withWatermark("at", late).select("id", "status", F.window("at", window).alias("window")).dropDuplicates(["id", "status", "window"])
+    return once.groupBy("window", "status").agg(F.count("*").alias("n_jobs"))

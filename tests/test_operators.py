@@ -50,7 +50,7 @@ def test_fingerprints_agree(spark):
     want = {k: f"{plain_fingerprint(''.join(t.split())):016x}" for k, t in enumerate(texts) if t.strip()}
     assert {r.element_idx: r.fingerprint for r in dedup.fingerprint_rows(df).collect()} == want
     assert {r.element_idx: r.f for r in df.select("element_idx", dedup.fingerprint(F.col("content")).alias("f")).collect() if r.element_idx in want} == want
-    assert {k: f"{int(dedup._hash(''.join(t.split()), {})):016x}" for k, t in enumerate(texts) if t.strip()} == want
+    assert {k: f"{int(dedup._Pairs().fingerprint(''.join(t.split()))):016x}" for k, t in enumerate(texts) if t.strip()} == want
 
 
 def test_near_duplicates_are_greedy(spark):

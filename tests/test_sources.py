@@ -168,6 +168,28 @@ def test_folder_and_failures(spark, tmp_path):
     assert sorted(r.file_path.rsplit("/", 1)[1] for r in failed.collect()) == ["bad.json", "scan.pdf"]
 
 
+def test_folder_with_names_that_spark_passes_by(spark, tmp_path):
+    for name in ("a.txt", "_intro.txt", "_posts/p.txt", ".note.txt", "sub/.deep/q.txt", "sub/_x.txt", ".venv/no.txt", "sub/.git/no.txt", "_posts/.idea/no.txt", "_bad.json"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("{" if "bad" in name else name, encoding="utf-8")
+    found, failed = readers.load_batch(spark, str(tmp_path))
+    assert sorted(r.content for r in found.collect()) == [".note.txt", "_intro.txt", "_posts/p.txt", "a.txt", "sub/.deep/q.txt", "sub/_x.txt"]
+    assert [r.file_path.rsplit("/", 1)[1] for r in failed.collect()] == ["_bad.json"]
+    assert sorted(r.name for r in readers.files(spark, str(tmp_path), recursive=False).collect()) == [".note.txt", "_bad.json", "_intro.txt", "a.txt"]
+    assert readers.load_batch(spark, str(tmp_path / "_intro.txt"))[0].first().content == "_intro.txt"
+
+
+def test_texts_that_fail_and_deep_pages(spark):
+    rows = spark.createDataFrame([(1, '{"a": 1}'), (2, "{"), (3, None)], "id long, t string")
+    found, failed = readers.parse_texts(rows, "json", "id", "t")
+    assert [r.content for r in found.collect()] == ["a: 1"] and sorted(r.file_path for r in failed.collect()) == ["2", "3"]
+    deep = "<div>" * 20_000 + "<p>at the bottom</p>" + "</i>" * 20_000
+    pages = spark.createDataFrame([(1, deep), (2, "<p>x</p>" * 20_000)], "id long, t string")
+    found, failed = readers.parse_texts(pages, "html", "id", "t")
+    assert failed.count() == 0 and {(r.doc_id, r["count"]) for r in found.groupBy("doc_id").count().collect()} == {("1", 1), ("2", 20_000)}
+    assert list(parse.parse_html(deep))[0]["selector"].startswith("div > div")
+
+
 def test_archives(spark, tmp_path):
     good = tmp_path / "a.zip"
     good.write_bytes(zipped({"zip_doc1.txt": "one", "folder/zip_doc2.txt": "two", "__pycache__/x.txt": "no"}))
@@ -224,6 +246,9 @@ def test_object_store(spark, tmp_path):
     time.sleep(0.01)
     store.delete(spark.createDataFrame([("b/c",)], "key string"))
     assert {r.key: r.value for r in store.get().collect()} == {"a": "3"}
+    put(("t", "1"), ("t", "2"))
+    assert store.get_one("t") == "2" and store.get_one("b/c") is None and store.get_one("none") is None
+    assert store.exists("a") and not store.exists("b/c") and not store.exists("none")
     with pytest.raises(Exception, match="no object key"):
         put(("../x", "1"))
 
