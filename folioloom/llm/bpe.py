@@ -2,21 +2,25 @@
 
 The tokenizer's own steps before the merges, composing, lower-casing and
 splitting by its pattern, never depend on what stands beside a word, so a text's
-ids are the ids of its words in order.  Words are split in Spark and counted;
-the most frequent ``TABLE_WORDS`` distinct words are encoded once each and form
-a table of bounded size that every task gets.  Within a task, all its texts'
-words go through that table by position; a word outside it is encoded once for
-the task's run of texts and joins a local table, which is emptied beyond
-``LOCAL_WORDS``.  Decoding maps ids to pieces through the vocabulary's id table.
-
-Splitting works on all code points of a slice of texts at once: a class for
-each character, the places where words begin, and a 64-bit hash of each word.
-Words exist as strings only when they are encoded.  Texts are never shuffled and
-every word of every text is encoded.
+ids are the ids of its words in order.
+
+1. Texts are split in Spark, in blocks of about ``BLOCK_BYTES``.  A block keeps,
+   for each text, the places of its words in the block's list of distinct words.
+   Words that have one hash are compared letter by letter.
+2. The blocks' distinct words are dealt out by their hash, so that every distinct
+   word meets itself in one task, which encodes it once.
+3. The ids return to the blocks and are joined back by position; the pieces of
+   the ids are joined to the distinct words by id, from the vocabulary's table of
+   pieces (as large as the tokenizer's file), and the texts put together from them.
+
+What is shuffled is one packed row for each (block, part of the words) there and
+back, and the blocks' places; texts are not.  No table of words is ever in one
+place: a task holds the words of its parts, and past ``LOCAL_WORDS`` begins anew.
 
 Defined cases: null and empty texts, and texts of white space, have no ids and
 decode to the empty string; the added tokens' strings in a text become their
-ids, as the library does; repeated rows get equal results.
+ids, as the library does; repeated rows get equal results; of the input's own
+columns, ``ids`` and ``decoded`` are replaced.
 """
 
 from __future__ import annotations
@@ -25,6 +29,7 @@ import hashlib
 import json
 import sys
 import unicodedata
+import zlib
 from functools import lru_cache
 
 import numpy as np
@@ -35,13 +40,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textscan
-from .common import Scratch, most_frequent
-
-TABLE_WORDS = 1 << 17
-LOCAL_WORDS = 400_000
-#: A word counts towards the table where it stands this often in a run of texts.
-COUNTED = 8
-SPLIT_BYTES = 2 << 20
+from .common import Scratch
+
+#: Text of a block, and text that is split at a time.
+BLOCK_BYTES, SPLIT_BYTES = 8 << 20, 2 << 20
+#: Text for each part of the distinct words, and the most parts.
+PART_BYTES, PARTS = 16 << 20, 1 << 16
+#: Distinct words that a task holds.
+LOCAL_WORDS = 1_000_000
 #: Characters that are encoded in one call, about.
 CALL_CHARS = 20_000
 
@@ -211,115 +217,185 @@ def _points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-class WordTable:
-    """Ids of distinct words, flat; words are known by their hashes."""
+def _pack(values: np.ndarray) -> bytes:
+    """Numbers from 0 below 2**32, byte by byte of each, compressed."""
+    planes = np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+    return len(values).to_bytes(8, "little") + zlib.compress(planes.tobytes(), 1)
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:8], "little")
+    planes = np.frombuffer(zlib.decompress(data[8:]), np.uint8).reshape(4, n)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel()
+
+
+class _Block:
+    """Distinct words of consecutive slices of texts, and each text's places in them."""
+
+    def __init__(self) -> None:
+        self.size, self.words, self.hashes, self.places, self.counts, self.rows = 0, {}, [], [], [], []
+
+    def add(self, split: Words, rows: pa.RecordBatch) -> None:
+        hashes, example, which = np.unique(split.hashes, return_index=True, return_inverse=True)
+        points = _points(split.text)
+        same = textscan.same_text(points, split.starts, split.ends, points, split.starts[example][which], split.ends[example][which])
+        place = self._places(split.strings(example), hashes)[which]
+        if not same.all():  # other words of a hash that is taken
+            other = np.flatnonzero(~same)
+            place[other] = self._places(split.strings(other), split.hashes[other])
+        self.places.append(place)
+        self.counts.append(np.diff(split.first))
+        self.rows.append(rows)
+        self.size += len(split.text)
+
+    def _places(self, words: list[str], hashes: np.ndarray) -> np.ndarray:
+        known, out = self.words, np.empty(len(words), np.int64)
+        for k, w in enumerate(words):
+            place = known.get(w)
+            if place is None:
+                place = known[w] = len(known)
+                self.hashes.append(hashes[k])
+            out[k] = place
+        return out
+
+    def packed(self, block: int, parts: int) -> pa.RecordBatch:
+        """A row with the texts' places, and a row for each part of the words; the commonest words get the smallest places."""
+        places = np.concatenate(self.places) if self.places else np.zeros(0, np.int64)
+        order = np.argsort(-np.bincount(places, minlength=len(self.words)), kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        words = list(self.words)
+        part = np.array(self.hashes, np.uint64)[order] % np.uint64(parts)
+        by = np.argsort(part, kind="stable")
+        first = np.flatnonzero(np.concatenate([[True], part[by][1:] != part[by][:-1]])[: len(by)])
+        cut = np.split(by, first[1:]) if len(by) else []
+        sink = pa.BufferOutputStream()
+        table = pa.Table.from_batches(self.rows)
+        with pa.ipc.new_stream(sink, table.schema) as out:
+            out.write_table(table)
+        texts = zlib.compress(np.concatenate([c.astype("<i8") for c in self.counts]).tobytes(), 1)
+        columns = [
+            [block] * (1 + len(cut)),
+            [None, *(int(part[c[0]]) for c in cut)],
+            [sink.getvalue().to_pybytes(), *[None] * len(cut)],
+            [texts, *[None] * len(cut)],
+            [_pack(rank[places]), *(_pack(np.diff(c, prepend=0)) for c in cut)],
+            [None, *(zlib.compress("\n".join([words[k] for k in order[c]]).encode(), 1) for c in cut)],
+        ]
+        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["block", "part", "rows", "counts", "places", "words"])
 
-    def __init__(self, hashes: np.ndarray, flat: np.ndarray, sizes: np.ndarray) -> None:
-        order = np.argsort(hashes)
-        start = np.concatenate([[0], np.cumsum(sizes)])[:-1].astype(np.int64)
-        self.hashes, self.start, self.size, self.flat = hashes[order], start[order], sizes[order].astype(np.int64), flat
 
-    def add(self, hashes: np.ndarray, flat: np.ndarray, sizes: np.ndarray) -> None:
-        start = len(self.flat) + np.concatenate([[0], np.cumsum(sizes)])[:-1].astype(np.int64)
-        self.flat = np.concatenate([self.flat, flat])
-        all_ = np.concatenate([self.hashes, hashes])
-        order = np.argsort(all_, kind="stable")
-        self.hashes, self.start, self.size = all_[order], np.concatenate([self.start, start])[order], np.concatenate([self.size, sizes])[order]
+SPLIT = "block long, part long, rows binary, counts binary, places binary, words binary"
 
-    def gather(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of these words in order, where each word's begin)."""
-        size = self.size[places]
-        at = np.concatenate([[0], np.cumsum(size)])
-        return self.flat[np.repeat(self.start[places] - at[:-1], size) + np.arange(at[-1])], at
 
+def split(docs: DataFrame, kept: list[str], tokenizer: Tokenizer, parts: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The documents in blocks; of their columns those in ``kept`` go along."""
+    shared = docs.sparkSession.sparkContext.broadcast(tokenizer)
 
-class Encoder:
-    """Encodes runs of texts through the shared table and a local one."""
+    def run(batches):
+        from pyspark import TaskContext
 
-    def __init__(self, tokenizer: Tokenizer, shared: tuple[np.ndarray, np.ndarray, np.ndarray]) -> None:
-        self.tokenizer, self.shared = tokenizer, shared
-        self.table = WordTable(*shared)
+        block, made = _Block(), TaskContext.get().partitionId() << 32
+        for batch in batches:
+            for some in textscan.slices(batch, "_text", SPLIT_BYTES):
+                block.add(shared.value.split([x or "" for x in some.column(some.num_columns - 1).to_pylist()]), some.select(list(range(some.num_columns - 1))))
+                if block.size >= block_bytes:
+                    yield block.packed(made, parts)
+                    block, made = _Block(), made + 1
+        if block.rows:
+            yield block.packed(made, parts)
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts, where each text's begin)."""
-        words = self.tokenizer.split(texts)
-        hashes, example, which = np.unique(words.hashes, return_index=True, return_inverse=True)
-        new = ~textscan.member(self.table.hashes, hashes)[1]
-        if len(self.table.hashes) + new.sum() > len(self.shared[0]) + LOCAL_WORDS:
-            self.table = WordTable(*self.shared)
-            new = ~textscan.member(self.table.hashes, hashes)[1]
-        if new.any():
-            self.table.add(hashes[new], *self.tokenizer.encode_words(words.strings(example[new])))
-        ids, at = self.table.gather(textscan.member(self.table.hashes, hashes)[0][which])
-        return ids, at[words.first]
+    return docs.select(*(docs[f"`{c}`"].alias(f"c{k}") for k, c in enumerate(kept)), F.col("text").cast("string").alias("_text")).mapInArrow(run, SPLIT)
 
 
-def word_table(docs: DataFrame, tokenizer: Tokenizer, words: int = TABLE_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hashes, ids, how many each has) of the most frequent distinct words of the documents, each encoded once in Spark."""
+def encode_distinct(words: DataFrame, tokenizer: Tokenizer, parts: int) -> DataFrame:
+    """(block, places, ids, sizes) for each row (block, part, places, words): every distinct word is encoded once, in its part's task."""
+    shared = words.sparkSession.sparkContext.broadcast(tokenizer)
 
-    def split(batches):
+    def run(batches):
+        known: dict[str, int] = {}
+        flat, at = np.zeros(0, np.int32), np.zeros(1, np.int64)
         for batch in batches:
-            for part in textscan.slices(batch, "text", SPLIT_BYTES):
-                w = tokenizer.split([x or "" for x in part.column(0).to_pylist()])
-                _, example, n = np.unique(w.hashes, return_index=True, return_counts=True)
-                often = n >= COUNTED
-                yield pa.RecordBatch.from_arrays([pa.array(w.strings(example[often]), pa.string()), pa.array(w.hashes[example[often]].view(np.int64)), pa.array(n[often], pa.int64())], names=["word", "h", "n"])
+            for block, places, packed in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                some = zlib.decompress(packed).decode().split("\n")
+                if len(known) > LOCAL_WORDS:
+                    known, flat, at = {}, np.zeros(0, np.int32), np.zeros(1, np.int64)
+                if new := [w for w in some if w not in known]:
+                    ids, sizes = shared.value.encode_words(new)
+                    known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
+                    flat, at = np.concatenate([flat, ids]), np.concatenate([at, at[-1] + np.cumsum(sizes)])
+                which = np.fromiter((known[w] for w in some), np.int64, len(some))
+                size = at[which + 1] - at[which]
+                ids = flat[np.repeat(at[which] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))]
+                yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([places], pa.binary()), pa.array([_pack(ids)], pa.binary()), pa.array([_pack(size)], pa.binary())], names=["block", "places", "ids", "sizes"])
+
+    return words.repartition(parts, "part").select("block", "places", "words").mapInArrow(run, "block long, places binary, ids binary, sizes binary")
+
+
+def _joined(left: pa.Table, right: pa.Table, pieces: pa.Array) -> tuple[pa.Table, np.ndarray, np.ndarray, list[str]]:
+    """(rows, ids of all texts, where each text's begin, what each decodes to) of a block."""
+    rows = pa.ipc.open_stream(left.column("rows")[0].as_py()).read_all()
+    counts = np.frombuffer(zlib.decompress(left.column("counts")[0].as_py()), "<i8")
+    cells = [[_unpack(x).astype(np.int64) for x in right.column(c).to_pylist()] for c in ("places", "ids", "sizes")]
+    place, ids, sizes = (np.concatenate([np.zeros(0, np.int64), *x]) for x in ([np.cumsum(x) for x in cells[0]], cells[1], cells[2]))
+    start, size = np.zeros(len(place), np.int64), np.zeros(len(place), np.int64)
+    start[place], size[place] = np.cumsum(sizes) - sizes, sizes
+    # Pieces by id, to one string for each distinct word.
+    found = pieces.take(pa.array(ids)).to_pylist()
+    words = [found[a] if n == 1 else " ".join(found[a : a + n]) for a, n in zip(start.tolist(), size.tolist(), strict=True)]
+    places = _unpack(left.column("places")[0].as_py()).astype(np.int64)
+    n = size[places]
+    at = np.concatenate([[0], np.cumsum(n)])
+    flat = ids[np.repeat(start[places] - at[:-1], n) + np.arange(at[-1])].astype(np.int32)
+    first = np.concatenate([[0], np.cumsum(counts)])
+    each = list(map(words.__getitem__, places.tolist()))
+    texts = [" ".join(each[a:b]) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+    return rows, flat, at[first], texts
+
+
+def _encoded(docs: DataFrame, path: str, kept: list[str], schema, out) -> DataFrame:
+    with open(path, encoding="utf-8") as f:
+        tokenizer = Tokenizer(f.read())
+    scratch = Scratch(docs.sparkSession)
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(F.col("text").cast("string"))), F.lit(0)).alias("b")).first().b
+    parts = min(PARTS, max(4, -(-size // PART_BYTES)))
+    blocks = scratch.keep(split(docs, kept, tokenizer, parts))
+    words = encode_distinct(blocks.where("part is not null").select("block", "part", "places", "words"), tokenizer, parts)
+    shared = docs.sparkSession.sparkContext.broadcast(pa.array(tokenizer.pieces, pa.string()))
 
-    def encode(batches):
-        for batch in batches:
-            flat, sizes = tokenizer.encode_words(batch.column(0).to_pylist())
-            at = np.concatenate([[0], np.cumsum(sizes)])
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([flat[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=["h", "ids"])
+    def join(left: pa.Table, right: pa.Table) -> pa.Table:
+        rows, ids, at, texts = _joined(left, right, shared.value)
+        found = pa.table(out(rows, ids, at, texts), names=schema.names)
+        textscan.release()
+        return found
+
+    places = blocks.where("part is null").select("block", "rows", "counts", "places")
+    return places.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(join, schema)
 
-    found = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(split, "word string, h long, n long")
-    scratch = Scratch(docs.sparkSession)
-    counted = scratch.keep(found.groupBy("word", "h").agg(F.sum("n").alias("n")))
-    top, _ = most_frequent(counted, words)
-    t = top.select("word", "h").mapInArrow(encode, "h long, ids binary").toArrow()  # of bounded size
-    scratch.drop(counted)
-    ids = t.column(1).to_pylist()
-    return t.column(0).to_numpy().view(np.uint64), np.frombuffer(b"".join(ids), np.int32), np.fromiter((len(x) // 4 for x in ids), np.int64, len(ids))
 
+def encode(docs: DataFrame, path: str, columns: list[str] | None = None) -> DataFrame:
+    """These columns (or all), and ``ids`` and ``decoded``: the text's token ids and what they decode to."""
+    kept = [c for c in (docs.columns if columns is None else columns) if c not in ("ids", "decoded")]
+    schema = T.StructType([*(docs.schema[c] for c in kept), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
 
-def encode(docs: DataFrame, path: str, words: int = TABLE_WORDS) -> DataFrame:
-    """All columns, and ``ids`` and ``decoded``: the text's token ids and what they decode to."""
-    schema = T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
-    return _encoded(docs, path, words, schema, lambda part, ids, at, texts: [*part.columns, pa.LargeListArray.from_arrays(at, ids).cast(pa.list_(pa.int32())), pa.array(texts, pa.string())])
+    def out(rows, ids, at, texts):
+        return [*rows.columns, pa.LargeListArray.from_arrays(at, ids).cast(pa.list_(pa.int32())), pa.array(texts, pa.string())]
 
+    return _encoded(docs, path, kept, schema, out)
 
-def digests(docs: DataFrame, path: str, words: int = TABLE_WORDS) -> DataFrame:
+
+def digests(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row."""
+    schema = T.StructType([docs.schema["doc_id"], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
 
-    def out(part, ids, at, texts):
+    def out(rows, ids, at, texts):
         raw = ids.astype("<u4")
         return [
-            part.column(0),
+            rows.column(0),
             pa.array(np.diff(at), pa.int64()),
-            pa.array([hashlib.sha256(raw[at[k] : at[k + 1]].tobytes()).hexdigest() for k in range(part.num_rows)], pa.string()),
+            pa.array([hashlib.sha256(raw[a:b].tobytes()).hexdigest() for a, b in zip(at[:-1], at[1:], strict=True)], pa.string()),
             pa.array([hashlib.sha256(x.encode()).hexdigest() for x in texts], pa.string()),
         ]
 
-    thin = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    schema = T.StructType([*thin.select("doc_id").schema.fields, T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
-    return _encoded(thin, path, words, schema, out)
-
-
-def _encoded(docs: DataFrame, path: str, words: int, schema, out) -> DataFrame:
-    with open(path, encoding="utf-8") as f:
-        tokenizer = Tokenizer(f.read())
-    shared = docs.sparkSession.sparkContext.broadcast((tokenizer, word_table(docs, tokenizer, words)))
-    names = schema.names
-
-    def run(batches):
-        tokenizer, table = shared.value
-        encoder = Encoder(tokenizer, table)
-        pieces = tokenizer.pieces
-        for batch in batches:
-            for part in textscan.slices(batch, "text", SPLIT_BYTES):
-                texts = [x or "" for x in part.column(part.schema.get_field_index("text")).to_pylist()]
-                ids, at = encoder.encode(texts)
-                found = list(map(pieces.__getitem__, ids.tolist()))
-                decoded = [" ".join(found[at[k] : at[k + 1]]) for k in range(len(texts))]
-                yield pa.RecordBatch.from_arrays(out(part, ids, at, decoded), names=names)
-
-    return docs.mapInArrow(run, schema)
+    return _encoded(docs, path, ["doc_id"], schema, out)

@@ -646,10 +646,12 @@ def test_bpe_like_the_library(spark):
     library = tokenizers.Tokenizer.from_file(path)
     pool = "''''stredvlm!. 19aé ñ́Σİ²½　\x1c​ 中文🙂ǅ" + "".join(map(chr, range(0x2000, 0x2030)))
     texts = odd_texts() + ["<|endoftext|>", "x<|endoftext|>y <|startoftext|>", "it's we'll 'sx ''s", "a" * 5000]
+    for n in (10, 11, 12):
+        texts += [f"{x} and {x} {y}" for x, y in (twins(n), twins(n)[::-1])]
     texts += ["".join(rng.choice([rng.choice(pool), "'s", "'ll", "<|endoftext|>", " "]) for _ in range(rng.randrange(25))) for _ in range(400)]
     docs = frame(spark, [*texts, texts[5]], [*range(len(texts)), 5]).repartition(3)
     got = collections.defaultdict(list)
-    for r in bpe.digests(docs, path, 50).collect():
+    for r in bpe.digests(docs, path).collect():
         got[r.doc_id].append(r)
     assert len(got[5]) == 2
     for k, t in enumerate(texts):
@@ -657,21 +659,29 @@ def test_bpe_like_the_library(spark):
         for r in got[k]:
             assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
             assert r.decoded_sha256 == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
-    full = bpe.encode(docs.select("doc_id", "text", F.lit(1).alias("word")), path, 50)
+    full = bpe.encode(docs.withColumns({"ids": F.lit(1), "decoded": F.lit(2), "block": F.lit(3), "_text": F.lit(4)}), path)
     row = full.where("doc_id = 4").first()
-    assert row.ids == library.encode(texts[4], add_special_tokens=False).ids and row.decoded == library.decode(row.ids, skip_special_tokens=False) and row.word == 1
+    assert row.ids == library.encode(texts[4], add_special_tokens=False).ids and row.decoded == library.decode(row.ids, skip_special_tokens=False) and (row.block, row._text, row.text) == (3, 4, texts[4])
     assert bpe.digests(docs.where("false"), path).count() == 0
 
 
-def test_bpe_local_table_is_emptied(monkeypatch):
+def test_bpe_in_small_blocks(spark, monkeypatch):
     public = pytest.importorskip("public_tokenizers")
-    monkeypatch.setattr(bpe, "LOCAL_WORDS", 10)
-    with open(public.path("word_bpe_49k.json"), encoding="utf-8") as f:
-        tokenizer = bpe.Tokenizer(f.read())
-    encoder = bpe.Encoder(tokenizer, (np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int64)))
-    one, _ = encoder.encode([" ".join(f"word{chr(97 + k)}" for k in range(26))])
-    for _ in range(3):
-        assert (encoder.encode([" ".join(f"word{chr(97 + k)}" for k in range(26))])[0] == one).all()
+    path = public.path("word_bpe_49k.json")
+    docs = frame(spark, odd_texts()).repartition(2)
+    want = sorted(map(str, bpe.digests(docs, path).collect()))
+    for name, value in (("PART_BYTES", 64), ("LOCAL_WORDS", 3), ("BLOCK_BYTES", 300), ("SPLIT_BYTES", 200)):
+        monkeypatch.setattr(bpe, name, value)
+    monkeypatch.setattr(bpe.split, "__defaults__", (300,))
+    assert sorted(map(str, bpe.digests(docs, path).collect())) == want
+
+
+def test_bpe_words_of_one_hash():
+    block, words = bpe._Block(), bpe.Words("aa bb aa cc\n", np.array([0, 3, 6, 9]), np.array([2, 5, 8, 11]), np.array([7, 7, 7, 9], np.uint64), np.array([0, 4]))
+    import pyarrow as pa
+
+    block.add(words, pa.RecordBatch.from_arrays([pa.array([1])], names=["x"]))
+    assert [list(block.words)[k] for k in block.places[0]] == ["aa", "bb", "aa", "cc"]
 
 
 # ---- 10 -------------------------------------------------------------------------------------------------------------
