@@ -43,7 +43,7 @@ from . import textscan
 from .common import Scratch
 
 #: Text of a block, and text that is split at a time.
-BLOCK_BYTES, SPLIT_BYTES = 8 << 20, 2 << 20
+BLOCK_BYTES, SPLIT_BYTES = 16 << 20, 2 << 20
 #: Text for each part of the distinct words, and the most parts.
 PART_BYTES, PARTS = 16 << 20, 1 << 16
 #: Distinct words that a task holds.
@@ -217,16 +217,44 @@ def _points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
+#: First bytes that stand for numbers of one, two and three bytes; 255 is for those of five.
+_ONE, _TWO, _THREE = 192, 240, 255
+
+
 def _pack(values: np.ndarray) -> bytes:
-    """Numbers from 0 below 2**32, byte by byte of each, compressed."""
-    planes = np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T)
-    return len(values).to_bytes(8, "little") + zlib.compress(planes.tobytes(), 1)
+    """Numbers from 0 below 2**32, short ones in a byte, compressed: all first bytes, then the others by their number."""
+    v = values.astype(np.int64)
+    two = v - _ONE
+    three = two - ((_TWO - _ONE) << 8)
+    five = three >= (_THREE - _TWO) << 16
+    kind = np.where(v < _ONE, 1, np.where(three < 0, 2, np.where(five, 5, 3)))
+    head = np.select([kind == 1, kind == 2, kind == 3], [v, _ONE + (two >> 8), _TWO + (three >> 16)], _THREE).astype(np.uint8)
+    parts = [head, (two[kind == 2] & 255).astype(np.uint8), (three[kind == 3] & 65535).astype("<u2"), v[kind == 5].astype("<u4")]
+    return len(v).to_bytes(8, "little") + zlib.compress(b"".join(x.tobytes() for x in parts), 6)
 
 
 def _unpack(data: bytes) -> np.ndarray:
     n = int.from_bytes(data[:8], "little")
-    planes = np.frombuffer(zlib.decompress(data[8:]), np.uint8).reshape(4, n)
-    return np.ascontiguousarray(planes.T).view("<u4").ravel()
+    raw = zlib.decompress(data[8:])
+    head = np.frombuffer(raw, np.uint8, n)
+    out = head.astype(np.int64)
+    for low, high, kind, base in ((_ONE, _TWO, "u1", _ONE), (_TWO, _THREE, "<u2", _ONE + ((_TWO - _ONE) << 8))):
+        some = (head >= low) & (head < high)
+        rest = np.frombuffer(raw, kind, int(some.sum()), n)
+        out[some] = base + ((out[some] - low) << (8 * rest.itemsize)) + rest
+        n += rest.nbytes
+    out[head == _THREE] = np.frombuffer(raw, "<u4", int((head == _THREE).sum()), n)
+    return out
+
+
+def _pack_ids(ids: np.ndarray) -> bytes:
+    """Ids as two bytes each where that is enough."""
+    wide = int(bool(len(ids)) and int(ids.max()) > 65535)
+    return bytes([wide]) + zlib.compress(ids.astype("<u4" if wide else "<u2").tobytes(), 6)
+
+
+def _unpack_ids(data: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(data[1:]), "<u4" if data[0] else "<u2").astype(np.int64)
 
 
 class _Block:
@@ -273,20 +301,23 @@ class _Block:
         table = pa.Table.from_batches(self.rows)
         with pa.ipc.new_stream(sink, table.schema) as out:
             out.write_table(table)
-        texts = zlib.compress(np.concatenate([c.astype("<i8") for c in self.counts]).tobytes(), 1)
+        # How many words each part has, and which, rising in each part.
+        sizes = np.array([len(c) for c in cut], np.int64)
+        own = [[len(cut)], [int(part[c[0]]) for c in cut], sizes, *(np.diff(c, prepend=0) for c in cut)]
         columns = [
             [block] * (1 + len(cut)),
             [None, *(int(part[c[0]]) for c in cut)],
             [sink.getvalue().to_pybytes(), *[None] * len(cut)],
-            [texts, *[None] * len(cut)],
-            [_pack(rank[places]), *(_pack(np.diff(c, prepend=0)) for c in cut)],
-            [None, *(zlib.compress("\n".join([words[k] for k in order[c]]).encode(), 1) for c in cut)],
+            [_pack(np.concatenate(self.counts)), *[None] * len(cut)],
+            [_pack(rank[places]), *[None] * len(cut)],
+            [_pack(np.concatenate(own)), *[None] * len(cut)],
+            [None, *(zlib.compress("\n".join([words[k] for k in order[c]]).encode(), 6) for c in cut)],
         ]
-        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["block", "part", "rows", "counts", "places", "words"])
+        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["block", "part", "rows", "counts", "places", "order", "words"])
 
 
-SPLIT = "block long, part long, rows binary, counts binary, places binary, words binary"
+SPLIT = "block long, part long, rows binary, counts binary, places binary, order binary, words binary"
 
 
 def split(docs: DataFrame, kept: list[str], tokenizer: Tokenizer, parts: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -310,14 +341,14 @@ def split(docs: DataFrame, kept: list[str], tokenizer: Tokenizer, parts: int, bl
 
 
 def encode_distinct(words: DataFrame, tokenizer: Tokenizer, parts: int) -> DataFrame:
-    """(block, places, ids, sizes) for each row (block, part, places, words): every distinct word is encoded once, in its part's task."""
+    """(block, part, ids, sizes) for each row (block, part, words): every distinct word is encoded once, in its part's task."""
     shared = words.sparkSession.sparkContext.broadcast(tokenizer)
 
     def run(batches):
         known: dict[str, int] = {}
         flat, at = np.zeros(0, np.int32), np.zeros(1, np.int64)
         for batch in batches:
-            for block, places, packed in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            for block, part, packed in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 some = zlib.decompress(packed).decode().split("\n")
                 if len(known) > LOCAL_WORDS:
                     known, flat, at = {}, np.zeros(0, np.int32), np.zeros(1, np.int64)
@@ -328,23 +359,27 @@ def encode_distinct(words: DataFrame, tokenizer: Tokenizer, parts: int) -> DataF
                 which = np.fromiter((known[w] for w in some), np.int64, len(some))
                 size = at[which + 1] - at[which]
                 ids = flat[np.repeat(at[which] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))]
-                yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([places], pa.binary()), pa.array([_pack(ids)], pa.binary()), pa.array([_pack(size)], pa.binary())], names=["block", "places", "ids", "sizes"])
+                yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([part]), pa.array([_pack_ids(ids)], pa.binary()), pa.array([_pack(size)], pa.binary())], names=["block", "part", "ids", "sizes"])
 
-    return words.repartition(parts, "part").select("block", "places", "words").mapInArrow(run, "block long, places binary, ids binary, sizes binary")
+    return words.repartition(parts, "part").select("block", "part", "words").mapInArrow(run, "block long, part long, ids binary, sizes binary")
 
 
 def _joined(left: pa.Table, right: pa.Table, pieces: pa.Array) -> tuple[pa.Table, np.ndarray, np.ndarray, list[str]]:
     """(rows, ids of all texts, where each text's begin, what each decodes to) of a block."""
     rows = pa.ipc.open_stream(left.column("rows")[0].as_py()).read_all()
-    counts = np.frombuffer(zlib.decompress(left.column("counts")[0].as_py()), "<i8")
-    cells = [[_unpack(x).astype(np.int64) for x in right.column(c).to_pylist()] for c in ("places", "ids", "sizes")]
-    place, ids, sizes = (np.concatenate([np.zeros(0, np.int64), *x]) for x in ([np.cumsum(x) for x in cells[0]], cells[1], cells[2]))
+    counts, places, own = (_unpack(left.column(c)[0].as_py()) for c in ("counts", "places", "order"))
+    n = int(own[0])
+    parts, many, steps = own[1 : n + 1], own[n + 1 : 2 * n + 1], own[2 * n + 1 :]
+    place = {int(p): np.cumsum(x) for p, x in zip(parts, np.split(steps, np.cumsum(many)[:-1]), strict=True)} if n else {}
+    none = np.zeros(0, np.int64)
+    ids = np.concatenate([none, *map(_unpack_ids, right.column("ids").to_pylist())])
+    sizes = np.concatenate([none, *map(_unpack, right.column("sizes").to_pylist())])
+    place = np.concatenate([none, *(place[p] for p in right.column("part").to_pylist())])
     start, size = np.zeros(len(place), np.int64), np.zeros(len(place), np.int64)
     start[place], size[place] = np.cumsum(sizes) - sizes, sizes
     # Pieces by id, to one string for each distinct word.
     found = pieces.take(pa.array(ids)).to_pylist()
     words = [found[a] if n == 1 else " ".join(found[a : a + n]) for a, n in zip(start.tolist(), size.tolist(), strict=True)]
-    places = _unpack(left.column("places")[0].as_py()).astype(np.int64)
     n = size[places]
     at = np.concatenate([[0], np.cumsum(n)])
     flat = ids[np.repeat(start[places] - at[:-1], n) + np.arange(at[-1])].astype(np.int32)
@@ -361,7 +396,7 @@ def _encoded(docs: DataFrame, path: str, kept: list[str], schema, out) -> DataFr
     size = docs.agg(F.coalesce(F.sum(F.octet_length(F.col("text").cast("string"))), F.lit(0)).alias("b")).first().b
     parts = min(PARTS, max(4, -(-size // PART_BYTES)))
     blocks = scratch.keep(split(docs, kept, tokenizer, parts))
-    words = encode_distinct(blocks.where("part is not null").select("block", "part", "places", "words"), tokenizer, parts)
+    words = encode_distinct(blocks.where("part is not null").select("block", "part", "words"), tokenizer, parts)
     shared = docs.sparkSession.sparkContext.broadcast(pa.array(tokenizer.pieces, pa.string()))
 
     def join(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -370,7 +405,7 @@ def _encoded(docs: DataFrame, path: str, kept: list[str], schema, out) -> DataFr
         textscan.release()
         return found
 
-    places = blocks.where("part is null").select("block", "rows", "counts", "places")
+    places = blocks.where("part is null").select("block", "rows", "counts", "places", "order")
     return places.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(join, schema)
 
 

@@ -676,6 +676,14 @@ def test_bpe_in_small_blocks(spark, monkeypatch):
     assert sorted(map(str, bpe.digests(docs, path).collect())) == want
 
 
+def test_bpe_packs_numbers():
+    edges = [0, 1, 191, 192, 12479, 12480, 12480 + 15 * 65536 - 1, 12480 + 15 * 65536, 2**32 - 1]
+    for values in ([], edges, [rng.randrange(2 ** rng.randrange(33)) for _ in range(2000)]):
+        assert bpe._unpack(bpe._pack(np.array(values, np.int64))).tolist() == values
+    for ids in ([], [0, 65535], [1, 70000]):
+        assert bpe._unpack_ids(bpe._pack_ids(np.array(ids, np.int64))).tolist() == ids
+
+
 def test_bpe_words_of_one_hash():
     block, words = bpe._Block(), bpe.Words("aa bb aa cc\n", np.array([0, 3, 6, 9]), np.array([2, 5, 8, 11]), np.array([7, 7, 7, 9], np.uint64), np.array([0, 4]))
     import pyarrow as pa
