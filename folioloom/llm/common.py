@@ -17,9 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares, from ``spark.checkpoint.dir``; our own only where that is unset."""
+    """The folder that the cluster shares, from ``spark.checkpoint.dir``; where that is unset, a local session gets one of its own and a cluster an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="folioloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

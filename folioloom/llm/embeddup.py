@@ -1,10 +1,11 @@
 """Embedding near-duplicates by PCA-ordered tiles.
 
 Unit vectors are rotated onto the principal axes of the whole table, so that the
-leading dimensions carry most of every product, and ordered along the first axis
-into tiles.  A cosine of at least t means a distance of at most sqrt(2 - 2 t), so
-only tiles whose ranges on the first axis come that close are compared; they
-meet in an equi-join on bands of that width.
+leading dimensions carry most of every product, and ordered by bands of the first
+``CELLS`` axes into tiles.  A cosine of at least t means a distance of at most
+sqrt(2 - 2 t), so only tiles whose boxes on the first ``BOX`` axes come that close
+are compared; they meet in an equi-join on cells of that width.  A tile is sent
+once for every ``PARTNERS`` tiles that it is compared with.
 
 A pair of tiles accumulates products over the leading dimensions first.  What
 the other dimensions can add is at most the product of the vectors' suffix
@@ -12,7 +13,8 @@ norms; pairs whose sum with that bound stays under the threshold are dropped,
 and a block of pairs stops as soon as none is left.  Pairs that last to the end
 are decided in double precision.
 
-Equal vectors are one class with a count, so that copies are never compared with
+Equal vectors are one class with a count (known by a 64-bit hash, and a second one
+proves that no class holds different vectors), so that copies are never compared with
 each other.  A tile pair reports, per class with links, their number and one edge
 to the smallest member of its piece; links are not listed pair by pair.
 
@@ -28,13 +30,17 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, components
 
 THRESHOLD = 0.95
 TILE = 4096
+#: Leading axes whose bands order the vectors, and those on which tiles have boxes.
+CELLS, BOX = 3, 8
+#: Tiles that one tile is compared with in a group.
+PARTNERS = 8
 #: Rows of a tile that are multiplied at a time.
 ROWS = 512
 #: Single precision may be off by this much before double precision decides.
@@ -136,17 +142,24 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tile: int
     v = F.col("v")
     sound = F.coalesce(v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0), F.lit(False))
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
-    rows = rows.withColumn("h", F.when(sound, F.xxhash64("v")))
-    classes = rows.where("h is not null").groupBy("h").agg(F.any_value("v").alias("v"), F.count("*").alias("m"), F.min("vec_id").alias("low"))
-    classes = scratch.keep(classes)
+    rows = rows.withColumns({"h": F.when(sound, F.xxhash64("v")), "proof": F.xxhash64(F.lit(1), "v")})
+    proved = F.when(F.min("proof") == F.max("proof"), F.lit(True)).otherwise(F.raise_error(F.lit("two different vectors have one hash")).cast("boolean"))
+    classes = rows.where("h is not null").groupBy("h").agg(F.any_value("v").alias("v"), F.count("*").alias("m"), F.min("vec_id").alias("low"), proved.alias("proved"))
+    classes = scratch.keep(classes.where("proved").drop("proved"))
+    width = math.sqrt(2 - 2 * threshold) + 1e-6
     axes = spark.sparkContext.broadcast(_axes(classes))
 
     def rotate(batches):
         for batch in batches:
             for d, which, u in _by_size(batch, 2):
                 r = u @ axes.value[d]
-                part = batch.take(pa.array(which))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.full(len(r), d)), pa.array(r[:, 0]), pa.array([x.tobytes() for x in r], pa.binary())], names=["h", "m", "d", "x", "r"])
+                part, lead = batch.take(pa.array(which)), np.zeros((len(r), CELLS))
+                lead[:, : min(d, CELLS)] = r[:, :CELLS]
+                bands = np.floor(lead / width).astype(np.int64).T
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1), pa.array(np.full(len(r), d)), *map(pa.array, bands), pa.array(r[:, 0]), pa.array([x.tobytes() for x in r], pa.binary())],
+                    names=["h", "m", "d", *(f"b{k}" for k in range(CELLS)), "x", "r"],
+                )
 
     def pack(batches):
         from pyspark import TaskContext
@@ -155,9 +168,12 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tile: int
         made = TaskContext.get().partitionId() << 24
 
         def row():
-            h, m, d, x, r = zip(*held, strict=True)
+            h, m, d, r = zip(*held, strict=True)
+            box = np.zeros((2, BOX))
+            lead = np.frombuffer(b"".join(r)).reshape(len(r), -1)[:, :BOX]
+            box[:, : lead.shape[1]] = lead.min(axis=0), lead.max(axis=0)
             return pa.RecordBatch.from_arrays(
-                [pa.array([made]), pa.array([d[0]]), pa.array([min(x)]), pa.array([max(x)]), pa.array([np.array(h, np.int64).tobytes()]), pa.array([np.array(m, np.int64).tobytes()]), pa.array([b"".join(r)], pa.binary())],
+                [pa.array([made]), pa.array([d[0]]), *(pa.array([x.tolist()], pa.list_(pa.float64())) for x in box), pa.array([np.array(h, np.int64).tobytes()]), pa.array([np.array(m, np.int64).tobytes()]), pa.array([b"".join(r)], pa.binary())],
                 names=["t", "d", "lo", "hi", "hs", "ms", "rs"],
             )
 
@@ -171,50 +187,64 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tile: int
         if held:
             yield row()
 
-    rotated = scratch.keep(classes.select("h", "m", "v").mapInArrow(rotate, "h long, m long, d long, x double, r binary"))
+    lead = [f"b{k}" for k in range(CELLS)]
+    rotated = classes.select("h", "m", "v").mapInArrow(rotate, "h long, m long, d long, " + ", ".join(f"{c} long" for c in lead) + ", x double, r binary")
+    rotated = scratch.keep(rotated)
     n = rotated.count()
-    ordered = rotated.repartitionByRange(max(1, -(-n // tile)), "d", "x").sortWithinPartitions("d", "x")
-    tiles = scratch.keep(ordered.mapInArrow(pack, "t long, d long, lo double, hi double, hs binary, ms binary, rs binary"))
+    ordered = rotated.repartitionByRange(max(1, -(-n // tile)), "d", *lead, "x").sortWithinPartitions("d", *lead, "x").select("h", "m", "d", "r")
+    tiles = scratch.keep(ordered.mapInArrow(pack, "t long, d long, lo array<double>, hi array<double>, hs binary, ms binary, rs binary"))
 
-    width = math.sqrt(2 - 2 * threshold) + 1e-6
     spans = tiles.select("t", "d", "lo", "hi")
-    band = lambda low, high: F.explode(F.sequence(F.floor(low / width), F.floor(high / width))).alias("band")
-    own = spans.select(F.col("t").alias("a"), "d", F.col("lo").alias("lo_a"), F.col("hi").alias("hi_a"), band(F.col("lo"), F.col("hi")))
-    near = spans.select(F.col("t").alias("b"), "d", F.col("lo").alias("lo_b"), F.col("hi").alias("hi_b"), band(F.col("lo") - width, F.col("hi") + width))
-    pairs = own.join(near, ["d", "band"]).where(f"a <= b and lo_a - {width} <= hi_b and lo_b - {width} <= hi_a").select("a", "b").distinct()
-    left = tiles.select(F.col("t").alias("a"), "d", F.col("hs").alias("h1"), F.col("ms").alias("m1"), F.col("rs").alias("r1"))
-    right = tiles.select(F.col("t").alias("b"), F.col("hs").alias("h2"), F.col("ms").alias("m2"), F.col("rs").alias("r2"))
-
-    def multiply(batches):
-        for batch in batches:
-            for k in range(batch.num_rows):
-                same, d, h1, m1, r1, h2, m2, r2 = (c[k].as_py() for c in batch.columns)
-                h1, m1, h2, m2 = (np.frombuffer(x, np.int64) for x in (h1, m1, h2, m2))
-                a, b = np.frombuffer(r1).reshape(-1, d), np.frombuffer(r2).reshape(-1, d)
-                i, j = compare(a, b, threshold)
-                if same:
-                    keep = i < j
-                    i, j = i[keep], j[keep]
-                    j += len(a)
-                    h2 = h1
-                if len(i) == 0:
-                    continue
-                if not same:
-                    j = j + len(a)
-                keys, counts = np.concatenate([h1, h2]), np.zeros(len(h1) + len(h2), np.int64)
-                weight = np.concatenate([m1, m2])
-                np.add.at(counts, i, weight[j])
-                np.add.at(counts, j, weight[i])
-                if same:  # both halves are the same classes
-                    counts[: len(a)] += counts[len(a) :]
-                    counts[len(a) :] = 0
-                    j = j - len(a)
-                root = _spread(i, j, len(keys))
-                some = np.flatnonzero((counts > 0) | (root != np.arange(len(keys))))
-                yield pa.RecordBatch.from_arrays([pa.array(keys[some]), pa.array(keys[root[some]]), pa.array(counts[some])], names=["h", "root", "links"])
-
-    both = pairs.join(left, "a").join(right, "b").select((F.col("a") == F.col("b")).alias("same"), "d", "h1", "m1", "r1", "h2", "m2", "r2")
-    found = scratch.keep(both.mapInArrow(multiply, "h long, root long, links long"))
+
+    def cells(name: str, more: float) -> DataFrame:
+        """A row for each cell that the tile's box, widened by this, has a part in."""
+        out = spans.select(F.col("t").alias(name), "d", F.col("lo").alias(f"lo_{name}"), F.col("hi").alias(f"hi_{name}"))
+        for k in range(CELLS):
+            band = lambda c: F.floor(c / width)
+            out = out.withColumn(f"c{k}", F.explode(F.sequence(band(F.col(f"lo_{name}")[k] - more), band(F.col(f"hi_{name}")[k] + more))))
+        return out
+
+    gap = F.zip_with(F.zip_with("lo_a", "hi_b", lambda x, y: x - y), F.zip_with("lo_b", "hi_a", lambda x, y: x - y), lambda x, y: F.greatest(x, y, F.lit(0.0)))
+    apart = F.aggregate(gap, F.lit(0.0), lambda s, x: s + x * x)
+    pairs = cells("a", 0.0).join(cells("b", width), ["d", *(f"c{k}" for k in range(CELLS))]).where("a <= b").where(apart <= width * width).select("a", "b").distinct()
+    # A tile meets its partners in groups of about PARTNERS, so that no group has too many and the tile is sent once for each.
+    groups = F.ceil(F.count("*").over(Window.partitionBy("a")) / PARTNERS)
+    pairs = scratch.keep(pairs.withColumn("part", F.pmod(F.xxhash64("b"), groups)))
+    stored = tiles.select("t", "d", "hs", "ms", "rs")
+    left = pairs.select("a", "part").distinct().join(stored, F.col("a") == F.col("t")).drop("t")
+    right = pairs.join(stored, F.col("b") == F.col("t")).select("a", "part", "b", "hs", "ms", "rs")
+
+    found_schema = pa.schema([("h", pa.int64()), ("root", pa.int64()), ("links", pa.int64())])
+
+    def met(a: np.ndarray, h1: np.ndarray, m1: np.ndarray, b: np.ndarray, h2: np.ndarray, m2: np.ndarray, same: bool) -> pa.RecordBatch:
+        """Of each class with links in these two tiles: their number, and the first class of its piece."""
+        i, j = compare(a, b, threshold)
+        if same:
+            i, j = i[i < j], j[i < j]
+            keys, weight = h1, m1
+        else:
+            j = j + len(a)
+            keys, weight = np.concatenate([h1, h2]), np.concatenate([m1, m2])
+        counts = np.zeros(len(keys), np.int64)
+        np.add.at(counts, i, weight[j])
+        np.add.at(counts, j, weight[i])
+        root = _spread(i, j, len(keys)) if len(i) else np.arange(len(keys))
+        some = np.flatnonzero(counts > 0)
+        return pa.RecordBatch.from_arrays([pa.array(keys[some]), pa.array(keys[root[some]]), pa.array(counts[some])], schema=found_schema)
+
+    def multiply(one: pa.Table, others: pa.Table) -> pa.Table:
+        d, tile_a = one.column("d")[0].as_py(), one.column("a")[0].as_py()
+
+        def read(t: pa.Table, k: int, mark: str = ""):
+            h, m, r = (t.column(mark + c)[k].as_py() for c in ("hs", "ms", "rs"))
+            return np.frombuffer(r).reshape(-1, d), np.frombuffer(h, np.int64), np.frombuffer(m, np.int64)
+
+        a = read(one, 0)
+        return pa.Table.from_batches([met(*a, *read(others, k, "_"), others.column("b")[k].as_py() == tile_a) for k in range(others.num_rows)], schema=found_schema)
+
+    right = right.toDF("_a", "_part", "b", "_hs", "_ms", "_rs")
+    both = left.toDF("a", "part", "d", "hs", "ms", "rs").groupBy("a", "part").cogroup(right.groupBy("_a", "_part"))
+    found = scratch.keep(both.applyInArrow(multiply, "h long, root long, links long"))
     links = found.groupBy("h").agg(F.sum("links").alias("links"))
     roots = components(found.select("h", "root"), scratch).toDF("h", "root")
     of = classes.select("h", "m", "low").join(links, "h", "left").join(roots, "h", "left").withColumn("root", F.coalesce("root", "h"))
