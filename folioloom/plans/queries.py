@@ -655,3 +655,55 @@ def document_round_trip(spark, sf_dir):
 @query("SELECT c_custkey, CASE WHEN length(c_name) > 6 THEN substr(c_name, 1, 4) || '***' || substr(c_name, -2) ELSE '***' END AS masked, substr(c_name || ' x', 1, 80) AS preview FROM customer")
 def masked_keys(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", text.mask_key(F.col("c_name")).alias("masked"), text.preview(F.concat("c_name", F.lit("\nx"))).alias("preview"))
+
+
+# ---- small rules ----------------------------------------------------------------------------------------------------
+
+
+@query("""
+SELECT c_custkey, (bit_count(xor(('0x' || substr(a, 1, 8))::BIGINT, ('0x' || substr(b, 1, 8))::BIGINT)) + bit_count(xor(('0x' || substr(a, 9, 8))::BIGINT, ('0x' || substr(b, 9, 8))::BIGINT)))::INT AS distance
+FROM (SELECT c_custkey, substr(md5(c_name), 1, 16) a, substr(md5(c_name || 'x'), 1, 16) b FROM customer)
+""")
+def fingerprint_distance(spark, sf_dir):
+    a, b = F.substring(F.md5("c_name"), 1, 16), F.substring(F.md5(F.concat("c_name", F.lit("x"))), 1, 16)
+    return table(spark, sf_dir, "customer").select("c_custkey", dedup.distance(a, b).alias("distance"))
+
+
+@query("""
+SELECT o_orderkey, round(least(list_min(x), 1), 4)::DOUBLE AS x0, round(least(list_min(y), 1), 4)::DOUBLE AS y0, round(least(list_max(x), 1), 4)::DOUBLE AS x1, round(least(list_max(y), 1), 4)::DOUBLE AS y1
+FROM (SELECT o_orderkey, [greatest(v / 1000.0::DOUBLE, 0) FOR v IN [a, b, b, a - 60]] x, [greatest(v / 1000.0::DOUBLE, 0) FOR v IN [c, c, c + 90, c + 70]] y FROM (SELECT o_orderkey, o_orderkey % 997 a, o_orderkey % 997 + 120 b, o_orderkey % 773 - 40 c FROM orders))
+""")
+def corner_boxes(spark, sf_dir):
+    a, c = (F.col("o_orderkey") % 997).cast("double"), (F.col("o_orderkey") % 773).cast("double") - 40
+    points = F.array(F.array(a, c), F.array(a + 120, c), F.array(a + 120, c + 90), F.array(a - 60, c + 70))
+    box = places.corners_box(points, F.lit(1000), F.lit(1000))
+    return table(spark, sf_dir, "orders").select("o_orderkey", *(box[k].alias(n) for k, n in enumerate(("x0", "y0", "x1", "y1"))))
+
+
+@query("SELECT conv_id, turn, length(trim(substr(text, 1, (turn * 7) % 40))) < 20 AND turn % 3 > 0 AS scanned FROM (SELECT conv_id, turn, regexp_replace(text, '\\s+', '_', 'g') AS text FROM conversations)")
+def scanned_pages(spark, sf_dir):
+    t = table(spark, sf_dir, "conversations").withColumn("text", F.regexp_replace("text", r"(?U)\s+", "_"))
+    part = F.concat(F.lit(" \n"), F.substring(F.col("text"), F.lit(1), (F.col("turn") * 7 % 40).cast("int")), F.lit("\t"))
+    return t.select("conv_id", "turn", places.is_scanned(part, F.col("turn") % 3).alias("scanned"))
+
+
+@query("""
+SELECT page_id, list_has_any(string_split(lower(p), '/'), ['.git', '__pycache__', '.venv', '.uv-cache', '.idea', '.vscode', '.ds_store']) AS excluded
+FROM (SELECT page_id, 'a/' || CASE page_id % 6 WHEN 0 THEN '.git/x' WHEN 1 THEN 'b/__PyCache__/' || page_id WHEN 2 THEN '.gitignore' WHEN 3 THEN 'venv/.venv' WHEN 4 THEN '.DS_Store' ELSE '_posts/' || page_id END || '.txt' p FROM pages)
+""")
+def excluded_paths(spark, sf_dir):
+    k = F.col("page_id") % 6
+    path = F.when(k == 0, ".git/x").when(k == 1, F.concat(F.lit("b/__PyCache__/"), "page_id")).when(k == 2, ".gitignore").when(k == 3, "venv/.venv").when(k == 4, ".DS_Store").otherwise(F.concat(F.lit("_posts/"), "page_id"))
+    return table(spark, sf_dir, "pages").select("page_id", readers.excluded(F.concat(F.lit("a/"), path, F.lit(".txt"))).alias("excluded"))
+
+
+@query(r"""
+SELECT o_orderkey, CASE WHEN k % 3 > 0 THEN round(CASE k % 3 WHEN 1 THEN 30000.0::DOUBLE / (1000 + k % 7) ELSE (k % 60) / 1.0::DOUBLE END, 2) END AS rate, 'w' || k || '-' || CASE k % 2 WHEN 0 THEN '' ELSE '=' END AS value
+FROM (SELECT o_orderkey, o_orderkey AS k FROM orders)
+""")
+def small_rules(spark, sf_dir):
+    k = F.col("o_orderkey")
+    ratio = F.when(k % 3 == 0, "none").when(k % 3 == 1, F.concat(F.lit("30000/"), (1000 + k % 7).cast("string"))).otherwise(F.concat((k % 60).cast("string"), F.lit("/0")))
+    lines_ = F.concat(F.lit("# A=comment\n KEY = \"w"), k, F.lit("-"), F.when(k % 2 == 0, "").otherwise("="), F.lit("\" \nnothing\nKEY=later\nB='x'"))
+    t = table(spark, sf_dir, "orders")
+    return t.select("o_orderkey", places.frame_rate(ratio).alias("rate"), text.settings(lines_)["KEY"].alias("value"))
