@@ -33,6 +33,23 @@ FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+def benchmark_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.longest_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES["benchmark_matches"] = benchmark_matches
+# Windows that follow each other in text and item alike are one match.
+ORACLE_SQL["benchmark_matches"] = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w FROM benchmark),
+lengths AS (SELECT DISTINCT least(10, len(w)) n FROM b WHERE len(w) > 0),
+windows AS (SELECT item_id, n, j, list_aggregate(w[j:j + n - 1], 'string_agg', ' ') t FROM (SELECT item_id, w, least(10, len(w)) n, unnest(generate_series(1, len(w) - least(10, len(w)) + 1)) j FROM b WHERE len(w) > 0)),
+places AS (SELECT doc_id, n, i, list_aggregate(w[i:i + n - 1], 'string_agg', ' ') t FROM (SELECT doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) i FROM d, lengths WHERE len(w) >= n)),
+found AS (SELECT doc_id, item_id, n, i, j, i - row_number() OVER (PARTITION BY doc_id, item_id, i - j ORDER BY i) AS island FROM places JOIN windows USING (n, t))
+SELECT doc_id, item_id::VARCHAR item_id, min(i) - 1 AS doc_word, min(j) - 1 AS item_word, max(i) - min(i) + max(n) AS n_words FROM found GROUP BY doc_id, item_id, i - j, island
+"""
+
+
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngramjoin.jaccard_components(table(spark, sf_dir, "documents"), n=3, percent=90)
 

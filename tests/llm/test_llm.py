@@ -358,6 +358,52 @@ def test_kneser_ney_sums_to_one(spark):
     assert n.tolist() == [10, 8, 0, 0] and bits[0] / 10 < bits[1] / 8 and bits[2] == bits[3] == 0
 
 
+def plain_kneser_ney(texts, table, order):
+    """Interpolated modified Kneser-Ney by its definition, with dictionaries: the probability of a class after others."""
+    seen = collections.Counter()
+    for t in texts:
+        codes = [0] * (order - 1) + [int(table[min(ord(c), 65536)]) for c in t]
+        seen.update(tuple(codes[i : i + order]) for i in range(len(codes) - order + 1))
+    counts = {order: seen}
+    for k in range(order - 1, 0, -1):
+        counts[k] = collections.Counter(g[1:] for g in counts[k + 1])
+    levels = {}
+    for k, c in counts.items():
+        n = [max(sum(x == i for x in c.values()), 1) for i in (1, 2, 3, 4)]
+        y = n[0] / (n[0] + 2 * n[1])
+        d = [min(max(x, 0.1), i + 0.9) for i, x in enumerate((1 - 2 * y * n[1] / n[0], 2 - 3 * y * n[2] / n[1], 3 - 4 * y * n[3] / n[2]))]
+        total, held = collections.Counter(), collections.Counter()
+        for g, x in c.items():
+            total[g[:-1]] += x
+            held[g[:-1]] += d[min(x, 3) - 1]
+        levels[k] = c, d, total, held
+
+    def p(g):
+        if not g:
+            return 1 / (quality.CLASSES - 1)
+        c, d, total, held = levels[len(g)]
+        if not total[g[:-1]]:
+            return p(g[1:])
+        x = c[g]
+        return ((x - d[min(x, 3) - 1]) if x else 0) / total[g[:-1]] + held[g[:-1]] / total[g[:-1]] * p(g[1:])
+
+    return p
+
+
+def test_kneser_ney_like_plain(spark):
+    import pyarrow as pa
+
+    texts = [sentence(25) for _ in range(50)]
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(50)], "doc_id long, quality int, toxic int")
+    model = quality.train(frame(spark, texts), labels)
+    p = plain_kneser_ney(texts, model.table, quality.ORDER)
+    for t in [*texts[:10], "the of the gamma", "unheard: qqq zz!", "中文 中文"]:
+        codes = [0] * (quality.ORDER - 1) + [int(model.table[min(ord(c), 65536)]) for c in t]
+        want = -sum(math.log2(p(tuple(codes[i : i + quality.ORDER]))) for i in range(len(t)))
+        n, bits = model.score(pa.array([t]))
+        assert n[0] == len(t) and abs(bits[0] - want) < 0.01 * len(t)
+
+
 def test_quality_rejects_junk_and_keeps_clean(spark):
     texts = [sentence(40) for _ in range(200)] + ["".join(rng.choice("#@*&^%$") for _ in range(200)) for _ in range(8)] + [None, "", "the", sentence(3000)]
     docs = frame(spark, texts)
