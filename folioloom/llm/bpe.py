@@ -35,6 +35,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,7 +44,7 @@ from . import textscan
 from .common import Scratch
 
 #: Text of a block, and text that is split at a time.
-BLOCK_BYTES, SPLIT_BYTES = 16 << 20, 2 << 20
+BLOCK_BYTES, SPLIT_BYTES = 12 << 20, 2 << 20
 #: Text for each part of the distinct words, and the most parts.
 PART_BYTES, PARTS = 16 << 20, 1 << 16
 #: Distinct words that a task holds.
@@ -217,27 +218,33 @@ def _points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
+#: Words of a block that are worked on at a time, so that the arrays over them stay small.
+RUN = 1 << 17
 #: First bytes that stand for numbers of one, two and three bytes; 255 is for those of five.
 _ONE, _TWO, _THREE = 192, 240, 255
 
 
 def _pack(values: np.ndarray) -> bytes:
     """Numbers from 0 below 2**32, short ones in a byte, compressed: all first bytes, then the others by their number."""
-    v = values.astype(np.int64)
-    two = v - _ONE
-    three = two - ((_TWO - _ONE) << 8)
-    five = three >= (_THREE - _TWO) << 16
-    kind = np.where(v < _ONE, 1, np.where(three < 0, 2, np.where(five, 5, 3)))
-    head = np.select([kind == 1, kind == 2, kind == 3], [v, _ONE + (two >> 8), _TWO + (three >> 16)], _THREE).astype(np.uint8)
-    parts = [head, (two[kind == 2] & 255).astype(np.uint8), (three[kind == 3] & 65535).astype("<u2"), v[kind == 5].astype("<u4")]
-    return len(v).to_bytes(8, "little") + zlib.compress(b"".join(x.tobytes() for x in parts), 6)
+    parts: list[list[bytes]] = [[], [], [], []]
+    for k in range(0, len(values), RUN):
+        v = values[k : k + RUN].astype(np.int64)
+        two = v - _ONE
+        three = two - ((_TWO - _ONE) << 8)
+        five = three >= (_THREE - _TWO) << 16
+        kind = np.where(v < _ONE, 1, np.where(three < 0, 2, np.where(five, 5, 3)))
+        head = np.select([kind == 1, kind == 2, kind == 3], [v, _ONE + (two >> 8), _TWO + (three >> 16)], _THREE).astype(np.uint8)
+        rest = [(two[kind == 2] & 255).astype(np.uint8), (three[kind == 3] & 65535).astype("<u2"), v[kind == 5].astype("<u4")]
+        for held, x in zip(parts, [head, *rest], strict=True):
+            held.append(x.tobytes())
+    return len(values).to_bytes(8, "little") + zlib.compress(b"".join(x for held in parts for x in held), 6)
 
 
 def _unpack(data: bytes) -> np.ndarray:
     n = int.from_bytes(data[:8], "little")
     raw = zlib.decompress(data[8:])
     head = np.frombuffer(raw, np.uint8, n)
-    out = head.astype(np.int64)
+    out = head.astype(np.uint32)
     for low, high, kind, base in ((_ONE, _TWO, "u1", _ONE), (_TWO, _THREE, "<u2", _ONE + ((_TWO - _ONE) << 8))):
         some = (head >= low) & (head < high)
         rest = np.frombuffer(raw, kind, int(some.sum()), n)
@@ -271,7 +278,7 @@ class _Block:
         if not same.all():  # other words of a hash that is taken
             other = np.flatnonzero(~same)
             place[other] = self._places(split.strings(other), split.hashes[other])
-        self.places.append(place)
+        self.places.append(place.astype(np.uint32))
         self.counts.append(np.diff(split.first))
         self.rows.append(rows)
         self.size += len(split.text)
@@ -288,9 +295,9 @@ class _Block:
 
     def packed(self, block: int, parts: int) -> pa.RecordBatch:
         """A row with the texts' places, and a row for each part of the words; the commonest words get the smallest places."""
-        places = np.concatenate(self.places) if self.places else np.zeros(0, np.int64)
+        places = np.concatenate(self.places) if self.places else np.zeros(0, np.uint32)
         order = np.argsort(-np.bincount(places, minlength=len(self.words)), kind="stable")
-        rank = np.empty(len(order), np.int64)
+        rank = np.empty(len(order), np.uint32)
         rank[order] = np.arange(len(order))
         words = list(self.words)
         part = np.array(self.hashes, np.uint64)[order] % np.uint64(parts)
@@ -320,9 +327,8 @@ class _Block:
 SPLIT = "block long, part long, rows binary, counts binary, places binary, order binary, words binary"
 
 
-def split(docs: DataFrame, kept: list[str], tokenizer: Tokenizer, parts: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The documents in blocks; of their columns those in ``kept`` go along."""
-    shared = docs.sparkSession.sparkContext.broadcast(tokenizer)
+def split(docs: DataFrame, kept: list[str], shared: Broadcast, parts: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The documents in blocks, split by a tokenizer; of their columns those in ``kept`` go along."""
 
     def run(batches):
         from pyspark import TaskContext
@@ -332,17 +338,17 @@ def split(docs: DataFrame, kept: list[str], tokenizer: Tokenizer, parts: int, bl
             for some in textscan.slices(batch, "_text", SPLIT_BYTES):
                 block.add(shared.value.split([x or "" for x in some.column(some.num_columns - 1).to_pylist()]), some.select(list(range(some.num_columns - 1))))
                 if block.size >= block_bytes:
-                    yield block.packed(made, parts)
-                    block, made = _Block(), made + 1
+                    row, block, made = block.packed(made, parts), _Block(), made + 1
+                    textscan.release()
+                    yield row
         if block.rows:
             yield block.packed(made, parts)
 
     return docs.select(*(docs[f"`{c}`"].alias(f"c{k}") for k, c in enumerate(kept)), F.col("text").cast("string").alias("_text")).mapInArrow(run, SPLIT)
 
 
-def encode_distinct(words: DataFrame, tokenizer: Tokenizer, parts: int) -> DataFrame:
+def encode_distinct(words: DataFrame, shared: Broadcast, parts: int) -> DataFrame:
     """(block, part, ids, sizes) for each row (block, part, words): every distinct word is encoded once, in its part's task."""
-    shared = words.sparkSession.sparkContext.broadcast(tokenizer)
 
     def run(batches):
         known: dict[str, int] = {}
@@ -368,6 +374,7 @@ def _joined(left: pa.Table, right: pa.Table, pieces: pa.Array) -> tuple[pa.Table
     """(rows, ids of all texts, where each text's begin, what each decodes to) of a block."""
     rows = pa.ipc.open_stream(left.column("rows")[0].as_py()).read_all()
     counts, places, own = (_unpack(left.column(c)[0].as_py()) for c in ("counts", "places", "order"))
+    own = own.astype(np.int64)
     n = int(own[0])
     parts, many, steps = own[1 : n + 1], own[n + 1 : 2 * n + 1], own[2 * n + 1 :]
     place = {int(p): np.cumsum(x) for p, x in zip(parts, np.split(steps, np.cumsum(many)[:-1]), strict=True)} if n else {}
@@ -380,13 +387,20 @@ def _joined(left: pa.Table, right: pa.Table, pieces: pa.Array) -> tuple[pa.Table
     # Pieces by id, to one string for each distinct word.
     found = pieces.take(pa.array(ids)).to_pylist()
     words = [found[a] if n == 1 else " ".join(found[a : a + n]) for a, n in zip(start.tolist(), size.tolist(), strict=True)]
-    n = size[places]
-    at = np.concatenate([[0], np.cumsum(n)])
-    flat = ids[np.repeat(start[places] - at[:-1], n) + np.arange(at[-1])].astype(np.int32)
-    first = np.concatenate([[0], np.cumsum(counts)])
-    each = list(map(words.__getitem__, places.tolist()))
-    texts = [" ".join(each[a:b]) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
-    return rows, flat, at[first], texts
+    first = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
+    flat, at, texts, k = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)], [], 0
+    while k < len(counts):
+        stop = max(int(np.searchsorted(first, first[k] + RUN, side="right")) - 1, k + 1)
+        some = places[first[k] : first[stop]]
+        n = size[some]
+        begin = np.concatenate([[0], np.cumsum(n)])
+        flat.append(ids[np.repeat(start[some] - begin[:-1], n) + np.arange(begin[-1])].astype(np.int32))
+        edges = first[k : stop + 1] - first[k]
+        at.append(at[-1][-1] + begin[edges[1:]])
+        each = list(map(words.__getitem__, some.tolist()))
+        texts += [" ".join(each[a:b]) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+        k = stop
+    return rows, np.concatenate(flat), np.concatenate(at), texts
 
 
 def _encoded(docs: DataFrame, path: str, kept: list[str], schema, out) -> DataFrame:
@@ -395,12 +409,13 @@ def _encoded(docs: DataFrame, path: str, kept: list[str], schema, out) -> DataFr
     scratch = Scratch(docs.sparkSession)
     size = docs.agg(F.coalesce(F.sum(F.octet_length(F.col("text").cast("string"))), F.lit(0)).alias("b")).first().b
     parts = min(PARTS, max(4, -(-size // PART_BYTES)))
-    blocks = scratch.keep(split(docs, kept, tokenizer, parts))
-    words = encode_distinct(blocks.where("part is not null").select("block", "part", "words"), tokenizer, parts)
-    shared = docs.sparkSession.sparkContext.broadcast(pa.array(tokenizer.pieces, pa.string()))
+    shared = docs.sparkSession.sparkContext.broadcast(tokenizer)
+    blocks = scratch.keep(split(docs, kept, shared, parts))
+    words = encode_distinct(blocks.where("part is not null").select("block", "part", "words"), shared, parts)
+    pieces = docs.sparkSession.sparkContext.broadcast(pa.array(tokenizer.pieces, pa.string()))
 
     def join(left: pa.Table, right: pa.Table) -> pa.Table:
-        rows, ids, at, texts = _joined(left, right, shared.value)
+        rows, ids, at, texts = _joined(left, right, pieces.value)
         found = pa.table(out(rows, ids, at, texts), names=schema.names)
         textscan.release()
         return found
