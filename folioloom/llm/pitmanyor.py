@@ -1,27 +1,31 @@
 """LM scoring by a hierarchical Pitman-Yor model.
 
-Restaurants stand in three levels.  A context restaurant of two words hangs on
-that of its nearer word, and that on the root; contexts whose words are not
-among the frequent ones go straight to the next level that has them.  Context
-restaurants serve the ``DISHES`` most frequent words and, as one more dish, all
-other words together; how that dish's mass is shared among those words, and one
-class of unknown words, is a Pitman-Yor restaurant of its own over the whole
-vocabulary; its base gives the unknown class ``UNKNOWN`` and the rest to the
-words in equal parts.  So every level is a proper distribution over the V words
-of the training text and the unknown class.
-
-Seating is sampled by Gibbs: each sweep seats every dish's customers anew, given
-the other dishes' tables and the parent's predictive probabilities, from the
-leaves to the root; tables of a level are the customers of its parent.
-Customers are seated one by one up to the 32nd of a dish and then in runs of a
-32nd of those seated, within which the chance of a new table is held.  The
-predictive probabilities of ``SAMPLES`` sweeps after ``BURN_IN`` are averaged.
-
-Where the data meet: all training words are counted by shards of their hash,
-contexts' dishes by context.  Tables that go to every task have fixed bounds:
-the ``FREQUENT`` most frequent words, and 2 * ``CONTEXTS`` + 1 rows of
-probabilities.  All other words of the documents are joined with the sharded
-vocabulary.
+Every token of the training text opens the context of what follows it, and the
+end token that of a text's first word; each context is a restaurant, and all of
+them share one parent, the root over the whole vocabulary and one class of
+unknown words.  The root's base gives the unknown class ``UNKNOWN`` and the rest
+to the words in equal parts, so every restaurant is a proper distribution.  No
+word and no context is left out: the model grows with the text.
+
+Seating is sampled by Gibbs, distributed: in each of ``SWEEPS`` sweeps the
+customers of every (context, word) are seated anew, given the tables of their
+context and the root's probability of the word as the sweep before left them
+(as Newman et al., 2009, sample topics in parallel).  Tables are the customers
+of the root.  The last sweep seats ``DRAWS`` times; its mean tables give the
+averaged predictive probabilities.  Customers of one dish are seated one by one
+up to the 32nd and then in runs of a 32nd of those seated, within which the
+chance of a new table is held.
+
+Where the data meet: pairs are counted after sums in each task, then seated row
+by row; a context's tables are a sum by its word and never gathered, so a
+context that follows or precedes everything needs no task of its own size.
+
+The probability of word w after u is p(w) * back(u) * (1 + extra(u, w)), where
+p is the root's, back(u) the share that context u hands to the root, and extra is
+0 for pairs that training never met.  A text's tokens and its contexts are the
+same words, so a score is a sum over its words of log p + log back and over its
+pairs of log (1 + extra): two lookups by 64-bit hash, from a table of the
+``FREQUENT`` most frequent that goes to every task, and beyond it by a join.
 
 Defined cases: a null or empty text is one end token; a document without an id
 is in training; without training text every token is unknown with certainty;
@@ -40,42 +44,35 @@ from pyspark.sql import functions as F
 from . import textscan
 from .common import Scratch, most_frequent
 
+#: Words, and pairs, in the tables that go to every task: at most 24 bytes for each.
 FREQUENT = 1 << 19
-DISHES = 4096
-CONTEXTS = 512
-BURN_IN, SAMPLES = 4, 8
+SWEEPS, DRAWS = 3, 8
 STRENGTH = 1.0
 UNKNOWN = 0.9
+#: Different pairs that a task sums up before it passes them on.
+LOCAL_PAIRS = 1_000_000
 END = np.uint64(0x5851F42D4C957F2D)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
+def pair_hash(u: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of context and word."""
+    with np.errstate(over="ignore"):
+        return textscan.mix(textscan.mix(u + _MIX) * np.uint64(3) + w)
+
+
 class Tokens:
-    """Words and one end of consecutive texts; rank is -1 for words outside the frequent ones."""
+    """Words and one end of consecutive texts, by hash, and the token before each; before a text stands an end."""
 
-    def __init__(self, texts: pa.Array, frequent: tuple[np.ndarray, np.ndarray] | None = None) -> None:
+    def __init__(self, texts: pa.Array) -> None:
         words = textscan.scan(texts, textscan.NONSPACE)
         self.n_docs = words.n_docs
         self.sizes = np.diff(words.first) + 1
         self.first = np.concatenate([[0], np.cumsum(self.sizes)])
         self.hashes = np.full(int(self.first[-1]), END, np.uint64)
         self.hashes[np.arange(len(words.hashes)) + words.docs] = words.hashes
-        if frequent is not None:
-            hashes, ranks = frequent
-            at, found = textscan.member(hashes, self.hashes)
-            self.rank = np.where(found, ranks[at], -1) if len(hashes) else np.full(len(self.hashes), -1)
-            at, found = textscan.member(hashes, np.array([END]))
-            self.end = int(ranks[at[0]]) if len(hashes) and found[0] else -1
-
-    def before(self, n: int) -> np.ndarray:
-        """Rank of the n-th token before each; before a text stands an end, and before that nothing (-1)."""
-        out = np.full(len(self.rank), -1)
-        out[n:] = self.rank[:-n]
-        at = self.first[:-1]
-        for k in range(n):
-            here = at[self.sizes > k] + k
-            out[here] = self.end if k == n - 1 else -1
-        return out
+        self.before = np.roll(self.hashes, 1)  # the last token of each text is an end, so the first one follows an end
+        self.pairs = pair_hash(self.before, self.hashes)
 
     def docs(self) -> np.ndarray:
         return np.repeat(np.arange(self.n_docs), self.sizes)
@@ -84,97 +81,38 @@ class Tokens:
         return np.add.reduceat(values, self.first[:-1]) if self.n_docs else np.zeros(0)
 
 
-@dataclass
-class Grid:
-    """What contexts are there: nearer words below ``contexts``, and the places of pairs of them."""
-
-    dishes: int
-    contexts: int
-    pairs: np.ndarray  # [farther, nearer] -> row or -1
-
-    def rows(self, t: Tokens) -> tuple[np.ndarray, np.ndarray]:
-        """(context, dish) of each token; contexts are 0 for the root, then one word, then two."""
-        near, far = t.before(1), t.before(2)
-        dish = np.where((t.rank >= 0) & (t.rank < self.dishes), t.rank, self.dishes)
-        one = (near >= 0) & (near < self.contexts)
-        row = np.where(one, near + 1, 0)
-        both = np.flatnonzero(one & (far >= 0) & (far < self.contexts))
-        pair = self.pairs[far[both], near[both]]
-        row[both[pair >= 0]] = pair[pair >= 0] + 1 + self.contexts
-        return row, dish
-
-
-def _training(docs: DataFrame, held_out: Column) -> DataFrame:
-    return docs.where(~F.coalesce(held_out, F.lit(False))).select(F.col("text").cast("string").alias("text"))
-
-
-def vocabulary(train: DataFrame, scratch: Scratch) -> DataFrame:
-    """(h, c): how often each token stands in the training text."""
+def count_pairs(train: DataFrame) -> DataFrame:
+    """(u, w, c): how often word w follows u in the texts; an end stands before the first word and follows the last."""
 
     def run(batches):
-        total: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, ...]] = []
 
-        def merged():
-            h, c = (np.concatenate(x) for x in zip(*total, strict=True))
-            order = np.argsort(h)
-            h, c = h[order], c[order]
-            first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])[: len(h)])
-            return h[first], np.add.reduceat(c, first) if len(first) else c
-
-        for batch in batches:
-            for part in textscan.slices(batch, "text"):
-                total.append(np.unique(Tokens(part.column(0)).hashes, return_counts=True))
-                if sum(len(h) for h, _ in total) > 1_500_000:
-                    total[:] = [merged()]
-                    if len(total[0][0]) > 750_000:
-                        h, c = total.pop()
-                        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c)], names=["h", "c"])
-        if total:
-            h, c = merged()
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c)], names=["h", "c"])
-
-    return scratch.keep(train.mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")))
+        def merged(parts):
+            g, u, w, c = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.argsort(g)
+            g, u, w, c = g[order], u[order], w[order], c[order]
+            first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])[: len(g)])
+            return g[first], u[first], w[first], np.add.reduceat(c, first) if len(first) else c
 
+        def rows(g, u, w, c):
+            return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(w.view(np.int64)), pa.array(c)], names=["u", "w", "c"])
 
-def _counts(train: DataFrame, frequent, grid: Grid) -> np.ndarray:
-    """How often each context has each dish, summed by context: an array of a fixed size."""
-    shared = train.sparkSession.sparkContext.broadcast((frequent, grid))
-    rows, width = 1 + grid.contexts + int(grid.pairs.max(initial=-1)) + 1, grid.dishes + 1
-
-    def run(batches):
-        (frequent, grid), total = shared.value, np.zeros(rows * width, np.int64)
         for batch in batches:
             for part in textscan.slices(batch, "text"):
-                row, dish = grid.rows(Tokens(part.column(0), frequent))
-                total += np.bincount(row * width + dish, minlength=rows * width)
-        some = np.flatnonzero(total)
-        row = some // width
-        ends = np.searchsorted(row, np.arange(rows + 1))
-        which = np.flatnonzero(np.diff(ends))
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(which),
-                pa.array([(some[ends[r] : ends[r + 1]] % width).astype(np.uint16).tobytes() for r in which], pa.binary()),
-                pa.array([total[some[ends[r] : ends[r + 1]]].tobytes() for r in which], pa.binary()),
-            ],
-            names=["row", "dish", "n"],
-        )
-
-    def add(t: pa.Table) -> pa.Table:
-        total = np.zeros(width, np.int64)
-        for d, n in zip(t.column("dish").to_pylist(), t.column("n").to_pylist(), strict=True):
-            total[np.frombuffer(d, np.uint16)] += np.frombuffer(n, np.int64)
-        return pa.table({"row": t.column("row")[:1], "n": pa.array([total.tobytes()], pa.binary())})
-
-    out = np.zeros((rows, width), np.int64)
-    for r in train.mapInArrow(run, "row long, dish binary, n binary").groupBy("row").applyInArrow(add, "row long, n binary").toLocalIterator():
-        out[r.row] = np.frombuffer(r.n, np.int64)
-    return out
+                t = Tokens(part.column(0))
+                held.append(merged([(t.pairs, t.before, t.hashes, np.ones(len(t.pairs), np.int64))]))
+                if sum(len(x[0]) for x in held) > 2 * LOCAL_PAIRS:
+                    held = [merged(held)]
+                    if len(held[0][0]) > LOCAL_PAIRS:
+                        yield rows(*held.pop())
+        if held:
+            yield rows(*merged(held))
+
+    return train.mapInArrow(run, "u long, w long, c long").groupBy("u", "w").agg(F.sum("c").alias("c"))
 
 
 def seat(c: np.ndarray, new: np.ndarray, d: float, rng: np.random.Generator) -> np.ndarray:
     """Tables of dishes with c customers each; ``new`` is the weight of a new table."""
-    shape, c, new = c.shape, c.ravel(), np.broadcast_to(new, c.shape).ravel()
     tables = (c > 0).astype(np.int64)
     some = np.flatnonzero(c > 1)
     c, new, t, k = c[some], new[some], np.ones(len(some), np.int64), 1
@@ -186,175 +124,179 @@ def seat(c: np.ndarray, new: np.ndarray, d: float, rng: np.random.Generator) ->
         over = c <= k
         tables[some[over]] = t[over]
         some, c, new, t = some[~over], c[~over], new[~over], t[~over]
-    return tables.reshape(shape)
-
+    return tables
 
-def _discount(c: np.ndarray) -> float:
-    n1, n2 = int((c == 1).sum()), int((c == 2).sum())
-    return float(np.clip(n1 / (n1 + 2 * n2), 0.1, 0.9)) if n1 else 0.5
 
+def discount(once: int, twice: int) -> float:
+    return float(np.clip(once / (once + 2 * twice), 0.1, 0.9)) if once else 0.5
 
-def _predict(c, t, d, parent):
-    """Predictive probabilities of restaurants (rows) with customers c and tables t, by their parents' ones."""
-    return (c - d * t + (STRENGTH + d * t.sum(axis=-1, keepdims=True)) * parent) / (STRENGTH + c.sum(axis=-1, keepdims=True))
 
+def root_probabilities(values: np.ndarray, words: np.ndarray, seed: int = 11, sweeps: int = 12, burn_in: int = 4, draws: int = 64) -> np.ndarray:
+    """The root's probability of one word of each number of customers, and in the last place of the unknown class.
 
-def gibbs(counts: np.ndarray, grid: Grid, base: np.ndarray, seed: int = 7) -> np.ndarray:
-    """Averaged predictive probabilities of every context, root first."""
-    rng = np.random.default_rng(seed)
-    n1 = grid.contexts
-    own0, own1, c2 = counts[0], counts[1 : 1 + n1], counts[1 + n1 :]
-    nearer = np.zeros(len(c2), np.int64)
-    far, near = np.nonzero(grid.pairs >= 0)
-    nearer[grid.pairs[far, near]] = near
-    d0, d1, d2 = _discount(own0), _discount(own1), _discount(c2)
-    t2, t1 = np.minimum(c2, 1), np.minimum(own1, 1)
-    t0, total = np.minimum(own0, 1), np.zeros(counts.shape)
-    for sweep in range(BURN_IN + SAMPLES):
-        c1 = own1.copy()
-        np.add.at(c1, nearer, t2)
-        t1 = np.clip(t1, np.minimum(c1, 1), c1)
-        c0 = own0 + t1.sum(axis=0)
-        t0 = np.clip(t0, np.minimum(c0, 1), c0)
-        p0 = _predict(c0, t0, d0, base)
-        p1 = _predict(c1, t1, d1, p0)
-        t2 = seat(c2, (STRENGTH + d2 * t2.sum(axis=1, keepdims=True)) * p1[nearer], d2, rng)
-        c1 = own1.copy()
-        np.add.at(c1, nearer, t2)
-        t1 = seat(c1, (STRENGTH + d1 * t1.sum(axis=1, keepdims=True)) * p0, d1, rng)
-        c0 = own0 + t1.sum(axis=0)
-        t0 = seat(c0, (STRENGTH + d0 * t0.sum()) * base, d0, rng)
-        if sweep >= BURN_IN:
-            p0 = _predict(c0, t0, d0, base)
-            p1 = _predict(c1, t1, d1, p0)
-            total[0] += p0
-            total[1 : 1 + n1] += p1
-            total[1 + n1 :] += _predict(c2, t2, d2, p1[nearer])
-    return total / SAMPLES
-
-
-def other_words(values: np.ndarray, words: np.ndarray, seed: int = 11, draws: int = 64) -> np.ndarray:
-    """Probability of one word of each count, and in the last place of the unknown class, among words that are no dish.
-
-    ``values`` are distinct counts and ``words`` how many words have each; seating
-    depends on a word's count alone, so it is drawn ``draws`` times per value.
+    ``values`` are distinct numbers of customers and ``words`` how many words have
+    each; seating depends on that number alone, so it is drawn ``draws`` times per
+    value.
     """
     rng = np.random.default_rng(seed)
     types, customers = int(words.sum()), int((values * words).sum())
-    n1, n2 = int(words[values == 1].sum()), int(words[values == 2].sum())
-    d = float(np.clip(n1 / (n1 + 2 * n2), 0.1, 0.9)) if n1 else 0.5
+    d = discount(int(words[values == 1].sum()), int(words[values == 2].sum()))
     base, unknown = ((1 - UNKNOWN) / types, UNKNOWN) if types else (0.0, 1.0)
-    tables, total, sweeps = float(types), np.zeros(len(values) + 1), 0
-    for sweep in range(BURN_IN + SAMPLES):
-        t = seat(np.repeat(values[:, None], draws, axis=1), (STRENGTH + d * tables) * base, d, rng).mean(axis=1)
+    tables, total = float(types), np.zeros(len(values) + 1)
+    for sweep in range(sweeps):
+        c = np.repeat(values, draws)
+        t = seat(c, np.full(len(c), (STRENGTH + d * tables) * base), d, rng).reshape(-1, draws).mean(axis=1)
         tables = float((t * words).sum())
-        if sweep >= BURN_IN:
+        if sweep >= burn_in:
             back = STRENGTH + d * tables
             total += np.append(values - d * t + back * base, back * unknown) / (STRENGTH + customers)
-            sweeps += 1
-    return total / sweeps
+    return total / (sweeps - burn_in)
+
+
+def _root(seated: DataFrame) -> tuple[DataFrame, float]:
+    """((w, c, p) of every word, the probability of the unknown class): tables of all contexts are the root's customers."""
+    words = seated.groupBy("w").agg(F.sum("c").alias("c"), F.sum("t").alias("k"))
+    spread = words.groupBy("k").agg(F.count("*").alias("n")).orderBy("k").toArrow()  # at most sqrt(2 N) rows
+    values, many = spread.column(0).to_numpy(), spread.column(1).to_numpy()
+    p = root_probabilities(values, many)
+    table = seated.sparkSession.createDataFrame(pa.table({"k": pa.array(values, pa.int64()), "p": pa.array(p[:-1], pa.float64())}))
+    return words.join(F.broadcast(table), "k").select("w", "c", "p"), float(p[-1])
+
+
+def _contexts(seated: DataFrame, d: float) -> DataFrame:
+    """(u, total, back): a context's customers, and the weight with which it opens a table."""
+    return seated.groupBy("u").agg(F.sum("c").alias("total"), (STRENGTH + d * F.sum("mean")).alias("back"))
+
+
+def _sweep(counted: DataFrame, contexts: DataFrame, root: DataFrame, d: float, draws: int, seed: int) -> DataFrame:
+    """(u, w, c, t, mean): every pair's tables of the last drawing, and their mean over the drawings."""
+
+    def run(batches):
+        for batch in batches:
+            c, u, w = (batch.column(k).to_numpy() for k in (2, 0, 1))
+            new = batch.column(3).to_numpy()
+            # A sweep that is repeated for a lost executor seats alike only if it draws by what it seats.
+            key = pair_hash(u.view(np.uint64), w.view(np.uint64))
+            rng = np.random.default_rng([seed, int(np.bitwise_xor.reduce(key)) if len(key) else 0])
+            order = np.argsort(key)
+            t, total = np.zeros(len(c), np.int64), np.zeros(len(c))
+            for _ in range(draws):
+                t[order] = seat(c[order], new[order], d, rng)
+                total += t
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(t), pa.array(total / draws)], names=["u", "w", "c", "t", "mean"])
+
+    rows = counted.join(contexts, "u").join(root.select("w", "p"), "w").select("u", "w", "c", (F.col("back") * F.col("p")).alias("new"))
+    return rows.mapInArrow(run, "u long, w long, c long, t long, mean double")
 
 
 @dataclass
 class Model:
-    frequent: tuple[np.ndarray, np.ndarray]  # hashes, sorted, and their ranks
-    counts: np.ndarray  # by rank
-    grid: Grid
-    logs: np.ndarray  # log10 by context and dish
-    values: np.ndarray  # distinct counts of words that are no dish
-    others: np.ndarray  # log10 for each, and last for the unknown class
+    words: DataFrame  # (h, c, g): log10 of the root's probability and of what the word's own context hands to the root
+    pairs: DataFrame  # (h, c, g): log10 of what the pair's context adds
+    unknown: float  # log10 of the unknown class
     n: int
     v: int
 
     def base(self, c: np.ndarray) -> np.ndarray:
         return np.log10((c + 0.5) / (self.n + 0.5 * (self.v + 1)))
 
-    def other(self, c: np.ndarray) -> np.ndarray:
-        at, found = textscan.member(self.values, c)
-        return np.where(found, self.others[at], self.others[-1])
-
-
-def train(docs: DataFrame, held_out: Column, scratch: Scratch) -> tuple[Model, DataFrame]:
-    """The model, and the counts of the words that are not among its frequent ones."""
-    texts = _training(docs, held_out)
-    words = vocabulary(texts, scratch)
-    size = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    top, least = most_frequent(words, FREQUENT, "c")
-    top = top.toArrow()
-    hashes, counts = top.column(0).to_numpy().view(np.uint64), top.column(1).to_numpy()
-    order = np.lexsort([hashes, -counts])
-    hashes, counts = hashes[order], counts[order]
-    order = np.argsort(hashes)
-    frequent = hashes[order], order.astype(np.int64)
-    grid = Grid(min(DISHES, len(counts)), min(CONTEXTS, len(counts)), np.full((CONTEXTS, CONTEXTS), -1))
-    seen = _counts(texts, frequent, grid)
-    # The most frequent pairs of context words become contexts of their own.
-    pairs = seen[1 : 1 + grid.contexts, : grid.contexts]
-    best = np.argsort(-pairs, axis=None, kind="stable")[:CONTEXTS]
-    best = best[pairs.ravel()[best] > 1]
-    grid.pairs[best // max(grid.contexts, 1), best % max(grid.contexts, 1)] = np.arange(len(best))
-    seen = _counts(texts, frequent, grid)
-    width = grid.dishes + 1
-    base = np.full(width, 1 / (size.v + 1))
-    base[-1] = (size.v + 1 - grid.dishes) / (size.v + 1)
-    logs = np.log10(gibbs(seen, grid, base)).astype(np.float32)
-    spread = words.groupBy("c").agg(F.count("*").alias("n")).orderBy("c").toArrow()  # at most sqrt(2 N) rows
-    values, many = spread.column(0).to_numpy().copy(), spread.column(1).to_numpy().copy()
-    dish, n = np.unique(counts[: grid.dishes], return_counts=True)
-    many[np.searchsorted(values, dish)] -= n
-    values, many = values[many > 0], many[many > 0]
-    model = Model(frequent, counts, grid, logs, values, np.log10(other_words(values, many)), int(size.n), int(size.v))
-    return model, words.where(F.col("c") < least)
+
+def train(docs: DataFrame, held_out: Column, scratch: Scratch) -> Model:
+    """Counts, seats and keeps the model's two tables in the shared folder."""
+    texts = docs.where(~F.coalesce(held_out, F.lit(False))).select(F.col("text").cast("string").alias("text"))
+    counted = scratch.keep(count_pairs(texts))
+    first = counted.agg(
+        F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.when(F.col("c") == 1, 1)).alias("once"), F.count(F.when(F.col("c") == 2, 1)).alias("twice")
+    ).first()
+    d = discount(first.once, first.twice)
+    seated = counted.select("*", F.lit(1).cast("long").alias("t"), F.lit(1.0).alias("mean"))
+    root, _ = _root(seated)
+    for sweep in range(SWEEPS):
+        before, seated = seated, scratch.keep(_sweep(counted, _contexts(seated, d), root, d, DRAWS if sweep == SWEEPS - 1 else 1, sweep))
+        scratch.drop(before)
+        root, unknown = _root(seated)
+    contexts = _contexts(seated, d)
+    handed = contexts.select(F.col("u").alias("w"), F.log10(F.col("back") / (STRENGTH + F.col("total"))).alias("handed"))
+    words = root.join(handed, "w", "left").select(F.col("w").alias("h"), "c", (F.log10("p") + F.coalesce("handed", F.lit(0.0))).alias("g"))
+
+    def name(batches):
+        for batch in batches:
+            u, w = (batch.column(k).to_numpy().view(np.uint64) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(pair_hash(u, w).view(np.int64)), *batch.columns[2:]], names=["h", "c", "g"])
+
+    adds = F.log10(1 + (F.col("c") - d * F.col("mean")) / (F.col("back") * F.col("p"))).alias("g")
+    pairs = seated.join(contexts.select("u", "back"), "u").join(root.select("w", "p"), "w").select("u", "w", "c", adds)
+    words, pairs = scratch.keep(words), scratch.keep(pairs.mapInArrow(name, "h long, c long, g double"))
+    scratch.drop(seated, counted)
+    return Model(words, pairs, float(np.log10(unknown)), int(first.n), words.count())
+
+
+def _top(rows: DataFrame) -> tuple[tuple[np.ndarray, ...], DataFrame]:
+    """((hashes in order, counts, values) of the most frequent, all other rows)."""
+    top, least = most_frequent(rows, FREQUENT, "c")
+    found = top.toArrow()
+    h, c, g = (found.column(k).to_numpy() for k in range(3))
+    h = h.view(np.uint64)
+    order = np.argsort(h)
+    return (h[order], c[order], g[order]), rows.where(F.col("c") < least)
+
+
+def _others(docs: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, hash, how often) of what stands in each text."""
+    order = np.lexsort([h, docs])
+    docs, h = docs[order], h[order]
+    first = np.flatnonzero(np.concatenate([[True], (docs[1:] != docs[:-1]) | (h[1:] != h[:-1])])[: len(docs)])
+    return docs[first], h[first], np.diff(np.append(first, len(docs))).astype(np.int32)
 
 
 def score(docs: DataFrame, held_out: Column, scratch: Scratch | None = None) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row."""
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark)
-    model, rest = train(docs, held_out, scratch)
-    shared = spark.sparkContext.broadcast(model)
+    model = train(docs, held_out, scratch)
+    words, rest = _top(model.words)
+    pairs, rest_pairs = _top(model.pairs)
+    shared = spark.sparkContext.broadcast((words, pairs))
+    n, v, unknown = model.n, model.v, model.unknown
     doc = pa.struct([("doc_id", pa.int64()), ("n", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
-    schema = pa.schema([("key", pa.int64()), ("h", pa.int64()), ("n", pa.int32()), ("doc", doc)])
+    schema = pa.schema([("key", pa.int64()), ("h", pa.int64()), ("n", pa.int32()), ("pair", pa.bool_()), ("doc", doc)])
 
     def run(batches):
-        """A row for each text with what its frequent words give, and a row for each other word of it."""
-        m = shared.value
+        """A row for each text with what the frequent words and pairs give, and a row for each other one of it."""
+        (hashes, counts, logs), (pair_hashes, _, pair_logs) = shared.value
         for batch in batches:
             for part in textscan.slices(batch, "text"):
-                t = Tokens(part.column(1), m.frequent)
-                row, dish = m.grid.rows(t)
-                known = t.rank >= 0
-                c = m.counts[np.maximum(t.rank, 0)] if len(m.counts) else np.zeros(len(t.rank), np.int64)
-                base = np.where(known, m.base(c), 0.0)
-                logs = m.logs[row, dish].astype(np.float64)
-                some = np.flatnonzero(known & (dish == m.grid.dishes))
-                logs[some] += m.other(c[some])
+                t = Tokens(part.column(1))
+                at, known = textscan.member(hashes, t.hashes)
+                c = np.where(known, counts[at], 0) if len(counts) else np.zeros(len(at), np.int64)
+                base = np.where(known, np.log10((c + 0.5) / (n + 0.5 * (v + 1))), 0.0)
+                logs_here = np.where(known, logs[at], 0.0) if len(counts) else np.zeros(len(at))
+                at, met = textscan.member(pair_hashes, t.pairs)
+                if len(pair_logs):
+                    logs_here += np.where(met, pair_logs[at], 0.0)
                 ids = part.column(0)
                 with np.errstate(over="ignore"):
                     inside = t.hashes * (np.arange(len(t.hashes)) - np.repeat(t.first[:-1], t.sizes) + 1).astype(np.uint64)
                     keys = textscan.mix(t.sums(textscan.mix(inside)) + ids.fill_null(-7).to_numpy().astype(np.int64).view(np.uint64) * _MIX).view(np.int64)
-                cells = [ids, pa.array(t.sizes, pa.int64()), pa.array(t.sums(known.astype(np.int64)), pa.int64()), pa.array(t.sums(base)), pa.array(t.sums(logs))]
+                cells = [ids, pa.array(t.sizes, pa.int64()), pa.array(t.sums(known.astype(np.int64)), pa.int64()), pa.array(t.sums(base)), pa.array(t.sums(logs_here))]
                 rows = pa.StructArray.from_arrays(cells, fields=list(doc))
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(keys), pa.array(np.zeros(len(keys), np.int32)), rows], schema=schema)
-                other = np.flatnonzero(~known)
-                d, h = t.docs()[other], t.hashes[other]
-                order = np.lexsort([h, d])
-                d, h = d[order], h[order]
-                first = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (h[1:] != h[:-1])])[: len(d)])
-                n = np.diff(np.append(first, len(d))).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(keys[d[first]]), pa.array(h[first].view(np.int64)), pa.array(n), pa.nulls(len(first), doc)], schema=schema)
+                none = np.zeros(len(keys))
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(keys), pa.array(none.astype(np.int32)), pa.array(none > 0), rows], schema=schema)
+                in_text = t.docs()
+                for is_pair, other, h in ((False, np.flatnonzero(~known), t.hashes), (True, np.flatnonzero(~met), t.pairs)):
+                    d, h, many = _others(in_text[other], h[other])
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[d]), pa.array(h.view(np.int64)), pa.array(many), pa.array(np.full(len(d), is_pair)), pa.nulls(len(d), doc)], schema=schema)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.mapInArrow(run, "key long, h long, n int, doc struct<doc_id:long,n:long,known:long,base:double,score:double>")
-    met = rows.join(rest, "h", "left").select("key", "n", F.when(F.col("n") > 0, F.coalesce("c", F.lit(0))).alias("c"), "doc")
-    met = met.repartition("key")
-    values = np.concatenate([[0], model.values])
-    logs = spark.createDataFrame(pa.table({"c": values, "b": model.base(values), "g": np.where(values == 0, model.others[-1], model.other(values))}))
-    met = met.join(F.broadcast(logs), "c", "left")  # at most sqrt(2 N) rows
+    rows = rows.mapInArrow(run, "key long, h long, n int, pair boolean, doc struct<doc_id:long,n:long,known:long,base:double,score:double>")
+    rest = rest.withColumn("pair", F.lit(False)).union(rest_pairs.withColumn("pair", F.lit(True)))
+    met = rows.join(rest, ["h", "pair"], "left").where("doc is not null or not pair or g is not null")
+    word = F.col("doc").isNull() & ~F.col("pair")
+    c = F.when(word, F.coalesce("c", F.lit(0)))
     whole = met.groupBy("key").agg(
-        F.sum(F.col("n") * F.col("b")).alias("b"),
-        F.sum(F.col("n") * F.col("g")).alias("g"),
-        F.sum(F.when(F.col("c") > 0, F.col("n"))).alias("k"),
+        F.sum(F.col("n") * F.log10((c + 0.5) / (n + 0.5 * (v + 1)))).alias("b"),
+        F.sum(F.when(F.col("doc").isNull(), F.col("n") * F.coalesce("g", F.lit(unknown)))).alias("g"),
+        F.sum(F.when(c > 0, F.col("n"))).alias("k"),
         F.max("doc").alias("doc"),
         F.count("doc").alias("copies"),
     )
@@ -364,7 +306,7 @@ def score(docs: DataFrame, held_out: Column, scratch: Scratch | None = None) ->
         F.col("doc.doc_id").alias("doc_id"),
         F.col("doc.n").alias("n_tokens"),
         (F.col("doc.known") + F.coalesce(F.col("k") / F.col("copies"), F.lit(0)).cast("long")).alias("n_known"),
-        F.lit(model.n).cast("long").alias("train_tokens"),
+        F.lit(n).cast("long").alias("train_tokens"),
         (F.col("doc.base") + part("b")).alias("base_score"),
         (F.col("doc.score") + part("g")).alias("score"),
     ).withColumn("held_out", F.coalesce(held_out, F.lit(False)))

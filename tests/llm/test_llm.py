@@ -445,8 +445,6 @@ def test_quality_limits_with_copies_and_much_junk(spark):
 @pytest.mark.parametrize("frequent", [1 << 19, 6])
 def test_pitman_yor(spark, monkeypatch, frequent):
     monkeypatch.setattr(pitmanyor, "FREQUENT", frequent)
-    monkeypatch.setattr(pitmanyor, "DISHES", 4)
-    monkeypatch.setattr(pitmanyor, "CONTEXTS", 3)
     texts = odd_texts() + [sentence(30) + " unseen%d" % k for k in range(30)]
     ids = list(range(len(texts)))
     docs = frame(spark, [*texts, texts[5], texts[5]], [*ids, 5, 5])
@@ -467,15 +465,118 @@ def test_pitman_yor(spark, monkeypatch, frequent):
     assert all(r.score < 0 for r in got) and len({r.score for r in got if r.doc_id == 5}) == 1
 
 
-def test_pitman_yor_is_a_distribution(spark, monkeypatch):
-    monkeypatch.setattr(pitmanyor, "DISHES", 5)
-    monkeypatch.setattr(pitmanyor, "CONTEXTS", 4)
-    docs = frame(spark, [sentence(200) + f" rare{k}" for k in range(20)])
-    model, _ = pitmanyor.train(docs, F.lit(False), Scratch(spark))
-    assert np.allclose((10.0**model.logs).sum(axis=1), 1, atol=1e-5) and (model.grid.pairs >= 0).sum() > 0
-    many = collections.Counter(model.counts[model.grid.dishes :].tolist())
-    others = 10.0**model.others
-    assert np.isclose(sum(others[k] * many[int(c)] for k, c in enumerate(model.values)) + others[-1], 1)
+def model_tables(spark, docs):
+    """(model, g of words, g of pairs, c of words) by hash."""
+    model = pitmanyor.train(docs, F.lit(False), Scratch(spark))
+    words, pairs = model.words.collect(), model.pairs.collect()
+    return model, {r.h: r.g for r in words}, {r.h: r.g for r in pairs}, {r.h: r.c for r in words}
+
+
+def pair_key(u, w):
+    return int(pitmanyor.pair_hash(np.array([u], np.int64).view(np.uint64), np.array([w], np.int64).view(np.uint64)).view(np.int64)[0])
+
+
+def test_pitman_yor_is_a_distribution(spark):
+    docs = frame(spark, [sentence(200) + f" rare{k}" for k in range(20)] + [None])
+    model, words, pairs, counts = model_tables(spark, docs)
+    assert model.v == len(words) and model.n == sum(counts.values())
+    # A context's share handed to the root is in its own word's g, so g - log p is the same in every sum below.
+    seen = {(u, w) for u in words for w in words if pair_key(u, w) in pairs}
+    assert len(seen) == len(pairs)
+    p = {w: 10**g for w, g in root_logs(spark, docs).items()}
+    assert np.isclose(sum(p.values()) + 10**model.unknown, 1)
+    for u in words:
+        handed = 10 ** words[u] / p[u]
+        total = sum(p[w] * handed * 10 ** pairs.get(pair_key(u, w), 0.0) for w in words) + handed * 10**model.unknown
+        assert np.isclose(total, 1), total
+
+
+def root_logs(spark, docs):
+    """log10 of the root's probabilities, as the last sweep of training leaves them."""
+    found = {}
+    plain = pitmanyor._root
+
+    def noted(seated):
+        root, unknown = plain(seated)
+        found["p"] = {r.w: math.log10(r.p) for r in root.collect()}
+        return root, unknown
+
+    pitmanyor._root = noted
+    try:
+        pitmanyor.train(docs, F.lit(False), Scratch(spark))
+    finally:
+        pitmanyor._root = plain
+    return found["p"]
+
+
+def plain_pitman_yor(texts, sweeps=150, burn_in=50, seed=5):
+    """Averaged predictive probabilities p(u, w) by seating customers one at a time, root and contexts in turn."""
+    draw = random.Random(seed)
+    customers = [(u, w) for t in texts for u, w in zip([None, *token_list(t)], [*token_list(t), None], strict=True)]
+    n = collections.Counter(customers)
+    d1 = pitmanyor.discount(sum(c == 1 for c in n.values()), sum(c == 2 for c in n.values()))
+    vocabulary = sorted({w for _, w in customers}, key=str)
+    base = (1 - pitmanyor.UNKNOWN) / len(vocabulary)
+    tables = {k: [] for k in n}  # sizes of the tables of each (context, word)
+    above = {w: [] for w in vocabulary}  # the same in the root
+    of_context, n_context = collections.Counter(), collections.Counter()
+    size = lambda: (sum(len(x) for x in above.values()), sum(sum(x) for x in above.values()))
+    d0 = 0.5
+
+    def root(w):
+        t, c = size()
+        return (sum(above[w]) - d0 * len(above[w]) + (1 + d0 * t) * base) / (1 + c)
+
+    def sit(boxes, d, fresh):
+        at = draw.random() * (sum(boxes) - d * len(boxes) + fresh)
+        for k, x in enumerate(boxes):
+            at -= x - d
+            if at < 0:
+                boxes[k] += 1
+                return False
+        boxes.append(1)
+        return True
+
+    def leave(boxes):
+        k = draw.choices(range(len(boxes)), boxes)[0]
+        boxes[k] -= 1
+        if not boxes[k]:
+            boxes.pop(k)
+            return True
+        return False
+
+    total, kept = collections.Counter(), 0
+    for sweep in range(sweeps):
+        for u, w in customers:
+            if sweep:
+                n_context[u] -= 1
+                if leave(tables[u, w]):
+                    of_context[u] -= 1
+                    leave(above[w])
+            fresh = (1 + d1 * of_context[u]) * root(w)
+            n_context[u] += 1
+            if sit(tables[u, w], d1, fresh):
+                of_context[u] += 1
+                t, _ = size()
+                sit(above[w], d0, (1 + d0 * t) * base)
+        k = collections.Counter(sum(x) for x in above.values())
+        d0 = pitmanyor.discount(k[1], k[2])
+        if sweep >= burn_in:
+            kept += 1
+            for u, w in n:
+                total[u, w] += (n[u, w] - d1 * len(tables[u, w]) + (1 + d1 * of_context[u]) * root(w)) / (1 + n_context[u])
+    return {k: x / kept for k, x in total.items()}
+
+
+def test_pitman_yor_like_plain(spark):
+    """The distributed sampler against a sequential one: the scores of texts agree within 2 %."""
+    made = random.Random(3)
+    texts = [" ".join(made.choices(WORDS, range(1, len(WORDS) + 1), k=25)) for _ in range(12)]
+    want = plain_pitman_yor(texts)
+    got = {r.doc_id: r.score for r in pitmanyor.score(frame(spark, texts), F.lit(False)).collect()}
+    for k, t in enumerate(texts):
+        plain = sum(math.log10(want[u, w]) for u, w in zip([None, *token_list(t)], [*token_list(t), None], strict=True))
+        assert abs(got[k] - plain) < 0.02 * abs(plain), (got[k], plain)
 
 
 def test_seating_like_one_by_one():
