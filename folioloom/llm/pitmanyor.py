@@ -19,6 +19,9 @@ chance of a new table is held.
 Where the data meet: pairs are counted after sums in each task, then seated row
 by row; a context's tables are a sum by its word and never gathered, so a
 context that follows or precedes everything needs no task of its own size.
+A pair that was met once has one table and is not seated.  What a pair needs of
+its two words comes from a table of the ``FREQUENT`` most frequent words, and
+for pairs with another word from joins.
 
 The probability of word w after u is p(w) * back(u) * (1 + extra(u, w)), where
 p is the root's, back(u) the share that context u hands to the root, and extra is
@@ -153,9 +156,31 @@ def root_probabilities(values: np.ndarray, words: np.ndarray, seed: int = 11, sw
     return total / (sweeps - burn_in)
 
 
-def _root(seated: DataFrame) -> tuple[DataFrame, float]:
+@dataclass
+class Counts:
+    """Pairs in two tables, and what pairs that were met once, which always have one table, give their context and word."""
+
+    once: DataFrame  # (u, w), c is 1
+    often: DataFrame  # (u, w, c)
+    contexts: DataFrame  # (u, total, ones)
+    words: DataFrame  # (w, c, ones)
+    discount: float
+    n: int
+
+
+def _counts(texts: DataFrame, scratch: Scratch) -> Counts:
+    counted = scratch.keep(count_pairs(texts))
+    ones = F.count(F.when(F.col("c") == 1, 1)).alias("ones")
+    total = counted.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), ones, F.count(F.when(F.col("c") == 2, 1)).alias("twice")).first()
+    contexts = scratch.keep(counted.groupBy("u").agg(F.sum("c").alias("total"), ones))
+    words = scratch.keep(counted.groupBy("w").agg(F.sum("c").alias("c"), ones))
+    return Counts(counted.where("c = 1"), counted.where("c > 1"), contexts, words, discount(total.ones, total.twice), int(total.n))
+
+
+def _root(counts: Counts, seated: DataFrame) -> tuple[DataFrame, float]:
     """((w, c, p) of every word, the probability of the unknown class): tables of all contexts are the root's customers."""
-    words = seated.groupBy("w").agg(F.sum("c").alias("c"), F.sum("t").alias("k"))
+    more = seated.groupBy("w").agg(F.sum("t").alias("t"))
+    words = counts.words.join(more, "w", "left").select("w", "c", (F.col("ones") + F.coalesce("t", F.lit(0))).alias("k"))
     spread = words.groupBy("k").agg(F.count("*").alias("n")).orderBy("k").toArrow()  # at most sqrt(2 N) rows
     values, many = spread.column(0).to_numpy(), spread.column(1).to_numpy()
     p = root_probabilities(values, many)
@@ -163,18 +188,55 @@ def _root(seated: DataFrame) -> tuple[DataFrame, float]:
     return words.join(F.broadcast(table), "k").select("w", "c", "p"), float(p[-1])
 
 
-def _contexts(seated: DataFrame, d: float) -> DataFrame:
-    """(u, total, back): a context's customers, and the weight with which it opens a table."""
-    return seated.groupBy("u").agg(F.sum("c").alias("total"), (STRENGTH + d * F.sum("mean")).alias("back"))
+def _state(counts: Counts, seated: DataFrame, scratch: Scratch) -> tuple[DataFrame, float]:
+    """((w, c, p, total, back) of every word, the probability of the unknown class).
+
+    ``total`` are the customers of the word's own context and ``back`` the weight
+    with which it opens a table; both are null for a word that nothing follows.
+    """
+    root, unknown = _root(counts, seated)
+    more = seated.groupBy("u").agg(F.sum("mean").alias("mean"))
+    tables = F.col("ones") + F.coalesce("mean", F.lit(0.0))
+    contexts = counts.contexts.join(more, "u", "left").select(F.col("u").alias("w"), "total", (STRENGTH + counts.discount * tables).alias("back"))
+    return scratch.keep(root.join(contexts, "w", "left")), unknown
+
+
+def _weighed(rows: DataFrame, state: DataFrame) -> DataFrame:
+    """The rows (u, w, ...) with ``new``, the weight of a new table: from the frequent words' table, or else by joins."""
+    top, _ = most_frequent(state.select("w", "c", "p", "back"), FREQUENT, "c")
+    found = top.toArrow()
+    h = found.column("w").to_numpy().view(np.uint64)
+    order = np.argsort(h)
+    shared = rows.sparkSession.sparkContext.broadcast((h[order], *(found.column(k).to_numpy()[order] for k in ("p", "back"))))
+
+    def looked_up(direct):
+        def run(batches):
+            h, p, back = shared.value
+            for batch in batches:
+                u, u_there = textscan.member(h, batch.column(0).to_numpy().view(np.uint64))
+                w, w_there = textscan.member(h, batch.column(1).to_numpy().view(np.uint64))
+                both = u_there & w_there
+                kept = batch.filter(pa.array(both == direct))
+                if direct:
+                    new = (back[u[both]] * p[w[both]]) if len(h) else np.zeros(0)
+                    kept = pa.RecordBatch.from_arrays([*kept.columns, pa.array(new, pa.float64())], names=[*kept.schema.names, "new"])
+                yield kept
 
+        return run
 
-def _sweep(counted: DataFrame, contexts: DataFrame, root: DataFrame, d: float, draws: int, seed: int) -> DataFrame:
-    """(u, w, c, t, mean): every pair's tables of the last drawing, and their mean over the drawings."""
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
+    here = rows.mapInArrow(looked_up(True), kinds + ", new double")
+    rest = rows.mapInArrow(looked_up(False), kinds)
+    rest = rest.join(state.select(F.col("w").alias("u"), "back"), "u").join(state.select("w", "p"), "w")
+    return here.union(rest.select(*rows.columns, (F.col("back") * F.col("p")).alias("new")))
+
+
+def _sweep(rows: DataFrame, d: float, draws: int, seed: int) -> DataFrame:
+    """(u, w, c, t, mean) of rows (u, w, c, new): every pair's tables of the last drawing, and their mean over the drawings."""
 
     def run(batches):
         for batch in batches:
-            c, u, w = (batch.column(k).to_numpy() for k in (2, 0, 1))
-            new = batch.column(3).to_numpy()
+            u, w, c, new = (batch.column(k).to_numpy() for k in range(4))
             # A sweep that is repeated for a lost executor seats alike only if it draws by what it seats.
             key = pair_hash(u.view(np.uint64), w.view(np.uint64))
             rng = np.random.default_rng([seed, int(np.bitwise_xor.reduce(key)) if len(key) else 0])
@@ -185,7 +247,6 @@ def _sweep(counted: DataFrame, contexts: DataFrame, root: DataFrame, d: float, d
                 total += t
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(t), pa.array(total / draws)], names=["u", "w", "c", "t", "mean"])
 
-    rows = counted.join(contexts, "u").join(root.select("w", "p"), "w").select("u", "w", "c", (F.col("back") * F.col("p")).alias("new"))
     return rows.mapInArrow(run, "u long, w long, c long, t long, mean double")
 
 
@@ -197,38 +258,33 @@ class Model:
     n: int
     v: int
 
-    def base(self, c: np.ndarray) -> np.ndarray:
-        return np.log10((c + 0.5) / (self.n + 0.5 * (self.v + 1)))
-
 
 def train(docs: DataFrame, held_out: Column, scratch: Scratch) -> Model:
     """Counts, seats and keeps the model's two tables in the shared folder."""
     texts = docs.where(~F.coalesce(held_out, F.lit(False))).select(F.col("text").cast("string").alias("text"))
-    counted = scratch.keep(count_pairs(texts))
-    first = counted.agg(
-        F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.when(F.col("c") == 1, 1)).alias("once"), F.count(F.when(F.col("c") == 2, 1)).alias("twice")
-    ).first()
-    d = discount(first.once, first.twice)
-    seated = counted.select("*", F.lit(1).cast("long").alias("t"), F.lit(1.0).alias("mean"))
-    root, _ = _root(seated)
+    counts = _counts(texts, scratch)
+    d = counts.discount
+    seated = counts.often.select("*", F.lit(1).cast("long").alias("t"), F.lit(1.0).alias("mean"))
+    state, _ = _state(counts, seated, scratch)
     for sweep in range(SWEEPS):
-        before, seated = seated, scratch.keep(_sweep(counted, _contexts(seated, d), root, d, DRAWS if sweep == SWEEPS - 1 else 1, sweep))
-        scratch.drop(before)
-        root, unknown = _root(seated)
-    contexts = _contexts(seated, d)
-    handed = contexts.select(F.col("u").alias("w"), F.log10(F.col("back") / (STRENGTH + F.col("total"))).alias("handed"))
-    words = root.join(handed, "w", "left").select(F.col("w").alias("h"), "c", (F.log10("p") + F.coalesce("handed", F.lit(0.0))).alias("g"))
-
-    def name(batches):
+        before = seated, state
+        seated = scratch.keep(_sweep(_weighed(counts.often, state), d, DRAWS if sweep == SWEEPS - 1 else 1, sweep))
+        state, unknown = _state(counts, seated, scratch)
+        scratch.drop(*before)
+    handed = F.log10(F.col("back") / (STRENGTH + F.col("total")))
+    words = state.select(F.col("w").alias("h"), "c", (F.log10("p") + F.coalesce(handed, F.lit(0.0))).alias("g"))
+
+    def value(batches):
         for batch in batches:
-            u, w = (batch.column(k).to_numpy().view(np.uint64) for k in (0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(pair_hash(u, w).view(np.int64)), *batch.columns[2:]], names=["h", "c", "g"])
-
-    adds = F.log10(1 + (F.col("c") - d * F.col("mean")) / (F.col("back") * F.col("p"))).alias("g")
-    pairs = seated.join(contexts.select("u", "back"), "u").join(root.select("w", "p"), "w").select("u", "w", "c", adds)
-    words, pairs = scratch.keep(words), scratch.keep(pairs.mapInArrow(name, "h long, c long, g double"))
-    scratch.drop(seated, counted)
-    return Model(words, pairs, float(np.log10(unknown)), int(first.n), words.count())
+            u, w, c, mean, new = (batch.column(k).to_numpy() for k in range(5))
+            h = pair_hash(u.view(np.uint64), w.view(np.uint64)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(c), pa.array(np.log10(1 + (c - d * mean) / new))], names=["h", "c", "g"])
+
+    every = counts.once.select("u", "w", "c", F.lit(1.0).alias("mean")).union(seated.select("u", "w", "c", "mean"))
+    pairs = scratch.keep(_weighed(every, state).mapInArrow(value, "h long, c long, g double"))
+    words = scratch.keep(words)
+    scratch.drop(seated, state)
+    return Model(words, pairs, float(np.log10(unknown)), counts.n, words.count())
 
 
 def _top(rows: DataFrame) -> tuple[tuple[np.ndarray, ...], DataFrame]:

@@ -476,7 +476,9 @@ def pair_key(u, w):
     return int(pitmanyor.pair_hash(np.array([u], np.int64).view(np.uint64), np.array([w], np.int64).view(np.uint64)).view(np.int64)[0])
 
 
-def test_pitman_yor_is_a_distribution(spark):
+@pytest.mark.parametrize("frequent", [1 << 19, 6])
+def test_pitman_yor_is_a_distribution(spark, monkeypatch, frequent):
+    monkeypatch.setattr(pitmanyor, "FREQUENT", frequent)
     docs = frame(spark, [sentence(200) + f" rare{k}" for k in range(20)] + [None])
     model, words, pairs, counts = model_tables(spark, docs)
     assert model.v == len(words) and model.n == sum(counts.values())
@@ -496,8 +498,8 @@ def root_logs(spark, docs):
     found = {}
     plain = pitmanyor._root
 
-    def noted(seated):
-        root, unknown = plain(seated)
+    def noted(counts, seated):
+        root, unknown = plain(counts, seated)
         found["p"] = {r.w: math.log10(r.p) for r in root.collect()}
         return root, unknown
 
