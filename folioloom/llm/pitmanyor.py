@@ -166,6 +166,7 @@ class Counts:
     words: DataFrame  # (w, c, ones)
     discount: float
     n: int
+    kept: tuple[DataFrame, ...]  # what is in the shared folder for these
 
 
 def _counts(texts: DataFrame, scratch: Scratch) -> Counts:
@@ -174,7 +175,7 @@ def _counts(texts: DataFrame, scratch: Scratch) -> Counts:
     total = counted.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), ones, F.count(F.when(F.col("c") == 2, 1)).alias("twice")).first()
     contexts = scratch.keep(counted.groupBy("u").agg(F.sum("c").alias("total"), ones))
     words = scratch.keep(counted.groupBy("w").agg(F.sum("c").alias("c"), ones))
-    return Counts(counted.where("c = 1"), counted.where("c > 1"), contexts, words, discount(total.ones, total.twice), int(total.n))
+    return Counts(counted.where("c = 1"), counted.where("c > 1"), contexts, words, discount(total.ones, total.twice), int(total.n), (counted, contexts, words))
 
 
 def _root(counts: Counts, seated: DataFrame) -> tuple[DataFrame, float]:
@@ -278,12 +279,12 @@ def train(docs: DataFrame, held_out: Column, scratch: Scratch) -> Model:
         for batch in batches:
             u, w, c, mean, new = (batch.column(k).to_numpy() for k in range(5))
             h = pair_hash(u.view(np.uint64), w.view(np.uint64)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(c), pa.array(np.log10(1 + (c - d * mean) / new))], names=["h", "c", "g"])
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(c), pa.array(np.log10(1 + (c - d * mean) / new).astype(np.float32))], names=["h", "c", "g"])
 
     every = counts.once.select("u", "w", "c", F.lit(1.0).alias("mean")).union(seated.select("u", "w", "c", "mean"))
-    pairs = scratch.keep(_weighed(every, state).mapInArrow(value, "h long, c long, g double"))
+    pairs = scratch.keep(_weighed(every, state).mapInArrow(value, "h long, c long, g float"))
     words = scratch.keep(words)
-    scratch.drop(seated, state)
+    scratch.drop(seated, state, *counts.kept)
     return Model(words, pairs, float(np.log10(unknown)), counts.n, words.count())
 
 
