@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, embeddup, htmltext, ngramjoin, pitmanyor, quality, sharding, toxicity, warc
+from . import bpe, bytebpe, decontaminate, divergence, embeddup, htmltext, ngramjoin, pitmanyor, quality, sharding, toxicity, warc, whitening
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -147,3 +147,40 @@ reach AS (SELECT vec_id node, vec_id r FROM v UNION SELECT l.b, reach.r FROM rea
 SELECT v.vec_id, coalesce(k.n, 0)::BIGINT n_links, c.c component_id, c.c = v.vec_id kept
 FROM v LEFT JOIN (SELECT a, count(*) n FROM links GROUP BY 1) k ON k.a = v.vec_id JOIN (SELECT node, min(r) c FROM reach GROUP BY 1) c ON c.node = v.vec_id
 """
+
+
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bytebpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+QUERIES["op11_byte_bpe"] = op11_byte_bpe
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"), least_docs=3, ranks=200)
+
+
+QUERIES["op12_source_divergence"] = op12_source_divergence
+ORACLE_SQL["op12_source_divergence"] = r"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, coalesce(lang, '') lang, coalesce(source, '') source, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') w FROM documents),
+o AS MATERIALIZED (SELECT lang, source, r, term, count(*) n FROM (SELECT lang, source, r, unnest(w) term FROM d) GROUP BY ALL),
+t AS MATERIALIZED (SELECT lang, term, sum(n)::HUGEINT n FROM o GROUP BY ALL HAVING count(*) >= 3),
+g AS MATERIALIZED (SELECT DISTINCT lang, source FROM d),
+c AS MATERIALIZED (SELECT g.lang, g.source, t.term, t.n lang_n, coalesce(k.n, 0)::HUGEINT n FROM g JOIN t USING (lang) LEFT JOIN (SELECT lang, source, term, sum(n) n FROM o GROUP BY ALL) k ON k.lang = g.lang AND k.source = g.source AND k.term = t.term),
+s AS (SELECT lang, source, sum(n)::HUGEINT total, sum(lang_n)::HUGEINT lang_total, count(*)::HUGEINT terms FROM c GROUP BY ALL),
+p AS MATERIALIZED (SELECT lang, source, term, n, 1 + 1000000000 * (n + 1) // (total + terms) p, 1 + 1000000000 * (lang_n + 1) // (lang_total + terms) q FROM c JOIN s USING (lang, source)),
+v AS (SELECT x.lang, x.source, y.source item, sum((x.p - y.p) * (x.p - y.p) // y.p) v FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL),
+pairs AS (SELECT x.lang, x.source, 'pair' part, y.source item, coalesce(v, 0)::BIGINT AS value FROM g x JOIN g y ON x.lang = y.lang AND x.source <> y.source LEFT JOIN v ON v.lang = x.lang AND v.source = x.source AND v.item = y.source),
+terms AS (SELECT lang, source, 'term' part, term item, ((p - q) * (p - q) // q)::BIGINT AS value FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item)::INT AS rank FROM pairs
+UNION ALL SELECT * FROM (SELECT lang, source, part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item)::INT AS rank FROM terms) WHERE rank <= 200
+"""
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), components=4)
+
+
+QUERIES["op13_whitening"] = op13_whitening
