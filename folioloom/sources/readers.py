@@ -2,13 +2,8 @@
 
 from __future__ import annotations
 
-import gzip
-import io
 import json
-import posixpath
 import re
-import tarfile
-import zipfile
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -17,13 +12,11 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..schema import ELEMENTS, LOCATION_FIELDS, element_id, location
-from . import media, office, parse, routing
+from . import folders, media, office, parse, routing
+from .folders import ARCHIVES
 
-# Folders that are never read, and the endings of archives.
+# Folders that are never read.
 EXCLUDED = (".git", "__pycache__", ".venv", ".uv-cache", ".idea", ".vscode", ".ds_store")
-ARCHIVES = (".zip", ".tar", ".tar.gz", ".tgz", ".gz")
-#: The most that a file in an archive may unpack to.
-MEMBER_BYTES = 1 << 30
 
 _TEXT: dict[str, Callable[[str], Iterator[dict]]] = {"txt": parse.parse_text, "csv": parse.parse_csv, "json": parse.parse_json, "html": parse.parse_html, "markdown": parse.parse_markdown}
 _BYTES: dict[str, Callable[[bytes], Iterator[dict]]] = {"xlsx": office.parse_xlsx, "docx": office.parse_docx, "pptx": office.parse_pptx}
@@ -131,112 +124,34 @@ def excluded(path: Column, names: tuple[str, ...] = EXCLUDED) -> Column:
 def files(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
     """(path, name, kind, content, error) of a file or folder: supported formats outside excluded folders.
 
-    Spark's listing passes by every name that begins with ``_`` or ``.``; what
-    lies under such names is listed apart and read by the tasks.
+    Folders are listed and read in tasks, see ``folders``.  On a file system that
+    only Spark reads, Spark's own listing serves, which passes by every name that
+    begins with ``_`` or ``.``.
     """
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path)
-    found = listed.select("path", "content", F.lit(None).cast("string").alias("error"))
-    if hidden := _hidden(spark, path.rstrip("/"), recursive):
-        rows = spark.createDataFrame([(x,) for x in hidden], "path string").repartition(min(len(hidden), spark.sparkContext.defaultParallelism))
-        found = found.unionByName(rows.mapInPandas(_read_hidden, "path string, content binary, error string"))
-    inside = F.regexp_replace(F.col("path"), "^[a-z0-9]+:/*", "/")
-    root = re.sub("^[a-z0-9]+:/*", "/", path.rstrip("/"))
-    kept = found.where(routing.file_format(F.col("path")).isNotNull() & ~excluded(F.substring(inside, len(root) + 1, 1 << 20)))
-    return kept.select("path", F.regexp_extract("path", r"([^/]*)$", 1).alias("name"), routing.file_format(F.col("path")).alias("kind"), "content", "error")
-
-
-def _hidden(spark: SparkSession, path: str, recursive: bool) -> list[str]:
-    """Paths of the files below a folder that have a name part, within it, that begins with ``_`` or ``.``; excluded folders are not entered."""
-    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(root):
-        return []
-    if not fs.getFileStatus(root).isDirectory():
-        return [path] if posixpath.basename(path).startswith(("_", ".")) else []
-    out, level = [], path
-    while True:
-        for status in fs.globStatus(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{level}/[._]*")) or ():
-            name = status.getPath().getName()
-            if name.lower() in EXCLUDED or name.endswith(".crc"):
-                continue
-            if status.isFile():
-                out.append(status.getPath().toString())
-            elif recursive:
-                inner = fs.listFiles(status.getPath(), True)
-                while inner.hasNext():
-                    out.append(inner.next().getPath().toString())
-        level += "/*"
-        if not recursive or not len(fs.globStatus(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(level)) or ()):
-            return sorted(set(out))
-
-
-def _read_hidden(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    from pyarrow import fs
-
-    for batch in batches:
-        for path in batch["path"]:
-            content, error = None, None
-            try:
-                local = re.sub("^file:/*", "/", path)
-                system, at = (fs.LocalFileSystem(), local) if local.startswith("/") else fs.FileSystem.from_uri(path)
-                with system.open_input_file(at) as f:
-                    content = f.read()
-            except Exception as e:  # one bad file never fails the others
-                error = f"{type(e).__name__}: {e}"
-            yield pd.DataFrame({"path": [path], "content": [content], "error": [error]})
-
-
-def _members(name: str, data: bytes) -> Iterator[tuple[str, bytes]]:
-    """(path within, bytes) of an archive's files, one at a time; nothing is written to disk, and paths that climb are refused."""
-    low = name.lower()
-
-    def found():
-        if low.endswith(".zip"):
-            with zipfile.ZipFile(io.BytesIO(data)) as z:
-                for i in z.infolist():
-                    if not i.is_dir():
-                        yield i.filename, i.file_size, lambda i=i: z.read(i)
-        elif low.endswith((".tar", ".tar.gz", ".tgz")):
-            with tarfile.open(fileobj=io.BytesIO(data)) as t:
-                for i in t:
-                    if i.isfile():
-                        yield i.name, i.size, lambda i=i: t.extractfile(i).read()
-        else:
-            with gzip.open(io.BytesIO(data)) as g:
-                yield posixpath.basename(name)[:-3], 0, lambda: g.read(MEMBER_BYTES + 1)
-
-    for inner, size, read in found():
-        clean = posixpath.normpath(inner.replace("\\", "/"))
-        if clean.startswith(("/", "..")):
-            raise ValueError(f"unsafe path in archive: {inner!r}")
-        content = read() if size <= MEMBER_BYTES else b""
-        if max(size, len(content)) > MEMBER_BYTES:
-            raise ValueError(f"{clean!r} has more than {MEMBER_BYTES} bytes")
-        yield clean, content
+    if not folders.known(path):
+        listed = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path)
+        found = listed.select("path", F.regexp_extract("path", r"([^/]*)$", 1).alias("name"), "content", F.lit(None).cast("string").alias("error"))
+        inside = F.substring(F.regexp_replace("path", "^[a-z0-9]+:/*", "/"), len(re.sub("^[a-z0-9]+:/*", "/", path.rstrip("/"))) + 1, 1 << 20)
+        found = found.where(routing.file_format(F.col("path")).isNotNull() & ~excluded(inside))
+    else:
+        # Folders of excluded names aren't even listed; what they were listed for are files of supported formats.
+        units = folders.units(folders.listing(spark, path, recursive, EXCLUDED), path, archives=False)
+        found = folders.read(units.where(F.col("error").isNotNull() | routing.file_format(F.col("inner")).isNotNull()), path)
+    return found.select("path", "name", routing.file_format(F.col("path")).alias("kind"), "content", "error")
 
 
 def archive_files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, name, kind, content, error) of the supported files in archives; paths are archive/inner."""
-
-    def run(batches):
-        for batch in batches:
-            for where, data in zip(batch["path"], batch["content"], strict=True):
-                base = posixpath.basename(where)
-                try:
-                    for inner, content in _members(base, bytes(data)):
-                        yield pd.DataFrame([(f"{base}/{inner}", posixpath.basename(inner), content, None)], columns=["path", "name", "content", "error"])
-                except Exception as e:
-                    yield pd.DataFrame([(base, base, None, f"{type(e).__name__}: {e}")], columns=["path", "name", "content", "error"])
-
-    found = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, name string, content binary, error string")
-    kept = found.withColumn("kind", routing.file_format(F.col("path"))).where((F.col("error").isNotNull() | F.col("kind").isNotNull()) & ~excluded(F.col("path")))
+    """(path, name, kind, content, error) of the supported files in an archive, or in all archives of a folder; paths are archive/inner."""
+    listed = folders.listing(spark, path, True, EXCLUDED)
+    listed = listed.where(F.col("error").isNotNull() | F.lower("inner").rlike("(" + "|".join(map(re.escape, ARCHIVES)) + ")$"))
+    units, at = folders.units(listed, path, archives=True), folders.unit_path(path)
+    wanted = F.col("error").isNotNull() | (F.col("how") == "stream") | (routing.file_format(at).isNotNull() & ~excluded(at))
+    found = folders.read(units.where(wanted), path).withColumn("kind", routing.file_format(F.col("path")))
+    # What a compressed stream holds is known only now.
+    kept = found.where(F.col("error").isNotNull() | (F.col("kind").isNotNull() & ~excluded(F.col("path"))))
     return kept.select("path", "name", "kind", "content", "error")
 
 
-def is_archive(path: str) -> bool:
-    return path.lower().endswith(ARCHIVES)
-
-
 def load_batch(spark: SparkSession, path: str, clean: bool = False) -> tuple[DataFrame, DataFrame]:
     """(elements, failures) of a file, a folder or an archive.
 
@@ -245,7 +160,7 @@ def load_batch(spark: SparkSession, path: str, clean: bool = False) -> tuple[Dat
     """
     if path.lower().startswith(("http://", "https://")):
         raise ValueError("addresses are fetched outside; pass what they give to parse_files")
-    found = archive_files(spark, path) if is_archive(path) else files(spark, path)
+    found = archive_files(spark, path) if folders.is_archive(path) else files(spark, path)
     unread = found.where("error is not null").select(F.col("path").alias("file_path"), "error")
     elements, bad = divided(parse_files(found.where("error is null")))
     if clean:
