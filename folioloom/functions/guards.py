@@ -35,7 +35,7 @@ def host(url: Column) -> Column:
 
 
 def is_private_address(address: Column) -> Column:
-    """Whether a dotted IPv4 address, or a bracketed IPv6 one, lies in a network that is not public."""
+    """Whether an address lies in a network that is not public, or is written so that only a resolver could tell."""
     parts = F.split(address, r"\.")
     number = sum((F.try_element_at(parts, F.lit(k + 1)).try_cast("long") * (1 << (24 - 8 * k)) for k in range(4)), F.lit(0))
     inside = F.lit(False)
@@ -44,8 +44,11 @@ def is_private_address(address: Column) -> Column:
         first = sum(int(x) << (24 - 8 * k) for k, x in enumerate(base.split(".")))
         inside |= number.between(first, first + (1 << (32 - int(bits))) - 1)
     four = address.rlike(r"^\d{1,3}(\.\d{1,3}){3}$")
+    # Other ways to write an IPv4 address, as one number, with fewer parts, in hexadecimal or within an IPv6 one, are refused whatever they say.
+    other = address.rlike(r"(?i)^(0x[0-9a-f]*|\d+)(\.(0x[0-9a-f]*|\d+))*\.?$") & ~(four & ~address.rlike(r"(^|\.)0\d"))
+    other |= address.rlike(r"(?i)^\[?[0-9a-f:]*:(ffff:)?(\d+\.){3}\d+\]?$") | address.rlike(r"(?i)^\[?(::|(0+:)+:?)ffff:[0-9a-f:]+\]?$") | address.rlike(r"(?i)^\[?(64:ff9b|2002):")
     six = address.rlike(r"(?i)^\[?(::1?|f[cd][0-9a-f]{2}:.*|fe[89ab][0-9a-f]:.*|ff[0-9a-f]{2}:.*)\]?$")
-    return F.coalesce((four & inside) | six, F.lit(False))
+    return F.coalesce((four & inside) | six | other, F.lit(False))
 
 
 def is_public_url(url: Column) -> Column:

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import tables, text
+from .. import scratch
+from ..functions import places, tables, text
+from ..sinks.buckets import BucketTable
+from . import calls
 
 DEEPEST = 6
 # The words that the enriched text uses.
@@ -73,6 +76,13 @@ def enrich_tables(df: DataFrame, captions: bool = True, records: bool = True, di
     return df.withColumn("content", F.when(F.col("table_caption").isNotNull(), headed).otherwise(F.col("content")))
 
 
+def _target(df: DataFrame) -> Column:
+    """An image's file: its own, else its source, else the document's."""
+    meta = lambda k: F.get_json_object("metadata", f"$.{k}")
+    path = F.col("file_path") if "file_path" in df.columns else F.col("file_name")
+    return F.when(F.col("type") == "image", F.coalesce(meta("file_path"), meta("src"), path))
+
+
 def describe_images(df: DataFrame, describe) -> DataFrame:
     """Replaces images' content by what ``describe``, a function from a column of targets to one of texts, gives.
 
@@ -80,14 +90,46 @@ def describe_images(df: DataFrame, describe) -> DataFrame:
     file, as JSON metadata and columns have them; without one the image stays.
     A null description leaves the content and sets ``caption_generated`` false.
     """
-    meta = lambda k: F.get_json_object("metadata", f"$.{k}")
-    path = F.col("file_path") if "file_path" in df.columns else F.col("file_name")
-    target = F.when(F.col("type") == "image", F.coalesce(meta("file_path"), meta("src"), path))
-    df = df.withColumn("_target", target).withColumn("_said", F.when(F.col("_target").isNotNull(), describe(F.col("_target"))))
+    df = df.withColumn("_target", _target(df)).withColumn("_said", F.when(F.col("_target").isNotNull(), describe(F.col("_target"))))
     out = df.withColumn("content", F.coalesce("_said", "content"))
     return out.withColumn("caption_generated", F.when(F.col("_target").isNotNull(), F.col("_said").isNotNull())).drop("_target", "_said")
 
 
+def caption_images(df: DataFrame, contents: DataFrame, service: calls.Service, known: BucketTable | None = None) -> DataFrame:
+    """As ``describe_images``, but pictures are sent themselves, each distinct one once, however many files and elements have it.
+
+    ``contents`` (path, content) has the files.  ``caption_error`` says why an
+    image kept its content: the service's error, or that its file isn't there.
+    """
+    df = df.drop("_target", "_digest", "caption_generated", "caption_error").withColumn("_target", _target(df))
+    wanted = contents.join(df.select(F.col("_target").alias("path")).where("path is not null").distinct(), "path", "left_semi").dropDuplicates(["path"])
+    wanted = scratch.keep(wanted.select("path", "content", calls.digest(F.col("content")).alias("digest")))
+    answers = calls.answered(wanted.select("content"), service, known)
+    said = wanted.join(answers, "digest", "left").select(F.col("path").alias("_target"), F.col("answer").alias("_said"), F.col("error").alias("_error"), F.lit(True).alias("_there"))
+    out = df.join(said, "_target", "left").withColumn("content", F.coalesce("_said", "content"))
+    out = out.withColumn("caption_generated", F.when(F.col("_target").isNotNull(), F.col("_said").isNotNull()))
+    error = F.when(F.col("_there").isNull(), F.concat(F.lit("no file "), "_target")).otherwise(F.coalesce("_error", F.lit("the file is empty")))
+    return out.withColumn("caption_error", F.when(~F.col("caption_generated"), error)).drop("_target", "_said", "_error", "_there")
+
+
+#: What a service that recognises text answers to a picture: lines with corner points in pixels.
+LINES = "struct<width:int,height:int,lines:array<struct<text:string,confidence:double,corners:array<array<double>>>>>"
+
+
+def recognise(pages: DataFrame, service: calls.Service, known: BucketTable | None = None) -> tuple[DataFrame, DataFrame]:
+    """(lines, failures) of pictures of pages (doc_id, page_number, content): each distinct picture is sent once.
+
+    lines: doc_id, page_number, line, content, confidence and bbox in shares of
+    the page; failures: doc_id, page_number, error.
+    """
+    pages = pages.select("doc_id", "page_number", calls.digest(F.col("content")).alias("digest"), "content")
+    answers = calls.answered(pages.select("content"), service, known)
+    found = pages.drop("content").join(answers, "digest", "left")
+    each = found.where("answer is not null").select("doc_id", "page_number", F.col("answer.width").alias("w"), F.col("answer.height").alias("h"), F.posexplode("answer.lines").alias("line", "l"))
+    lines = each.select("doc_id", "page_number", "line", F.col("l.text").alias("content"), F.col("l.confidence").alias("confidence"), places.corners_box(F.col("l.corners"), F.col("w"), F.col("h")).alias("bbox"))
+    return lines, found.where("answer is null").select("doc_id", "page_number", F.coalesce("error", F.lit("no picture")).alias("error"))
+
+
 def stand_in_description(target: Column) -> Column:
     """A deterministic description for tests and dry runs, marked as such; never used unless asked for."""
     return F.concat(F.lit("[stand-in description] "), F.regexp_extract(target, r"([^/\\]*)$", 1))

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import guards, text, vectors
+from ..operators import jobs
+from .buckets import BUCKETS, BucketTable
 
 log = logging.getLogger(__name__)
 
@@ -62,6 +64,64 @@ class VectorStore:
         return found if found is not None else self.spark.createDataFrame([], "chunk_id string, page_content string, metadata string, vector array<double>, norm double, collection string")
 
 
+class VersionedVectorStore(VectorStore):
+    """A vector store whose documents can be replaced: (doc_id, chunk_id, page_content, metadata, vector, norm), a table of buckets for each collection."""
+
+    ROWS = "doc_id string, chunk_id string, page_content string, metadata string, vector array<double>, norm double"
+
+    def __init__(self, spark: SparkSession, root: str, store: str = DEFAULT, buckets: int = BUCKETS) -> None:
+        super().__init__(spark, root, store)
+        self.path, self.buckets = f"{self.path}-versioned", buckets
+
+    def table(self, collection: str) -> BucketTable:
+        return BucketTable(self.spark, f"{self.path}/{_checked(collection)}", self.ROWS, "doc_id", self.buckets)
+
+    def append(self, rows: DataFrame, collection: str, once: bool = False, written: Observation | None = None) -> None:
+        """Puts rows (doc_id, chunk_id, page_content, metadata, vector) in place of all that their documents had; ``once`` makes no difference."""
+        self.replace(rows, collection, written=written)
+
+    def replace(self, rows: DataFrame, collection: str, ids: DataFrame | None = None, written: Observation | None = None) -> int | None:
+        """As ``append``; documents in ``ids`` that have no rows any more go as well.  The new version."""
+        rows = rows.select("doc_id", "chunk_id", "page_content", "metadata", F.col("vector").cast("array<double>").alias("vector")).withColumn("norm", vectors.norm(F.col("vector")))
+        if written is not None:
+            rows = rows.observe(written, F.count("*").alias("n"))
+        return self.table(collection).replace(rows, ids)
+
+    def delete(self, ids: DataFrame, collection: str) -> int | None:
+        return self.table(collection).delete(ids)
+
+    def read(self, collection: str, version: int | None = None) -> DataFrame:
+        """The collection's rows, in the newest version or an earlier one."""
+        return self.table(collection).read(version).withColumn("collection", F.lit(collection))
+
+
+class JobStore:
+    """Jobs by id: a record updates what is there or is inserted, and what has expired is swept out."""
+
+    ROWS = "id string, kind string, file_name string, status string, strategy string, created_at double, started_at double, finished_at double, error string, result_ref string, retry_count int, seq long"
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS) -> None:
+        self.table = BucketTable(spark, path, self.ROWS, "id", buckets)
+
+    def put(self, records: DataFrame) -> int | None:
+        """Records of any of the columns, the last of each job by ``seq``; columns that aren't given are null."""
+        there = set(records.columns)
+        rows = records.select(*(F.col(f.name) if f.name in there else F.lit(None).cast(f.dataType).alias(f.name) for f in self.table.schema))
+        return self.table.upsert(rows, order="seq")
+
+    def get(self, job: str) -> dict | None:
+        """One job, from its bucket alone."""
+        row = self.table.of(job).first()
+        return row and row.asDict()
+
+    def jobs(self) -> DataFrame:
+        return self.table.read()
+
+    def sweep(self, now: float, ttl: float) -> int | None:
+        """Drops finished jobs past their time to live, from the buckets where there are any; the new version."""
+        return self.table.delete(self.jobs().where(jobs.expired(now, ttl)).select("id"))
+
+
 def inspect(store: DataFrame) -> DataFrame:
     """A preview of each record: 80 characters, dimension, first three components."""
     return store.select("chunk_id", text.preview(F.col("page_content")).alias("preview"), F.size("vector").alias("dimension"), F.slice("vector", 1, 3).alias("head"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..schema import ELEMENTS, LOCATION_FIELDS, element_id, location
-from . import folders, media, office, parse, routing
+from . import folders, media, office, parse, routing, web
 from .folders import ARCHIVES
 
 # Folders that are never read.
@@ -152,19 +152,27 @@ def archive_files(spark: SparkSession, path: str) -> DataFrame:
     return kept.select("path", "name", "kind", "content", "error")
 
 
-def load_batch(spark: SparkSession, path: str, clean: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(elements, failures) of a file, a folder or an archive.
+def load_batch(spark: SparkSession, path: str, clean: bool = False, web_tools=None, describe=None) -> tuple[DataFrame, DataFrame]:
+    """(elements, failures) of a file, a folder, an archive or an address.
 
-    Addresses are not fetched here: ``functions.guards.is_public_url`` says which
-    a fetcher may reach, and what it brings goes through ``parse_files``.
+    Addresses need ``web_tools``, which makes what resolves and fetches, see
+    ``web``.  ``describe`` is a function from a column of pictures' targets to one
+    of descriptions, as in ``operators.enrich.describe_images``.
     """
     if path.lower().startswith(("http://", "https://")):
-        raise ValueError("addresses are fetched outside; pass what they give to parse_files")
-    found = archive_files(spark, path) if folders.is_archive(path) else files(spark, path)
+        if web_tools is None:
+            raise ValueError("an address needs web_tools, to resolve its host and to fetch it")
+        found = web.files(web.fetch(spark.createDataFrame([(path,)], "url string"), web_tools))
+    else:
+        found = archive_files(spark, path) if folders.is_archive(path) else files(spark, path)
     unread = found.where("error is not null").select(F.col("path").alias("file_path"), "error")
     elements, bad = divided(parse_files(found.where("error is null")))
     if clean:
         from ..operators.clean import clean as cleaned
 
         elements = cleaned(elements)
+    if describe is not None:
+        from ..operators.enrich import describe_images
+
+        elements = describe_images(elements, describe).drop("caption_generated")
     return elements, unread.unionByName(bad)
