@@ -46,7 +46,7 @@ def spans(lengths: np.ndarray, size: int, overlap: int) -> list[tuple[int, int]]
 
 
 def sliding_spans(df: DataFrame, keys: list[str], size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
-    """(keys, chunk_idx, first_idx, last_idx, n): the windows of each group; only places and lengths leave the JVM."""
+    """(keys, chunk_idx, places): the windows of each group, by their elements' places; only places and lengths leave the JVM."""
     slim = df.select(*keys, "element_idx", F.length(F.coalesce("content", F.lit(""))).alias("n"))
 
     def fold(table: pa.Table) -> pa.Table:
@@ -55,10 +55,14 @@ def sliding_spans(df: DataFrame, keys: list[str], size: int = SIZE, overlap: int
         found = spans(n[order], size, overlap)
         first, last = (np.array(x, np.int64) for x in zip(*found, strict=True))
         head = [table.column(k).take(pa.array(np.zeros(len(found), np.int64))) for k in keys]
-        return pa.table([*head, pa.array(np.arange(len(found)), pa.int32()), pa.array(idx[order][first], pa.int32()), pa.array(idx[order][last], pa.int32())], names=[*keys, "chunk_idx", "first_idx", "last_idx"])
+        sizes = last - first + 1
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        places = idx[order][np.repeat(first - ends[:-1], sizes) + np.arange(ends[-1])]
+        listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(places, pa.int32()))
+        return pa.table([*head, pa.array(np.arange(len(found)), pa.int32()), listed], names=[*keys, "chunk_idx", "places"])
 
     kinds = {f.name: f.dataType.simpleString() for f in slim.schema}
-    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", chunk_idx int, first_idx int, last_idx int"
+    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", chunk_idx int, places array<int>"
     return slim.groupBy(*keys).applyInArrow(fold, schema)
 
 
@@ -96,13 +100,13 @@ COLUMNS = ["chunk_id", "doc_id", "chunk_idx", "page_content", "chunk_type", "ele
 
 
 def _windows(df: DataFrame, keys: list[str], size: int, overlap: int) -> DataFrame:
-    """The elements of each window, with its chunk_idx; an element in an overlap comes twice."""
+    """The elements of each window, with its chunk_idx; an element in an overlap comes twice.  Places may have gaps."""
     found = sliding_spans(df, keys, size, overlap)
-    each = found.select(*(F.col(k).alias(f"_{k}") for k in keys), "chunk_idx", "first_idx", "last_idx", F.explode(F.sequence("first_idx", "last_idx")).alias("_idx"))
+    each = found.select(*(F.col(k).alias(f"_{k}") for k in keys), "chunk_idx", F.explode("places").alias("_idx"))
     same = F.col("element_idx") == F.col("_idx")
     for k in keys:
         same &= F.col(k) == F.col(f"_{k}")
-    return df.join(each, same).drop("_idx", "first_idx", "last_idx", *(f"_{k}" for k in keys))
+    return df.join(each, same).drop("_idx", *(f"_{k}" for k in keys))
 
 
 def sliding_window(df: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:

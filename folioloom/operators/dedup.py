@@ -9,11 +9,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import scratch
 from ..functions import places, text
 
 #: Shorter normal forms take part in exact comparison only.
 SHORTEST = 6
 BITS = 64
+#: Places that are counted together, prints that one task folds over, places whose prints are compared with those kept in one task, prints that are compared at a time.
+BUCKET, HEAD, PART, TILE = 4096, 65_536, 65_536, 1024
+#: Character pairs whose bits a task holds.
+PAIRS = 1 << 18
 
 
 def margin_noise(df: DataFrame, header: float = 0.15, footer: float = 0.85, share: float = 0.25) -> DataFrame:
@@ -107,37 +112,87 @@ class _Pairs:
         return np.sum((votes > 0).astype(np.uint64) << _PLACES, dtype=np.uint64)
 
 
-def drop_near_duplicates(df: DataFrame, most: int = 10) -> DataFrame:
-    """Keeps, in document order, each element whose fingerprint is more than ``most`` bits from all kept before it.
+def _prints(batches):
+    """(doc_id, element_idx, f, norm) of normal forms: fingerprints as whole numbers, or short forms as they are."""
+    known = _Pairs()
+    for batch in batches:
+        if len(known.place) > PAIRS:
+            known = _Pairs()
+        norms = batch.column(2).to_pylist()
+        f = [None if len(x) < SHORTEST else int(known.fingerprint(x).astype(np.int64)) for x in norms]
+        short = [x if len(x) < SHORTEST else None for x in norms]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(f, pa.int64()), pa.array(short, pa.string())], names=["doc_id", "element_idx", "f", "norm"])
+
 
-    Blank elements go; of equal normal forms the first stays.  What is kept
-    depends on what was kept before, so a document's elements meet in one group,
-    with no more than their normal forms and places; the kept ones are joined
-    back.
+def _settled(prints: DataFrame, most: int) -> DataFrame:
+    """(doc_id, element_idx) of the prints (doc_id, element_idx, f) that a first-come pass keeps.
+
+    A round takes the head of each document, its first undecided prints up to
+    ``HEAD``, and folds over it in one group: what stands there is far from all that
+    was kept before.  What follows the head is then compared with what the head has
+    kept, in groups of ``PART`` places, and only what is far from all of it goes
+    into the next round.  A document that is no longer than a head is done in one.
     """
+    kinds = {f.name: f.dataType.simpleString() for f in prints.schema}
+    row = f"doc_id {kinds['doc_id']}, element_idx {kinds['element_idx']}, f long"
 
-    def first_come(table: pa.Table) -> pa.Table:
+    def fold(table: pa.Table) -> pa.Table:
         order = np.argsort(table.column("element_idx").to_numpy(), kind="stable")
-        norms = table.column("norm").to_pylist()
-        known = _Pairs()
-        seen: set[str] = set()
-        hashes, n, kept = np.zeros(len(norms), np.uint64), 0, []
-        for i in order.tolist():
-            norm = norms[i]
-            if norm in seen:
-                continue
-            if len(norm) >= SHORTEST:
-                h = known.fingerprint(norm)
-                if n and int(np.bitwise_count(hashes[:n] ^ h).min()) <= most:
-                    continue
-                hashes[n] = h
+        f = table.column("f").to_numpy()[order].astype(np.uint64)
+        held, n, kept = np.zeros(len(f), np.uint64), 0, []
+        for i, h in enumerate(f):
+            if not n or int(np.bitwise_count(held[:n] ^ h).min()) > most:
+                held[n] = h
                 n += 1
-            seen.add(norm)
-            kept.append(i)
-        return table.select(["doc_id", "element_idx"]).take(pa.array(kept, pa.int64()))
+                kept.append(i)
+        return table.select(["doc_id", "element_idx", "f"]).take(pa.array(order[kept], pa.int64()))
+
+    def far(rest: pa.Table, kept: pa.Table) -> pa.Table:
+        f, k = (x.column("f").to_numpy().astype(np.uint64) for x in (rest, kept))
+        stays = np.ones(len(f), bool)
+        for at in range(0, len(k), TILE):
+            some = np.flatnonzero(stays)
+            for start in range(0, len(some), TILE):
+                i = some[start : start + TILE]
+                stays[i] = np.bitwise_count(f[i][:, None] ^ k[at : at + TILE][None]).min(axis=1) > most
+        return rest.select(["doc_id", "element_idx", "f"]).filter(pa.array(stays))
+
+    left, out = scratch.keep(prints), None
+    while True:
+        bucket = F.floor(F.col("element_idx") / BUCKET)
+        counts = left.groupBy("doc_id", bucket.alias("b")).agg(F.count("*").alias("n"))
+        # A row for each bucket of places; the first counts as the head in any case.
+        sums = counts.select("doc_id", "b", F.sum("n").over(Window.partitionBy("doc_id").orderBy("b")).alias("s"), F.min("b").over(Window.partitionBy("doc_id")).alias("first"))
+        ends = sums.groupBy("doc_id").agg(F.max(F.when((F.col("s") <= HEAD) | (F.col("b") == F.col("first")), F.col("b"))).alias("end"), F.max("b").alias("last"))
+        ends = scratch.keep(ends.select(F.col("doc_id").alias("_doc"), "end", "last"))
+        placed = left.join(ends, F.col("doc_id").eqNullSafe(F.col("_doc")))
+        kept = placed.where(bucket <= F.col("end")).select("doc_id", "element_idx", "f").groupBy("doc_id").applyInArrow(fold, row)
+        long = ends.where("last > end")
+        if long.isEmpty():
+            return (kept if out is None else out.unionByName(kept)).select("doc_id", "element_idx")
+        kept = scratch.keep(kept)
+        out = kept if out is None else out.unionByName(kept)
+        part = F.floor(F.col("element_idx") / PART)
+        rest = placed.where(bucket > F.col("end")).select("doc_id", "element_idx", "f", part.alias("part"))
+        parts = rest.select(F.col("doc_id").alias("_doc"), "part").distinct()
+        sent = kept.join(parts, F.col("doc_id").eqNullSafe(F.col("_doc"))).select("_doc", F.col("part").alias("_part"), "f")
+        left = scratch.keep(rest.groupBy("doc_id", "part").cogroup(sent.groupBy("_doc", "_part")).applyInArrow(far, row))
+
 
+def drop_near_duplicates(df: DataFrame, most: int = 10) -> DataFrame:
+    """Keeps, in document order, each element whose fingerprint is more than ``most`` bits from all kept before it.
+
+    Blank elements go; of equal normal forms the first stays, and those shorter
+    than ``SHORTEST`` are compared in no other way.  Of a document only places and
+    prints are dealt out, and no task gets more of them than a head or a part, see
+    ``_settled``; what is kept is joined back.  Prints are written before they are
+    compared, so this runs jobs when it is called.
+    """
     slim = df.select("doc_id", "element_idx", text.dedup_form(F.coalesce("content", F.lit(""))).alias("norm")).where("norm <> ''")
     kinds = {f.name: f.dataType.simpleString() for f in slim.schema}
-    kept = slim.groupBy("doc_id").applyInArrow(first_come, f"doc_id {kinds['doc_id']}, element_idx {kinds['element_idx']}")
-    kept = kept.toDF("_doc", "_idx")
-    return df.join(kept, (F.col("doc_id") == F.col("_doc")) & (F.col("element_idx") == F.col("_idx")), "left_semi")
+    found = scratch.keep(slim.mapInArrow(_prints, f"doc_id {kinds['doc_id']}, element_idx {kinds['element_idx']}, f long, norm string"))
+    short = found.where("f is null").groupBy("doc_id", "norm").agg(F.min("element_idx").alias("element_idx")).select("doc_id", "element_idx")
+    # Of equal prints only the first can stay, so each print of a document is compared once.
+    prints = found.where("f is not null").groupBy("doc_id", "f").agg(F.min("element_idx").alias("element_idx")).select("doc_id", "element_idx", "f")
+    kept = _settled(prints, most).unionByName(short).toDF("_doc", "_idx")
+    return df.join(kept, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("element_idx") == F.col("_idx")), "left_semi")

@@ -363,15 +363,7 @@ SELECT s.k AS doc_id, s.chunk_idx::INT chunk_idx, string_agg(content, chr(10) ||
 FROM wspans s JOIN items ON items.k = s.k AND i BETWEEN a AND b GROUP BY 1, 2
 """)
 def chunk_sliding(spark, sf_dir):
-    t = _dense(document_lines(spark, sf_dir))
-    return chunk.sliding_window(t).select("doc_id", "chunk_idx", "page_content", "elements_count", "location.start_line", "location.end_line")
-
-
-def _dense(df: DataFrame) -> DataFrame:
-    """Windows take elements by place; places without gaps make every window a plain range."""
-    from pyspark.sql import Window
-
-    return df.withColumn("element_idx", (F.row_number().over(Window.partitionBy("doc_id").orderBy("element_idx")) - 1).cast("int"))
+    return chunk.sliding_window(document_lines(spark, sf_dir)).select("doc_id", "chunk_idx", "page_content", "elements_count", "location.start_line", "location.end_line")
 
 
 @query(f"""
@@ -394,12 +386,12 @@ SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY p, chunk_idx) -
 FROM (SELECT doc_id, p, chunk_idx, string_agg(content, chr(10) || chr(10) ORDER BY i) page_content FROM cspans s JOIN inner_ ON inner_.k = s.k AND i BETWEEN a AND b GROUP BY 1, 2, 3)
 """)
 def chunk_parent_child(spark, sf_dir):
-    return chunk.parent_child(_dense(document_lines(spark, sf_dir)))[0].select("doc_id", "chunk_idx", "page_content", "parent_id")
+    return chunk.parent_child(document_lines(spark, sf_dir))[0].select("doc_id", "chunk_idx", "page_content", "parent_id")
 
 
 @query(_PARENT_SQL + "SELECT doc_id, 'parent_' || substr(md5(doc_id || '|' || p), 1, 12) AS parent_id, string_agg(content, chr(10) || chr(10) ORDER BY i) AS parent_text FROM inner_ GROUP BY doc_id, p")
 def chunk_parents(spark, sf_dir):
-    return chunk.parent_child(_dense(document_lines(spark, sf_dir)))[1]
+    return chunk.parent_child(document_lines(spark, sf_dir))[1]
 
 
 @query(f"""
@@ -411,7 +403,7 @@ def chunk_route(spark, sf_dir):
 
 @query()
 def chunk_auto(spark, sf_dir):
-    return chunk.chunk(_dense(outline(spark, sf_dir)), "auto")[0].select("doc_id", "chunk_idx", "chunk_type", "page_content", "parent_id")
+    return chunk.chunk(outline(spark, sf_dir), "auto")[0].select("doc_id", "chunk_idx", "chunk_type", "page_content", "parent_id")
 
 
 _SECTIONS = f"""WITH {OUTLINE}, sec AS (SELECT *, sum((type = 'heading')::INT) OVER (PARTITION BY doc_id ORDER BY element_idx) s FROM paths),
@@ -483,7 +475,7 @@ def vector_separation(spark, sf_dir):
 def search_documents(spark, sf_dir):
     """Read, clean, route, chunk, embed and search in one plan."""
     docs = table(spark, sf_dir, "documents")
-    chunks, _ = chunk.chunk(clean.clean(_dense(document_lines(spark, sf_dir)), [clean.drop_control, clean.tidy_space, clean.mask_personal, clean.drop_short]).transform(_dense), "auto")
+    chunks, _ = chunk.chunk(clean.clean(document_lines(spark, sf_dir), [clean.drop_control, clean.tidy_space, clean.mask_personal, clean.drop_short]), "auto")
     wanted = docs.orderBy("doc_id").select(vectors.text_hash_vector(F.col("text")).alias("v")).first()
     found = search.top_k_texts(chunks, wanted.v if wanted else [0.0], 10)
     return found.select("doc_id", "chunk_id", "chunk_type", "page_content", F.round("score", 6).alias("score"))

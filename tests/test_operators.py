@@ -80,6 +80,39 @@ def test_near_duplicates_are_greedy(spark):
         assert sorted(r.element_idx for r in dedup.drop_near_duplicates(df, most).collect()) == kept
 
 
+def test_long_documents_are_settled_in_rounds(spark, monkeypatch):
+    """Heads and parts of a few prints keep what one pass over the whole document keeps."""
+    rng = random.Random(4)
+    base = ["".join(rng.choice("abcdefghij ") for _ in range(40)) for _ in range(25)]
+
+    def near(x):
+        cut = rng.randrange(len(x) - 1)
+        return x[:cut] + rng.choice("abcdefghij") + x[cut + 1 :] if rng.random() < 0.8 else x
+
+    rows = [(d, k * rng.choice((1, 3)) + 1000 * k, rng.choice([near(rng.choice(base)), near(rng.choice(base)), "abc", "", "  ", "".join(rng.choice("abcdefghij") for _ in range(30))])) for d, n in (("a", 400), ("b", 60), ("c", 3)) for k in range(n)]
+    df = spark.createDataFrame(rows, "doc_id string, element_idx int, content string")
+    want = set()
+    for d in ("a", "b", "c"):
+        kept, seen = [], set()
+        for _, i, text_ in sorted(r for r in rows if r[0] == d):
+            norm = "".join(text_.split()).lower()
+            if not norm or norm in seen:
+                continue
+            if len(norm) >= 6:
+                f = int(dedup._Pairs().fingerprint(norm))
+                if any((f ^ g).bit_count() <= 10 for g in kept):
+                    continue
+                kept.append(f)
+            seen.add(norm)
+            want.add((d, i))
+    assert {(r.doc_id, r.element_idx) for r in dedup.drop_near_duplicates(df).collect()} == want
+    monkeypatch.setattr(dedup, "BUCKET", 20_000)
+    monkeypatch.setattr(dedup, "HEAD", 50)
+    monkeypatch.setattr(dedup, "PART", 70_000)
+    assert {(r.doc_id, r.element_idx) for r in dedup.drop_near_duplicates(df).collect()} == want
+    assert len(want) < len(rows)
+
+
 def test_heading_stack(spark):
     rng = random.Random(6)
     rows = [("d%d" % (k // 40), k % 40, *(("heading", f" h{k} ", rng.randrange(1, 5)) if rng.random() < 0.5 else ("text", f"t{k}", None))) for k in range(400)]
