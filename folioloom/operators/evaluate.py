@@ -72,23 +72,51 @@ def agreement(scores: DataFrame, queries: DataFrame, strategies: list[str]) -> D
     return joined.select("qid", "type", "expected_advantage", "best", F.coalesce(F.col("best") == F.col("expected_advantage"), F.lit(False)).alias("agrees"))
 
 
+def counts_at(intervals: DataFrame, positions: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, position, started, ended): how many closed intervals (keys, start, end) begin at or before each position, and how many end before it.
+
+    A sweep over starts, ends and positions in one order.  Each of them is one row
+    for all that fall on it, running counts go within buckets of ``LINES``, and
+    what lies before a bucket is added from sums by bucket: nothing is spread over
+    the buckets it covers, and intervals and positions never meet in pairs.
+    """
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    row = lambda df, at, *what: df.select(*keys, F.col(at).alias("position"), *(w.alias(n) for w, n in zip(what, ("s", "e", "w"), strict=True)))
+    events = row(intervals, "start", one, zero, zero).unionByName(row(intervals, "end", zero, one, zero)).unionByName(row(positions, "position", zero, zero, one))
+    events = events.groupBy(*keys, "position").agg(F.sum("s").alias("s"), F.sum("e").alias("e"), F.max("w").alias("w")).withColumn("b", F.floor(F.col("position") / LINES))
+    before = Window.partitionBy(*keys).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    sums = events.groupBy(*keys, "b").agg(F.sum("s").alias("s"), F.sum("e").alias("e"))
+    sums = sums.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("b").alias("_b"), F.coalesce(F.sum("s").over(before), zero).alias("_s"), F.coalesce(F.sum("e").over(before), zero).alias("_e"))
+    within = Window.partitionBy(*keys, "b").orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
+    same = F.col("b") == F.col("_b")
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"_{k}"))
+    ran = events.select(*keys, "position", "b", "w", F.sum("s").over(within).alias("s"), (F.sum("e").over(within) - F.col("e")).alias("e")).where("w = 1")
+    return ran.join(sums, same).select(*keys, "position", (F.col("s") + F.col("_s")).alias("started"), (F.col("e") + F.col("_e")).alias("ended"))
+
+
 def coverage(chunks: DataFrame, spans: DataFrame) -> DataFrame:
     """Per query and strategy: how many of its spans some chunk of that strategy overlaps.
 
-    Chunks and spans meet by document, where both have ``doc_id``, and by buckets
-    of lines, so that no strategy's chunks gather in one task.
+    A chunk overlaps a span unless it ends before the span's start or begins after
+    its end, so some chunk does if more have begun by the end than had ended
+    before the start; ``counts_at`` gives both.  Documents are kept apart where
+    both sides have ``doc_id``.
     """
     by = ["doc_id"] if "doc_id" in chunks.columns and "doc_id" in spans.columns else []
-    buckets = lambda start, end: F.explode(F.sequence(F.floor(start / LINES), F.floor(F.coalesce(end, start) / LINES)))
-    placed = chunks.where("start_line is not null and start_line <= coalesce(end_line, start_line)").select(*by, "strategy", F.col("start_line").alias("_cs"), F.col("end_line").alias("_ce")).distinct()
-    placed = placed.withColumn("_bucket", buckets(F.col("_cs"), F.col("_ce")))
-    wanted = spans.select(*by, "qid", "span_idx", "start_line", "end_line")
-    sought = wanted.where("start_line <= end_line").withColumn("_bucket", buckets(F.col("start_line"), F.col("end_line")))
-    met = sought.join(placed, [*by, "_bucket"]).where(overlaps(F.col("_cs"), F.col("_ce"), F.col("start_line"), F.col("end_line")))
+    keys = [*by, "strategy"]
+    placed = chunks.where("start_line is not null and start_line <= coalesce(end_line, start_line)").select(*keys, F.col("start_line").cast("long").alias("start"), F.coalesce("end_line", "start_line").cast("long").alias("end"))
+    strategies = chunks.select("strategy").distinct().agg(F.collect_set("strategy").alias("_all"))  # one row, of as many items as there are strategies
+    wanted = spans.select(*by, "qid", "span_idx", F.col("start_line").cast("long").alias("a"), F.col("end_line").cast("long").alias("z"))
+    sound = wanted.where("a <= z").crossJoin(strategies).withColumn("strategy", F.explode("_all")).drop("_all")
+    at = counts_at(placed, sound.select(*keys, F.explode(F.array("a", "z")).alias("position")).distinct(), keys)
+    same = lambda df, place: [F.col(place) == df["_p"], *(F.col(k).eqNullSafe(df[f"_{k}"]) for k in keys)]
+    of = lambda name, what: at.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("position").alias("_p"), F.col(what).alias(name))
+    begun, over = of("begun", "started"), of("over", "ended")
+    met = sound.join(begun, same(begun, "z")).drop(*(f"_{k}" for k in keys), "_p").join(over, same(over, "a")).where("begun > over")
     covered = met.groupBy("qid", "strategy").agg(F.countDistinct("span_idx").alias("covered"))
     totals = wanted.groupBy("qid").agg(F.countDistinct("span_idx").alias("total"))
-    strategies = chunks.select("strategy").distinct().agg(F.collect_set("strategy").alias("_s"))  # one row, of as many items as there are strategies
-    every = totals.crossJoin(strategies).select("qid", "total", F.explode("_s").alias("strategy"))
+    every = totals.crossJoin(strategies).select("qid", "total", F.explode("_all").alias("strategy"))
     return every.join(covered, ["qid", "strategy"], "left").select("qid", "strategy", "total", F.coalesce("covered", F.lit(0)).cast("long").alias("covered"))
 
 

@@ -217,6 +217,27 @@ def test_evaluation(spark):
     assert (m.hit_at_k, round(m.recall, 6), m.mrr) == (0.5, 0.333333, 0.25)
 
 
+def test_coverage_by_sweep(spark):
+    rng = random.Random(6)
+    long = 1_000_000
+    edge = lambda: rng.choice([rng.randrange(400), rng.choice([0, 127, 128, 129, 255, 256]), rng.randrange(long)])
+    chunks = [(rng.choice("de"), rng.choice("xyz"), edge(), rng.choice([None, edge(), edge()])) for _ in range(60)] + [("d", "x", None, 5), ("d", "w", 900_000, 10)]
+    spans = [(rng.choice("def"), f"q{k % 25}", k // 25, *((lambda a: (a, a + rng.choice([0, 1, 128, 999_000])))(edge()) if k % 9 else (edge(), 0))) for k in range(100)]
+    c = spark.createDataFrame(chunks, "doc_id string, strategy string, start_line int, end_line int")
+    s = spark.createDataFrame(spans, "doc_id string, qid string, span_idx int, start_line int, end_line int")
+    for by_document in (True, False):
+        want = {}
+        for qid in {x[1] for x in spans}:
+            mine = [x for x in spans if x[1] == qid]
+            for strategy in "wxyz":
+                found = {i for d, _, i, a, z in mine if a <= z for cd, cs, b, e in chunks if cs == strategy and (cd == d or not by_document) and b is not None and b <= (e if e is not None else b) and b <= z and a <= (e if e is not None else b)}
+                want[qid, strategy] = (len({x[2] for x in mine}), len(found))
+        got = evaluate.coverage(c, s) if by_document else evaluate.coverage(c.drop("doc_id"), s.drop("doc_id"))
+        assert {(r.qid, r.strategy): (r.total, r.covered) for r in got.collect()} == want
+    plan = evaluate.coverage(c, s)._jdf.queryExecution().toString()
+    assert "sequence(" not in plan
+
+
 def test_jobs(spark):
     log = spark.createDataFrame([("a", "queued", 1.0, None), ("a", "running", 2.0, None), ("a", "succeeded", 3.0, 3.0), ("b", "queued", 1.0, None), ("b", "succeeded", 2.0, 2.0), ("c", "running", 1.0, None)], "id string, status string, at double, finished_at double")
     assert {(r.id, r.status) for r in jobs.violations(log).collect()} == {("b", "succeeded"), ("c", "running")}
