@@ -21,8 +21,9 @@ def overlaps(start: Column, end: Column, gold_start: Column, gold_end: Column) -
 
 def score(retrievals: DataFrame, spans: DataFrame) -> DataFrame:
     """Per strategy and query: hit, first hit, reciprocal rank, noise, spans covered."""
-    gold = spans.select(F.col("qid").alias("_q"), "span_idx", F.col("start_line").alias("_s"), F.col("end_line").alias("_e"))
-    met = (F.col("qid") == F.col("_q")) & overlaps(F.col("start_line"), F.col("end_line"), F.col("_s"), F.col("_e"))
+    gold = spans.select(F.col("qid").alias("_q"), "span_idx", F.col("start_line").alias("_s"), F.col("end_line").alias("_e"), *([F.col("doc_id").alias("_d")] if "doc_id" in spans.columns else []))
+    same = F.col("doc_id") == F.col("_d") if "doc_id" in spans.columns and "doc_id" in retrievals.columns else F.lit(True)
+    met = (F.col("qid") == F.col("_q")) & same & overlaps(F.col("start_line"), F.col("end_line"), F.col("_s"), F.col("_e"))
     joined = retrievals.join(gold, met, "left")
     each = joined.groupBy("strategy", "qid").agg(
         F.min(F.when(F.col("_q").isNotNull(), F.col("rank"))).alias("first_hit_rank"),

@@ -20,7 +20,8 @@ from ..sinks.buckets import BucketTable
 from ..sinks.store import JobStore
 from ..sources import folders, readers, web
 from ..streaming import lifecycle
-from .queries import JOBS, job_log, query, table
+from . import evaluation
+from .queries import JOBS, OUTLINE, job_log, outline, query, sliding_sql, table
 
 
 def _written(rows: DataFrame, write) -> None:
@@ -208,3 +209,24 @@ def url_scan(spark, sf_dir):
     urls = table(spark, sf_dir, "pages").select("page_id", F.concat(F.regexp_extract("url", "^https?://[^/]*", 0), F.lit("/a/"), way, "page_id").alias("url"))
     found = web.fetch(urls.select("url"), _tools, hops=3)
     return urls.join(found, "url").select("page_id", F.length("content").cast("long").alias("n_bytes"), "error")
+
+
+# ---- evaluation -----------------------------------------------------------------------------------------------------
+
+
+@query(f"""
+WITH RECURSIVE {OUTLINE}, items AS MATERIALIZED (SELECT doc_id AS k, row_number() OVER (PARTITION BY doc_id ORDER BY element_idx) - 1 AS i, length(content)::BIGINT AS n, content FROM outline), {sliding_sql("items", 512, 64, "w")},
+n AS (SELECT 'sliding_window' AS strategy, count(*) AS n_chunks FROM wspans UNION ALL SELECT 'header_aware', count(*) FROM (SELECT DISTINCT doc_id, sum((type = 'heading')::INT) OVER (PARTITION BY doc_id ORDER BY element_idx) AS s FROM outline))
+SELECT strategy, n_chunks, (SELECT count(DISTINCT conv_id) FROM conversations) AS n_queries, (SELECT count(DISTINCT conv_id) FROM conversations) * least(4, n_chunks) AS n_retrieved FROM n
+""")
+def evaluation_run(spark, sf_dir):
+    """Conversations by two strategies; a conversation's first turn asks for its own lines."""
+    elements = outline(spark, sf_dir)
+    first = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.min_by("text", "turn").alias("query"), F.count("*").alias("n"))
+    qid = F.concat(F.lit("Q"), "conv_id")
+    queries = first.select(qid.alias("qid"), F.lit("own").alias("type"), "query", F.lit("header_aware").alias("expected_advantage"))
+    spans = first.select(qid.alias("qid"), F.lit(0).alias("span_idx"), F.col("conv_id").alias("doc_id"), F.lit(1).alias("start_line"), F.col("n").cast("int").alias("end_line"))
+    run = evaluation.Run(scratch.new_dir(spark), elements, queries, spans, evaluation.Settings(("sliding_window", "header_aware"), top_k=4))
+    run.run()
+    counts = run.results()["metrics"].select("strategy", "n_chunks", "n_queries")
+    return counts.join(run.retrievals().groupBy("strategy").agg(F.count("*").alias("n_retrieved")), "strategy")
