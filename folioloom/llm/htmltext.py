@@ -11,8 +11,9 @@ Menus, headers, footers, side bars, notices, adverts, forms and comments are
 left out by tag, by role, and by a class or id that says nothing else: all its
 words name such a part or a mere place or shape.  Where other words stand beside
 (``share-price``), the name is a doubt only and the host's pages vote on it too:
-elements on that path are left out if most of their text is in links, or if three
-pages or more all have the same text there.  Headings in an article's own header
+elements on that path are left out if most of their text is in links, or if all
+have the same text there in three different articles or more; pages with one
+text, doubtful elements included, are copies of one article.  Headings in an article's own header
 stay.  Where all this leaves a page without text, its classes and ids are not
 heeded.
 
@@ -24,7 +25,8 @@ that they are joined to the pages by host.
 
 Defined cases: a null or empty html, and one without text in any container, give
 the empty string; a url without a host, or null, votes with those alike; repeated
-rows vote each and get equal texts; unclosed and stray tags never fail.
+rows and copies of an article count once where texts are compared, vote each on
+paths, and get equal texts; unclosed and stray tags never fail.
 """
 
 from __future__ import annotations
@@ -42,7 +44,7 @@ from . import textscan
 from .common import Scratch
 
 HOSTS = 200_000
-#: Elements of one path and one text that are no article's.
+#: Different articles with an element of one path and one text that is no article's.
 REPEATED = 3
 
 # Fixed values of HTML.
@@ -341,7 +343,11 @@ def _host():
     return F.lower(F.regexp_extract(F.coalesce(F.col("url").cast("string"), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-VOTES = "host string, digest binary, path string, score double, n long, links long, text long"
+VOTES = "host string, digest binary, path string, score double, n long, links long, text long, page long"
+
+
+def _number(text: str) -> int:
+    return int.from_bytes(_chained(b"", text)[:8], "little", signed=True)
 
 
 def votes(pages: DataFrame) -> DataFrame:
@@ -355,12 +361,13 @@ def votes(pages: DataFrame) -> DataFrame:
                     page = Page(html or "")
                     k, score = page.best()
                     if k and score > 0:
-                        found.append((host, page.digests[k], page.path(k), score, None, None, None))
-                    for digest, n, links, text in page.doubtful():
-                        found.append((host, digest, None, None, n, links, int.from_bytes(_chained(b"", text)[:8], "little", signed=True)))
-                cells = zip(*found, strict=True) if found else [()] * 7
-                kinds = (pa.string(), pa.binary(), pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cells, kinds, strict=True)], names=["host", "digest", "path", "score", "n", "links", "text"])
+                        found.append((host, page.digests[k], page.path(k), score, None, None, None, None))
+                    if doubtful := page.doubtful():
+                        whole = _number(page.text(None))
+                        found += [(host, digest, None, None, n, links, _number(text), whole) for digest, n, links, text in doubtful]
+                cells = zip(*found, strict=True) if found else [()] * 8
+                kinds = (pa.string(), pa.binary(), pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cells, kinds, strict=True)], names=["host", "digest", "path", "score", "n", "links", "text", "page"])
 
     return pages.select(_host().alias("host"), F.col("html").cast("string").alias("html")).mapInArrow(run, VOTES)
 
@@ -371,7 +378,7 @@ def winners(pages: DataFrame) -> DataFrame:
     by = votes(pages).groupBy("host", "digest").agg(
         F.min("path").alias("path"),
         F.sum(F.floor(F.log2(F.col("score") + 2))).alias("weight"),
-        F.count("n").alias("times"),
+        F.countDistinct("page").alias("times"),
         F.sum("n").alias("n"),
         F.sum("links").alias("links"),
         (F.min("text") == F.max("text")).alias("same"),
