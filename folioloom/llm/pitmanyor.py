@@ -56,6 +56,8 @@ UNKNOWN = 0.9
 LOCAL_PAIRS = 1_000_000
 END = np.uint64(0x5851F42D4C957F2D)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+#: Stands for a missing id in the keys of rows.
+_NO_ID = np.uint64(0xD1B54A32D192ED03)
 
 
 def pair_hash(u: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -334,7 +336,8 @@ def score(docs: DataFrame, held_out: Column, scratch: Scratch | None = None) ->
                 ids = part.column(0)
                 with np.errstate(over="ignore"):
                     inside = t.hashes * (np.arange(len(t.hashes)) - np.repeat(t.first[:-1], t.sizes) + 1).astype(np.uint64)
-                    keys = textscan.mix(t.sums(textscan.mix(inside)) + ids.fill_null(-7).to_numpy().astype(np.int64).view(np.uint64) * _MIX).view(np.int64)
+                    own = ids.fill_null(0).to_numpy().astype(np.int64).view(np.uint64) * _MIX + ids.is_null().to_numpy(zero_copy_only=False) * _NO_ID
+                    keys = textscan.mix(t.sums(textscan.mix(inside)) + own).view(np.int64)
                 cells = [ids, pa.array(t.sizes, pa.int64()), pa.array(t.sums(known.astype(np.int64)), pa.int64()), pa.array(t.sums(base)), pa.array(t.sums(logs_here))]
                 rows = pa.StructArray.from_arrays(cells, fields=list(doc))
                 none = np.zeros(len(keys))

@@ -594,6 +594,13 @@ def test_seating_like_one_by_one():
     assert abs(got - total) < 0.15 and pitmanyor.seat(np.array([0, 1]), np.array([1.0, 1.0]), d, np_rng).tolist() == [0, 1]
 
 
+def test_pitman_yor_with_a_missing_id(spark):
+    """A row without an id is none of those with one, whatever that is."""
+    docs = frame(spark, ["one two"] * 5, [None, -7, 0, None, -7])
+    got = pitmanyor.score(docs, F.lit(False)).collect()
+    assert collections.Counter(r.doc_id for r in got) == {None: 2, -7: 2, 0: 1} and all(r.n_tokens == 3 for r in got)
+
+
 def test_pitman_yor_without_text(spark):
     docs = frame(spark, [None, "a b"])
     got = sorted(pitmanyor.score(docs, F.lit(True)).collect())
@@ -730,6 +737,25 @@ def test_doubtful_names_are_voted_on(spark):
             assert got[k + 10] == f"Story {k + 10} tells of many things.\n\ngem {k + 10}"
 
 
+@pytest.mark.parametrize("copies", [1, 2, 3, 10, 100])
+def test_copies_of_an_article_are_one_article(spark, copies):
+    """Repeated rows, and one article under several addresses with menus of their own, don't vote text out."""
+    page = "<nav><a href=x>menu {k}</a></nav><article><p>A story of many things.</p><p class='share-price'>The price fell.</p></article>"
+    rows = [(k, f"http://h/{k}", page.format(k=k % 7)) for k in range(copies)]
+    # What stands in three different articles is none of theirs; in two it may be.
+    other = "<article><p>Story {k} is another.</p><div class='share-price'>Now at a special price</div></article>"
+    rows += [(1000 + k, "http://three/", other.format(k=k % 3)) for k in range(3 * copies)] + [(2000 + k, "http://two/", other.format(k=k % 2)) for k in range(2 * copies)]
+    for hosts in (100, 0):
+        got = {r.page_id: r.text for r in htmltext.main_text(spark.createDataFrame(rows, "page_id long, url string, html string"), hosts).collect()}
+        for i, text in got.items():
+            if i < 1000:
+                assert text == "A story of many things.\n\nThe price fell."
+            elif i < 2000:
+                assert text == f"Story {(i - 1000) % 3} is another."
+            else:
+                assert text == f"Story {(i - 2000) % 2} is another.\n\nNow at a special price"
+
+
 def test_main_text(spark):
     short = "<html><body class='x'><div class='page page-7'><article><p>brief</p></article></div><div class='long'><p>" + "noise " * 200 + "</p></div></body></html>"
     pages = [(k, "http://Host.example/a", PAGE.replace("One", f"One{k}")) for k in range(5)] + [(9, "http://host.example:80/b", short), (10, None, None), (11, "no url", ""), (12, "http://other.example/", short), (None, "x", "<p>t</p>")]
