@@ -15,13 +15,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import scratch
-from ..operators import calls, enrich, search
+from ..operators import calls, enrich, search, vindex
 from ..sinks.buckets import BucketTable
 from ..sinks.store import JobStore
 from ..sources import folders, readers, web
 from ..streaming import lifecycle
 from . import evaluation
-from .queries import JOBS, OUTLINE, job_log, outline, query, sliding_sql, table
+from .queries import JOBS, OUTLINE, embedding_store, job_log, outline, query, sliding_sql, table
 
 
 def _written(rows: DataFrame, write) -> None:
@@ -121,6 +121,18 @@ def jobs_stored(spark, sf_dir):
     return store.jobs().select("id", "status", "seq", "finished_at", "created_at")
 
 
+@query("""
+WITH q AS (SELECT vec_id query_id, embedding::DOUBLE[] v FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT query_id, vec_id AS chunk_id, list_cosine_similarity(embedding::DOUBLE[], v) score FROM embeddings, q)
+SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS "rank", round(score, 9) AS score FROM s QUALIFY "rank" <= 4
+""")
+def search_indexed(spark, sf_dir):
+    """Every fiftieth vector against all, through an index of tiles and bounds."""
+    store = embedding_store(spark, sf_dir)
+    index = vindex.build(store, scratch.new_dir(spark), tile=64)
+    queries = store.where("chunk_id % 50 = 0").select(F.col("chunk_id").alias("query_id"), F.col("vector").alias("query_vector"))
+    return vindex.search(index, spark, queries, 4)[0].select("query_id", "chunk_id", "rank", F.round("score", 9).alias("score"))
+
+
 # ---- streams --------------------------------------------------------------------------------------------------------
 
 
