@@ -699,3 +699,14 @@ def small_rules(spark, sf_dir):
     lines_ = F.concat(F.lit("# A=comment\n KEY = \"w"), k, F.lit("-"), F.when(k % 2 == 0, "").otherwise("="), F.lit("\" \nnothing\nKEY=later\nB='x'"))
     t = table(spark, sf_dir, "orders")
     return t.select("o_orderkey", places.frame_rate(ratio).alias("rate"), text.settings(lines_)["KEY"].alias("value"))
+
+
+@query("SELECT page_id, '{\"host\":\"' || (page_id % 97) || '\"' || CASE page_id % 3 WHEN 0 THEN '' ELSE ',\"port\":\"' || page_id || '\"' END || '}' AS options, CASE WHEN page_id % 40 = 0 OR page_id % 1000 = 0 THEN false ELSE true END AS asked FROM pages")
+def store_options(spark, sf_dir):
+    """Options that callers may set, of those that they ask for, and requests that may be searched for."""
+    k = F.col("page_id")
+    text_ = lambda c: c.cast("string")
+    asked = F.map_from_entries(F.filter(F.array(F.struct(F.lit("host"), text_(k % 97)), F.struct(F.lit("path"), F.lit("/etc")), F.when(k % 3 > 0, F.struct(F.lit("port"), text_(k))), F.struct(F.lit("__class__"), F.lit("x"))), lambda x: x.isNotNull()))
+    words = F.when(k % 1000 == 0, "").otherwise(F.concat(F.lit("q"), text_(k)))
+    return table(spark, sf_dir, "pages").select("page_id", F.to_json(guards.safe_options(asked)).alias("options"), search.is_request(words, k % 40 + F.when(k % 40 == 0, 101).otherwise(0)).alias("asked"))
+

@@ -154,6 +154,24 @@ def test_images():
     assert [x["start_time"] for x in media.segments([(0.123, 1.0, " hi "), (1, 2, " ")])] == [0.12]
 
 
+def test_what_images_say():
+    png = b"\x89PNG\r\n\x1a\n" + struct.pack(">I4sIIBB", 13, b"IHDR", 7, 9, 8, 6) + b"\0" * 8
+    (got,) = media.parse_image(png, "a.png")
+    assert got["content"] == "Image: a.png (7x9, PNG, RGBA)" and got["metadata"]["file_size_bytes"] == len(png) and "exif" not in got["metadata"]
+    words = b"A camera\0"
+    inner = struct.pack("<HHHIHHHHII", 2, 34855, 3, 1, 200, 0, 33434, 5, 1, 0) + b"\0" * 4
+    tiff = b"II*\0" + struct.pack("<IH", 8, 3) + struct.pack("<HHII", 271, 2, len(words), 50) + struct.pack("<HHIHH", 274, 3, 1, 6, 0) + struct.pack("<HHII", 34665, 4, 1, 60)
+    tiff = (tiff.ljust(50, b"\0") + words).ljust(60, b"\0") + inner
+    app1 = b"Exif\0\0" + tiff
+    jpeg = b"\xff\xd8\xff\xe1" + struct.pack(">H", len(app1) + 2) + app1 + b"\xff\xc0\x00\x0b\x08" + struct.pack(">HHB", 5, 6, 1) + b"\0" * 8
+    (got,) = media.parse_image(jpeg, "b.jpg")
+    assert got["content"] == "Image: b.jpg (6x5, JPEG, L)"
+    assert got["metadata"]["exif"] == {"Make": "A camera", "Orientation": "6", "ExifOffset": "60", "ISOSpeedRatings": "200"}
+    assert media.exif(jpeg[:30]) == {} and media.image_mode(b"GIF89a" + struct.pack("<HH", 3, 4)) == "P"
+    bmp = b"BM" + b"\0" * 16 + struct.pack("<iiHH", 2, 3, 1, 24)
+    assert media.image_mode(bmp) == "RGB"
+
+
 def test_folder_and_failures(spark, tmp_path):
     (tmp_path / "sub").mkdir()
     (tmp_path / ".git").mkdir()
