@@ -2,10 +2,11 @@
 
 Each shard of the corpus, a slice of a few MB of whole texts, gets a suffix
 array over its words, sorted to full depth by prefix doubling.  Every suffix of
-every benchmark item is binary-searched in it, one word of depth at a time, until
-nothing is left of its interval; the depth at which a place leaves the interval
-is the length of the longest verbatim match there.  Matches of at least
-``window`` words count.
+every benchmark item is binary-searched in it, for the interval of places where
+``window`` words of it stand.  Of those, places that continue a match of the
+suffix before are passed over, a run of the array at a time; the others begin a
+match, which is read once to its end.  So time grows with the texts and with the
+words of their longest matches, not with the square of a match.
 
 Only words of the benchmark can match, so words are replaced by ids of the
 benchmark's vocabulary, others by 0, and runs of known words that are shorter
@@ -15,7 +16,7 @@ and the letters of those in a match are compared.
 The corpus is never shuffled.  The benchmark is a stated query set: it goes to
 the executors in blocks of at most about ``BLOCK_BYTES`` of text, a block at a
 time; with several blocks each is a pass over the texts that keeps matches
-alone, and these are put together by document.
+alone, once for rows that repeat, and these are put together by document.
 
 Defined cases: a null or empty text has no words and is clean; an item without
 words has no suffixes; an item of fewer words than ``window`` matches as a whole;
@@ -38,6 +39,8 @@ from .common import Scratch, small_batches
 
 WINDOW = 10
 BLOCK_BYTES = 8 << 20
+#: Words that are compared in one step where matches are extended.
+AT_ONCE = 1 << 20
 
 ANNOTATED = "doc_id {id}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 MATCHES = "doc_id {id}, item_id string, doc_word long, item_word long, n_words long"
@@ -159,49 +162,75 @@ class Shard:
             self.ids[at[~same]] = 0
 
     def search(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(suffix of the block, place in the shard, words that match) for every match that is long enough."""
+        """(suffix of the block, place in the shard, words that match) of every match that is long enough and can't begin earlier."""
         b, none = self.block, np.zeros(0, np.int64)
         if not len(self.suffixes) or not len(b.suffixes):
             return none, none, none
         live = np.arange(len(b.suffixes))
         low, high = np.zeros(len(live), np.int64), np.full(len(live), len(self.suffixes), np.int64)
-        at, found, depth, firsts, counts = np.zeros(len(live), np.int64), 0, 0, [], []
-        marks: list[tuple[np.ndarray, np.ndarray]] = []
-        while len(live):
+        whole = []
+        for depth in range(int(b.least.max())):
             wanted = b.words[b.suffixes[live] + depth]
-            live, wanted = live[wanted > 0], wanted[wanted > 0]
             column = self.ids[np.minimum(self.suffixes + depth, len(self.ids) - 1)]
             lo = _bisect(column, low[live], high[live], wanted, right=False)
             hi = _bisect(column, lo, high[live], wanted, right=True)
-            live, lo, hi, depth = live[lo < hi], lo[lo < hi], hi[lo < hi], depth + 1
             low[live], high[live] = lo, hi
-            enough = b.least[live] == depth  # from here on, each depth adds a word to the matches in the interval
-            firsts.append((live[enough], lo[enough]))
-            counts.append(hi[enough] - lo[enough])
-            at[live[enough]] = found + np.cumsum(counts[-1]) - counts[-1] - lo[enough]
-            found += int(counts[-1].sum())
-            deep = b.least[live] <= depth
-            marks.append((at[live[deep]] + lo[deep], at[live[deep]] + hi[deep]))
-        change = np.zeros(found + 1, np.int64)
-        for start, stop in marks:
-            np.add.at(change, start, 1)
-            np.add.at(change, stop, -1)
-        suffix, begin, count = np.concatenate([x for x, _ in firsts]), np.concatenate([x for _, x in firsts]), np.concatenate(counts)
-        place = self.suffixes[np.repeat(begin - np.cumsum(count) + count, count) + np.arange(found)]
-        suffix = np.repeat(suffix, count)
-        return suffix, place, b.least[suffix] + np.cumsum(change)[:found] - 1
+            live = live[lo < hi]
+            whole.append(live[b.least[live] == depth + 1])
+            live = live[b.least[live] > depth + 1]
+        suffix = np.concatenate(whole)
+        suffix, place = self._heads(suffix, low[suffix], high[suffix])
+        return suffix, place, self._extended(suffix, place)
+
+    def _heads(self, suffix: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(suffix, place) of all in the intervals but those where the words before are one known word.
+
+        Neighbours in the suffix array mostly follow the same word, so whole runs of
+        them are passed over at once.
+        """
+        b = self.block
+        left = self.ids[np.maximum(self.suffixes, 1) - 1] * (self.suffixes > 0)
+        new = np.concatenate([[True], left[1:] != left[:-1]])
+        first, run = np.flatnonzero(new), np.cumsum(new) - 1
+        stop = np.append(first[1:], len(left))
+        mine = np.where(b.place[suffix] > 0, b.words[np.maximum(b.suffixes[suffix], 1) - 1], -1)
+        which, k = _ranges(run[low], run[high - 1] + 1)
+        other = (left[first[k]] == 0) | (left[first[k]] != mine[which])
+        which, k = which[other], k[other]
+        row, at = _ranges(np.maximum(first[k], low[which]), np.minimum(stop[k], high[which]))
+        return suffix[which[row]], self.suffixes[at]
+
+    def _extended(self, suffix: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """How many words match from each place on, each match read once, in steps that grow."""
+        b = self.block
+        length = b.least[suffix].astype(np.int64)
+        start = b.suffixes[suffix].astype(np.int64)
+        for k in range(0, len(suffix), AT_ONCE >> 4):
+            live, step = np.arange(k, min(k + (AT_ONCE >> 4), len(suffix))), 8
+            while len(live):
+                ahead = length[live][:, None] + np.arange(step)
+                mine = b.words[np.minimum(start[live][:, None] + ahead, len(b.words) - 1)]
+                same = (mine > 0) & (mine == self.ids[np.minimum(place[live][:, None] + ahead, len(self.ids) - 1)])
+                through = same.all(axis=1)
+                length[live] += np.where(through, step, same.argmin(axis=1))
+                live = live[through]
+                step = min(2 * step, max(8, AT_ONCE // max(len(live), 1)))
+        return length
+
+
+def _ranges(first: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, number) of each number in the rows' ranges."""
+    n = stop - first
+    row = np.repeat(np.arange(len(n)), n)
+    return row, np.arange(len(row)) + (first - np.cumsum(n) + n)[row]
 
 
 def matches(words: textscan.Words, block: Block) -> tuple[np.ndarray, ...]:
     """(text, first word in it, item, first word in it, words) of every verbatim match that can't be made longer."""
     shard = Shard(words, block)
     suffix, place, length = shard.search()
-    item, inside = block.item[suffix].astype(np.int64), block.place[suffix].astype(np.int64)
-    before = shard.ids[np.maximum(place, 1) - 1] * (place > 0)
-    head = (inside == 0) | (before == 0) | (before != block.words[np.maximum(block.suffixes[suffix], 1) - 1])
-    item, inside, place, length = item[head], inside[head], place[head], length[head]
     doc = shard.doc_of[place]
-    return doc, place - shard.begin[doc], item, inside, length
+    return doc, place - shard.begin[doc], block.item[suffix].astype(np.int64), block.place[suffix].astype(np.int64), length
 
 
 def _texts(part: pa.RecordBatch) -> pa.Array:
@@ -218,6 +247,15 @@ def _annotated(words: textscan.Words, spans: list[tuple[np.ndarray, np.ndarray,
     return sums[words.first[1:]] - sums[words.first[:-1]]
 
 
+def _covered(spans: np.ndarray) -> int:
+    """Words in any of the spans (first word, words)."""
+    if not len(spans):
+        return 0
+    spans = spans[np.argsort(spans[:, 0], kind="stable")]
+    ends = np.maximum.accumulate(spans.sum(axis=1))
+    return int(np.maximum(0, ends - np.maximum(spans[:, 0], np.append(spans[0, 0], ends[:-1]))).sum())
+
+
 def _batch(ids: pa.Array, n_words: np.ndarray, hit: np.ndarray, items: list[set]) -> pa.RecordBatch:
     listed = [",".join(sorted(x)) for x in items]
     return pa.RecordBatch.from_arrays(
@@ -284,7 +322,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
 
     scratch, found = Scratch(docs.sparkSession), None
     for part in (one, more, *parts):
-        hits = scratch.keep(_hits(docs, part))
+        hits = scratch.keep(_hits(docs, part).dropDuplicates(["_k1", "_k2"]))  # rows alike in both have equal matches
         part.destroy()
         found = hits if found is None else found.union(hits)
     found = found.groupBy("_k1", "_k2").agg(F.collect_list("spans").alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
@@ -299,11 +337,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
         for batch in batches:
             hit, items = [], [set(x or ()) for x in batch.column(3).to_pylist()]
             for cells in batch.column(2).to_pylist():
-                inside: set[int] = set()
-                for cell in cells or ():
-                    for a, n in np.frombuffer(cell, np.int64).reshape(-1, 2).tolist():
-                        inside.update(range(a, a + n))
-                hit.append(len(inside))
+                hit.append(_covered(np.frombuffer(b"".join(cells or ()), np.int64).reshape(-1, 2)))
             yield _batch(batch.column(0), np.asarray(batch.column(1)), np.array(hit, np.int64), items)
 
     rows = docs.select(*_key(), "doc_id", F.col("text").cast("string").alias("text")).mapInArrow(counted, f"_k1 long, _k2 long, doc_id {kind}, n_words long")

@@ -113,6 +113,45 @@ def test_contamination_in_blocks_and_empty(spark, odd):
     assert decontaminate.decontaminate(docs, empty).count() == docs.count()
 
 
+def test_contamination_of_repeated_rows_in_blocks(spark):
+    """Rows without an id and of one text, more than one block: each row once, with the spans of one."""
+    text = sentence(40)
+    items = [(k, sentence(20)) for k in range(30)] + [(77, text), (78, " ".join(word_list(text)[5:30]))]
+    docs = spark.range(600).select(F.lit(None).cast("long").alias("doc_id"), F.lit(text).alias("text"))
+    got = decontaminate.contamination(docs, spark.createDataFrame(items, "item_id long, text string"), block_bytes=500).collect()
+    assert len(got) == 600 and {tuple(r)[1:] for r in got} == {*plain_contamination([text], items)}
+
+
+@pytest.mark.parametrize("odd_word", [None, "gap"])
+def test_long_matches_take_linear_time(odd_word):
+    import time
+
+    import pyarrow as pa
+
+    words = [f"w{k * k % 9973}x{k % 89}" for k in range(64_000)]
+    block = decontaminate.Block(["a"], [" ".join(words)])
+    there = words[:]
+    if odd_word:
+        there[32_000] = odd_word
+    shard = textscan.scan(pa.array(["before " + " ".join(there) + " after"] * 2, pa.string()), textscan.ALNUM)
+    start = time.process_time()
+    _, place, _, inside, length = decontaminate.matches(shard, block)
+    assert time.process_time() - start < 8  # a square would take minutes
+    longest = sorted(zip(place.tolist(), inside.tolist(), length.tolist(), strict=True), key=lambda x: -x[2])
+    want = [(1, 0, 64_000)] * 2 if not odd_word else [(1, 0, 32_000)] * 2 + [(32_002, 32_001, 31_999)] * 2
+    assert longest[: len(want)] == want
+
+
+def test_matches_of_one_word_over_and_over():
+    import pyarrow as pa
+
+    block = decontaminate.Block(["a"], ["ha " * 500])
+    shard = textscan.scan(pa.array(["ha " * 3000, "ha " * 9], pa.string()), textscan.ALNUM)
+    doc, place, _, inside, length = decontaminate.matches(shard, block)
+    assert not doc.any() and len(place) == 2991 + 490 and length.max() == 500
+    assert (length == np.minimum(500 - inside, 3000 - place)).all() and (np.minimum(place, inside) == 0).all()
+
+
 def plain_matches(texts, items, window):
     out = []
     for d, t in enumerate(texts):
@@ -679,6 +718,23 @@ def test_page_keeps_article_classes():
     assert htmltext.Page(html).text(None) == "one\n\ntwo\n\nthree\n\nfour"
 
 
+@pytest.mark.parametrize("name", "promo search related copyright notice social subscription form-replies notice-text comment-text".split())
+def test_one_word_opens_a_vote_in_an_article(spark, name):
+    page = "<article><p>Story {k} begins.</p><div class='%s'><p>{own}</p></div><p>It ends.</p></article><div class='%s'>{own}</div>" % (name, name)
+    assert htmltext.Page(page.format(k=1, own="A paragraph of it.")).text(None) == "Story 1 begins.\n\nA paragraph of it.\n\nIt ends."
+    rows = [(k, "http://own/", page.format(k=k, own=f"Paragraph {k} of it.")) for k in range(4)]
+    rows += [(k, "http://same/", page.format(k=k, own="The same everywhere.")) for k in range(10, 14)]
+    rows += [(k, "http://links/", page.format(k=k, own=f"<a href=x>go to {k}</a>")) for k in range(20, 22)]
+    for r in htmltext.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect():
+        own = f"Paragraph {r.page_id} of it.\n\n" if r.page_id < 4 else ""
+        assert r.text == f"Story {r.page_id} begins.\n\n{own}It ends."
+
+
+def test_parts_stay_out_of_an_article():
+    parts = "".join(f"<div class='{c}'>no</div>" for c in "ad|ad-slot|cookie-notice|share-buttons|related-links|newsletter|comments|comment|reader-comments|promo-box|social-bar|sidebar|search-box".split("|"))
+    assert htmltext.Page(f"<article><p>one</p>{parts}<p>two</p></article>").text(None) == "one\n\ntwo"
+
+
 def test_pages_as_made():
     """Pages whose text is known as they are made: blocks of an article, with other parts strewn in."""
     made = random.Random(4)
