@@ -10,7 +10,9 @@ winning path, or from its own best one where none is on it.
 Menus, headers, footers, side bars, notices, adverts, forms and comments are
 left out by tag, by role, and by a class or id that says nothing else: all its
 words name such a part or a mere place or shape.  Where other words stand beside
-(``share-price``), the name is a doubt only and the host's pages vote on it too:
+(``share-price``), or within an article words for its text (``notice-text``) or
+nothing but what a text can be about (``promo``, ``copyright``), the name is a
+doubt only and the host's pages vote on it too:
 elements on that path are left out if most of their text is in links, or if all
 have the same text there in three different articles or more; pages with one
 text, doubtful elements included, are copies of one article.  Headings in an article's own header
@@ -82,6 +84,9 @@ PLAIN_WORDS = frozenset(
     "link links button buttons post posts article articles stories story panel column col row group holder zone region rail large small mobile desktop sticky fixed floating inline body content text form thread count "
     "js the of for and us our more icon icons image images google dfp".split()
 )
+# Of the words above, those that an article's own text can be about, and those that may name its text.
+TOPIC_WORDS = frozenset("banner copyright header headers hidden notice overlay promo promotion recommended related replies reply respond search share sharing skip social subscription toolbar".split())
+TEXT_WORDS = frozenset("article articles body content form post posts stories story text".split())
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S
@@ -110,13 +115,16 @@ _KEPT, _DOUBTFUL, _OUT = range(3)
 def _named(attributes: dict[str, str], in_article: bool) -> int:
     """What class and id say of an element."""
     worst = _KEPT
+    plain = PLAIN_WORDS - TEXT_WORDS if in_article else PLAIN_WORDS
     for name in " ".join(attributes[k] for k in ("class", "id") if k in attributes).split():
         if _LAYOUT.match(name.lower()):
             continue
         words = [w.lower() for w in _WORD.findall(name)]
         out = [(w in LEFT_OUT_WORDS or _LEFT_OUT_PART.match(w) or _LEFT_OUT_PART.search(w)) and not (in_article and w == "header") for w in words]
         if any(out):
-            worst = max(worst, _OUT if all(o or w in PLAIN_WORDS for o, w in zip(out, words, strict=True)) else _DOUBTFUL)
+            alone = all(o or w in plain for o, w in zip(out, words, strict=True))
+            topic = in_article and all(w in TOPIC_WORDS for w in words)
+            worst = max(worst, _OUT if alone and not topic else _DOUBTFUL)
     return worst
 
 
