@@ -5,15 +5,13 @@ by a hash of the id) and one of each group that shares its smallest shingle,
 give counts of words and of word beginnings by label.  A feature's weight is the
 log-odds of its occurrences between the labels under a Dirichlet prior that
 spreads ``PRIOR`` of the sample's size over the features by their overall rates.
-It is decided if the like log-odds of documents are ``Z`` standard errors from
-zero; decided weights below zero count as they are, those above from ``LEAST``
-on.  A word is weighed by its most specific
-feature that is common and decided either way: the word, else its first 6, 5 or
-4 characters.
-
-Passages: a word of a positive weight scores that, divided by k at its k-th
-occurrence in a text, one of a negative weight that, and any other ``-DRIFT``.  One linear scan finds every maximal scoring
-segment.  Segment scores become E-values by the extreme-value law of local
+A word is weighed by its most specific feature that ``COMMON`` labelled texts
+have and that speaks for clean text, or for toxic text with log-odds of documents
+that are ``Z`` standard errors from zero: the word, else its first 6, 5 or 4
+characters.  Words of clean texts alone are weighed like all others.
+
+Passages: each word scores its weight, one without a weight, or with one closer
+to zero from below, ``-DRIFT``.  One linear scan finds every maximal scoring segment.  Segment scores become E-values by the extreme-value law of local
 scores, ``E = K n exp(-lambda S)``, where lambda solves the balance equation of
 clean labelled text and K is the least that bounds its segments of every score.  A document's evidence is the sum over its segments of ``-ln P``,
 where ``P = 1 - exp(-E)`` is the chance of such a segment in clean text; a
@@ -45,7 +43,6 @@ from .common import Scratch, hash_sample
 LABELLED_ROWS = 100_000
 PRIOR = 0.05
 Z = 4.0
-LEAST = 1.5
 DRIFT = 0.03
 P_MOST = 0.1
 THRESHOLD = 0.3
@@ -87,13 +84,6 @@ class Weights:
             found &= open_
             out[found] = self.weights[at[found]]
             open_ &= ~found
-        hits = np.flatnonzero(out > 0)
-        if len(hits):
-            key = np.lexsort([hits, words.hashes[hits], np.searchsorted(words.first, hits, side="right")])
-            doc, h = np.searchsorted(words.first, hits[key], side="right"), words.hashes[hits[key]]
-            new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])])
-            first = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
-            out[hits[key]] /= np.arange(len(key)) - first + 1
         return np.where(out > 0, out, np.minimum(out, -DRIFT))
 
 
@@ -188,34 +178,20 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None, rows
         return Model(Weights(np.zeros(0, np.uint64), np.zeros(0)), 1.0, 1.0, (40.0 if n[1] else -40.0, 0.0))
     shared = spark.sparkContext.broadcast((ids, y))
 
-    def counted(which: int, only=None):
-        """Feature 0 counts words and texts themselves."""
-
-        def run(batches):
-            total: dict[int, list[int]] = {0: [0, 0]}
-            for label, part in learned(batches):
-                words = textscan.scan(part.column(1).filter(pa.array(label == which)), textscan.ALNUM)
-                total[0][0] += words.n_docs
-                total[0][1] += len(words.hashes)
-                for k, d, c in zip(*(x.tolist() for x in _per_text(words, only.value if only else None)), strict=True):
-                    row = total.setdefault(k, [0, 0])
-                    row[0] += d
-                    row[1] += c
-            d, c = zip(*total.values(), strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(d, pa.int64()), pa.array(c, pa.int64())], names=["f", "d", "c"])
-
-        return texts.mapInArrow(run, "f long, d long, c long").groupBy("f").agg(F.sum("d").alias("d"), F.sum("c").alias("c"))
-
-    t = counted(1).where("d >= 3").toArrow()
-    keys, d1, c1 = t.column(0).to_numpy().view(np.uint64), t.column(1).to_numpy(), t.column(2).to_numpy()
+    def counted(batches):
+        """Of each slice, texts and occurrences by feature and label; feature 0 counts texts and words themselves."""
+        for label, part in learned(batches):
+            for y in (0, 1):
+                words = textscan.scan(part.column(1).filter(pa.array(label == y)), textscan.ALNUM)
+                f, d, c = (np.append(n, x) for n, x in zip((0, words.n_docs, len(words.hashes)), _per_text(words), strict=True))
+                none = np.zeros(len(f), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (f, *((none, none, d, c) if y else (d, c, none, none)))], names=["f", "d0", "c0", "d1", "c1"])
+
+    by = texts.mapInArrow(counted, "f long, d0 long, c0 long, d1 long, c1 long").groupBy("f").agg(*(F.sum(x).alias(x) for x in ("d0", "c0", "d1", "c1")))
+    t = by.where((F.col("d0") + F.col("d1") >= COMMON) | (F.col("f") == 0)).toArrow()
+    keys = t.column(0).to_numpy().view(np.uint64)
     order = np.argsort(keys)
-    keys, d1, c1 = keys[order], d1[order], c1[order]
-    t = counted(0, spark.sparkContext.broadcast(keys)).toArrow()
-    f, d0, c0 = t.column(0).to_numpy().view(np.uint64), np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
-    at, known = textscan.member(keys, f)
-    d0[at[known]], c0[at[known]] = t.column(1).to_numpy()[known], t.column(2).to_numpy()[known]
-    if len(keys) == 0 or keys[0] != 0:  # fewer than three toxic texts
-        keys, d1, c1, d0, c0 = (np.concatenate([[x], y]).astype(y.dtype) for x, y in ((0, keys), (1, d1), (1, c1), (1, d0), (1, c0)))
+    keys, d0, c0, d1, c1 = (x[order] for x in (keys, *(t.column(k).to_numpy() for k in range(1, 5))))
 
     def odds(toxic: np.ndarray, clean: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Log-odds under the prior, and how many standard errors they are from zero; the totals stand first."""
@@ -225,8 +201,8 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None, rows
         return out[1:], (out / np.sqrt(1 / (toxic + prior) + 1 / (clean + prior)))[1:]
 
     z, weight = odds(d1, d0)[1], odds(c1, c0)[0]
-    keep = ((d1 + d0)[1:] >= COMMON) & ((z >= Z) | (weight < 0))
-    weights = Weights(keys[1:][keep], np.where((weight >= LEAST) | (weight < 0), weight, 0.0)[keep])
+    keep = (z >= Z) | (weight < 0)
+    weights = Weights(keys[1:][keep], weight[keep])
     model = Model(weights, 1.0, 1.0, (0.0, 1.0))
     shared_weights = spark.sparkContext.broadcast(weights)
     steps = int((HIGH - LOW) / STEP) + 1
@@ -258,19 +234,17 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None, rows
     return model
 
 
-def _per_text(words: textscan.Words, only: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(feature, texts that have it, occurrences, at most 5 a text) of these texts; of ``only`` if given."""
+def _per_text(words: textscan.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(feature, texts that have it, occurrences) of these texts."""
     docs, seen = words.docs, []
     for k, h in enumerate(features(words)):
         some = np.ones(len(h), bool) if k == 0 else h != words.hashes
-        if only is not None:
-            some &= textscan.member(only, h)[1]
         seen.append((docs[some], h[some]))
     d, h = (np.concatenate(x) for x in zip(*seen, strict=True))
     order = np.lexsort([d, h])
     d, h = d[order], h[order]
     first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (d[1:] != d[:-1])])[: len(h)])
-    times = np.minimum(np.diff(np.append(first, len(h))), 5)
+    times = np.diff(np.append(first, len(h)))
     h = h[first]
     group = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])[: len(h)])
     return h[group].view(np.int64), np.diff(np.append(group, len(h))), np.add.reduceat(times, group) if len(group) else group

@@ -979,6 +979,73 @@ def test_toxicity(spark):
     assert toxicity.scores(docs.where("false"), model).count() == 0
 
 
+def plain_weights(texts, labels):
+    """Weights by feature, from dictionaries."""
+    docs, times, total = collections.Counter(), collections.Counter(), collections.Counter()
+    for k, y in labels.items():
+        seen = [f for w in word_list(texts[k]) for f in plain_features(w)]
+        times.update((f, y) for f in seen)
+        docs.update((f, y) for f in set(seen))
+        total.update({("texts", y): 1, ("words", y): len(word_list(texts[k]))})
+
+    def odds(count, f, unit):
+        n1, n0 = total[unit, 1], total[unit, 0]
+        x1, x0, a = count[f, 1], count[f, 0], toxicity.PRIOR * (n1 + n0)
+        p = a * (x1 + x0) / (n1 + n0)
+        w = math.log((x1 + p) / max(n1 + a - x1 - p, 1)) - math.log((x0 + p) / max(n0 + a - x0 - p, 1))
+        return w, w / math.sqrt(1 / (x1 + p) + 1 / (x0 + p))
+
+    out = {}
+    for f in {f for f, _ in docs}:
+        weight = odds(times, f, "words")[0]
+        if docs[f, 0] + docs[f, 1] >= toxicity.COMMON and (odds(docs, f, "texts")[1] >= toxicity.Z or weight < 0):
+            out[f] = weight
+    return out
+
+
+def plain_features(word):
+    return [word, *((n, word[:n]) for n in toxicity.BEGINNINGS if len(word) > n)]
+
+
+def test_toxicity_like_plain(spark):
+    made = random.Random(11)
+    common, clean, toxic = ([f"{x}{made.choice('abcdefgh')}{k}é" for k in range(n)] for x, n in (("w", 60), ("fine", 6), ("bad", 9)))
+    texts, labels = [], {}
+    for k in range(240):
+        words = made.choices(common, k=made.randrange(20, 50))
+        for _ in range(made.randrange(6)):
+            words[made.randrange(len(words))] = made.choice(toxic if k % 4 == 0 else clean)
+        texts.append(" ".join(words))
+        labels[k] = int(k % 4 == 0)
+    texts += [None, "", texts[0] * 2, " ".join(toxic * 30)]
+    docs = frame(spark, texts)
+    model = toxicity.train(docs, spark.createDataFrame([(k, y) for k, y in labels.items()], "doc_id long, toxic int"))
+    weights = plain_weights(texts, labels)
+    assert len(model.weights.keys) == len(weights) and all(weights[w] < -1 for w in clean) and min(weights.get(w, 9) for w in toxic) > 1
+
+    def plain_score(text):
+        scores, found = [], 0.0
+        for w in word_list(text):
+            x = next((weights[f] for f in plain_features(w) if f in weights), 0.0)
+            scores.append(x if x > 0 else min(x, -toxicity.DRIFT))
+        for a, b in plain_segments(scores):
+            p = -math.expm1(-model.k * len(scores) * math.exp(-model.lam * sum(scores[a : b + 1])))
+            found -= math.log(max(p, 1e-300))
+        return 1 / (1 + math.exp(-(model.curve[0] + model.curve[1] * math.log1p(found))))
+
+    for r in toxicity.scores(docs, model).collect():
+        assert abs(r.score - plain_score(texts[r.doc_id])) < 1e-9
+
+
+def test_toxicity_of_words_of_clean_texts_alone(spark):
+    texts = [" ".join(f"w{(k * 7 + j) % 97}" for j in range(12)) + (" vile vile vile vile vile vile vile" if k % 4 == 0 else " kindly") + f" id{k}" for k in range(400)]
+    model = toxicity.train(frame(spark, texts), spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(400)], "doc_id long, toxic int"))
+    import pyarrow as pa
+
+    got = model.weights.of(textscan.scan(pa.array(["kindly vile vile unseen"]), textscan.ALNUM))
+    assert got[0] < -2 and got[1] == got[2] > 2 and got[3] == -toxicity.DRIFT
+
+
 def test_toxicity_backs_off_to_beginnings(spark):
     """Words seen once are weighed by their first characters."""
     texts = [sentence(40) + (f" scornful{k} scornful{k}x" if k % 4 == 0 else f" plainer{k}") for k in range(300)]
