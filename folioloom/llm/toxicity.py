@@ -9,6 +9,8 @@ A word is weighed by its most specific feature that ``COMMON`` labelled texts
 have and that speaks for clean text, or for toxic text with log-odds of documents
 that are ``Z`` standard errors from zero: the word, else its first 6, 5 or 4
 characters.  Words of clean texts alone are weighed like all others.
+Log-odds between 0 and ``LEAST`` count as none: many such words would make a
+passage of any long clean text in which they are a little more frequent.
 
 Passages: each word scores its weight, one without a weight, or with one closer
 to zero from below, ``-DRIFT``.  One linear scan finds every maximal scoring segment.  Segment scores become E-values by the extreme-value law of local
@@ -43,6 +45,7 @@ from .common import Scratch, hash_sample
 LABELLED_ROWS = 100_000
 PRIOR = 0.05
 Z = 4.0
+LEAST = 1.5
 DRIFT = 0.03
 P_MOST = 0.1
 THRESHOLD = 0.3
@@ -202,7 +205,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None, rows
 
     z, weight = odds(d1, d0)[1], odds(c1, c0)[0]
     keep = (z >= Z) | (weight < 0)
-    weights = Weights(keys[1:][keep], weight[keep])
+    weights = Weights(keys[1:][keep], np.where((weight >= LEAST) | (weight < 0), weight, 0.0)[keep])
     model = Model(weights, 1.0, 1.0, (0.0, 1.0))
     shared_weights = spark.sparkContext.broadcast(weights)
     steps = int((HIGH - LOW) / STEP) + 1

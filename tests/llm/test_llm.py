@@ -999,7 +999,7 @@ def plain_weights(texts, labels):
     for f in {f for f, _ in docs}:
         weight = odds(times, f, "words")[0]
         if docs[f, 0] + docs[f, 1] >= toxicity.COMMON and (odds(docs, f, "texts")[1] >= toxicity.Z or weight < 0):
-            out[f] = weight
+            out[f] = weight if weight < 0 or weight >= toxicity.LEAST else 0.0
     return out
 
 
