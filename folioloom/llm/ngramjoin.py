@@ -11,7 +11,8 @@ tokens share one.  So:
    frequent ones form a table of bounded size that is sent to every task.
 3. Order 1 puts tokens outside that table first, by hash, then those inside by
    frequency.  Its prefixes are dealt by token; each token's entities are paired
-   with one pivot only, never all with all.
+   with one pivot only, never all with all; then, while their components differ,
+   with one entity that is drawn anew for each token and each of ``ROUNDS``.
 4. A pair goes on if the prefixes also meet under orders 2 and 3, which are
    independent of order 1; only then are the whole sets compared.
 5. Entities of one token that are still in different components are compared
@@ -50,6 +51,8 @@ LEAST_DF = 8
 SPLIT_DF = 20_000
 #: Entities of one token that are compared with each other, or with as many others, in one group.
 GROUP = 512
+#: Times that entities of one token meet another one of it, drawn for each token, before those still apart are compared.
+ROUNDS = 2
 #: Bytes of text for each hash bucket of tokens.
 BUCKET_BYTES = 16 << 20
 #: Spots, as a power of two, of the bitmap of tokens that two documents have: 16 MB.
@@ -362,12 +365,22 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, scratch:
     if frequent.value.parts:  # the parts' pivots of one token are tied by a pivot of their own
         tops = grouped.groupBy("g").agg(F.min("p").alias("top"), F.max("p").alias("bottom")).where("top <> bottom")
         pairs = pairs.union(grouped.select("g", "p").distinct().join(tops, "g").where("p <> top").select(F.least("p", "top"), F.greatest("p", "top")))
-    links = scratch.keep(_verified(pairs.distinct(), sets, percent))
-
-    # Entities of one token whose components differ so far are compared with each other.
-    roots = components(links, scratch)
-    placed = grouped.select("g", "s", "n").join(roots.withColumnRenamed("node", "s"), "s", "left").withColumn("root", F.coalesce("root", "s"))
-    open_ = placed.groupBy("g").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("c")).where("lo <> hi and c > 2")
+    links = _verified(pairs.distinct(), sets, percent)
+
+    # Most tokens of near copies have the same pivot; one drawn by token ties what lies apart from it, at a pair a row.
+    roots = scratch.keep(components(links, scratch))
+    for k in range(ROUNDS):
+        placed, open_ = _apart(grouped, roots)
+        drawn = placed.join(open_.select("g"), "g").groupBy("g").agg(F.min_by(F.struct("s", "n", "root"), F.xxhash64("s", "g", F.lit(k))).alias("x"))
+        met = placed.join(drawn, "g").where("root <> x.root").select("s", "n", F.col("x.s").alias("p"), F.col("x.n").alias("np"))
+        met = met.where(f"least(n, np) * 100 >= greatest(n, np) * {percent}").select(F.least("s", "p").alias("a"), F.greatest("s", "p").alias("b")).distinct()
+        more = _verified(met.join(pairs, ["a", "b"], "left_anti"), sets, percent)
+        tied = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more)
+        before, roots = roots, scratch.keep(components(tied, scratch))
+        scratch.drop(before)
+
+    # Entities of one token whose components differ still are compared with each other.
+    placed, open_ = _apart(grouped, roots)
     # A large group is cut into blocks; each pair of blocks is a key of the join, so no task has a whole group.
     open_ = open_.select("g", F.ceil(F.col("c") / GROUP).alias("blocks"))
     placed = placed.join(open_, "g").join(sets.select("s", *sketch), "s").withColumn("block", F.pmod(F.xxhash64("s"), F.col("blocks")))
@@ -376,10 +389,11 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, scratch:
     y = y.withColumn("other", F.col("block")).withColumn("block", F.explode(F.expr("sequence(0l, block)"))).drop("blocks")
     met = F.expr(f"(block < other or s1 < s2) and root1 <> root2 and least(n1, n2) * 100 >= greatest(n1, n2) * {percent}") & _may_link(percent)
     cross = x.join(y, ["g", "block", "other"]).where(met).select(F.least("s1", "s2").alias("a"), F.greatest("s1", "s2").alias("b")).distinct()
-    links = links.union(_verified(cross.join(pairs, ["a", "b"], "left_anti"), sets, percent))
+    tied = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    tied = tied.union(_verified(cross.join(pairs, ["a", "b"], "left_anti"), sets, percent))
 
     # Links run between names, through rows without an id too; a component's id is the least id of its names.
-    roots = components(links, scratch)
+    roots = components(tied, scratch)
     proved = F.when(F.min("proof") == F.max("proof"), F.lit(True)).otherwise(F.raise_error(F.lit("two different sets have one name")).cast("boolean"))
     least = named.where("s is not null").groupBy("s").agg(F.min("doc_id").alias("rep"), proved.alias("proved")).where("proved")
     least = least.join(roots, F.col("s") == F.col("node"), "left").select("s", "rep", F.coalesce("root", "s").alias("root"))
@@ -387,6 +401,13 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, scratch:
     return named.join(least, "s", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
 
 
+def _apart(grouped: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((g, s, n, root) of every entity of a token, (g, c) of tokens whose entities have different roots)."""
+    placed = grouped.select("g", "s", "n").join(roots.withColumnRenamed("node", "s"), "s", "left").withColumn("root", F.coalesce("root", "s"))
+    open_ = placed.groupBy("g").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("c")).where("lo <> hi and c > 2")
+    return placed, open_.select("g", "c")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of the pairs of entities, those that link: after the prefixes under orders 2 and 3, the whole sets decide."""
 
