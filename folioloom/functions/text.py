@@ -16,17 +16,23 @@ NATIONAL_ID = r"(?U)(?<!\d)([1-9]\d{5})\d{8}(\d{3}[\dXx])(?!\d)"
 EMAIL = r"([a-zA-Z0-9_.+-]+)@([a-zA-Z0-9-]+\.[a-zA-Z0-9-.]+)"
 #: What ends a line, besides the line feed, where text is cut into lines by Unicode rules.
 LINE_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
+#: White space by Unicode's property, and the separators that strings' own strip takes.
+SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def strip(c: Column) -> Column:
     """Without white space at both ends, by Unicode's classes."""
-    return F.regexp_replace(c, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+    return F.btrim(c, F.lit(SPACE))
+
+
+def is_blank(c: Column) -> Column:
+    """Whether nothing is left by ``strip``; reads no further than the first other character."""
+    return ~c.rlike(rf"[^{SPACE}]")
 
 
 def lines(c: Column) -> Column:
-    """The lines of a text; a last line end opens no further line."""
-    cut = F.split(F.regexp_replace(c, LINE_ENDS, "\n"), "\n")
-    return F.when(F.element_at(cut, -1) == "", F.slice(cut, 1, F.greatest(F.size(cut) - 1, F.lit(0)))).otherwise(cut)
+    """The lines of a text; a last line end opens no further line.  The text is named twice only, as expressions are worked out wherever they stand."""
+    return F.when(c == "", F.array().cast("array<string>")).otherwise(F.split(F.regexp_replace(c, rf"(?:{LINE_ENDS})\z", ""), LINE_ENDS))
 
 
 def drop_control(c: Column) -> Column:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -32,11 +34,16 @@ def margin_noise(df: DataFrame, header: float = 0.15, footer: float = 0.85, shar
 
 
 def drop_margins(df: DataFrame, header: float = 0.15, footer: float = 0.85, share: float = 0.25) -> DataFrame:
-    """Removes every margin element whose normal form is noise in its document."""
-    noise = margin_noise(df, header, footer, share).select(F.col("doc_id").alias("_doc"), F.col("norm").alias("_noise"))
-    in_margin = places.in_margin(F.col("location.bbox"), header, footer)
-    same = (F.col("doc_id") == F.col("_doc")) & in_margin & (text.margin_form(F.coalesce("content", F.lit(""))) == F.col("_noise"))
-    return df.join(noise, same, "left_anti")
+    """Removes every margin element whose normal form is noise in its document.
+
+    Only margin elements meet the noise; all others are read once more and pass by
+    unshuffled.  The noise is written before it is used, so this runs a job when it
+    is called.
+    """
+    noise = scratch.keep(margin_noise(df, header, footer, share).select(F.col("doc_id").alias("_doc"), F.col("norm").alias("_noise")))
+    in_margin = F.coalesce(places.in_margin(F.col("location.bbox"), header, footer), F.lit(False))
+    same = (F.col("doc_id") == F.col("_doc")) & (text.margin_form(F.coalesce("content", F.lit(""))) == F.col("_noise"))
+    return df.where(~in_margin).unionByName(df.where(in_margin).join(noise, same, "left_anti"))
 
 
 def drop_exact(df: DataFrame) -> DataFrame:
@@ -101,14 +108,16 @@ class _Pairs:
         self.bits = np.zeros((1024, BITS), np.int32)
 
     def fingerprint(self, norm: str) -> np.uint64:
-        pairs = [norm] if len(norm) <= 3 else [norm[i : i + 2] for i in range(len(norm) - 1)]
+        pairs = {norm: 1} if len(norm) <= 3 else Counter(map(add, norm, norm[1:]))
         place = self.place
-        for p in set(pairs) - place.keys():
+        for p in pairs:
+            if p in place:
+                continue
             if len(place) == len(self.bits):
                 self.bits = np.concatenate([self.bits, np.zeros_like(self.bits)])
             self.bits[len(place)] = (np.uint64(int(hashlib.md5(p.encode()).hexdigest()[:16], 16)) >> _PLACES & np.uint64(1)).astype(np.int32) * 2 - 1
             place[p] = len(place)
-        votes = self.bits[[place[p] for p in pairs]].sum(axis=0)
+        votes = np.fromiter(pairs.values(), np.int64, len(pairs)) @ self.bits[[place[p] for p in pairs]]
         return np.sum((votes > 0).astype(np.uint64) << _PLACES, dtype=np.uint64)
 
 

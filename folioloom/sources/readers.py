@@ -26,7 +26,7 @@ PARSED = f"{ELEMENTS}, error string"
 def text_elements(docs: DataFrame, doc_id: str = "doc_id", column: str = "text") -> DataFrame:
     """A paragraph for each line of each text that isn't blank, in expressions alone."""
     each = docs.select(F.col(doc_id).alias("doc_id"), F.posexplode(text.lines(F.coalesce(column, F.lit(""))))).toDF("doc_id", "pos", "raw")
-    kept = each.withColumn("content", text.strip(F.col("raw"))).where("content <> ''")
+    kept = each.where(~text.is_blank(F.col("raw"))).withColumn("content", text.strip(F.col("raw")))
     # Places need not be gapless to be an order, so the line is the place and no shuffle is needed.
     return kept.select(
         "doc_id",
