@@ -66,14 +66,18 @@ def mask_email(c: Column) -> Column:
     Addresses are taken one by one from the left: what stands between them is
     cut out by the same pattern, and the two are put together again.
     """
-    between, found = F.split(c, EMAIL, -1), F.regexp_extract_all(c, F.lit(EMAIL), F.lit(0))
 
     def mask(e: Column) -> Column:
         n = F.instr(e, "@") - 1
         name = F.when(n <= 2, F.concat(F.substring(e, 1, 1), F.lit("*"))).otherwise(F.concat(F.substring(e, 1, 1), F.repeat(F.lit("*"), n - 2), F.substring(e, n, F.lit(1))))
         return F.concat(name, F.substring(e, n + 1, F.length(e)))
 
-    return F.when(c.contains("@"), F.array_join(F.zip_with(between, F.transform(found, mask), lambda x, e: F.concat(x, F.coalesce(e, F.lit("")))), "")).otherwise(c)
+    def masked(c: Column) -> Column:
+        between, found = F.split(c, EMAIL, -1), F.regexp_extract_all(c, F.lit(EMAIL), F.lit(0))
+        return F.when(c.contains("@"), F.array_join(F.zip_with(between, F.transform(found, mask), lambda x, e: F.concat(x, F.coalesce(e, F.lit("")))), "")).otherwise(c)
+
+    # Named several times, the text would be worked out as often; as a lambda's argument it is once.
+    return F.transform(F.array(c), masked)[0]
 
 
 def mask_personal(c: Column) -> Column:

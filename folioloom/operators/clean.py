@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import scratch
 from ..functions import text
 
 Step = Callable[[DataFrame], DataFrame]
@@ -46,15 +47,20 @@ def drop_short(df: DataFrame, least: int = 3) -> DataFrame:
 
 
 def default_steps(deduplicate: bool = True) -> list[Step]:
-    """Control characters, space, personal data, length of 2, and unless switched off margins and near duplicates."""
+    """Control characters, space, personal data, length of 2, and unless switched off margins and near duplicates.
+
+    Length, margins and near duplicates read their rows more than once, so what the
+    steps before them give is written.
+    """
     from . import dedup
 
-    steps: list[Step] = [drop_control, tidy_space, mask_personal, lambda df: drop_short(df, 2)]
-    return steps + [dedup.drop_margins, dedup.drop_near_duplicates] if deduplicate else steps
+    steps: list[Step] = [drop_control, tidy_space, mask_personal]
+    length: Step = lambda df: drop_short(df, 2)
+    return steps + ([scratch.keep, length, dedup.drop_margins, dedup.drop_near_duplicates] if deduplicate else [length])
 
 
 def clean(df: DataFrame, steps: Sequence[Step] | None = None, deduplicate: bool = True) -> DataFrame:
-    """Applies the steps in order; they are lazy, so all row-wise ones end up in one scan."""
+    """Applies the steps in order; row-wise ones are lazy, so they end up in one scan."""
     for step in default_steps(deduplicate) if steps is None else steps:
         df = df.transform(step)
     return df
