@@ -62,3 +62,15 @@ def test_headings_with_references_cut_short(spark, tmp_path):
     html = [f"<html><body><h1>{x}</h1><p>text</p></body></html>" for x in ("a &amp;&amp;&amp", "b &lt &lt; &copy &x;", "c &amp;lt; &#x27;")]
     path = _made(tmp_path, "pages", page_id=[1, 2, 3], url=["", "", ""], html=html)
     assert _found(spark, "html_headings", tmp_path) == _sql("html_headings", pages=path)
+
+
+def test_all_trusted_rows_teach_the_quality_model(spark):
+    from folioloom.llm import quality
+
+    from pyspark.sql import functions as F
+
+    n = 50_050  # more than were once taken
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.lit("en").alias("lang"), F.lit("ab").alias("text"))
+    labels = docs.select("doc_id", F.lit(1).alias("quality"))
+    assert quality._trusted(docs, labels).count() == n
+    assert quality.train(docs, labels) is not None
