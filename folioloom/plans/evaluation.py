@@ -2,9 +2,9 @@
 
 A run belongs to its settings, its corpus and its labelled queries: their digests
 name its folder.  Strategies that have a manifest there are not run again.  The
-others go through one plan: all their chunks are embedded and written together,
-then all their searches, and only then does each get its manifest with what was
-counted.  So a run that ends early leaves nothing that counts, one with more
+others go through one plan: all their chunks are written together, what differs in
+them and in the queries is embedded and searched once, and only then does each get
+its manifest with what was counted.  So a run that ends early leaves nothing that counts, one with more
 strategies adds to what is there, and one with other settings is another run.
 
 Defined cases: flaws of the labelled set are an error before anything runs; a
@@ -96,12 +96,14 @@ class Run:
     # ---- the run -----------------------------------------------------------------------------------------------------
 
     def _embedded(self, rows: DataFrame, column: str) -> DataFrame:
+        """(key, vector) of the rows' keys, a row for each."""
+        rows = rows.select("key", column).dropDuplicates(["key"])
         if not isinstance(self.engine, Service):
-            return rows.withColumn("vector", self.engine(F.col(column)))
+            return rows.select("key", self.engine(F.col(column)).alias("vector"))
         found, failed = search.embed_remote(rows, self.engine, self.known, column)
         if (bad := failed.first()) is not None:
             raise RuntimeError(f"{self.engine.name} has not embedded all of {column}: {bad.error}")
-        return found
+        return found.select("key", "vector")
 
     def run(self) -> list[str]:
         """Runs what isn't there yet; the strategies that have been run now."""
@@ -113,15 +115,19 @@ class Run:
         for s in missing:
             some = chunking.chunk(self.elements, s)[0].select(F.lit(s).alias("strategy"), "doc_id", "chunk_id", "page_content", F.col("location.start_line").alias("start_line"), F.col("location.end_line").alias("end_line"))
             chunks = some if chunks is None else chunks.unionByName(some)
-        chunks = scratch.keep(self._embedded(chunks, "page_content").select("strategy", "doc_id", "chunk_id", "start_line", "end_line", "vector"), f"{at}/chunks")
+        key = lambda column: search.key(F.col(column), self.engine).alias("key")
+        chunks = scratch.keep(chunks.select("strategy", "doc_id", "chunk_id", "page_content", "start_line", "end_line", key("page_content")), f"{at}/chunks")
+        vectors = scratch.keep(self._embedded(chunks, "page_content"), f"{at}/vectors")
         counts = {r.strategy: r.n for r in chunks.groupBy("strategy").agg(F.count("*").alias("n")).collect()}
-        asked = scratch.keep(self._embedded(self.queries.select("qid", "query"), "query").select(F.col("qid").alias("query_id"), F.col("vector").alias("query_vector")), f"{at}/queries")
+        queries = scratch.keep(self.queries.select("qid", "query", key("query")), f"{at}/queries")
+        asked = search.asked(self._embedded(queries, "query").select(F.col("key").alias("query_id"), F.col("vector").alias("query_vector")))
         found, k = None, {}
         for s in missing:
             n = counts.get(s, 0)
             k[s] = max(self.settings.k_min, round(self.settings.k_ratio * n)) if self.settings.k_ratio > 0 else self.settings.top_k
-            best = search.top_k_each(chunks.where(F.col("strategy") == s), asked, k[s]).select("strategy", F.col("query_id").alias("qid"), "rank", "doc_id", "chunk_id", "start_line", "end_line", "score")
+            best = search.top_k_keyed(chunks.where(F.col("strategy") == s).drop("page_content"), vectors, asked, k[s])
             found = best if found is None else found.unionByName(best)
+        found = found.join(queries.select("qid", F.col("key").alias("query_id")), "query_id").select("strategy", "qid", "rank", "doc_id", "chunk_id", "start_line", "end_line", "score")
         found = scratch.keep(found, f"{at}/retrievals")
         returned = {r.strategy: r.n for r in found.groupBy("strategy").agg(F.count("*").alias("n")).collect()}
         for s in missing:
@@ -149,7 +155,7 @@ class Run:
     def results(self) -> dict[str, DataFrame]:
         """The tables of a report: metrics, by type, agreement with expectations, coverage, and warnings."""
         scores = self.scores()
-        chunks = self._tables("chunks").drop("vector")
+        chunks = self._tables("chunks").drop("page_content", "key")
         counts = chunks.groupBy("strategy").agg(F.count("*").alias("n_chunks"))
         return {
             "metrics": evaluate.metrics(scores, "strategy").join(counts, "strategy", "left"),
