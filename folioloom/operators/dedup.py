@@ -77,18 +77,17 @@ def fingerprint(content: Column) -> Column:
 
 
 def fingerprint_rows(df: DataFrame) -> DataFrame:
-    """(doc_id, element_idx, fingerprint) by grouped sums: the form for long contents, wholly in generated code."""
-    norm = text.dedup_form(F.coalesce("content", F.lit("")))
-    n = F.length("_norm")
-    pairs = F.when(n <= 3, F.array("_norm")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.substring(F.col("_norm"), i, F.lit(2))))
-    each = df.select("doc_id", "element_idx", norm.alias("_norm")).where("_norm <> ''").select("doc_id", "element_idx", F.explode(pairs).alias("p"))
-    each = each.groupBy("doc_id", "element_idx", "p").agg(F.count("*").alias("c"))
-    digest = F.md5(F.col("p").cast("binary"))
-    each = each.select("doc_id", "element_idx", "c", *(F.conv(F.substring(digest, k, 8), 16, 10).cast("long").alias(x) for k, x in ((1, "hi"), (9, "lo"))))
-    vote = lambda x, b: F.sum((F.shiftright(F.col(x), 31 - b).bitwiseAND(1) * 2 - 1) * F.col("c")).alias(f"{x}{b}")
-    sums = each.groupBy("doc_id", "element_idx").agg(*(vote(x, b) for x in ("hi", "lo") for b in range(32)))
-    half = lambda x: sum(((F.col(f"{x}{b}") > 0).cast("long") * (1 << (31 - b)) for b in range(32)), F.lit(0).cast("long"))
-    return sums.select("doc_id", "element_idx", F.lower(F.concat(F.lpad(F.hex(half("hi")), 8, "0"), F.lpad(F.hex(half("lo")), 8, "0"))).alias("fingerprint"))
+    """(doc_id, element_idx, fingerprint) of the contents that aren't blank, row by row: nothing is grouped, and a task holds bits of ``PAIRS`` pairs."""
+    slim = df.select("doc_id", "element_idx", text.dedup_form(F.coalesce("content", F.lit(""))).alias("norm")).where("norm <> ''")
+    kinds = {f.name: f.dataType.simpleString() for f in slim.schema}
+
+    def run(batches):
+        known = _Pairs()
+        for batch in batches:
+            f = pa.array([f"{int(known.fingerprint(x)):016x}" for x in batch.column(2).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), f], names=["doc_id", "element_idx", "fingerprint"])
+
+    return slim.mapInArrow(run, f"doc_id {kinds['doc_id']}, element_idx {kinds['element_idx']}, fingerprint string")
 
 
 def distance(a: Column, b: Column) -> Column:
@@ -109,6 +108,8 @@ class _Pairs:
 
     def fingerprint(self, norm: str) -> np.uint64:
         pairs = {norm: 1} if len(norm) <= 3 else Counter(map(add, norm, norm[1:]))
+        if len(self.place) > PAIRS:
+            self.place, self.bits = {}, np.zeros((1024, BITS), np.int32)
         place = self.place
         for p in pairs:
             if p in place:
@@ -125,8 +126,6 @@ def _prints(batches):
     """(doc_id, element_idx, f, norm) of normal forms: fingerprints as whole numbers, or short forms as they are."""
     known = _Pairs()
     for batch in batches:
-        if len(known.place) > PAIRS:
-            known = _Pairs()
         norms = batch.column(2).to_pylist()
         f = [None if len(x) < SHORTEST else int(known.fingerprint(x).astype(np.int64)) for x in norms]
         short = [x if len(x) < SHORTEST else None for x in norms]
