@@ -24,6 +24,10 @@ from . import evaluation
 from .queries import JOBS, OUTLINE, embedding_store, job_log, outline, query, sliding_sql, table
 
 
+#: Bytes of text in an archive, about.
+ARCHIVE = 128 << 20
+
+
 def _written(rows: DataFrame, write) -> None:
     """Runs ``write`` over each task's rows; it gets (task number, batches)."""
 
@@ -64,9 +68,15 @@ def folder_files(spark, sf_dir):
 
 @query("SELECT 'zip' AS kind, doc_id AS id, strlen(coalesce(text, ''))::BIGINT AS n_bytes, md5(coalesce(text, '')) AS digest FROM documents UNION ALL SELECT 'tar', page_id, strlen(coalesce(html, ''))::BIGINT, md5(coalesce(html, '')) FROM pages")
 def archive_members(spark, sf_dir):
-    """Documents in zip files and pages in tar files, a few large ones of each, whose members several tasks read."""
+    """Documents in zip files and pages in tar files, large ones of each, two at least, whose members several tasks read."""
     root = scratch.new_dir(spark)
 
+    def dealt(name, key, text):
+        """Rows by archive: as many archives as the texts need, so that the task which writes one reads no more as the table grows."""
+        rows = table(spark, sf_dir, name).select(key, text)
+        n = rows.agg(F.sum(F.octet_length(text)).alias("n")).first().n or 0
+        return rows.repartition(max(2, -(-n // ARCHIVE)), key)
+
     def pack(kind):
         def write(task, batches):
             there, base = folders.system(root)
@@ -87,8 +97,8 @@ def archive_members(spark, sf_dir):
 
         return write
 
-    _written(table(spark, sf_dir, "documents").select("doc_id", "text").repartition(2, "doc_id"), pack("zip"))
-    _written(table(spark, sf_dir, "pages").select("page_id", "html").repartition(2, "page_id"), pack("tar"))
+    _written(dealt("documents", "doc_id", "text"), pack("zip"))
+    _written(dealt("pages", "page_id", "html"), pack("tar"))
     found = readers.archive_files(spark, root).where("error is null")
     kind = F.regexp_extract("path", r"^[^/]*\.(zip|tar)/", 1)
     return found.select(kind.alias("kind"), F.regexp_extract("name", r"^(\d+)", 1).cast("long").alias("id"), F.length("content").cast("long").alias("n_bytes"), F.md5("content").alias("digest"))
