@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # Fixed values of the text-hash embedding.
 DIMENSION = 1536
@@ -49,12 +47,7 @@ def hashed(seeds: np.ndarray, dimension: int = DIMENSION) -> np.ndarray:
 
 
 def text_hash_vector(text: Column, dimension: int = DIMENSION) -> Column:
-    """A deterministic stand-in for an embedding; not of unit length."""
-
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def vector(seeds: pd.Series) -> pd.Series:
-        found, which = np.unique(seeds.to_numpy(), return_inverse=True)
-        rows = list(hashed(found, dimension))
-        return pd.Series([rows[k] for k in which])
-
-    return F.when(text.isNotNull(), vector(F.coalesce(seed(text), F.lit(0))))
+    """A deterministic stand-in for an embedding; not of unit length.  By expressions, as ``hashed`` gives it: no batch of vectors is held."""
+    # Within an array of one the seed is worked out once, not for each component.
+    each = lambda s: F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda i: ((s + i * STRIDE) % MODULUS - SCALE) / F.lit(float(SCALE)))
+    return F.when(text.isNotNull(), F.transform(F.array(seed(text)), each)[0])
