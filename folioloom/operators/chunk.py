@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..schema import location
 from .enrich import with_heading_path
@@ -45,33 +46,76 @@ def spans(lengths: np.ndarray, size: int, overlap: int) -> list[tuple[int, int]]
     return out
 
 
-def sliding_spans(df: DataFrame, keys: list[str], size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
-    """(keys, chunk_idx, places): the windows of each group, by their elements' places; only places and lengths leave the JVM."""
-    slim = df.select(*keys, "element_idx", F.length(F.coalesce("content", F.lit(""))).alias("n"))
+def _folded(batches, size: int, overlap: int, name: str):
+    """Rows in order, each as often as ``spans`` puts it into a window, window by window.
 
-    def fold(table: pa.Table) -> pa.Table:
-        idx, n = table.column("element_idx").to_numpy(), table.column("n").to_numpy()
-        order = np.argsort(idx, kind="stable")
-        found = spans(n[order], size, overlap)
-        first, last = (np.array(x, np.int64) for x in zip(*found, strict=True))
-        head = [table.column(k).take(pa.array(np.zeros(len(found), np.int64))) for k in keys]
-        sizes = last - first + 1
-        ends = np.concatenate([[0], np.cumsum(sizes)])
-        places = idx[order][np.repeat(first - ends[:-1], sizes) + np.arange(ends[-1])]
-        listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(places, pa.int32()))
-        return pa.table([*head, pa.array(np.arange(len(found)), pa.int32()), listed], names=[*keys, "chunk_idx", "places"])
-
-    kinds = {f.name: f.dataType.simpleString() for f in slim.schema}
-    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", chunk_idx int, places array<int>"
-    return slim.groupBy(*keys).applyInArrow(fold, schema)
-
-
-def _assembled(df: DataFrame, keys: list[str], chunk_type: str, path: Column, with_box: bool) -> DataFrame:
-    """Chunks from rows that carry their chunk's keys: contents by order, locations from the first and last element."""
+    ``_n`` is a row's length, ``_first`` says that a group begins with it and
+    ``_head`` that a document does.  ``name`` is the window's number in its group,
+    ``_all`` that in its document; ``_first`` then says that a window begins, so one
+    fold can follow another.  Only the rows that may open the next window are held.
+    """
+    carry, start, held, c, all_ = None, 0, 0, 0, -1
+    fresh = True  # no row of the open window has been given yet
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        k0 = 0 if carry is None else len(carry)
+        if k0:
+            rows = pa.concat_tables([carry, rows])
+        n, first, head = (rows.column(x).to_pylist() for x in ("_n", "_first", "_head"))
+        out, begins, heads, within, whole = [], [], [], [], []
+
+        def give(i):
+            nonlocal fresh, all_
+            all_ += fresh
+            out.append(i)
+            begins.append(fresh)
+            heads.append(head[i] and all_ == 0 and fresh)
+            within.append(c)
+            whole.append(all_)
+            fresh = False
+
+        for i in range(k0, len(n)):
+            if first[i]:
+                start, held, c, fresh = i, 0, 0, True
+                if head[i]:
+                    all_ = -1
+            if n[i] >= size:
+                if start < i:
+                    c, fresh = c + 1, True
+                give(i)
+                start, held, c, fresh = i + 1, 0, c + 1, True
+            elif held + n[i] <= size:
+                held += n[i]
+                give(i)
+            else:
+                back, kept = i, 0
+                while back > max(start, 0) and kept + n[back - 1] <= overlap:
+                    back -= 1
+                    kept += n[back]
+                start, held, c, fresh = back, kept + n[i], c + 1, True
+                for j in range(back, i + 1):
+                    give(j)
+        back, kept = len(n), 0
+        while back > max(start, 0) and kept + n[back - 1] <= overlap:
+            back -= 1
+            kept += n[back]
+        carry, start = rows.slice(back), start - back
+        if out:
+            found = rows.drop_columns(["_first", "_head"]).take(pa.array(out))
+            if "_all" in found.column_names:
+                found = found.drop_columns(["_all"])
+            for x, column in ((name, pa.array(within, pa.int32())), ("_first", pa.array(begins)), ("_head", pa.array(heads)), ("_all", pa.array(whole, pa.int32()))):
+                found = found.append_column(x, column)
+            yield from found.combine_chunks().to_batches()
+
+
+def _assembled(df: DataFrame, keys: list[str], chunk_type: str, path: Column, with_box: bool, along: list[str] | None = None) -> DataFrame:
+    """Chunks from rows that carry their chunk's keys: contents by order, locations from the first and last element.  ``along`` follows from the keys."""
+    along = along or []
     order = F.col("element_idx")
     ordered = F.sort_array(F.collect_list(F.struct(order.alias("i"), F.col("element_id").alias("id"), F.col("content").alias("c"))))
     first, last = F.min_by("location", order), F.max_by("location", order)
-    grouped = df.groupBy(*keys).agg(
+    grouped = df.groupBy(*keys, *along).agg(
         ordered.alias("_o"), first.alias("_f"), last.alias("_l"), F.count("*").cast("int").alias("elements_count"), F.min_by("type", order).alias("primary_element_type"), F.max_by(path, order).alias("header_path")
     )
     texts = F.filter(F.transform("_o", lambda x: x["c"]), lambda c: c.isNotNull() & (c != ""))
@@ -82,6 +126,7 @@ def _assembled(df: DataFrame, keys: list[str], chunk_type: str, path: Column, wi
     return grouped.select(
         chunk_id.alias("chunk_id"),
         *keys,
+        *along,
         F.array_join(texts, "\n\n").alias("page_content"),
         F.lit(chunk_type).alias("chunk_type"),
         F.transform("_o", lambda x: x["id"]).alias("element_ids"),
@@ -99,19 +144,32 @@ def _none() -> Column:
 COLUMNS = ["chunk_id", "doc_id", "chunk_idx", "page_content", "chunk_type", "element_ids", "elements_count", "primary_element_type", "header_path", "parent_id", "location"]
 
 
-def _windows(df: DataFrame, keys: list[str], size: int, overlap: int) -> DataFrame:
-    """The elements of each window, with its chunk_idx; an element in an overlap comes twice.  Places may have gaps."""
-    found = sliding_spans(df, keys, size, overlap)
-    each = found.select(*(F.col(k).alias(f"_{k}") for k in keys), "chunk_idx", F.explode("places").alias("_idx"))
-    same = F.col("element_idx") == F.col("_idx")
-    for k in keys:
-        same &= F.col(k) == F.col(f"_{k}")
-    return df.join(each, same).drop("_idx", *(f"_{k}" for k in keys))
+def _windows(df: DataFrame, *levels: tuple[str, int, int]) -> DataFrame:
+    """The elements of each document's windows; an element in an overlap comes twice.  Places may have gaps.
+
+    A level (name, size, overlap) numbers its windows in ``name``; another one cuts
+    within them.  ``_all`` is the last level's number in the document.  Documents are
+    sorted, not gathered, and their rows pass by in batches whatever their lengths,
+    so neither a document nor a window costs a call, and nothing is joined back.
+    """
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("element_idx")) == 1
+    rows = df.where(F.col("doc_id").isNotNull()).withColumns({"_n": F.length(F.coalesce("content", F.lit(""))), "_first": first})
+    rows = rows.withColumn("_head", F.col("_first")).sortWithinPartitions("doc_id", "element_idx")
+    names = [*df.columns, *(name for name, _, _ in levels), "_all"]
+    schema = T.StructType([*df.schema.fields, *(T.StructField(x, T.IntegerType()) for x in names[len(df.columns) :])])
+
+    def run(batches):
+        for level in levels:
+            batches = _folded(batches, level[1], level[2], level[0])
+        for batch in batches:
+            yield batch.select(names)
+
+    return rows.mapInArrow(run, schema)
 
 
 def sliding_window(df: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
     """Chunks of up to ``size`` characters of neighbouring elements."""
-    out = _assembled(_windows(df, ["doc_id"], size, overlap), ["doc_id", "chunk_idx"], "sliding_window", _none(), True)
+    out = _assembled(_windows(df, ("chunk_idx", size, overlap)), ["doc_id", "chunk_idx"], "sliding_window", _none(), True)
     return out.withColumn("parent_id", _none()).select(*COLUMNS)
 
 
@@ -130,13 +188,12 @@ def header_aware(df: DataFrame) -> DataFrame:
 
 def parent_child(df: DataFrame, parent: int = PARENT, child: int = CHILD, overlap: int = CHILD_OVERLAP) -> tuple[DataFrame, DataFrame]:
     """(children, parents): large windows for context, and within each small ones that carry its id."""
-    large = _windows(df, ["doc_id"], parent, 2 * overlap)
-    large = large.withColumn("parent_id", F.concat(F.lit("parent_"), F.substring(F.md5(F.concat_ws("|", F.col("doc_id").cast("string"), F.col("chunk_idx").cast("string"))), 1, 12)))
+    own = lambda idx: F.concat(F.lit("parent_"), F.substring(F.md5(F.concat_ws("|", F.col("doc_id").cast("string"), F.col(idx).cast("string"))), 1, 12))
+    large = _windows(df, ("_parent_idx", parent, 2 * overlap)).withColumn("parent_id", own("_parent_idx"))
     parents = _assembled(large, ["doc_id", "parent_id"], "parent", _none(), True).select("parent_id", "doc_id", F.col("page_content").alias("parent_text"))
-    inside = large.withColumnRenamed("chunk_idx", "_parent_idx")
-    small = _windows(inside, ["doc_id", "parent_id", "_parent_idx"], child, overlap)
-    out = _assembled(small, ["doc_id", "_parent_idx", "parent_id", "chunk_idx"], "parent_child_child", _none(), True)
-    numbered = out.withColumn("chunk_idx", (F.row_number().over(Window.partitionBy("doc_id").orderBy("_parent_idx", "chunk_idx")) - 1).cast("int"))
+    small = _windows(df, ("_parent_idx", parent, 2 * overlap), ("chunk_idx", child, overlap)).withColumn("parent_id", own("_parent_idx"))
+    out = _assembled(small, ["doc_id", "_parent_idx", "parent_id", "chunk_idx"], "parent_child_child", _none(), True, ["_all"])
+    numbered = out.withColumn("chunk_idx", F.col("_all"))
     return numbered.select(*COLUMNS), parents
 
 
