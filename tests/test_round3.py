@@ -201,3 +201,24 @@ def test_cleaned_lines_are_read_by_three_strategies_but_made_once(spark, tmp_pat
     want = search.top_k(t.withColumn("vector", vectors.text_hash_vector(F.col("page_content"))), wanted.tolist(), 9).collect()
     got = search.top_k_texts(t, wanted.tolist(), 9).collect()
     assert [(r.chunk_id, round(r.score, 9)) for r in got] == [(r.chunk_id, round(r.score, 9)) for r in want]
+
+
+def test_no_text_is_shuffled_to_meet_its_label(spark, monkeypatch):
+    """op4: trusted ids go to the texts, however large Spark takes the labels to be; beyond the bound they are joined, with the same rows."""
+    from folioloom.llm import quality
+    from pyspark.sql import functions as F
+
+    docs = spark.range(100).select(F.col("id").alias("doc_id"), F.lit("ab").alias("text"))
+    labels = spark.range(0, 200, 3).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = []
+        for most, sent in ((1 << 22, True), (10, False)):
+            monkeypatch.setattr(quality, "IDS", most)
+            t = quality._trusted(docs, labels)
+            assert ("BroadcastHashJoin" in t._jdf.queryExecution().executedPlan().toString()) == sent
+            found.append(sorted(r.doc_id for r in t.collect()))
+        assert found[0] == found[1] == list(range(0, 100, 3))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
