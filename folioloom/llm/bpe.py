@@ -30,6 +30,7 @@ import json
 import sys
 import unicodedata
 import zlib
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -45,6 +46,8 @@ from .common import Scratch
 
 #: Text of a block, and text that is split at a time.
 BLOCK_BYTES, SPLIT_BYTES = 12 << 20, 2 << 20
+#: Text of a block where ids go on to a table: its columns are in memory several times over, in the JVM and in Python.
+WIDE_BLOCK_BYTES = 4 << 20
 #: Text for each part of the distinct words, and the most parts.
 PART_BYTES, PARTS = 16 << 20, 1 << 16
 #: Distinct words that a task holds.
@@ -57,10 +60,12 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
 
 _SPACE, _LETTER, _NUMBER, _OTHER = range(4)
+#: Of all characters, those that the library is asked about at a time.
+EVERY = 1 << 14
 
 
 def _every() -> str:
-    return "".join(map(chr, (*range(0xD800), *range(0xE000, sys.maxunicode + 1))))
+    return np.concatenate([np.arange(0xD800), np.arange(0xE000, sys.maxunicode + 1)]).astype("<u4").tobytes().decode("utf-32-le")
 
 
 @lru_cache(1)
@@ -70,8 +75,10 @@ def _classes() -> np.ndarray:
 
     out, every = np.full(sys.maxunicode + 1, _OTHER, np.uint8), _every()
     for kind, pattern in ((_LETTER, r"\p{L}+"), (_NUMBER, r"\p{N}+"), (_SPACE, r"\s+")):
-        runs = pre_tokenizers.Split(Regex(pattern), "removed", invert=True).pre_tokenize_str(every)
-        out[_points("".join(x for x, _ in runs))] = kind
+        split = pre_tokenizers.Split(Regex(pattern), "removed", invert=True)
+        for k in range(0, len(every), EVERY):  # the library takes about 250 MB for all characters at once
+            runs = split.pre_tokenize_str(every[k : k + EVERY])
+            out[_points("".join(x for x, _ in runs))] = kind
     return out
 
 
@@ -80,10 +87,12 @@ def _lower() -> tuple[dict[int, str], np.ndarray]:
     """What the library lower-cases otherwise than Python does to single characters, and a flag for each code point."""
     from tokenizers import normalizers
 
-    every = _every()
-    theirs = normalizers.Lowercase().normalize_str("\n".join(every)).split("\n")
-    theirs[10:12] = ["\n"]  # the line feed itself, cut in two
-    odd = {ord(c): low for c, low in zip(every, theirs, strict=True) if low != c.lower()} | {ord("Σ"): "σ"}
+    every, odd = _every(), {}
+    for k in range(0, len(every), EVERY):
+        some = every[k : k + EVERY].replace("\n", "")  # the line feed is its own
+        theirs = normalizers.Lowercase().normalize_str("\n".join(some)).split("\n")
+        odd |= {ord(c): low for c, low in zip(some, theirs, strict=True) if low != c.lower()}
+    odd[ord("Σ")] = "σ"
     flags = np.zeros(sys.maxunicode + 1, bool)
     flags[list(odd)] = True
     return odd, flags
@@ -366,12 +375,14 @@ def encode_distinct(words: DataFrame, shared: Broadcast, parts: int) -> DataFram
                 size = at[which + 1] - at[which]
                 ids = flat[np.repeat(at[which] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))]
                 yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([part]), pa.array([_pack_ids(ids)], pa.binary()), pa.array([_pack(size)], pa.binary())], names=["block", "part", "ids", "sizes"])
+        del known, flat, at
+        textscan.release()
 
     return words.repartition(parts, "part").select("block", "part", "words").mapInArrow(run, "block long, part long, ids binary, sizes binary")
 
 
-def _joined(left: pa.Table, right: pa.Table, pieces: pa.Array) -> tuple[pa.Table, np.ndarray, np.ndarray, list[str]]:
-    """(rows, ids of all texts, where each text's begin, what each decodes to) of a block."""
+def _joined(left: pa.Table, right: pa.Table, pieces: pa.Array) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray, list[str]]]:
+    """(rows, ids of their texts, where each text's begin, what each decodes to) of a block, in runs of about ``RUN`` words."""
     rows = pa.ipc.open_stream(left.column("rows")[0].as_py()).read_all()
     counts, places, own = (_unpack(left.column(c)[0].as_py()) for c in ("counts", "places", "order"))
     own = own.astype(np.int64)
@@ -388,35 +399,33 @@ def _joined(left: pa.Table, right: pa.Table, pieces: pa.Array) -> tuple[pa.Table
     found = pieces.take(pa.array(ids)).to_pylist()
     words = [found[a] if n == 1 else " ".join(found[a : a + n]) for a, n in zip(start.tolist(), size.tolist(), strict=True)]
     first = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
-    flat, at, texts, k = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)], [], 0
+    k = 0
     while k < len(counts):
         stop = max(int(np.searchsorted(first, first[k] + RUN, side="right")) - 1, k + 1)
         some = places[first[k] : first[stop]]
         n = size[some]
         begin = np.concatenate([[0], np.cumsum(n)])
-        flat.append(ids[np.repeat(start[some] - begin[:-1], n) + np.arange(begin[-1])].astype(np.int32))
         edges = first[k : stop + 1] - first[k]
-        at.append(at[-1][-1] + begin[edges[1:]])
         each = list(map(words.__getitem__, some.tolist()))
-        texts += [" ".join(each[a:b]) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+        texts = [" ".join(each[a:b]) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+        yield rows.slice(k, stop - k), ids[np.repeat(start[some] - begin[:-1], n) + np.arange(begin[-1])].astype(np.int32), begin[edges], texts
         k = stop
-    return rows, np.concatenate(flat), np.concatenate(at), texts
 
 
-def _encoded(docs: DataFrame, path: str, kept: list[str], schema, out) -> DataFrame:
+def _encoded(docs: DataFrame, path: str, kept: list[str], schema: T.StructType, out: Callable, block_bytes: int) -> DataFrame:
     with open(path, encoding="utf-8") as f:
         tokenizer = Tokenizer(f.read())
     scratch = Scratch(docs.sparkSession)
     size = docs.agg(F.coalesce(F.sum(F.octet_length(F.col("text").cast("string"))), F.lit(0)).alias("b")).first().b
     parts = min(PARTS, max(4, -(-size // PART_BYTES)))
     shared = docs.sparkSession.sparkContext.broadcast(tokenizer)
-    blocks = scratch.keep(split(docs, kept, shared, parts))
+    blocks = scratch.keep(split(docs, kept, shared, parts, block_bytes))
     words = encode_distinct(blocks.where("part is not null").select("block", "part", "words"), shared, parts)
     pieces = docs.sparkSession.sparkContext.broadcast(pa.array(tokenizer.pieces, pa.string()))
 
     def join(left: pa.Table, right: pa.Table) -> pa.Table:
-        rows, ids, at, texts = _joined(left, right, pieces.value)
-        found = pa.table(out(rows, ids, at, texts), names=schema.names)
+        # A table in pieces: each goes to the JVM as a batch of its own.
+        found = pa.concat_tables([pa.table(out(*run), names=schema.names) for run in _joined(left, right, pieces.value)])
         textscan.release()
         return found
 
@@ -424,15 +433,25 @@ def _encoded(docs: DataFrame, path: str, kept: list[str], schema, out) -> DataFr
     return places.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(join, schema)
 
 
+def _lists(at: np.ndarray, ids: np.ndarray) -> pa.Array:
+    return pa.LargeListArray.from_arrays(at, ids).cast(pa.list_(pa.int32()))
+
+
+def _sha256(parts) -> pa.Array:
+    return pa.array([hashlib.sha256(x).hexdigest() for x in parts], pa.string())
+
+
 def encode(docs: DataFrame, path: str, columns: list[str] | None = None) -> DataFrame:
     """These columns (or all), and ``ids`` and ``decoded``: the text's token ids and what they decode to."""
     kept = [c for c in (docs.columns if columns is None else columns) if c not in ("ids", "decoded")]
     schema = T.StructType([*(docs.schema[c] for c in kept), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
+    return _encoded(docs, path, kept, schema, lambda rows, ids, at, texts: [*rows.columns, _lists(at, ids), pa.array(texts, pa.string())], WIDE_BLOCK_BYTES)
 
-    def out(rows, ids, at, texts):
-        return [*rows.columns, pa.LargeListArray.from_arrays(at, ids).cast(pa.list_(pa.int32())), pa.array(texts, pa.string())]
 
-    return _encoded(docs, path, kept, schema, out)
+def ids_and_digests(docs: DataFrame, path: str) -> DataFrame:
+    """(doc_id, n_tokens, ids, decoded_sha256) of every row: what is decoded is digested where it is put together."""
+    schema = T.StructType([docs.schema["doc_id"], T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded_sha256", T.StringType())])
+    return _encoded(docs, path, ["doc_id"], schema, lambda rows, ids, at, texts: [rows.column(0), pa.array(np.diff(at), pa.int64()), _lists(at, ids), _sha256(x.encode() for x in texts)], WIDE_BLOCK_BYTES)
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
@@ -441,11 +460,6 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
 
     def out(rows, ids, at, texts):
         raw = ids.astype("<u4")
-        return [
-            rows.column(0),
-            pa.array(np.diff(at), pa.int64()),
-            pa.array([hashlib.sha256(raw[a:b].tobytes()).hexdigest() for a, b in zip(at[:-1], at[1:], strict=True)], pa.string()),
-            pa.array([hashlib.sha256(x.encode()).hexdigest() for x in texts], pa.string()),
-        ]
+        return [rows.column(0), pa.array(np.diff(at), pa.int64()), _sha256(raw[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)), _sha256(x.encode() for x in texts)]
 
-    return _encoded(docs, path, ["doc_id"], schema, out)
+    return _encoded(docs, path, ["doc_id"], schema, out, BLOCK_BYTES)

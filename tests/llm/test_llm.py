@@ -907,6 +907,26 @@ def test_bpe_in_small_blocks(spark, monkeypatch):
     assert sorted(map(str, bpe.digests(docs, path).collect())) == want
 
 
+def test_bpe_ids_and_digests(spark, monkeypatch):
+    path = pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
+    docs = frame(spark, odd_texts()).repartition(2)
+    want = sorted((r.doc_id, len(r.ids), r.ids, hashlib.sha256(r.decoded.encode()).hexdigest()) for r in bpe.encode(docs, path, ["doc_id"]).collect())
+    for run in (bpe.RUN, 5):  # a block's table in one piece, and in many
+        monkeypatch.setattr(bpe, "RUN", run)
+        assert sorted(map(tuple, bpe.ids_and_digests(docs, path).collect())) == want
+
+
+def test_bpe_tables_of_characters_take_little_memory():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    show = "int(next(l for l in open('/proc/self/status') if l.startswith('VmHWM')).split()[1]) // 1024"
+    code = f"import tokenizers, numpy, pyarrow\nfrom folioloom.llm import bpe\na = {show}\nbpe._classes(); bpe._lower()\nprint({show} - a)"
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=Path(bpe.__file__).parents[2])
+    assert int(out.stdout) < 100
+
+
 def test_bpe_packs_numbers():
     edges = [0, 1, 191, 192, 12479, 12480, 12480 + 15 * 65536 - 1, 12480 + 15 * 65536, 2**32 - 1]
     for values in ([], edges, [rng.randrange(2 ** rng.randrange(33)) for _ in range(2000)]):
