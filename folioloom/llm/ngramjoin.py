@@ -52,8 +52,8 @@ SPLIT_DF = 20_000
 GROUP = 512
 #: Bytes of text for each hash bucket of tokens.
 BUCKET_BYTES = 16 << 20
-#: Spots, as a power of two, of the bitmap of tokens that two documents have: 16 MB.
-REPEATED_BITS = 27
+#: Spots, as a power of two, of the bitmap of tokens that two documents have, and of the Bloom filter of candidates: at most 16 MB and 8 MB, less for small tables.
+REPEATED_BITS, BLOOM_BITS = 27, 26
 
 #: Bits of a set's sketch, in longs of 64.
 SKETCH_LONGS = 8
@@ -137,6 +137,7 @@ class Frequent:
     def __init__(self, repeated: np.ndarray, tokens: np.ndarray, df: np.ndarray, bits: int) -> None:
         order = np.argsort(tokens)
         self.repeated, self.tokens, self.df, self.shift = repeated, tokens[order], df[order], np.uint64(64 - bits)
+        self.spot = np.uint64(64 - int(np.log2(len(repeated) << 3)))
         hot = self.df > SPLIT_DF
         #: Token parts of very frequent tokens: part -> token.
         self.parts = {self.part(int(t), s): int(t) for t, d in zip(self.tokens[hot], self.df[hot], strict=True) for s in range(-(-int(d) // SPLIT_DF))}
@@ -147,7 +148,7 @@ class Frequent:
 
     def find(self, tokens: np.ndarray) -> np.ndarray:
         """0 for tokens of one document, 1 for tokens outside the table, else document frequencies."""
-        spot = tokens >> np.uint64(64 - REPEATED_BITS)
+        spot = tokens >> self.spot
         out = (self.repeated[spot >> np.uint64(3)] >> (spot & np.uint64(7)).astype(np.uint8) & np.uint8(1)).astype(np.int64)
         if len(self.df):
             some = np.flatnonzero(out)
@@ -177,8 +178,8 @@ class Frequent:
         return (np.concatenate(tokens), np.concatenate(owners)) if tokens else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
-def _frequent(texts: DataFrame, n: int, low: int, scratch: Scratch) -> Frequent:
-    """Counts document frequencies by 2**low buckets of the hash, as packed arrays of ``low + 32`` bits a token."""
+def _frequent(texts: DataFrame, n: int, low: int, spots_bits: int, scratch: Scratch) -> Frequent:
+    """Counts document frequencies by 2**low buckets of the hash, as packed arrays of ``low + 32`` bits a token; the bitmap has 2**spots_bits spots."""
     bits = low + 32
 
     def count(batches):
@@ -223,8 +224,8 @@ def _frequent(texts: DataFrame, n: int, low: int, scratch: Scratch) -> Frequent:
         first = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
         df = np.add.reduceat(counts, first)
         tokens = tokens[first]
-        spots = np.zeros(1 << (REPEATED_BITS - low), np.uint8)
-        spots[tokens[df > 1] >> np.uint32(32 - (REPEATED_BITS - low))] = 1
+        spots = np.zeros(1 << (spots_bits - low), np.uint8)
+        spots[tokens[df > 1] >> np.uint32(32 - (spots_bits - low))] = 1
         keep = df >= LEAST_DF
         keys = tokens[keep].astype(np.int64) | np.int64(bucket << 32)
         return pa.table({"bucket": [bucket], "repeated": [np.packbits(spots, bitorder="little").tobytes()], "token": [keys.tolist()], "df": [df[keep].tolist()]}, schema=COUNTED)
@@ -233,8 +234,8 @@ def _frequent(texts: DataFrame, n: int, low: int, scratch: Scratch) -> Frequent:
     counted = scratch.keep(packed.groupBy("bucket").applyInArrow(add, "bucket long, repeated binary, token array<long>, df array<long>"))
     rows = counted.select(F.explode(F.arrays_zip("token", "df")).alias("x")).select("x.token", "x.df")
     rows = most_frequent(rows, FREQUENT, "df")[0].toArrow()
-    bitmap, step = np.zeros(1 << (REPEATED_BITS - 3), np.uint8), 1 << (REPEATED_BITS - low - 3)
-    for row in counted.select("bucket", "repeated").toLocalIterator():  # 16 MB in all
+    bitmap, step = np.zeros(1 << (spots_bits - 3), np.uint8), 1 << (spots_bits - low - 3)
+    for row in counted.select("bucket", "repeated").toLocalIterator():  # at most 16 MB in all
         bitmap[row.bucket * step : (row.bucket + 1) * step] = np.frombuffer(row.repeated, np.uint8)
     scratch.drop(counted)
     return Frequent(bitmap, rows.column("token").to_numpy().astype(np.uint64), rows.column("df").to_numpy(), bits)
@@ -252,8 +253,8 @@ def _may_link(percent: int):
     return differ * (100 + percent) <= (F.col("n1") + F.col("n2")) * (100 - percent)
 
 
-def _bloom(names: DataFrame, bits: int = 1 << 26) -> np.ndarray:
-    """A bitmap of at most 8 MB in which the names' bits are set."""
+def _bloom(names: DataFrame, bits: int = 1 << BLOOM_BITS) -> np.ndarray:
+    """A bitmap in which the names' bits are set."""
     spots = names.select(F.explode(F.array(F.pmod("s", F.lit(bits)), F.pmod(F.shiftright("s", 32), F.lit(bits)))).alias("b"))
     words = spots.groupBy(F.shiftright("b", 3).alias("w")).agg(F.bit_or(F.expr("shiftleft(1, cast(b & 7 as int))")).alias("v")).toArrow()
     out = np.zeros(bits >> 3, np.uint8)
@@ -274,9 +275,15 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, scratch:
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     kind = texts.schema[0].dataType.simpleString()
 
-    size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first().b
+    size, rows = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b"), F.count("*").alias("n")).first()
     low = min(24, max(4, int(np.ceil(np.log2(size / BUCKET_BYTES + 1)))))
-    frequent = spark.sparkContext.broadcast(_frequent(texts.select("text"), n, low, scratch))
+    # A spot for each byte of text, and 16 or more for each name, unless that is too many.
+    spots_bits = min(REPEATED_BITS, max(low + 3, int(size).bit_length()))
+    bloom_bits = min(BLOOM_BITS, max(10, int(16 * rows).bit_length()))
+    found = _frequent(texts.select("text"), n, low, spots_bits, scratch)
+    split_tokens = bool(found.parts)
+    frequent = spark.sparkContext.broadcast(found)
+    del found  # it is in the broadcast's file
     names = ["doc_id", "n", "s", "proof", "bucket", "t", "ss", "ns"]
 
     def postings(batches):
@@ -332,7 +339,7 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, scratch:
     dealt = read.where("bucket is not null").select("bucket", "t", "ss", "ns")
     grouped = scratch.keep(dealt.groupBy("bucket").applyInArrow(groups, "g long, s long, n long, p long"))
     candidates = grouped.select("s").distinct()
-    bloom = spark.sparkContext.broadcast(_bloom(candidates))
+    bloom = spark.sparkContext.broadcast(_bloom(candidates, 1 << bloom_bits))
     sketch = [f"q{k}" for k in range(SKETCH_LONGS)]
 
     def whole_sets(batches):
@@ -359,7 +366,7 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, scratch:
     sets = scratch.keep(passed.groupBy("s").agg(*(F.any_value(c).alias(c) for c in ("tokens", "p2", "p3", *sketch))))
 
     pairs = grouped.where("s <> p").select(F.least("s", "p").alias("a"), F.greatest("s", "p").alias("b"))
-    if frequent.value.parts:  # the parts' pivots of one token are tied by a pivot of their own
+    if split_tokens:  # the parts' pivots of one token are tied by a pivot of their own
         tops = grouped.groupBy("g").agg(F.min("p").alias("top"), F.max("p").alias("bottom")).where("top <> bottom")
         pairs = pairs.union(grouped.select("g", "p").distinct().join(tops, "g").where("p <> top").select(F.least("p", "top"), F.greatest("p", "top")))
     links = scratch.keep(_verified(pairs.distinct(), sets, percent))
@@ -380,6 +387,8 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, scratch:
 
     # Links run between names, through rows without an id too; a component's id is the least id of its names.
     roots = components(links, scratch)
+    for sent in (frequent, bloom):  # what follows reads written tables only
+        sent.destroy()
     proved = F.when(F.min("proof") == F.max("proof"), F.lit(True)).otherwise(F.raise_error(F.lit("two different sets have one name")).cast("boolean"))
     least = named.where("s is not null").groupBy("s").agg(F.min("doc_id").alias("rep"), proved.alias("proved")).where("proved")
     least = least.join(roots, F.col("s") == F.col("node"), "left").select("s", "rep", F.coalesce("root", "s").alias("root"))
